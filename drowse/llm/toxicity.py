@@ -1,6 +1,6 @@
 """Toxicity by a support vector machine over a gapped-subsequence string kernel, with Nystroem landmarks.
 
-Kernel: two words are alike by the subsequences of ORDER characters they share (the word's start counts as a character), each
+Kernel: two words are alike by the subsequences of ORDER characters they share (the word's ends count as characters), each
 weighted by DECAY for every character skipped, up to GAP skipped in all, and divided by the norm of a word of that length. An
 insult with an inserted or a missing character keeps most of its subsequences. Spelling is folded first: case, accents, digits
 that stand for letters, marks inside words, and single letters with spaces between.
@@ -37,7 +37,7 @@ from .common import table
 SAMPLE, SAMPLE_CHARS = 2500, 20_000
 ORDER, GAP, DECAY = 4, 2, 0.6
 LANDMARKS, NEGATIVES, HARD, RIDGE = 160, 4000, 3000, 1e-2
-SIDE = 28  # word start, 26 letters, any other letter
+SIDE = 28  # word end, 26 letters, any other letter
 SPANS = [(a, b, d) for d in range(ORDER - 1, ORDER + GAP) for a, b in itertools.combinations(range(1, d), 2)]
 WORST = 3  # words that a document's score looks at
 CHUNK = 1 << 20
@@ -63,7 +63,7 @@ FOLD = _fold_table()
 
 
 def _norms(longest: int = 512) -> np.ndarray:
-    """Root of the squared weights of all subsequences of a word, by its length with the start; longer words are extrapolated."""
+    """Root of the squared weights of all subsequences of a word, by its length with both ends; longer words are extrapolated."""
     n = np.arange(longest)
     return np.sqrt(np.maximum(sum(DECAY ** (2 * (d - ORDER + 1)) * np.maximum(0, n - d) for _, _, d in SPANS), 1e-9)).astype(np.float32)
 
@@ -91,7 +91,8 @@ def fold(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _subsequences(c: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
-    """Feature numbers of the subsequences from each place, by pattern of skipped characters; 0 where the word has ended."""
+    """Feature numbers of the subsequences from each place, by pattern of skipped characters; 0 where the word has ended. The
+    zeros on both sides of a word count as its characters."""
     n = len(c)
     wide = np.concatenate([c, np.zeros(ORDER + GAP, np.uint8)]).astype(np.int32)
     shifted = [wide[:n], wide[1 : n + 1]]
@@ -99,7 +100,7 @@ def _subsequences(c: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
         shifted.append(wide[d : n + d] * (shifted[-1] > 0))
     for a, b, d in SPANS:
         f = ((shifted[0] * SIDE + shifted[a]) * SIDE + shifted[b]) * SIDE + shifted[d]
-        yield np.where(shifted[d] > 0, f, 0), DECAY ** (d - ORDER + 1)
+        yield np.where(shifted[d - 1] > 0, f, 0), DECAY ** (d - ORDER + 1)
 
 
 def word_scores(c: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -113,7 +114,7 @@ def word_scores(c: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.nd
         for f, w in _subsequences(part):
             each[a : a + own] += np.float32(w) * weights[f[:own]]
     ends = np.append(starts[1:], len(c))
-    letters = np.add.reduceat((c > 0).astype(np.int32), starts) + 1
+    letters = np.add.reduceat((c > 0).astype(np.int32), starts) + 2
     norm = np.where(letters < len(NORMS), NORMS[np.minimum(letters, len(NORMS) - 1)], NORMS[-1] * np.sqrt(letters / len(NORMS)))
     sums = np.add.reduceat(each, starts)
     return np.where(ends > starts, sums / np.maximum(norm, 0.5), 0).astype(np.float32)
@@ -125,7 +126,7 @@ def features_of(word: bytes) -> np.ndarray:
     out = np.zeros(SIDE**ORDER, np.float32)
     for f, w in _subsequences(c):
         np.add.at(out, f[f > 0], np.float32(w))
-    return out / max(NORMS[min(len(word) + 1, len(NORMS) - 1)], 0.5)
+    return out / max(NORMS[min(len(word) + 2, len(NORMS) - 1)], 0.5)
 
 
 @dataclass
@@ -222,7 +223,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         landmarks = positive[: LANDMARKS // 2] + negative[-(LANDMARKS // 2) :]
         rows = positive + inserted + negative
         sides = np.array([1.0] * (len(positive) + len(inserted)) + [-1.0] * len(negative))
-        weights = _nystroem(rows, sides, np.array([math.log2(2 + (named if y > 0 else common)[w]) for w, y in zip(rows, sides, strict=True)]), landmarks)
+        weights = _nystroem(rows, sides, np.array([1.0 if y > 0 else math.log2(2 + common[w]) for w, y in zip(rows, sides, strict=True)]), landmarks)
         c, starts, _ = _joined(vocabulary)
         hard = np.argsort(-word_scores(c, starts, weights), kind="stable")[:HARD]
         negative = list(dict.fromkeys(negative[:NEGATIVES] + [vocabulary[i] for i in hard]))
