@@ -39,6 +39,19 @@ def content_key(col: str | Column) -> list[Column]:
     return [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit("second"), c).alias("h2")]
 
 
+#: Buckets of `only_wanted`: at most so many numbers are broadcast.
+WANTED_BUCKETS = 1 << 20
+
+
+def only_wanted(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of `df` whose key is in `wanted`. Rows in no bucket of a wanted key's hash go first, by a broadcast of bucket numbers
+    that is bounded whatever the number of keys, so large rows that nobody wants are not shuffled; an exact semi-join follows."""
+    bucket = lambda: F.pmod(F.xxhash64(key), F.lit(WANTED_BUCKETS)).cast("int")
+    buckets = wanted.select(bucket().alias("_bucket")).distinct()
+    near = df.withColumn("_bucket", bucket()).join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket")
+    return near.join(wanted, key, "left_semi")
+
+
 def sorted_groups(batches: Iterable[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
     """Whole groups from batches whose rows are sorted by `key`; a group may span batches, one group is held at a time."""
     held: list[pd.DataFrame] = []

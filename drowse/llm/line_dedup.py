@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import content_key, materialize, sorted_groups, table
+from .common import content_key, materialize, only_wanted, sorted_groups, table
 
 MIN_CHARS, GROUP = 20, 1024
 #: A document that keeps less than this share of its characters is a copy as a whole; see `drop_copies`.
@@ -160,7 +160,7 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = materialize(firsts.select("h1", "h2", "first.doc", "first.pos", "n"), "first-lines")
     wanted = materialize(shared.select("h1").distinct(), "shared-lines")
-    texts = lines.select("h1", "h2", "line").join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    texts = only_wanted(lines.select("h1", "h2", "line"), wanted, "h1").groupBy("h1", "h2").agg(F.first("line").alias("line"))
     texts = materialize(texts.join(firsts, ["h1", "h2"]).select("h1", "h2", "line", "doc", "pos"), "shared-texts")
 
     w = Window.partitionBy("key")
