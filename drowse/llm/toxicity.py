@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Bounds of the training sample: documents of each class (smallest hash first), and the length of a training text.
-SAMPLE, SAMPLE_CHARS = 2500, 20_000
+SAMPLE, SAMPLE_CHARS = 1500, 8_000
 ORDER, GAP, DECAY = 4, 2, 0.6
 LANDMARKS, NEGATIVES, HARD, RIDGE = 160, 4000, 3000, 1e-2
 SIDE = 28  # word end, 26 letters, any other letter
@@ -153,16 +153,19 @@ def _svm(z: np.ndarray, y: np.ndarray, much: np.ndarray) -> np.ndarray:
 def _nystroem(words: list[bytes], y: np.ndarray, much: np.ndarray, landmarks: list[bytes]) -> np.ndarray:
     """The machine's table of weights."""
     c, starts, _ = _joined(words)
-    maps = [features_of(w) for w in landmarks]
-    k = np.stack([word_scores(c, starts, m) for m in maps], axis=1).astype(np.float64)
     lc, ls, _ = _joined(landmarks)
-    inner = np.stack([word_scores(lc, ls, m) for m in maps], axis=1).astype(np.float64)
+    k, inner = np.empty((len(words), len(landmarks))), np.empty((len(landmarks), len(landmarks)))
+    for i, w in enumerate(landmarks):  # one table at a time
+        table_ = features_of(w)
+        k[:, i], inner[:, i] = word_scores(c, starts, table_), word_scores(lc, ls, table_)
     value, vector = np.linalg.eigh((inner + inner.T) / 2)
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
-    w = _svm(k @ root, y, much)
-    beta = root @ w[:-1]
-    return np.sum([b * m for b, m in zip(beta, maps, strict=True)], axis=0).astype(np.float32)
+    beta = root @ _svm(k @ root, y, much)[:-1]
+    out = np.zeros(SIDE**ORDER, np.float32)
+    for b, w in zip(beta, landmarks, strict=True):
+        out += np.float32(b) * features_of(w)
+    return out
 
 
 def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,13 +194,15 @@ def _witnesses(toxic: list[list[bytes]], clean: list[list[bytes]]) -> Counter:
                 seen.setdefault(max(d, key=lambda w: (len(w), w)), set(d))
         return list(seen.values())
 
-    def keys(w: bytes) -> tuple:
-        return (w, (w[:5],), (w[:4],)) if len(w) > 4 else (w,)
+    def keys(w: bytes) -> tuple[bytes, ...]:
+        return (w, b"\xff" + w[:5], b"\xff" + w[:4]) if len(w) > 4 else (w,)
 
     bad, good = once(toxic), once(clean)
-    n_bad, n_good = Counter(k for d in bad for k in {k for w in d for k in keys(w)}), Counter(k for d in good for k in {k for w in d for k in keys(w)})
     floor = max(2, len(bad) // 200)
-    worth = lambda k: n_bad[k] if n_bad[k] >= floor and n_bad[k] / len(bad) >= 20 * (n_good[k] + 0.25) / max(1, len(good)) else 0
+    n_bad = Counter(k for d in bad for k in {k for w in d for k in keys(w)})
+    n_bad = Counter({k: n for k, n in n_bad.items() if n >= floor})
+    n_good = Counter(k for d in good for k in {k for w in d for k in keys(w)} & n_bad.keys())
+    worth = lambda k: n_bad[k] if n_bad[k] / len(bad) >= 20 * (n_good[k] + 0.25) / max(1, len(good)) else 0
     out: Counter = Counter()
     for d in bad:
         value, word = max((max(worth(k) for k in keys(w)), w) for w in d)
