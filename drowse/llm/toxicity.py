@@ -40,7 +40,7 @@ LANDMARKS, NEGATIVES, HARD, RIDGE = 160, 4000, 3000, 1e-2
 SIDE = 28  # word end, 26 letters, any other letter
 SPANS = [(a, b, d) for d in range(ORDER - 1, ORDER + GAP) for a, b in itertools.combinations(range(1, d), 2)]
 WORST = 3  # words that a document's score looks at
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def _fold_table() -> np.ndarray:
@@ -276,7 +276,14 @@ def _summary(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
 
 
 def score_texts(texts: list[str | None], model: Model) -> np.ndarray:
-    return _sigmoid(_summary(texts, model.weights) @ model.curve[:-1] + model.curve[-1])
+    """In runs of texts of about CHUNK characters, so that memory follows the longest text and not the batch."""
+    out, a, size = np.empty(len(texts)), 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= CHUNK or i + 1 == len(texts):
+            out[a : i + 1] = _sigmoid(_summary(texts[a : i + 1], model.weights) @ model.curve[:-1] + model.curve[-1])
+            a, size = i + 1, 0
+    return out
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -299,13 +306,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts, out, a, size = b["t"].tolist(), np.empty(len(b)), 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size > 2 * CHUNK or i + 1 == len(texts):
-                    out[a : i + 1] = score_texts(texts[a : i + 1], held.value)
-                    a, size = i + 1, 0
-            yield pd.DataFrame({"k": b["k"], "score": out})
+            yield pd.DataFrame({"k": b["k"], "score": score_texts(b["t"].tolist(), held.value)})
 
     own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     return own.mapInPandas(run, f"k {dict(own.dtypes)['k']}, score double").withColumnRenamed("k", key)
