@@ -25,6 +25,8 @@ from .common import table
 
 #: Bounds of the training sample: documents (smallest hash first), and random strings of each alphabet.
 SAMPLE_DOCS, SAMPLE_RANDOM = 500, 2000
+#: Documents whose hash is low enough to be looked at, for each one that is taken.
+SPARE = 8
 #: A token is reported at this mean log-likelihood ratio per transition or more.
 LLR = 0.6
 KINDS = ("assign", "access", "hex", "markov")
@@ -82,8 +84,11 @@ def identifiers(texts: list[str]) -> list[str]:
 
 
 def train_ratio(docs: DataFrame, text: str = "text", key: str = "doc_id") -> np.ndarray:
-    """Log-likelihood ratio of each transition. The sample is SAMPLE_DOCS documents of at most 20,000 characters."""
-    own = docs.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("t")).where(F.length("t") <= 20_000)
+    """Log-likelihood ratio of each transition. The sample is SAMPLE_DOCS documents of at most 20,000 characters, smallest hash first.
+    A bound on the hash, from the number of documents, leaves about SPARE times as many, so that a task sends few texts however
+    many tasks there are; where nearly all documents are longer, the sample is smaller."""
+    low = min(2**63 - 1, -(2**63) + 2**64 * SPARE * SAMPLE_DOCS // max(1, docs.count()))
+    own = docs.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("t")).where((F.col("h") <= low) & (F.length("t") <= 20_000))
     sample = [r["t"] for r in own.orderBy("h", "t").limit(SAMPLE_DOCS).collect()]
     return _chain(random_strings(SAMPLE_RANDOM)) - _chain(identifiers(sample))
 
