@@ -296,7 +296,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     picked = [own.where(F.col("y") == v).distinct().orderBy(F.xxhash64(F.col("k").cast("string")), "k").limit(SAMPLE) for v in (0, 1)]
     picked = picked[0].union(picked[1])
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t").between(1, SAMPLE_CHARS))
-    sample = texts.join(F.broadcast(picked), "k").toPandas().sort_values(["k", "y", "t"])  # at most 2 * SAMPLE rows of labels
+    once = texts.join(F.broadcast(picked), "k").groupBy("k", "y").agg(F.min("t").alias("t"))  # an id in many rows counts once: at most 2 * SAMPLE rows
+    sample = once.toPandas().sort_values(["k", "y"])
     return fit(sample["t"].tolist(), sample["y"].tolist())
 
 
