@@ -198,7 +198,7 @@ def _witnesses(toxic: list[list[bytes]], clean: list[list[bytes]]) -> Counter:
         return (w, b"\xff" + w[:5], b"\xff" + w[:4]) if len(w) > 4 else (w,)
 
     bad, good = once(toxic), once(clean)
-    floor = max(2, len(bad) // 200)
+    floor = max(3, len(bad) // 50)  # fewer may be chance
     n_bad = Counter(k for d in bad for k in {k for w in d for k in keys(w)})
     n_bad = Counter({k: n for k, n in n_bad.items() if n >= floor})
     n_good = Counter(k for d in good for k in {k for w in d for k in keys(w)} & n_bad.keys())
