@@ -266,7 +266,9 @@ def test_plan_packs_all_and_swaps_for_two():
     assert packing.plan({60: 1, 30: 1, 21: 1, 19: 1}, 100)[0] == ([60, 21, 19], 1)
 
 
-def test_near_copies_against_all_pairs(spark, sf):
+@pytest.mark.parametrize("small", [16, 2])
+def test_near_copies_against_all_pairs(spark, sf, monkeypatch, small):
+    monkeypatch.setattr(near_dup, "SMALL", small)
     docs = texts(spark, sf)
     rng = random.Random(8)
     for i, (_, t) in enumerate(docs[:30]):
@@ -298,6 +300,38 @@ def test_near_copies_against_all_pairs(spark, sf):
     assert got[20_001] == got[20_000] == 20_000 and got[20_003] == 20_002
 
 
+def test_families_in_shared_bands(spark, monkeypatch):
+    """Texts of 8 families that have much in common, ids interleaved: large bands hold several classes, and each is found whole."""
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    rng = random.Random(11)
+    shared = [f"s{rng.randrange(10**6)}" for _ in range(160)]
+    families = [shared + [f"f{rng.randrange(10**6)}" for _ in range(90)] for _ in range(8)]
+    docs = []
+    for i in range(160):
+        words = list(families[i % 8])
+        words[rng.randrange(250)] = f"x{i}"
+        docs.append((i, " ".join(words)))
+    got = dict(map(tuple, near_dup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+    assert got == {i: i % 8 for i in range(160)}
+
+
+def test_agreeing_pairs_over_blocks():
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 256, (6, near_dup.HASHES), dtype=np.uint8)
+    sig = np.array([np.where(rng.random(near_dup.HASHES) < 0.9, base[i % 6], 0) for i in range(40)], np.uint8)
+    label = rng.integers(0, 12, 40)
+    rows = {"node": np.arange(40), "label": label, "sig": [x.tobytes() for x in sig]}
+    want = {(a, b) for a in range(40) for b in range(a) if label[a] != label[b] and (sig[a] == sig[b]).sum() >= near_dup.AGREE}
+    got, bests = set(), set()
+    for lo, hi in ((0, 0), (0, 1), (1, 1)):
+        own = np.arange(40) // 20
+        g = near_dup.pd.DataFrame({**rows, "own": own, "lo": lo, "hi": hi})[np.isin(own, [lo, hi])]
+        got |= {(a, b) for p in near_dup.agreeing(g, False) for a, b in p.itertuples(index=False)}
+        bests |= {(a, b) for p in near_dup.agreeing(g, True) for a, b in p.itertuples(index=False)}
+    assert got == want and bests <= want and bool(bests) == bool(want)
+
+
 def test_band_recall():
     rng = np.random.default_rng(3)
     rarity = near_dup.idf(np.ones(1 << near_dup.SKETCH, np.int64), 1000)
