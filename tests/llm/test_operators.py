@@ -303,7 +303,7 @@ def test_near_copies_against_all_pairs(spark, sf, monkeypatch, small):
 def test_families_in_shared_bands(spark, monkeypatch):
     """Texts of 8 families that have much in common, ids interleaved: large bands hold several classes, and each is found whole."""
     monkeypatch.setattr(near_dup, "SMALL", 2)
-    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "BLOCK", 40_000)
     rng = random.Random(11)
     shared = [f"s{rng.randrange(10**6)}" for _ in range(160)]
     families = [shared + [f"f{rng.randrange(10**6)}" for _ in range(90)] for _ in range(8)]
@@ -316,20 +316,34 @@ def test_families_in_shared_bands(spark, monkeypatch):
     assert got == {i: i % 8 for i in range(160)}
 
 
-def test_agreeing_pairs_over_blocks():
-    rng = np.random.default_rng(12)
-    base = rng.integers(0, 256, (6, near_dup.HASHES), dtype=np.uint8)
-    sig = np.array([np.where(rng.random(near_dup.HASHES) < 0.9, base[i % 6], 0) for i in range(40)], np.uint8)
-    label = rng.integers(0, 12, 40)
-    rows = {"node": np.arange(40), "label": label, "sig": [x.tobytes() for x in sig]}
-    want = {(a, b) for a in range(40) for b in range(a) if label[a] != label[b] and (sig[a] == sig[b]).sum() >= near_dup.AGREE}
-    got, bests = set(), set()
+def test_block_links_join_what_all_pairs_join():
+    """Blocks of a band find the components that all pairs of its nodes with different labels would give."""
+    rng = random.Random(12)
+    rarity = near_dup.idf(np.ones(1 << near_dup.SKETCH, np.int64), 1000)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(4)]
+    docs = []
+    for i in range(48):
+        words = list(base[i % 4])
+        for at in rng.sample(range(200), rng.randrange(8)):
+            words[at] = f"x{i}"
+        docs.append(" ".join(words))
+    made = [near_dup.signature(t, rarity) for t in docs]
+    bands = [[7, *b[1:]] for b, _ in made]  # all share the first band
+    weighed = [(h, near_dup.WEIGHT[near_dup.levels(h, n, rarity)]) for h, n in map(near_dup.shingles, docs)]
+
+    def parts(links):
+        out = list(range(48))
+        for a, b in links:
+            x, y = out[a], out[b]
+            out = [min(x, y) if v in (x, y) else v for v in out]
+        return out
+
+    want = parts([(a, b) for a in range(48) for b in range(a) if max(near_dup.similarity(weighed[a], weighed[b])) >= 0.8])
+    links = []
     for lo, hi in ((0, 0), (0, 1), (1, 1)):
-        own = np.arange(40) // 20
-        g = near_dup.pd.DataFrame({**rows, "own": own, "lo": lo, "hi": hi})[np.isin(own, [lo, hi])]
-        got |= {(a, b) for p in near_dup.agreeing(g, False) for a, b in p.itertuples(index=False)}
-        bests |= {(a, b) for p in near_dup.agreeing(g, True) for a, b in p.itertuples(index=False)}
-    assert got == want and bests <= want and bool(bests) == bool(want)
+        g = near_dup.pd.DataFrame({"band": 7, "node": range(48), "label": range(48), "sig": [x for _, x in made], "bands": bands, "text": docs, "own": [i // 24 for i in range(48)], "lo": lo, "hi": hi})
+        links += near_dup.block_links(g[g["own"].isin([lo, hi])], rarity)
+    assert parts(links) == want and len(links) < 48 * 3
 
 
 def test_band_recall():
