@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from .common import content_key, materialize, only_wanted, sorted_groups, table
 
 MIN_CHARS, GROUP = 20, 1024
-#: A document that keeps less than this share of its characters is a copy as a whole; see `drop_copies`.
-LEAST_KEPT = 0.5
 
 
 def budget(length: int) -> int:
@@ -199,9 +197,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     return own.select(*[F.col("_kept").alias(c) if c == text else F.col(c) for c in docs.columns], "_n_lines", "_n_exact", "_n_near", "_share")
 
 
-def drop_copies(deduped: DataFrame, least: float = LEAST_KEPT) -> DataFrame:
-    """Documents that lost lines and keep less than `least` of their characters go: the rest is the remainder of a copy."""
-    return deduped.where((F.col("_n_exact") + F.col("_n_near") == 0) | (F.col("_share") >= least))
+def drop_copies(deduped: DataFrame, text: str = "text") -> DataFrame:
+    """Documents that lost lines and of which no text stays go. All others keep what is left: it may be the only holder of a line."""
+    return deduped.where((F.col("_n_exact") + F.col("_n_near") == 0) | F.col(text).rlike(r"\S"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

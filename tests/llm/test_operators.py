@@ -183,6 +183,15 @@ def test_lines_against_all_pairs(spark, monkeypatch, group):
         assert got[k]["_n_exact"] + got[k]["_n_near"] == sum(1 for d, _ in gone if d == k)
 
 
+def test_each_line_stays_in_one_document(spark):
+    shared = [f"a passage on {s} that several documents share" for s in ("rivers and stones", "yellow paper", "cloudy windows at night", "the garden of a silent public house")]
+    docs = [(1, "\n".join(shared[:2])), (2, "\n".join([*shared[:3], "a line that only this document holds"])), (3, "\n".join(shared[2:])), (4, "\n".join(shared)), (5, shared[0] + "\nshort")]
+    kept = line_dedup.drop_copies(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")))
+    got = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert sorted(s for t in got.values() for s in t.split("\n")) == sorted({s for _, t in docs for s in t.split("\n")})
+    assert set(got) == {1, 2, 3, 5}
+
+
 def test_audio_round_trip(spark):
     rows = [(1, "héllo"), (2, None), (3, ""), (4, "x" * 576), (5, "words and more " * 30_000), (6, "héllo")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit(0))
