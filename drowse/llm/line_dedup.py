@@ -1,11 +1,15 @@
 """Near-duplicate lines by a segment-partition edit join.
 
 Lines of MIN_CHARS characters or more are compared; two are alike if their edit distance is at most `budget` of the shorter
-one (1 below 40 characters, else 2). A line is split into budget + 1 segments: two alike lines share a whole segment,
-shifted by no more than their edits allow. Each line leaves its segments' hashes (with length and number) and those of the
-substrings at which a shorter or equal line's segments can stand (multi-match-aware windows). Lines that share a hash are verified
-by a banded bit-parallel edit distance inside the group: pairs are never emitted, only a line that has an earlier alike. Groups
-beyond GROUP lines are worked as pairs of blocks.
+one (1 below 40 characters, 2 from there on, and a SHAREth of the characters from 3 * SHARE on). A line has budget + 1 segments of one
+size for all lengths of a budget: two alike lines share a whole segment, shifted by no more than their edits allow. Each line leaves
+its segments' hashes (with the budget) and those of the substrings at which a shorter or equal line's segments can stand; a line of LONG
+characters or more leaves the least hash in each run that alike lines must share. Lines that share a hash are verified by a
+bit-parallel edit distance inside the group: pairs are never emitted, only a line that has an earlier alike. Groups beyond GROUP lines
+are worked as pairs of blocks.
+
+Lines below MIN_CHARS characters are not compared, exact repeats of them neither: short lines such as brackets and headings recur in
+unlike documents.
 
 A line goes if an earlier one (by document id, then place) is equal or alike; so the first stays, and shorter lines always do.
 Each task leaves a line's hashes once however often it occurs, and exact repeats are counted by hash, so a line that fills a third of
@@ -16,6 +20,7 @@ are the same document and fare alike; a null id comes before others. Other colum
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,36 +30,71 @@ from pyspark.sql import functions as F
 
 from .common import content_key, materialize, only_wanted, sorted_groups, table
 
-MIN_CHARS, GROUP = 20, 1024
+MIN_CHARS, SHARE, GROUP = 20, 32, 1024
+#: From LONG characters on, lines leave the least piece of PIECE characters of each run of RUN.
+LONG, PIECE = 10 * SHARE, 20
+RUN = -(-(LONG - LONG // SHARE) // (LONG // SHARE + 1))
+PRIME = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def budget(length: int) -> int:
-    return 0 if length < MIN_CHARS else 1 if length < 2 * MIN_CHARS else 2
+    return 0 if length < MIN_CHARS else 1 if length < 2 * MIN_CHARS else max(2, length // SHARE)
 
 
-def segments(length: int, k: int) -> list[tuple[int, int]]:
-    """(start, size) of k even segments."""
-    size, more = divmod(length, k)
-    out, at = [], 0
-    for i in range(k):
-        n = size + (i >= k - more)
-        out.append((at, n))
-        at += n
-    return out
+def segments(length: int) -> tuple[int, int, int]:
+    """Budget and size of the budget + 1 segments from a line's beginning, and the least length with the same ones."""
+    k = budget(length)
+    least = MIN_CHARS if k == 1 else 2 * MIN_CHARS if k == 2 else SHARE * k
+    return k, least // (k + 1), least
+
+
+def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each substring of `size` characters: differences of prefix sums of a polynomial, moved to one power."""
+    if len(codes) >= len(_POWERS[0]):
+        _grow(len(codes) + 1)
+    up, down = _POWERS
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[: len(codes)], out=sums[1:])
+    h = (sums[size:] - sums[:-size]) * down[: len(codes) - size + 1]
+    return (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _grow(n: int) -> None:
+    n, base = 1 << n.bit_length(), 0xD6E8FEB86659FD93
+    _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (base, pow(base, -1, 2**64))]
+
+
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def line_keys(line: str) -> set[int]:
-    """Hashes of the line's own segments, and of its substrings where those of an alike line of at most its length can stand."""
-    n, out = len(line), set()
-    for short in range(max(MIN_CHARS, n - 2), n + 1):
-        t, gap = budget(short), n - short
-        if gap > t:
+@lru_cache(maxsize=64)
+def _places(k: int, size: int) -> np.ndarray:
+    """Where segments can stand in a line that is alike."""
+    i = np.arange(k + 1)
+    return np.unique(np.concatenate([np.arange(max(0, p - b), p + a + 1) for p, a, b in zip(i * size, i, np.minimum(i, k - i), strict=True)]))
+
+
+def line_keys(line: str) -> np.ndarray:
+    """Hashes of the line's own segments, and of its substrings where those of an alike line of at most its length can stand.
+
+    Of two alike lines, some segment i of the shorter one is whole and has exactly i edits before it, so at most k - i after it: it
+    stands in the longer one shifted by -min(i, k - i) to i. Two alike lines of LONG characters or more share a run of RUN characters (k
+    edits leave k + 1 runs), and with it the piece of the least hash in that run, so they leave those of all their runs."""
+    n, out = len(line), []
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) * PRIME
+    codes ^= codes >> np.uint64(29)
+    short = n
+    while short >= MIN_CHARS and n - short <= budget(short):
+        if short >= LONG:
+            h = _hashes(codes, PIECE)
+            out.append(np.unique(np.lib.stride_tricks.sliding_window_view(h, RUN - PIECE + 1).min(axis=1)))
+            short = LONG - 1
             continue
-        for i, (p, size) in enumerate(segments(short, t + 1)):
-            for at in range(max(p - i, p + gap - (t - i)), min(p + i, p + gap + (t - i)) + 1):
-                if 0 <= at <= n - size:
-                    out.add(xxhash.xxh64_intdigest(f"{short}:{i}:{line[at : at + size]}") - 2**63)
-    return out
+        k, size, least = segments(short)
+        short = least - 1
+        at = _places(k, size)
+        out.append(_hashes(codes, size)[at[at <= n - size]] + np.uint64(k))
+    return (np.unique(np.concatenate(out)) if len(out) > 1 else out[0]).view(np.int64)
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -71,6 +111,8 @@ def within(a: str, b: str, k: int) -> bool:
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
+    if k > 3:
+        return _distance(places, len(a), b, k) <= k
     full = (1 << (2 * k + 1)) - 1
     rows = [((1 << (d + 1)) - 1) << k & full for d in range(k + 1)]
     for j, c in enumerate(b):
@@ -85,6 +127,22 @@ def within(a: str, b: str, k: int) -> bool:
     return bool(rows[k] >> (len(a) - len(b) + k) & 1)
 
 
+def _distance(places: dict[str, int], n: int, b: str, k: int) -> int:
+    """Edit distance, or some number beyond k if it is, of b and the text of n characters at `places`, all rows of a column at once (bits of rises and falls)."""
+    full, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, out = full, 0, n
+    for left, c in zip(range(len(b), 0, -1), b, strict=True):
+        if out - left > k:
+            break
+        m = places.get(c, 0)
+        x = (((m & up) + up) ^ up) | m | down
+        rise, fall = down | (full & ~(x | up)), up & x
+        out += bool(rise & last) - bool(fall & last)
+        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        up, down = fall | (full & ~(x | rise)), rise & x
+    return out
+
+
 def _common(a: str, b: str, tail: bool) -> int:
     """Length of the common beginning or end."""
     lo, hi = 0, min(len(a), len(b))
@@ -99,7 +157,7 @@ def _common(a: str, b: str, tail: bool) -> int:
 
 def _counts(lines: list[str]) -> np.ndarray:
     """Characters of each line, counted in 32 classes: an edit changes at most two counts by one."""
-    out = np.zeros((len(lines), 32), np.int16)
+    out = np.zeros((len(lines), 32), np.int32)
     for i, s in enumerate(lines):
         out[i] = np.bincount(np.frombuffer(s.encode("utf-32-le"), "<u4") % 32, minlength=32)
     return out
@@ -110,15 +168,15 @@ def has_earlier(group: pd.DataFrame) -> list[bool]:
     group_lines, order = group["line"].tolist(), np.lexsort((group["pos"], group["doc"].fillna(-(2**63)).astype("int64")))
     sizes, own, cross = np.array([len(x) for x in group_lines]), group["own"].to_numpy(), group["lo"].iloc[0] != group["hi"].iloc[0]
     counts = _counts(group_lines) if len(group) > 4 else None
-    out = [False] * len(group)
+    out, edits = [False] * len(group), np.array([budget(n) for n in sizes.tolist()])
     for r in range(1, len(order)):
         j, before = order[r], order[:r]
-        near = before[np.abs(sizes[before] - sizes[j]) <= 2]
+        near = before[np.abs(sizes[before] - sizes[j]) <= np.minimum(edits[before], edits[j])]
         if cross:
             near = near[own[near] != own[j]]
         if counts is not None and len(near):
-            near = near[np.abs(counts[near] - counts[j]).sum(1) <= 4]
-        out[j] = any(group_lines[i] != group_lines[j] and within(group_lines[i], group_lines[j], budget(min(sizes[i], sizes[j]))) for i in near)
+            near = near[np.abs(counts[near] - counts[j]).sum(1) <= 2 * np.minimum(edits[near], edits[j])]
+        out[j] = any(group_lines[i] != group_lines[j] and within(group_lines[i], group_lines[j], int(min(edits[i], edits[j]))) for i in near.tolist())
     return out
 
 
@@ -129,7 +187,7 @@ def line_hashes(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def shared_keys(docs: DataFrame, text: str) -> DataFrame:
-    """key, h1 of lines that share a segment with a different line."""
+    """key, h1 of lines that share a segment with a different line; of keys that the same lines share, one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -142,13 +200,16 @@ def shared_keys(docs: DataFrame, text: str) -> DataFrame:
                         if h not in seen:
                             seen.add(h)
                             mine = line_keys(line)
-                            keys += mine
-                            names += [h - 2**64 if h >= 2**63 else h] * len(mine)
-            yield pd.DataFrame({"key": np.array(keys, np.int64), "h1": np.array(names, np.int64)})
+                            keys.append(mine)
+                            names.append(h - 2**64 if h >= 2**63 else h)
+            yield pd.DataFrame({"key": np.concatenate([np.empty(0, np.int64), *keys]), "h1": np.repeat(np.array(names, np.int64), [len(x) for x in keys])})
 
     keys = docs.select(F.col(text).alias("t")).mapInPandas(run, "key long, h1 long")
     w = Window.partitionBy("key")
-    return keys.withColumns({"a": F.min("h1").over(w), "z": F.max("h1").over(w)}).where("a <> z").select("key", "h1").distinct()
+    some = keys.withColumns({"a": F.min("h1").over(w), "z": F.max("h1").over(w)}).where("a <> z").select("key", "h1").distinct()
+    some = materialize(some, "all-shared-segments")
+    sets = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h1").alias("x"), F.bit_xor(F.xxhash64("h1", F.lit(1))).alias("y"))
+    return some.join(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
 
 
 def judge(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -183,6 +183,23 @@ def test_lines_against_all_pairs(spark, monkeypatch, group):
         assert got[k]["_n_exact"] + got[k]["_n_near"] == sum(1 for d, _ in gone if d == k)
 
 
+def test_long_lines_share_a_key_within_a_32nd():
+    rng = random.Random(5)
+    for n in (30, 60, 130, 267, 267, 267, 510, 515, 1030):
+        for _ in range(20):
+            s = [rng.choice("abcdefghij ") for _ in range(n)]
+            a = "".join(s)
+            for _ in range(n // 32 or 1):
+                at = rng.randrange(len(s))
+                s[at : at + 1] = rng.choice(["", "x", "xy"])
+            b = "".join(s)
+            d = distance(a, b)
+            assert line_dedup.within(a, b, d) and (a == b or not line_dedup.within(a, b, d - 1))
+            if min(len(a), len(b)) >= 20 and d <= max(min(len(a), len(b)) // 32, 1):
+                assert line_dedup.budget(min(len(a), len(b))) >= d
+                assert set(line_dedup.line_keys(a).tolist()) & set(line_dedup.line_keys(b).tolist())
+
+
 def test_each_line_stays_in_one_document(spark):
     shared = [f"a passage on {s} that several documents share" for s in ("rivers and stones", "yellow paper", "cloudy windows at night", "the garden of a silent public house")]
     docs = [(1, "\n".join(shared[:2])), (2, "\n".join([*shared[:3], "a line that only this document holds"])), (3, "\n".join(shared[2:])), (4, "\n".join(shared)), (5, shared[0] + "\nshort")]
