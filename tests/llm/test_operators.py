@@ -372,6 +372,28 @@ def test_block_links_join_what_all_pairs_join():
     assert parts(links) == want and len(links) < 48 * 3
 
 
+def test_weights_of_repeated_shingles_are_not_clipped(monkeypatch):
+    rarity = near_dup.idf(np.ones(1 << near_dup.SKETCH, np.int64), 1000)
+    h = np.arange(120, dtype=np.uint64) * near_dup.PRIMES[0]
+    sides = [np.r_[0:60, 60:90], np.r_[0:60, 90:120]]
+    counts = np.r_[np.full(60, 100), np.ones(30)].astype(np.int64)
+    weights = [rarity[(h[i] >> np.uint64(64 - near_dup.SKETCH)).astype(np.int64)] * (1 + np.log2(counts)) for i in sides]
+    shared = weights[0][:60].sum()
+    stated = shared / (weights[0].sum() + weights[1].sum() - shared)
+    made = [tuple(x[np.argsort(h[i])] for x in (h[i], near_dup.WEIGHT[near_dup.levels(h[i], counts, rarity)])) for i in sides]
+    assert stated > 0.85 and abs(near_dup.similarity(*made)[0] - stated) < 0.02
+    assert near_dup.levels(h[:1], np.array([2**31 - 1]), rarity)[0] < near_dup.LEVELS
+    rng = np.random.default_rng(1)
+    j, slot, turn = rng.integers(0, 12, 3000), rng.integers(0, near_dup.SLOTS, 3000), rng.integers(0, near_dup.HASHES, 3000)
+    plain = near_dup.least_samples(j, slot, turn)
+    monkeypatch.setattr(near_dup, "TABLED", 12)
+    near_dup._samples.cache_clear()
+    try:
+        assert (near_dup.least_samples(j, slot, turn) == plain).all()
+    finally:
+        near_dup._samples.cache_clear()
+
+
 def test_band_recall():
     rng = np.random.default_rng(3)
     rarity = near_dup.idf(np.ones(1 << near_dup.SKETCH, np.int64), 1000)
