@@ -394,6 +394,34 @@ def test_weights_of_repeated_shingles_are_not_clipped(monkeypatch):
         near_dup._samples.cache_clear()
 
 
+def test_plain_links_survive_bands_and_blocks():
+    """Common shingles shared, rare repeated ones changed: plain 0.8, weighted far below; each pair links in a large band too."""
+    df = np.full(1 << near_dup.SKETCH, 1)
+    lost = met = 0
+    for k in range(60):
+        rng = np.random.default_rng(k)
+        shared = rng.integers(0, 2**63, 88, dtype=np.uint64)
+        df_k = df.copy()
+        df_k[(shared >> np.uint64(64 - near_dup.SKETCH)).astype(np.int64)] = 1000
+        rarity = near_dup.idf(df_k, 1000)
+        own = [rng.integers(0, 2**63, 11, dtype=np.uint64) for _ in range(2)]
+        made, sides = [], []
+        for x in own:
+            h = np.r_[shared, x]
+            n = np.r_[np.ones(88, np.int64), np.full(11, 6)][np.argsort(h)]
+            sides.append((np.sort(h), n))
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(near_dup, "shingles", lambda t: sides[int(t)])
+            made = [near_dup.signature(str(i), rarity) for i in range(2)]
+            weighed = [(h, near_dup.WEIGHT[near_dup.levels(h, n, rarity)]) for h, n in sides]
+            w, plain = near_dup.similarity(*weighed)
+            assert plain >= 0.8 and w < 0.6
+            met += bool((made[0][0] == made[1][0]).any())
+            g = near_dup.pd.DataFrame({"band": 7, "node": range(2), "label": range(2), "sig": [x for _, x in made], "bands": [[7], [7]], "text": ["0", "1"], "own": 0, "lo": 0, "hi": 0})
+            lost += near_dup.block_links(g, rarity) != [(1, 0)]
+    assert lost == 0 and met == 60
+
+
 def test_band_recall():
     rng = np.random.default_rng(3)
     rarity = near_dup.idf(np.ones(1 << near_dup.SKETCH, np.int64), 1000)
