@@ -2,7 +2,9 @@
 
 Documents fall into cells of source, language and topic. Token weights of the cells are scaled to each margin's targets in turn,
 SWEEPS times; each scaling is a sum over a window, so one plan of linear size holds all sweeps. A document's factor
-is its cell's weight over its cell's tokens; it is sampled with probability min(1, RATE * factor), by a hash of its id.
+is its cell's weight over its cell's tokens; `mix`, and the query with its SQL, sample it with probability min(1, RATE * factor), by a
+hash of its id. That falls short of the raked shares where the cut at 1 takes hold. `resample`, the pipeline's stage, repeats documents
+instead: as often as the factor says, with what is left of it as a chance by the same hash.
 
 Targets are shares of the total by value; without any, the tempered shares tokens ** TEMPERATURE. Nulls in a dimension are a value of
 their own, ''. A null or empty text has no tokens and counts as one. A repeated row is weighted as often as it occurs and sampled
@@ -53,15 +55,32 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps:
     return out.select(*[f"_{d}" for d in DIMENSIONS], (F.col("w") / F.col("tokens")).alias("factor"))
 
 
+def with_factors(docs: DataFrame, targets: dict[str, DataFrame] | None, text: str) -> tuple[DataFrame, float]:
+    """docs with _source, _lang, _topic, _tokens and _factor, and the mean factor of a document."""
+    own, cell = with_cells(docs, text), [f"_{d}" for d in DIMENSIONS]
+    cells = materialize(own.groupBy(*cell).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "cells")
+    raked = materialize(rake(cells, targets), "raked-cells").withColumnRenamed("factor", "_factor")
+    mean = raked.join(cells, cell).agg(F.sum(F.col("_factor") * F.col("docs")) / F.sum("docs")).first()[0] if not cells.isEmpty() else None
+    return own.join(raked, cell), mean or 1.0  # the raked table's size is known: broadcast while small, else adaptive
+
+
+def chance(key: str) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 2**32
+
+
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, text: str = "text", key: str = "doc_id", rate: float = RATE) -> DataFrame:
     """docs with _source, _lang, _topic, _tokens, _factor, _prob and _sampled."""
-    own = with_cells(docs, text)
-    cells = materialize(own.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens")), "cells")
-    raked = materialize(rake(cells, targets), "raked-cells").withColumnRenamed("factor", "_factor")
-    own = own.join(raked, [f"_{d}" for d in DIMENSIONS])  # the raked table's size is known: broadcast while small, else adaptive
-    chance = F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 2**32
-    own = own.withColumn("_prob", F.least(F.lit(1.0), F.col("_factor") * rate))
-    return own.withColumn("_sampled", (chance < F.col("_prob")).cast("int"))
+    own = with_factors(docs, targets, text)[0].withColumn("_prob", F.least(F.lit(1.0), F.col("_factor") * rate))
+    return own.withColumn("_sampled", (chance(key) < F.col("_prob")).cast("int"))
+
+
+def resample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, text: str = "text", key: str = "doc_id", rate: float = RATE) -> DataFrame:
+    """docs with _source, _lang, _topic, _tokens, _factor and _expected copies, each row as often as it is drawn. The expected copies are
+    in proportion to the factors, so the sample's expected token shares are the raked ones; they sum to `rate` of the rows."""
+    own, mean = with_factors(docs, targets, text)
+    own = own.withColumn("_expected", F.col("_factor") * (rate / mean))
+    copies = F.floor("_expected") + (chance(key) < F.col("_expected") - F.floor("_expected")).cast("int")
+    return own.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).drop("_copy")
 
 
 def op7_raking(spark: SparkSession, sf_dir: str) -> DataFrame:

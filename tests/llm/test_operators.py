@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from drowse.llm import audio_features, catalog, line_dedup, mixing, near_dup, packing, secret_scan, topk, toxicity, warc
 
 WORDS = "the of under license version apache mit cc by nc gnu general public stone river cloud paper garden window yellow silent".split()
@@ -255,6 +256,22 @@ def test_raking_meets_the_targets(spark, sf):
         assert abs(r["w"] / total - {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}[r["_lang"]]) < 0.02
 
 
+def test_the_sample_has_the_raked_mix(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("part", F.explode(F.array(*map(F.lit, range(20)))))
+    docs = docs.withColumn("doc_id", F.col("doc_id") * 20 + F.col("part")).drop("part")
+    cells = mixing.with_cells(docs).groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens")).toPandas()
+    every = mixing.mix(docs).toPandas()
+    _, mean = mixing.with_factors(docs, None, "text")
+    every["expected"] = every["_factor"] * every["_tokens"] * mixing.RATE / mean
+    drawn = mixing.with_cells(corpus_pipeline.mix_sources(spark, docs, sf)).select("_source", "_lang", "_topic", "_tokens").toPandas()
+    assert abs(len(drawn) - mixing.RATE * len(every)) < 0.05 * len(every)
+    for d in ("_source", "_lang", "_topic"):
+        target = cells.groupby(d)["tokens"].sum() ** mixing.TEMPERATURE
+        target /= target.sum()
+        assert (every.groupby(d)["expected"].sum() / every["expected"].sum() - target).abs().max() < 0.01
+        assert (drawn.groupby(d)["_tokens"].sum() / drawn["_tokens"].sum() - target).abs().max() < 0.05
+
+
 def test_packing(spark, sf):
     exact, _ = packing._encoders("byte_bpe_50k.json")
     docs = [*texts(spark, sf), (-1, None), (-2, ""), (-3, "a b " * 5000), (-3, "a b " * 5000), (-4, "x <|endoftext|> y")]
