@@ -1,12 +1,13 @@
-"""What the corpus operators share: reading tables, the shared folder, sorted group streams, hashed row keys."""
+"""What the corpus operators share: reading tables, the shared folder, row keys that stay exact, sorted group streams."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets a temporary one;
+    on a cluster that would be another folder on each machine, so it is an error there."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -30,7 +34,40 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `materialize` that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def map_texts(docs: DataFrame, key: str, text: str, start: Callable[[], Callable[[list[str | None]], tuple[list[int] | None, list[pa.Array]]]], fields: dict[str, str]) -> DataFrame:
+    """`key` and the columns `fields` (name -> type). Each task calls `start` for a function that makes columns of a batch of texts: (row of
+    each result, or None for one each, and the columns). The key never becomes a Python value: it passes as Arrow, so any id stays exact, beside nulls too."""
+    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = start()
+        for b in batches:
+            rows, columns = fn(b.column(1).to_pylist())
+            k = b.column(0) if rows is None else b.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([k, *columns], names)
+
+    names = ["k", *fields]
+    schema = ", ".join(f"{n} {kind}" for n, kind in fields.items())
+    return own.mapInArrow(run, f"k {dict(own.dtypes)['k']}, {schema}").withColumnRenamed("k", key)
+
+
+def renamed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, text and content hashes h1, h2 of each row under names of our own, so no column of the input can clash. Rows are the same
+    document only if both id and text are."""
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *content_key(text))
 
 
 def content_key(col: str | Column) -> list[Column]:

@@ -6,8 +6,9 @@ bin greedily with the longest pieces that fit, then replace its smallest piece b
 gap best, and repeat that bin as often as the counts allow. Pieces are then numbered within their length, without a global sort:
 a number within the task, plus the count of the tasks before it. Number and plan give each piece its sequence and offset.
 
-A null or empty text is one piece holding the end id alone. Repeated rows are packed as often as they occur. Other columns are
-ignored. An empty table gives an empty result.
+A null or empty text is one piece holding the end id alone. A very long text is encoded in one call and leaves a piece for each
+`capacity` ids. Pieces of one length are alike to the plan: which of them gets which place follows the order of tasks. Ids, null or not,
+pass unchanged; repeated rows are packed as often as they occur. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import map_texts, materialize, table
 
 CAPACITY, END = 2048, 0
 #: A text with this string goes to the tokenizers library itself, which reads it as one id.
@@ -60,19 +61,25 @@ def cut(ids: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
 def pieces_of(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """key, piece, start, length, ids_crc32, and task and number: the piece's number among those of its length in its task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         task, seen = TaskContext.get().partitionId(), Counter()
-        for b in batches:
-            rows = []
-            for k, t in zip(b["k"], b["t"], strict=True):
-                for i, (start, length, crc) in enumerate(cut(token_ids(t or "", vocabulary), capacity)):
-                    rows.append((k, i, start, length, crc, task, seen[length]))
+
+        def run(texts: list[str | None]) -> tuple[list[int], list[pa.Array]]:
+            rows, out = [], []
+            for r, t in enumerate(texts):
+                for i, (begin, length, crc) in enumerate(cut(token_ids(t or "", vocabulary), capacity)):
+                    rows.append(r)
+                    out.append((i, begin, length, crc, task, seen[length]))
                     seen[length] += 1
-            yield pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32", "task", "number"]).astype({"k": b["k"].dtype} if rows else {})
+            columns = zip(*out, strict=True) if out else [[]] * len(KINDS)
+            return rows, [pa.array(c, kind) for c, kind in zip(columns, KINDS, strict=True)]
+
+        return run
+
+    return map_texts(docs, key, text, start, {"piece": "int", "start": "long", "length": "long", "ids_crc32": "long", "task": "int", "number": "long"})
+
 
-    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    kind = dict(own.dtypes)["k"]
-    return own.mapInPandas(run, f"k {kind}, piece int, start long, length long, ids_crc32 long, task int, number long").withColumnRenamed("k", key)
+KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -139,19 +146,20 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int
     offsets = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     numbered = cuts.join(offsets, ["task", "length"]).select(F.col(key).alias("k"), "piece", "start", "length", "ids_crc32", (F.col("number") + F.col("before")).alias("number"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sequence, offset = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            lengths, numbers = b["length"].to_numpy(), b["number"].to_numpy()
+            lengths, numbers = b.column("length").to_numpy(), b.column("number").to_numpy()
+            sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
             for length in np.unique(lengths):
                 mine = lengths == length
                 first, seq, at = where.value[int(length)]
                 slot = np.searchsorted(first, numbers[mine], side="right") - 1
                 sequence[mine], offset[mine] = seq[slot] + numbers[mine] - first[slot], at[slot]
-            yield b.drop(columns="number").assign(sequence_id=sequence, offset=offset)
+            own = [b.column(c) for c in ("k", "piece", "start", "length", "ids_crc32")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sequence), pa.array(offset)], ["k", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = dict(numbered.dtypes)["k"]
-    return numbered.mapInPandas(run, f"k {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("k", key)
+    return numbered.mapInArrow(run, f"k {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("k", key)
 
 
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
