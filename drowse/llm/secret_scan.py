@@ -2,11 +2,13 @@
 
 The models are first-order chains over the characters of tokens: one of random strings, one of ordinary identifiers. Labelled
 samples train them: random strings are digests in three alphabets, ordinary ones are words and compound identifiers of a bounded
-sample of documents. A token of 20 characters or more whose mean ratio is above the threshold, and which has a digit and a
-letter, is a span of kind `markov` unless it overlaps a span of the fixed patterns.
+sample of documents, without what the fixed patterns find there. A token of LEAST characters or more is a span of kind `markov` if
+its transitions' log-likelihood ratio sums to EVIDENCE or more, unless it overlaps a span of the fixed patterns. The sum is the
+odds for random against ordinary, so a longer token needs less of each character; no rule on digits or letters stands beside it.
 
-A null text counts as empty: no spans, the digest of the empty string. Repeated rows give repeated rows; other columns are
-ignored. Offsets are code points, end exclusive.
+A null or empty text has no spans and the digest of the empty string; an empty table gives an empty result. A text is scanned whole,
+in one pass for each pattern, whatever its length. Equal texts give equal spans, spans that start together are in the order of KINDS.
+Repeated rows give repeated rows; other columns are ignored. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -14,21 +16,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 #: Bounds of the training sample: documents (smallest hash first), and random strings of each alphabet.
 SAMPLE_DOCS, SAMPLE_RANDOM = 500, 2000
 #: Documents whose hash is low enough to be looked at, for each one that is taken.
 SPARE = 8
-#: A token is reported at this mean log-likelihood ratio per transition or more.
-LLR = 0.6
+#: A token of LEAST characters is reported at this log-likelihood ratio, in nats, or more: odds of about nine million to one, as
+#: ordinary tokens are that much more frequent.
+LEAST, EVIDENCE = 16, 16.0
 KINDS = ("assign", "access", "hex", "markov")
 
 # The patterns
@@ -36,7 +38,7 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 WORD = re.compile(r"[A-Za-z]{3,}")
 KEYWORDS = ("passw", "secret", "token", "api")
 ALPHABET = 65
@@ -89,11 +91,12 @@ def train_ratio(docs: DataFrame, text: str = "text", key: str = "doc_id") -> np.
     many tasks there are; where nearly all documents are longer, the sample is smaller."""
     low = min(2**63 - 1, -(2**63) + 2**64 * SPARE * SAMPLE_DOCS // max(1, docs.count()))
     own = docs.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("t")).where((F.col("h") <= low) & (F.length("t") <= 20_000))
-    sample = [r["t"] for r in own.orderBy("h", "t").limit(SAMPLE_DOCS).collect()]
+    sample = [without(r["t"], base_spans(r["t"])) for r in own.orderBy("h", "t").limit(SAMPLE_DOCS).collect()]
     return _chain(random_strings(SAMPLE_RANDOM)) - _chain(identifiers(sample))
 
 
-def spans(text: str, ratio: np.ndarray) -> list[tuple[int, int, str]]:
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """What the fixed patterns find, leftmost and without overlaps within a kind."""
     found = []
     low = text.lower()
     if any(k in low for k in KEYWORDS):
@@ -105,14 +108,31 @@ def spans(text: str, ratio: np.ndarray) -> list[tuple[int, int, str]]:
                 found.append((m.start(), v.end(), "assign"))
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
-    found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    taken = list(found)
+    return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+
+
+def without(text: str, found: list[tuple[int, int, str]]) -> str:
+    out, at = [], 0
+    for a, z, _ in sorted(found):
+        out.append(text[at:a])
+        at = max(at, z)
+    return " ".join([*out, text[at:]])
+
+
+def evidence(token: str, ratio: np.ndarray) -> float:
+    """Log-likelihood ratio of random against ordinary."""
+    c = CODES[np.frombuffer(token.encode("ascii"), np.uint8)]
+    return float(ratio[c[:-1], c[1:]].sum())
+
+
+def spans(text: str, ratio: np.ndarray) -> list[tuple[int, int, str]]:
+    found = base_spans(text)
+    taken, i = sorted(found), 0
+    reach = np.maximum.accumulate([z for _, z, _ in taken]) if taken else []  # ends so far: spans of two kinds may nest
     for m in TOKEN.finditer(text):
-        s = m.group()
-        if s.isalpha() or not any(c.isalpha() for c in s) or any(a < m.end() and m.start() < b for a, b, _ in taken):
-            continue
-        c = CODES[np.frombuffer(s.encode("ascii"), np.uint8)]
-        if any("0" <= x <= "9" for x in s) and ratio[c[:-1], c[1:]].mean() >= LLR:
+        while i < len(taken) and taken[i][0] < m.end():
+            i += 1
+        if (i == 0 or reach[i - 1] <= m.start()) and evidence(m.group(), ratio) >= EVIDENCE:
             found.append((m.start(), m.end(), "markov"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -121,13 +141,12 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", ratio
     """key, and spans: array of (start, end, kind), in order."""
     model = train_ratio(docs, text, key) if ratio is None else ratio
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"k": b["k"], "spans": [[{"start": a, "end": z, "kind": k} for a, z, k in spans(t or "", model)] for t in b["t"]]})
+    def run(texts: list[str | None]) -> tuple[None, list[pa.Array]]:
+        found = [[{"start": a, "end": z, "kind": k} for a, z, k in spans(t or "", model)] for t in texts]
+        return None, [pa.array(found, kind)]
 
-    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    kind = dict(own.dtypes)["k"]
-    return own.mapInPandas(run, f"k {kind}, spans array<struct<start: long, end: long, kind: string>>").withColumnRenamed("k", key)
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+    return map_texts(docs, key, text, lambda: run, {"spans": "array<struct<start: long, end: long, kind: string>>"})
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
