@@ -1,13 +1,15 @@
 """Media column of 8-bit audio, and its features: polyphase resampling, overlapped log-mel frames, hysteresis segments.
 
-Payload bytes become the samples of a mono 8-bit PCM wave file, unchanged. From the file read back: samples are resampled from
-RATE to RATE * UP / DOWN by a windowed-sinc filter split into its polyphase branches, cut into overlapping frames, and turned
-into log-mel energies. A segment starts where frame energy reaches a high level and lasts until it drops below a low one.
-Tensors of the fixed shape (FRAMES, MELS) with their time span hold the frames; `tensor_column` makes an Arrow
-fixed-shape tensor array of them.
-
-A null text counts as empty: the payload is one unit of padding. Long texts are worked in blocks of frames. Equal texts give equal
-values, and repeated rows repeated rows; other columns are ignored.
+Payload bytes become the samples of a mono 8-bit PCM wave file, unchanged, and are written to the shared folder. From the files read
+back: samples are resampled from RATE to RATE * UP / DOWN by a windowed-sinc filter, of whose UP branches each makes every UP-th
+output and no other value is computed; the result is cut into overlapping frames and turned into log-mel energies, in steps of
+1 / STEPS. Each document's frames are stored as tensors of the fixed shape (FRAMES, MELS), with the time span of each; `tensor_column` is
+their Arrow fixed-shape tensor array. The feature is made of the tensors read back. A segment starts where frame energy reaches a high
+level and lasts until it drops below a low one.
+
+A null text counts as empty: the payload is one unit of padding. Long texts are worked in blocks of frames; a very long one is one row, so
+memory follows the longest text. Equal texts give equal values whatever rows are beside them, and repeated rows repeated rows. Ids,
+null or not, pass unchanged; other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,16 +21,16 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, materialize, table
 
 UNIT, PAD = 576, b"\xff"
-RATE, UP, DOWN, TAPS = 16_000, 1, 2, 24
-FRAME, HOP, FFT, MELS, FRAMES = 200, 80, 256, 24, 64
+RATE, UP, DOWN, TAPS = 16_000, 2, 3, 24
+FRAME, HOP, FFT, MELS, FRAMES, STEPS = 256, 128, 256, 24, 8, 64
+FLOOR = 1e-6
 BLOCK = 4096  # frames worked at a time
 
 
@@ -59,14 +61,17 @@ def low_pass(up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
 
 
 def resample(x: np.ndarray, start: int, stop: int, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """Outputs start..stop of x resampled by up/down: output m is branch (m * down) % up of the filter at input m * down // up."""
-    h, m = low_pass(up, down), np.arange(start, stop)
-    at, y = m * down // up, np.empty(stop - start, np.float32)
-    lo, hi = max(0, int(at[0]) - TAPS), int(at[-1]) + 1
-    part = x[lo:hi]
+    """Outputs start..stop of x resampled by up/down: output m is branch (m * down) % up of the filter at input m * down // up. The
+    outputs of a branch are `down` inputs apart."""
+    h, y = low_pass(up, down), np.empty(stop - start, np.float32)
+    padded = np.concatenate([np.zeros(TAPS - 1, np.float32), x, np.zeros(TAPS, np.float32)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, TAPS)  # row i ends at input i
     for p in range(up):
-        mine = (m * down) % up == p
-        y[mine] = np.convolve(part, h[p::up])[at[mine] - lo]
+        first = (p - start) % up
+        n = len(range(first, stop - start, up))
+        if n:
+            at = (start + first) * down // up
+            y[first::up] = windows[at : at + (n - 1) * down + 1 : down] @ h[(start + first) * down % up :: up][::-1]
     return y
 
 
@@ -92,8 +97,8 @@ def log_mel(samples: np.ndarray) -> np.ndarray:
         y = resample(x, a * HOP, (b - 1) * HOP + FRAME)
         cut = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP] * WINDOW
         spectrum = np.fft.rfft(cut, FFT, axis=1)
-        out[a:b] = np.log((spectrum.real**2 + spectrum.imag**2) @ FILTERS + 1e-6)
-    return out
+        out[a:b] = np.log((spectrum.real**2 + spectrum.imag**2) @ FILTERS + FLOOR)
+    return np.rint(out * STEPS) / STEPS
 
 
 def segments(mel: np.ndarray) -> list[tuple[int, int]]:
@@ -110,60 +115,77 @@ def segments(mel: np.ndarray) -> list[tuple[int, int]]:
 def media_column(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_bytes, media: the wave file of each text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made = [payload_of(t) for t in b["t"]]
-            yield pd.DataFrame({"k": b["k"], "n_bytes": [n for n, _ in made], "media": [to_wave(p) for _, p in made]})
+    def run(texts: list[str | None]) -> tuple[None, list[pa.Array]]:
+        made = [payload_of(t) for t in texts]
+        return None, [pa.array([n for n, _ in made], pa.int64()), pa.array([to_wave(p) for _, p in made], pa.binary())]
+
+    return map_texts(docs, key, text, lambda: run, {"n_bytes": "long", "media": "binary"})
+
+
+FACTS = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string"}
+TENSORS = {"n_frames": "long", "start_s": "array<double>", "end_s": "array<double>", "tensors": "array<array<float>>"}
+
 
-    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return own.mapInPandas(run, f"k {dict(own.dtypes)['k']}, n_bytes long, media binary").withColumnRenamed("k", key)
+def facts(media: bytes) -> tuple:
+    payload = from_wave(media)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest()
 
 
 def tensors(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, part, start_s, end_s, tensor: the log-mel frames in pieces of FRAMES x MELS values, the last one padded with its floor."""
+    """key, n_bytes, FACTS, and the log-mel frames: n_frames, and start_s, end_s and values of each tensor. The last one is filled up with
+    the floor."""
+    step, kinds = HOP * DOWN / (RATE * UP), [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = HOP * DOWN / (RATE * UP)
+    def of(m: bytes) -> tuple:
+        mel = log_mel(np.frombuffer(from_wave(m), np.uint8))
+        full = np.concatenate([mel, np.full((-len(mel) % FRAMES, MELS), np.rint(np.log(FLOOR) * STEPS) / STEPS, np.float32)])
+        edges = [*range(0, len(mel), FRAMES), len(mel)]
+        return len(mel), [a * step for a in edges[:-1]], [b * step for b in edges[1:]], full
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, m in zip(b["k"], b["media"], strict=True):
-                mel = log_mel(np.frombuffer(from_wave(m), np.uint8))
-                full = np.concatenate([mel, np.full((-len(mel) % FRAMES, MELS), np.log(1e-6), np.float32)])
-                n = len(full) // FRAMES
-                yield pd.DataFrame({"k": [k] * n, "part": range(n), "start_s": [i * FRAMES * step for i in range(n)], "end_s": [min(len(mel), (i + 1) * FRAMES) * step for i in range(n)], "tensor": list(full.reshape(n, FRAMES * MELS))})
+            media_ = b.column("media").to_pylist()
+            told, made = [facts(m) for m in media_], [of(m) for m in media_]
+            columns = [pa.array([t[i] for t in told], kind) for i, kind in enumerate(kinds)]
+            columns += [pa.array([x[0] for x in made], pa.int64()), *[pa.array([x[i] for x in made], pa.list_(pa.float64())) for i in (1, 2)]]
+            values = np.concatenate([np.empty((0, MELS), np.float32), *[x[3] for x in made]]).astype(np.float32)
+            each = tensor_column(pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), FRAMES * MELS))
+            ends = np.cumsum([0, *[len(x[1]) for x in made]])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each.storage.cast(pa.list_(pa.float32()))))
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("n_bytes"), *columns], ["k", "n_bytes", *FACTS, *TENSORS])
 
-    own = media.select(F.col(key).alias("k"), "media")
-    return own.mapInPandas(run, f"k {dict(own.dtypes)['k']}, part int, start_s double, end_s double, tensor array<float>").withColumnRenamed("k", key)
+    own = media.select(F.col(key).alias("k"), "n_bytes", "media")
+    schema = ", ".join(f"{c} {kind}" for c, kind in ({"k": dict(own.dtypes)["k"], "n_bytes": "long"} | FACTS | TENSORS).items())
+    return own.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
-def tensor_column(values: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """An Arrow fixed-shape tensor array over the lists of `tensors`."""
-    flat = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+def tensor_column(values: pa.Array) -> pa.FixedShapeTensorArray:
+    """An Arrow fixed-shape tensor array over lists of FRAMES * MELS values; any other length is an error."""
     kind = pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS])
-    return pa.ExtensionArray.from_storage(kind, flat.cast(kind.storage_type))
+    return pa.ExtensionArray.from_storage(kind, values.cast(kind.storage_type))
 
 
-def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n_bytes and figures of the file read back. feature: frames, segments, frames in segments, mean log-mel in hundredths."""
+def features(stored: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, n_bytes, FACTS and feature, from the tensors of `tensors`: frames, segments, frames in segments, mean log-mel in hundredths."""
 
-    def one(m: bytes) -> tuple:
-        payload = from_wave(m)
-        mel = log_mel(np.frombuffer(payload, np.uint8))
+    def told(mel: np.ndarray) -> str:
         spans = segments(mel)
         means = ",".join(str(round(float(v) * 100)) for v in mel.mean(axis=0, dtype=np.float64))
-        told = f"{len(mel)}:{len(spans)}:{sum(b - a for a, b in spans)}:{means}"
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), told
+        return f"{len(mel)}:{len(spans)}:{sum(b - a for a, b in spans)}:{means}"
 
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = pd.DataFrame([one(m) for m in b["media"]], columns=names)
-            yield pd.concat([b[["k", "n_bytes"]].reset_index(drop=True), out], axis=1)
+            lists, n = b.column("tensors"), b.column("n_frames").to_pylist()
+            mel = tensor_column(lists.flatten()).to_numpy_ndarray().reshape(-1, MELS)
+            starts = np.cumsum([0, *[-(-x // FRAMES) * FRAMES for x in n]])
+            out = pa.array([told(mel[a : a + x]) for a, x in zip(starts, n, strict=False)], pa.string())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("k", "n_bytes", *FACTS)], out], ["k", "n_bytes", *FACTS, "feature"])
 
-    own = media.select(F.col(key).alias("k"), "n_bytes", "media")
-    kind = dict(own.dtypes)["k"]
-    return own.mapInPandas(run, f"k {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("k", key)
+    own = stored.select(F.col(key).alias("k"), "n_bytes", *FACTS, "n_frames", "tensors")
+    schema = ", ".join(f"{c} {kind}" for c, kind in ({"k": dict(own.dtypes)["k"], "n_bytes": "long"} | FACTS | {"feature": "string"}).items())
+    return own.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(media_column(table(spark, sf_dir, "documents")))
+    media = materialize(media_column(table(spark, sf_dir, "documents")), "media")
+    return features(materialize(tensors(media), "tensors"))
