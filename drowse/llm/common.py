@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,23 +71,55 @@ def renamed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *content_key(text))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or as many underscores behind it as it takes to be no column of `df`."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def content_key(col: str | Column) -> list[Column]:
     """Two independent 64-bit hashes of a text: 128 bits name a text without moving it."""
     c = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
     return [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit("second"), c).alias("h2")]
 
 
-#: Buckets of `only_wanted`: at most so many numbers are broadcast.
-WANTED_BUCKETS = 1 << 20
+#: Bits of a `bitmap`: 8 MB whatever the number of keys.
+BITS, BITS_A_CHUNK = 1 << 26, 1 << 16
+
+
+def bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """A bit for each of BITS hash slots that a key of the table falls in. A key without its bit is surely not in the table, so rows that
+    nobody wants need not be shuffled; the fuller the bitmap, the fewer it spares, and an exact join always follows."""
+    slots = keys.select(F.pmod(F.col(key), F.lit(BITS)).cast("long").alias("slot")).distinct().withColumn("chunk", F.floor(F.col("slot") / BITS_A_CHUNK).cast("int"))
+
+    def build(of: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(BITS_A_CHUNK, np.uint8)
+        bits[p["slot"].to_numpy() % BITS_A_CHUNK] = 1
+        return pd.DataFrame({"chunk": [of[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    out = np.zeros((BITS // BITS_A_CHUNK, BITS_A_CHUNK // 8), np.uint8)
+    for r in slots.groupBy("chunk").applyInPandas(build, "chunk int, bits binary").collect():  # at most BITS / BITS_A_CHUNK rows
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which 64-bit keys have their bit."""
+    slot = (keys.view(np.uint64) & np.uint64(BITS - 1)).astype(np.int64)
+    return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def only_wanted(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Rows of `df` whose key is in `wanted`. Rows in no bucket of a wanted key's hash go first, by a broadcast of bucket numbers
-    that is bounded whatever the number of keys, so large rows that nobody wants are not shuffled; an exact semi-join follows."""
-    bucket = lambda: F.pmod(F.xxhash64(key), F.lit(WANTED_BUCKETS)).cast("int")
-    buckets = wanted.select(bucket().alias("_bucket")).distinct()
-    near = df.withColumn("_bucket", bucket()).join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket")
-    return near.join(wanted, key, "left_semi")
+    """Rows of `df` whose 64-bit key is in `wanted`: first by the bitmap of wanted keys, without a shuffle, then by an exact semi-join."""
+    bits = df.sparkSession.sparkContext.broadcast(bitmap(wanted, key))
+
+    @F.pandas_udf("boolean")
+    def has(k: pd.Series) -> pd.Series:
+        return pd.Series(marked(bits.value, k.to_numpy(np.int64)))
+
+    return df.where(has(F.col(key))).join(wanted, key, "left_semi")
 
 
 def sorted_groups(batches: Iterable[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:

@@ -1,158 +1,160 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Lines of MIN_CHARS characters or more are compared; two are alike if their edit distance is at most `budget` of the shorter
-one (1 below 40 characters, 2 from there on, and a SHAREth of the characters from 3 * SHARE on). A line has budget + 1 segments of one
-size for all lengths of a budget: two alike lines share a whole segment, shifted by no more than their edits allow. Each line leaves
-its segments' hashes (with the budget) and those of the substrings at which a shorter or equal line's segments can stand; a line of LONG
-characters or more leaves the least hash in each run that alike lines must share. Lines that share a hash are verified by a
-bit-parallel edit distance inside the group: pairs are never emitted, only a line that has an earlier alike. Groups beyond GROUP lines
-are worked as pairs of blocks.
-
-Lines below MIN_CHARS characters are not compared, exact repeats of them neither: short lines such as brackets and headings recur in
-unlike documents.
-
-A line goes if an earlier one (by document id, then place) is equal or alike; so the first stays, and shorter lines always do.
-Each task leaves a line's hashes once however often it occurs, and exact repeats are counted by hash, so a line that fills a third of
-the corpus is no hot key. A null text has no lines and stays null; an empty one has one empty line. Rows that repeat a document id
-are the same document and fare alike; a null id comes before others. Other columns pass through.
+Lines with a letter or a digit are compared, whatever their length; two are alike if they are equal or if their edit distance is at most
+the budget of the shorter one: no edit below LEAST characters, one below 2 * LEAST, then 2 or a SHAREth of the characters, MOST at most. A
+line has budget + 1 segments of one size for all lengths of a budget, so two alike lines share a whole segment, shifted by no more than
+their edits allow. Each line leaves the hashes of its segments (with the budget) and of its substrings at which a shorter or equal
+line's segments can stand. Lines that share a hash are verified on their whole length by a banded bit-parallel edit distance, many pairs
+at once inside the group: pairs are never emitted, only a line that has an earlier alike.
+
+Hot segments: keys that one line alone has are found by an aggregate, which combines before the shuffle. A group of more than GROUP lines
+is first split by length, since alike lines differ by MOST characters at most, and what is still larger is worked as pairs of blocks.
+
+A line goes if an earlier one is equal or alike; earlier is by document id (null first), then by text hash, then by place. So the first
+stays, and its shorter or longer forms too if they have no earlier alike. Each task leaves a line's hashes once however often it
+occurs, and exact repeats are counted by hash, so a line that fills a third of the corpus is no hot key. Lines without a letter or a
+digit (empty ones, rules, brackets) always stay.
+
+A null text has no lines and stays null; an empty one has one empty line, which stays. Rows that repeat both id and text are the same
+document and fare alike; rows that share an id but not a text are two documents. A very long text is as many rows as it has lines; a
+very long line is one row. An empty table gives an empty result. All columns of the input pass, under any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_key, materialize, only_wanted, sorted_groups, table
+from .common import bitmap, content_key, marked, materialize, only_wanted, renamed, sorted_groups, table
 
-MIN_CHARS, SHARE, GROUP = 20, 32, 1024
-#: From LONG characters on, lines leave the least piece of PIECE characters of each run of RUN.
-LONG, PIECE = 10 * SHARE, 20
-RUN = -(-(LONG - LONG // SHARE) // (LONG // SHARE + 1))
+#: The budget: LEAST characters for one edit, one for each SHARE characters from 2 * LEAST on, MOST at most.
+LEAST, SHARE, MOST = 20, 40, 6
+GROUP = 1024  # lines of a block
+RUN = 1 << 20  # characters hashed at a time
+PAIRS = 4096  # pairs verified at a time
 PRIME = np.uint64(0xC2B2AE3D27D4EB4F)
+DOC = ["id", "t1", "t2"]
 
 
 def budget(length: int) -> int:
-    return 0 if length < MIN_CHARS else 1 if length < 2 * MIN_CHARS else max(2, length // SHARE)
+    return 0 if length < LEAST else 1 if length < 2 * LEAST else min(MOST, max(2, length // SHARE))
 
 
-def segments(length: int) -> tuple[int, int, int]:
-    """Budget and size of the budget + 1 segments from a line's beginning, and the least length with the same ones."""
-    k = budget(length)
-    least = MIN_CHARS if k == 1 else 2 * MIN_CHARS if k == 2 else SHARE * k
-    return k, least // (k + 1), least
+def classes() -> list[tuple[int, int, int]]:
+    """Budget, and the least and greatest length that have it."""
+    least = {1: LEAST, 2: 2 * LEAST} | {k: SHARE * k for k in range(3, MOST + 1)}
+    return [(k, n, least.get(k + 1, 1 << 62) - 1) for k, n in least.items()]
 
 
-def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each substring of `size` characters: differences of prefix sums of a polynomial, moved to one power."""
-    if len(codes) >= len(_POWERS[0]):
-        _grow(len(codes) + 1)
-    up, down = _POWERS
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * up[: len(codes)], out=sums[1:])
-    h = (sums[size:] - sums[:-size]) * down[: len(codes) - size + 1]
-    return (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
-
+@lru_cache(maxsize=64)
+def _places(k: int, size: int) -> np.ndarray:
+    """Where segments can stand in a line that is alike.
 
-def _grow(n: int) -> None:
-    n, base = 1 << n.bit_length(), 0xD6E8FEB86659FD93
-    _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (base, pow(base, -1, 2**64))]
+    Of two alike lines, some segment i of the shorter one is whole and has exactly i edits before it, so at most k - i after it: it
+    stands in the longer one shifted by -min(i, k - i) to i."""
+    i = np.arange(k + 1)
+    return np.unique(np.concatenate([np.arange(max(0, p - b), p + a + 1) for p, a, b in zip(i * size, i, np.minimum(i, k - i), strict=True)]))
 
 
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-@lru_cache(maxsize=64)
-def _places(k: int, size: int) -> np.ndarray:
-    """Where segments can stand in a line that is alike."""
-    i = np.arange(k + 1)
-    return np.unique(np.concatenate([np.arange(max(0, p - b), p + a + 1) for p, a, b in zip(i * size, i, np.minimum(i, k - i), strict=True)]))
-
+def _grow(n: int) -> None:
+    n, base = 1 << n.bit_length(), 0xD6E8FEB86659FD93
+    _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (base, pow(base, -1, 2**64))]
 
-def line_keys(line: str) -> np.ndarray:
-    """Hashes of the line's own segments, and of its substrings where those of an alike line of at most its length can stand.
 
-    Of two alike lines, some segment i of the shorter one is whole and has exactly i edits before it, so at most k - i after it: it
-    stands in the longer one shifted by -min(i, k - i) to i. Two alike lines of LONG characters or more share a run of RUN characters (k
-    edits leave k + 1 runs), and with it the piece of the least hash in that run, so they leave those of all their runs."""
-    n, out = len(line), []
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) * PRIME
+def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of segments and of substrings that may be those of an alike line, and the number of the line of each."""
+    lengths = np.array([len(x) for x in lines], np.int64)
+    offsets = np.cumsum(lengths) - lengths
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) * PRIME
     codes ^= codes >> np.uint64(29)
-    short = n
-    while short >= MIN_CHARS and n - short <= budget(short):
-        if short >= LONG:
-            h = _hashes(codes, PIECE)
-            out.append(np.unique(np.lib.stride_tricks.sliding_window_view(h, RUN - PIECE + 1).min(axis=1)))
-            short = LONG - 1
+    if len(codes) >= len(_POWERS[0]):
+        _grow(len(codes) + 1)
+    up, down = _POWERS
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[: len(codes)], out=sums[1:])
+    keys, names = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k, least, greatest in classes():
+        size = least // (k + 1)
+        mine = np.flatnonzero((lengths >= least) & (lengths - k <= greatest))
+        if not len(mine):
             continue
-        k, size, least = segments(short)
-        short = least - 1
         at = _places(k, size)
-        out.append(_hashes(codes, size)[at[at <= n - size]] + np.uint64(k))
-    return (np.unique(np.concatenate(out)) if len(out) > 1 else out[0]).view(np.int64)
-
-
-def within(a: str, b: str, k: int) -> bool:
-    """Whether the edit distance is at most k. Bit t of row d: with d edits, j characters of b can match j + t - k of a; the band
-    of 2k + 1 diagonals moves along with j. Equal ends are cut off first."""
-    if abs(len(a) - len(b)) > k:
-        return False
-    n = _common(a, b, False)
-    a, b = a[n:], b[n:]
-    n = _common(a, b, True)
-    a, b = a[: len(a) - n], b[: len(b) - n]
-    if not a or not b:
-        return True
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    if k > 3:
-        return _distance(places, len(a), b, k) <= k
-    full = (1 << (2 * k + 1)) - 1
-    rows = [((1 << (d + 1)) - 1) << k & full for d in range(k + 1)]
-    for j, c in enumerate(b):
-        m = places.get(c, 0)
-        same = (m >> (j - k) if j >= k else m << (k - j)) & full
-        new = [rows[0] & same]
-        for d in range(1, k + 1):
-            new.append((rows[d] & same | rows[d - 1] >> 1 | rows[d - 1] | new[d - 1] << 1) & full)
-        rows = new
-        if not rows[k]:
-            return False
-    return bool(rows[k] >> (len(a) - len(b) + k) & 1)
-
-
-def _distance(places: dict[str, int], n: int, b: str, k: int) -> int:
-    """Edit distance, or some number beyond k if it is, of b and the text of n characters at `places`, all rows of a column at once (bits of rises and falls)."""
-    full, last = (1 << n) - 1, 1 << (n - 1)
-    up, down, out = full, 0, n
-    for left, c in zip(range(len(b), 0, -1), b, strict=True):
-        if out - left > k:
-            break
-        m = places.get(c, 0)
-        x = (((m & up) + up) ^ up) | m | down
-        rise, fall = down | (full & ~(x | up)), up & x
-        out += bool(rise & last) - bool(fall & last)
-        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
-        up, down = fall | (full & ~(x | rise)), rise & x
+        ok = at[None, :] <= lengths[mine, None] - size
+        where = (offsets[mine, None] + at[None, :])[ok]
+        h = (sums[where + size] - sums[where]) * down[where]  # prefix sums of a polynomial, moved to one power
+        h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
+        keys.append((h ^ h >> np.uint64(29)).view(np.int64))
+        names.append(np.repeat(mine, ok.sum(1)))
+    return np.concatenate(keys), np.concatenate(names)
+
+
+def within(a: list[str], b: list[str], edits: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair is at most its `edits`. Bit t of a column's vectors is the cell on diagonal t - k of a band of
+    2k + 1 diagonals; they hold where values rise and fall along the column, and all pairs take a column at a time."""
+    out = np.zeros(len(a), bool)
+    n, m = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    order = np.argsort(m, kind="stable")
+    for part in (order[i : i + PAIRS] for i in range(0, len(order), PAIRS)):
+        part = part[np.abs(n[part] - m[part]) <= edits[part]]
+        if len(part):
+            cut = [_trimmed(a[i], b[i]) for i in part]
+            out[part] = _banded([x for x, _ in cut], [y for _, y in cut], edits[part].astype(np.int64))
     return out
 
 
-def _common(a: str, b: str, tail: bool) -> int:
-    """Length of the common beginning or end."""
-    lo, hi = 0, min(len(a), len(b))
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        if (a[len(a) - mid :] == b[len(b) - mid :]) if tail else (a[:mid] == b[:mid]):
-            lo = mid
-        else:
-            hi = mid - 1
-    return lo
+def _grid(lines: list[str], width: int, fill: int) -> np.ndarray:
+    out = np.full((len(lines), width), fill, np.uint32)
+    for i, x in enumerate(lines):
+        out[i, : len(x)] = np.frombuffer(x.encode("utf-32-le"), "<u4")
+    return out
+
+
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """Without their common beginning and end."""
+    n = len(commonprefix((a, b)))
+    a, b = a[n:][::-1], b[n:][::-1]
+    n = len(commonprefix((a, b)))
+    return a[n:], b[n:]
+
+
+def _banded(a: list[str], b: list[str], edits: np.ndarray) -> np.ndarray:
+    k = int(edits.max())
+    n, m = (np.array([len(x) + k for x in side], np.int64) for side in (a, b))  # both begin with k equal characters, so the band starts inside the table
+    pad, start = np.full((len(a), k), 0xFFFFFFFF, np.uint32), np.full((len(a), k), 0xFFFFFFFE, np.uint32)
+    x = np.concatenate([pad, start, _grid(a, int(max(n.max(), m.max())) + k, 0xFFFFFFFF)], axis=1)
+    y = np.concatenate([start, _grid(b, int(m.max()) - k, 0xFFFFFFFD)], axis=1)
+    bits, one = np.uint64(1) << np.arange(2 * k + 1, dtype=np.uint64), np.uint64(1)
+    full = np.uint64((1 << (2 * k + 1)) - 1)
+    up, down = np.full(len(a), full >> np.uint64(k) << np.uint64(k), np.uint64), np.zeros(len(a), np.uint64)
+    distance, out, live = np.full(len(a), k, np.int64), np.zeros(len(a), bool), np.arange(len(a))
+    for j in range(y.shape[1]):
+        same = ((x[:, j : j + 2 * k + 1] == y[:, j, None]) * bits).sum(1, dtype=np.uint64)
+        diagonal = ((((same & up) + up) ^ up) | same | down) & full
+        right, left = down | (~(diagonal | up) & full), diagonal & up
+        # the distance follows the band's lowest diagonal down to the last row, then that row
+        sinking = j + k < n
+        bit = np.clip(n - 1 - j + k, 0, 2 * k).astype(np.uint64)
+        distance += np.where(sinking, 1 - (diagonal >> np.uint64(2 * k)).astype(np.int64), (right >> bit & one).astype(np.int64) - (left >> bit & one).astype(np.int64))
+        up, down = (left | ~((diagonal >> one) | right)) & full, (diagonal >> one) & right
+        ended = m == j + 1
+        out[live[ended]] = distance[ended] <= edits[ended]
+        if ended.any() or j % 16 == 15:
+            stay = ~ended & (distance - np.where(sinking, m - n + k, m - j - 1) <= edits)
+            live, x, y, n, m, edits, distance, up, down = (v[stay] for v in (live, x, y, n, m, edits, distance, up, down))
+            if not len(live):
+                break
+    return out
 
 
 def _counts(lines: list[str]) -> np.ndarray:
@@ -163,106 +165,155 @@ def _counts(lines: list[str]) -> np.ndarray:
     return out
 
 
-def has_earlier(group: pd.DataFrame) -> list[bool]:
-    """Whether each line of a group (doc, pos, line, own) has an earlier alike in it; in a pair of blocks, in the other block."""
-    group_lines, order = group["line"].tolist(), np.lexsort((group["pos"], group["doc"].fillna(-(2**63)).astype("int64")))
-    sizes, own, cross = np.array([len(x) for x in group_lines]), group["own"].to_numpy(), group["lo"].iloc[0] != group["hi"].iloc[0]
-    counts = _counts(group_lines) if len(group) > 4 else None
-    out, edits = [False] * len(group), np.array([budget(n) for n in sizes.tolist()])
+def has_earlier(group: pd.DataFrame) -> np.ndarray:
+    """Whether each line of a group (rank columns, line, part) has an earlier alike in it; in a pair of blocks, in the other block."""
+    lines, part, cross = group["line"].tolist(), group["part"].to_numpy(), group["lo"].iloc[0] != group["hi"].iloc[0]
+    by = list(zip(group["has_id"], group["id"], group["t1"], group["t2"], group["pos"], strict=True))
+    order = np.array(sorted(range(len(by)), key=by.__getitem__))
+    sizes = np.array([len(x) for x in lines])
+    edits = np.array([budget(n) for n in sizes.tolist()])
+    counts, out = _counts(lines), np.zeros(len(lines), bool)
+    pairs_a, pairs_b, held = [], [], 0
+
+    def settle() -> None:
+        """The most alike by counts first; a line with an earlier alike needs no other."""
+        nonlocal held
+        left = [(a, b) for a, b in zip(pairs_a, pairs_b, strict=True)]
+        pairs_a.clear()
+        pairs_b.clear()
+        held, tries = 0, 4
+        while left:
+            now_a = np.repeat([a for a, _ in left], [min(tries, len(b)) for _, b in left])
+            now_b = np.concatenate([b[:tries] for _, b in left])
+            hit = within([lines[i] for i in now_b], [lines[i] for i in now_a], np.minimum(edits[now_a], edits[now_b]))
+            out[now_a[hit]] = True
+            left = [(a, b[tries:]) for a, b in left if not out[a] and len(b) > tries]
+            tries *= 4
+
     for r in range(1, len(order)):
         j, before = order[r], order[:r]
         near = before[np.abs(sizes[before] - sizes[j]) <= np.minimum(edits[before], edits[j])]
         if cross:
-            near = near[own[near] != own[j]]
-        if counts is not None and len(near):
-            near = near[np.abs(counts[near] - counts[j]).sum(1) <= 2 * np.minimum(edits[near], edits[j])]
-        out[j] = any(group_lines[i] != group_lines[j] and within(group_lines[i], group_lines[j], int(min(edits[i], edits[j]))) for i in near.tolist())
+            near = near[part[near] != part[j]]
+        if len(near):
+            apart = np.abs(counts[near] - counts[j]).sum(1)
+            fits = apart <= 2 * np.minimum(edits[near], edits[j])
+            near = near[fits][np.argsort(apart[fits], kind="stable")]
+        if len(near):
+            pairs_a.append(j)
+            pairs_b.append(near)
+            held += len(near)
+            if held >= 4 * PAIRS:
+                settle()
+    settle()
     return out
 
 
-def line_hashes(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """doc, pos, line, h1, h2 of each line that is compared."""
-    rows = docs.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    return rows.where(F.length("line") >= MIN_CHARS).select("doc", "pos", "line", *content_key("line"))
+def compared(line: Column) -> Column:
+    return line.rlike(r"[\p{L}\p{N}]")
+
+
+def line_hashes(docs: DataFrame) -> DataFrame:
+    """id, t1, t2, pos, line, h1, h2 of each line that is compared; docs as `renamed`."""
+    rows = docs.select("id", F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return rows.where(compared(F.col("line"))).select("id", "t1", "t2", "pos", "line", *content_key("line"))
 
 
-def shared_keys(docs: DataFrame, text: str) -> DataFrame:
-    """key, h1 of lines that share a segment with a different line; of keys that the same lines share, one."""
+def all_keys(docs: DataFrame, bits=None) -> DataFrame:
+    """key and h1 of the lines, each line once a task; with `bits`, only keys that have their bit."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            keys, names = [], []
-            for t in b["t"]:
+            lines, names = [], []
+            for t in b.column(0).to_pylist():
                 for line in (t or "").split("\n"):
-                    if len(line) >= MIN_CHARS:
-                        h = xxhash.xxh64_intdigest(line.encode(), 42)  # Spark's xxhash64
-                        if h not in seen:
-                            seen.add(h)
-                            mine = line_keys(line)
-                            keys.append(mine)
-                            names.append(h - 2**64 if h >= 2**63 else h)
-            yield pd.DataFrame({"key": np.concatenate([np.empty(0, np.int64), *keys]), "h1": np.repeat(np.array(names, np.int64), [len(x) for x in keys])})
-
-    keys = docs.select(F.col(text).alias("t")).mapInPandas(run, "key long, h1 long")
-    w = Window.partitionBy("key")
-    some = keys.withColumns({"a": F.min("h1").over(w), "z": F.max("h1").over(w)}).where("a <> z").select("key", "h1").distinct()
-    some = materialize(some, "all-shared-segments")
+                    if len(line) >= LEAST and (h := xxhash.xxh64_intdigest(line.encode(), 42)) not in seen:  # Spark's xxhash64
+                        seen.add(h)
+                        lines.append(line)
+                        names.append(h)
+            hashes, ends = np.array(names, np.uint64).view(np.int64), np.cumsum([0, *map(len, lines)])
+            at = 0
+            while at < len(lines):  # runs of RUN characters, or of one line
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + RUN, side="right")) - 1)
+                keys, owner = line_keys(lines[at:to])
+                if bits is not None:
+                    kept = marked(bits.value, keys)
+                    keys, owner = keys[kept], owner[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes[at:to][owner])], ["key", "h1"])
+                at = to
+
+    return docs.select("text").mapInArrow(run, "key long, h1 long")
+
+
+def shared_keys(docs: DataFrame) -> DataFrame:
+    """key, h1 and n of the n lines that share a segment; of keys that the same lines share, one."""
+    twice = all_keys(docs).groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select("key")
+    twice = materialize(twice, "keys-twice")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(twice, "key"))
+    some = materialize(all_keys(docs, bits).distinct().join(twice, "key", "left_semi"), "shared-segments")
     sets = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h1").alias("x"), F.bit_xor(F.xxhash64("h1", F.lit(1))).alias("y"))
-    return some.join(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
-
-
-def judge(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc, exact and near: places of the lines that go, for documents that lose any."""
-    lines = line_hashes(docs, text, key)
-    shared = materialize(shared_keys(docs, text), "shared-segments")
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = materialize(firsts.select("h1", "h2", "first.doc", "first.pos", "n"), "first-lines")
+    return some.join(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "key")
+
+
+def groups(shared: DataFrame, texts: DataFrame) -> DataFrame:
+    """key, cell, lo, hi (blocks), part and the line's columns: all lines of a key, or of a hot one those of two neighbouring cells of
+    lengths, in pairs of blocks. A line of a hot key is in its own cell's group and in that of the cell below it."""
+    cell = F.floor(F.length("line") / (MOST + 1)).cast("int")
+    rows = shared.join(texts, "h1").withColumn("own", F.when(F.col("n") > GROUP, cell).otherwise(0))
+    rows = rows.withColumn("cell", F.explode(F.when((F.col("n") > GROUP) & (F.col("own") > 0), F.array("own", F.col("own") - 1)).otherwise(F.array("own"))))
+    sizes = rows.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("size"))
+    rows = rows.join(sizes.where("size > 1"), ["key", "cell"])
+    parts = F.ceil(F.col("size") / GROUP)
+    rows = rows.withColumns({"part": F.pmod(F.xxhash64("h2"), parts).cast("int"), "other": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))})
+    return rows.withColumns({"lo": F.least("part", F.col("other").cast("int")), "hi": F.greatest("part", F.col("other").cast("int"))}).drop("other", "size", "n", "own")
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """id, t1, t2, exact and near: places of the lines that go, for documents that lose any; docs as `renamed`."""
+    lines = line_hashes(docs)
+    shared = materialize(shared_keys(docs), "shared-once")
+    place = F.struct(F.col("id").isNotNull().alias("has_id"), "id", "t1", "t2", "pos")
+    firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
+    firsts = materialize(firsts, "first-lines")
     wanted = materialize(shared.select("h1").distinct(), "shared-lines")
     texts = only_wanted(lines.select("h1", "h2", "line"), wanted, "h1").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    texts = materialize(texts.join(firsts, ["h1", "h2"]).select("h1", "h2", "line", "doc", "pos"), "shared-texts")
-
-    w = Window.partitionBy("key")
-    blocks = shared.withColumns({"own": F.floor((F.row_number().over(w.orderBy("h1")) - 1) / GROUP).cast("int"), "parts": F.ceil(F.count(F.lit(1)).over(w) / GROUP).cast("int")})
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = blocks.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "h1").join(texts, "h1")
-    group = ["key", "lo", "hi"]
+    none = F.lit("0").cast(dict(docs.dtypes)["id"])
+    texts = texts.join(firsts, ["h1", "h2"]).select("h1", "h2", "line", "first.has_id", F.coalesce("first.id", none).alias("id"), "first.t1", "first.t2", "first.pos")
+    group = ["key", "cell", "lo", "hi"]
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in sorted_groups(batches, group):
             hit = has_earlier(g)
-            if any(hit):
+            if hit.any():
                 yield g[hit][["h1", "h2"]]
 
-    near = blocks.repartition(*group).sortWithinPartitions(*group).mapInPandas(verify, "h1 long, h2 long").distinct().withColumn("near", F.lit(True))
-    verdicts = firsts.join(near, ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("near"))
-    verdicts = materialize(verdicts.select("h1", "h2", F.col("doc").alias("first_doc"), F.col("pos").alias("first_pos"), F.coalesce("near", F.lit(False)).alias("near")), "line-verdicts")
-    gone = lines.select("doc", "pos", "h1", "h2").join(verdicts, ["h1", "h2"])
-    again = ~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos")))
-    gone = gone.where(F.col("near") | again).groupBy("doc", "pos").agg(F.max(~again & F.col("near")).alias("near"))
-    return gone.groupBy("doc").agg(F.collect_list(F.when(~F.col("near"), F.col("pos"))).alias("exact"), F.collect_list(F.when(F.col("near"), F.col("pos"))).alias("near"))
-
-
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with the text of the lines that stay, _n_lines, _n_exact and _n_near (lines that went), and _share of characters that stay."""
-    gone = judge(docs, text, key).withColumnsRenamed({"doc": "_doc", "exact": "_exact", "near": "_near"})
-    own = docs.withColumn("_n_lines", F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long"))
-    own = own.withColumn("_n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.col("_n_lines")))
-    own = own.join(gone, F.col(key).eqNullSafe(F.col("_doc")), "left")
-    lost = F.coalesce(F.concat("_exact", "_near"), F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(lost, i)), "\n")
-    own = own.withColumn("_kept", F.when(F.col("_doc").isNull() | (F.size(lost) == 0), F.col(text)).otherwise(kept))
-    counts = {"_n_exact": F.coalesce(F.size("_exact"), F.lit(0)).cast("long"), "_n_near": F.coalesce(F.size("_near"), F.lit(0)).cast("long")}
-    counts = {k: F.when(F.col("_doc").isNull() & F.col("_exact").isNull(), F.lit(0).cast("long")).otherwise(v) for k, v in counts.items()}
-    own = own.withColumns(counts).withColumn("_share", F.coalesce(F.length("_kept") / F.greatest(F.length(text), F.lit(1)), F.lit(1.0)))
-    return own.select(*[F.col("_kept").alias(c) if c == text else F.col(c) for c in docs.columns], "_n_lines", "_n_exact", "_n_near", "_share")
-
-
-def drop_copies(deduped: DataFrame, text: str = "text") -> DataFrame:
-    """Documents that lost lines and of which no text stays go. All others keep what is left: it may be the only holder of a line."""
-    return deduped.where((F.col("_n_exact") + F.col("_n_near") == 0) | F.col(text).rlike(r"\S"))
+    pairs = groups(shared, materialize(texts, "shared-texts"))
+    near = pairs.repartition(*group).sortWithinPartitions(*group).mapInPandas(verify, "h1 long, h2 long").distinct().withColumn("near", F.lit(True))
+    verdicts = firsts.join(near, ["h1", "h2"], "left").where((F.col("times") > 1) | F.col("near"))
+    verdicts = materialize(verdicts.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-verdicts")
+    gone = lines.drop("line").join(verdicts, ["h1", "h2"]).withColumn("again", ~place.eqNullSafe(F.col("first"))).where("near OR again")
+    gone = gone.groupBy("id", "t1", "t2", "pos").agg(F.max(~F.col("again") & F.col("near")).alias("near"))  # equal rows are one document
+    return gone.groupBy("id", "t1", "t2").agg(F.collect_list(F.when(~F.col("near"), F.col("pos"))).alias("exact"), F.collect_list(F.when(F.col("near"), F.col("pos"))).alias("near"))
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", report: str | None = None) -> DataFrame:
+    """docs with the text of the lines that stay; report: name of one more column, a struct of n_lines, n_exact and n_near (lines that went)."""
+    gone = materialize(judge(renamed(docs, key, text)), "gone-lines").select(F.col("id").alias("gone_id"), *DOC[1:], "exact", "near")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("id"), *[c.alias(n) for c, n in zip(content_key(text), DOC[1:], strict=True)])
+    gone = gone.withColumnsRenamed({"t1": "g1", "t2": "g2"})
+    own = own.join(gone, (F.col("t1") == F.col("g1")) & (F.col("t2") == F.col("g2")) & F.col("id").eqNullSafe(F.col("gone_id")), "left")
+    lines = F.split(F.col("row")[text], "\n", -1)
+    lost = F.concat("exact", "near")
+    # kept places by a set difference, so that a text of a million lines costs as many steps
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+    kept = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+    new = F.when(F.size(lost) > 0, kept).otherwise(F.col("row")[text])
+    count = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    told = F.struct(F.when(F.col("row")[text].isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), count("exact").alias("n_exact"), count("near").alias("n_near"))
+    return own.select(*[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns], *([told.alias(report)] if report else []))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_exact").alias("n_exact"), F.col("_n_near").alias("n_near"), (F.col("_n_lines") - F.col("_n_exact") - F.col("_n_near")).alias("n_kept"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), report="lines")
+    return out.select("doc_id", "lines.*", (F.col("lines.n_lines") - F.col("lines.n_exact") - F.col("lines.n_near")).alias("n_kept"))

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -148,66 +149,110 @@ def distance(a, b):
 
 def test_banded_distance():
     rng = random.Random(2)
+    pairs = []
     for _ in range(3000):
-        a = "".join(rng.choice("abc") for _ in range(rng.randrange(12)))
+        a = "".join(rng.choice("abcé") for _ in range(rng.randrange(40)))
         b = list(a)
-        for _ in range(rng.randrange(4)):
+        for _ in range(rng.randrange(9)):
             at = rng.randrange(len(b) + 1)
-            b[at : at + rng.randrange(2)] = rng.choice(["", "a", "d"])
-        b = "".join(b)
-        for k in (1, 2):
-            assert line_dedup.within(a, b, k) == (distance(a, b) <= k)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "a", "dd"])
+        pairs.append((a, "".join(b)))
+    exact = np.array([distance(a, b) for a, b in pairs])
+    edits = np.array([rng.randrange(1, 9) for _ in pairs])
+    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    assert (line_dedup.within(left, right, edits) == (exact <= edits)).all()
+    for k in range(1, 8):
+        assert (line_dedup.within(left, right, np.full(len(pairs), k)) == (exact <= k)).all()
+
+
+def expected_lines(docs):
+    """(document, place) of the lines that go, by all pairs. docs: (id, text), in any order."""
+    lines, gone = [], set()
+    for has_id, k, _, t in sorted({(k is not None, k or 0, text_hash(t), t) for k, t in docs if t is not None}):
+        for pos, s in enumerate(t.split("\n")):
+            if any(c.isalnum() for c in s):
+                if any(s == x or distance(s, x) <= line_dedup.budget(min(len(s), len(x))) for x in lines):
+                    gone.add((k if has_id else None, t, pos))
+                lines.append(s)
+    return gone
+
+
+def text_hash(text):
+    """The signed hash by which documents that share an id are ordered."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - 2**64 if h >= 2**63 else h
 
 
 @pytest.mark.parametrize("group", [1024, 3])
 def test_lines_against_all_pairs(spark, monkeypatch, group):
     monkeypatch.setattr(line_dedup, "GROUP", group)
+    monkeypatch.setattr(line_dedup, "RUN", 300)
     rng = random.Random(4)
-    base = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (3, 4, 5, 6, 8, 12) for _ in range(4)]
+    base = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (1, 2, 3, 4, 5, 6, 8, 12, 30, 60) for _ in range(3)]
 
     def edited(s):
         s = list(s)
-        for _ in range(rng.randrange(4)):
+        for _ in range(rng.randrange(8)):
             at = rng.randrange(len(s) + 1)
             s[at : at + rng.randrange(2)] = rng.choice(["", "x", "é"])
         return "".join(s)
 
-    docs = [(i, "\n".join(edited(rng.choice(base)) for _ in range(rng.randrange(1, 5)))) for i in range(60)] + [(100, None), (101, ""), (102, "short\nshort")]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("line", F.lit(1))
-    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
-    lines = [(k, i, s) for k, t in docs for i, s in enumerate((t or "").split("\n")) if len(s) >= line_dedup.MIN_CHARS]
-    gone = {(k, i) for n, (k, i, s) in enumerate(lines) if any(distance(s, x) <= line_dedup.budget(min(len(s), len(x))) for _, _, x in lines[:n])}
-    assert any(len(t.split("\n")) > 1 for _, t in docs[:60])
-    for k, t in docs:
-        kept = None if t is None else "\n".join(s for i, s in enumerate(t.split("\n")) if (k, i) not in gone)
-        assert got[k]["text"] == kept
-        assert got[k]["_n_exact"] + got[k]["_n_near"] == sum(1 for d, _ in gone if d == k)
-
-
-def test_long_lines_share_a_key_within_a_32nd():
+    docs = [(rng.choice([i, i, 2**53 + i, None]), "\n".join(edited(rng.choice(base)) for _ in range(rng.randrange(1, 5)))) for i in range(70)]
+    docs += [(7, "one more\nof id 7"), (7, "of id 7\none more\nthird"), (None, "one more"), (100, None), (101, ""), (102, "short\nshort\n}\n}"), (103, "}\n")] + docs[:2]
+    rows = [(k, t, i) for i, (k, t) in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, line long")
+    for c in ("id", "t1", "h1", "row", "exact", "near", "first", "gone_id", "_kept"):
+        df = df.withColumn(c, F.concat(F.lit("own "), F.col("line")))
+    got = {r["line"]: r for r in line_dedup.dedup_lines(df, report="told").collect()}
+    gone = expected_lines(docs)
+    assert len(got) == len(docs) and len(gone) > 30
+    for k, t, i in rows:
+        lost = {p for d, x, p in gone if (d, x) == (k, t)}
+        kept = None if t is None else "\n".join(s for p, s in enumerate(t.split("\n")) if p not in lost)
+        assert got[i]["text"] == kept, (k, t)
+        assert got[i]["told"]["n_exact"] + got[i]["told"]["n_near"] == len(lost)
+        assert (got[i]["doc_id"], got[i]["row"], got[i]["_kept"]) == (k, f"own {i}", f"own {i}")
+
+
+def test_alike_lines_share_a_key():
     rng = random.Random(5)
-    for n in (30, 60, 130, 267, 267, 267, 510, 515, 1030):
-        for _ in range(20):
+    for n in (20, 30, 39, 41, 60, 119, 121, 130, 239, 241, 267, 510, 1030):
+        for _ in range(40):
             s = [rng.choice("abcdefghij ") for _ in range(n)]
             a = "".join(s)
-            for _ in range(n // 32 or 1):
+            for _ in range(line_dedup.budget(n)):
                 at = rng.randrange(len(s))
                 s[at : at + 1] = rng.choice(["", "x", "xy"])
             b = "".join(s)
-            d = distance(a, b)
-            assert line_dedup.within(a, b, d) and (a == b or not line_dedup.within(a, b, d - 1))
-            if min(len(a), len(b)) >= 20 and d <= max(min(len(a), len(b)) // 32, 1):
-                assert line_dedup.budget(min(len(a), len(b))) >= d
-                assert set(line_dedup.line_keys(a).tolist()) & set(line_dedup.line_keys(b).tolist())
+            if a != b and distance(a, b) <= line_dedup.budget(min(len(a), len(b))):
+                keys, owner = line_dedup.line_keys([a, b])
+                assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+
+
+def test_hot_segments_are_split(spark, monkeypatch):
+    """Lines that all share their beginning: no group is larger than two blocks, and pairs of lengths that can't be alike don't meet."""
+    monkeypatch.setattr(line_dedup, "GROUP", 8)
+    rng = random.Random(6)
+    docs = [(i, "the same beginning of a log line " + "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(10, 150)))) for i in range(200)]
+    own = line_dedup.renamed(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    lines = line_dedup.line_hashes(own).select("h1", "h2", "line")
+    rows = line_dedup.groups(line_dedup.shared_keys(own), lines).select("key", "cell", "lo", "hi", F.length("line").alias("n")).collect()
+    met = {}
+    for r in rows:
+        met.setdefault((r["key"], r["cell"], r["lo"], r["hi"]), []).append(r["n"])
+    assert rows and max(len(g) for g in met.values()) <= 4 * 8
+    assert all(max(g) - min(g) < 2 * (line_dedup.MOST + 1) for g in met.values() if len(g) > 8)
+    assert sum(len(g) ** 2 for g in met.values()) < 200**2
 
 
-def test_each_line_stays_in_one_document(spark):
+def test_each_line_stays_in_one_document(spark, sf):
     shared = [f"a passage on {s} that several documents share" for s in ("rivers and stones", "yellow paper", "cloudy windows at night", "the garden of a silent public house")]
     docs = [(1, "\n".join(shared[:2])), (2, "\n".join([*shared[:3], "a line that only this document holds"])), (3, "\n".join(shared[2:])), (4, "\n".join(shared)), (5, shared[0] + "\nshort")]
-    kept = line_dedup.drop_copies(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")))
-    got = {r["doc_id"]: r["text"] for r in kept.collect()}
-    assert sorted(s for t in got.values() for s in t.split("\n")) == sorted({s for _, t in docs for s in t.split("\n")})
-    assert set(got) == {1, 2, 3, 5}
+    df = spark.createDataFrame([(*d, "en", "a", 0) for d in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in corpus_pipeline.drop_repeated_lines(spark, df, sf).collect()}
+    assert sorted(s for r in got.values() for s in r["text"].split("\n") if s) == sorted({s for _, t in docs for s in t.split("\n")})
+    assert set(got) == {1, 2, 3, 4, 5} and got[4]["text"] == ""
+    assert all(r["n_chars"] == len(r["text"]) for k, r in got.items() if k > 1) and got[1]["n_chars"] == 0
 
 
 def test_audio_round_trip(spark):
