@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drowse.llm import line_dedup, mixing, near_dup, packing, toxicity
-from drowse.llm.common import shared_dir, table
+from drowse.llm.common import free_name, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n_chars follows the text."""
-    kept = line_dedup.drop_copies(line_dedup.dedup_lines(docs))
-    changed = F.col("_n_exact") + F.col("_n_near") > 0
+    """All documents, without lines that an earlier one has; n_chars follows a text that changed. A document may be left empty: the next
+    stage keeps one empty text."""
+    told = free_name(docs, "lines")
+    kept = line_dedup.dedup_lines(docs, report=told)
+    changed = F.col(f"{told}.n_exact") + F.col(f"{told}.n_near") > 0
     return kept.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
