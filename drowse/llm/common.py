@@ -85,8 +85,8 @@ def content_key(col: str | Column) -> list[Column]:
     return [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit("second"), c).alias("h2")]
 
 
-#: Bits of a `bitmap`: 8 MB whatever the number of keys.
-BITS, BITS_A_CHUNK = 1 << 26, 1 << 16
+#: Bits of a `bitmap`: 32 MB whatever the number of keys.
+BITS, BITS_A_CHUNK = 1 << 28, 1 << 18
 
 
 def bitmap(keys: DataFrame, key: str) -> np.ndarray:
@@ -140,3 +140,19 @@ def sorted_groups(batches: Iterable[pd.DataFrame], key: list[str]) -> Iterator[p
             held = [batch.iloc[a:b]]
     if held:
         yield pd.concat(held) if len(held) > 1 else held[0]
+
+
+def whole_groups(batches: Iterable[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """Many whole groups at a time, numbered in column `group`, from batches whose rows are sorted by `key`."""
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        if batch.empty:
+            continue
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        number = (rows[key] != rows[key].shift()).any(axis=1).to_numpy().cumsum()
+        last = number == number[-1]
+        held = rows[last]
+        if not last.all():
+            yield rows[~last].assign(group=number[~last])
+    if held is not None:
+        yield held.assign(group=0)

@@ -7,8 +7,8 @@ their edits allow. Each line leaves the hashes of its segments (with the budget)
 line's segments can stand. Lines that share a hash are verified on their whole length by a banded bit-parallel edit distance, many pairs
 at once inside the group: pairs are never emitted, only a line that has an earlier alike.
 
-Hot segments: keys that one line alone has are found by an aggregate, which combines before the shuffle. A group of more than GROUP lines
-is first split by length, since alike lines differ by MOST characters at most, and what is still larger is worked as pairs of blocks.
+Hot segments: which keys several lines have is found first, from two line hashes at most for each key and task, and only those keys leave
+their lines. A group of more than GROUP lines is split by length, since alike lines differ by MOST characters at most, and what is still larger is worked as pairs of blocks.
 
 A line goes if an earlier one is equal or alike; earlier is by document id (null first), then by text hash, then by place. So the first
 stays, and its shorter or longer forms too if they have no earlier alike. Each task leaves a line's hashes once however often it
@@ -22,6 +22,7 @@ very long line is one row. An empty table gives an empty result. All columns of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from os.path import commonprefix
@@ -33,12 +34,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, content_key, marked, materialize, only_wanted, renamed, sorted_groups, table
+from .common import bitmap, content_key, marked, materialize, only_wanted, renamed, table, whole_groups
 
 #: The budget: LEAST characters for one edit, one for each SHARE characters from 2 * LEAST on, MOST at most.
 LEAST, SHARE, MOST = 20, 40, 6
 GROUP = 1024  # lines of a block
-RUN = 1 << 20  # characters hashed at a time
+RUN, FLUSH, RANGE = 1 << 20, 1 << 22, 1 << 25  # characters hashed at a time, keys sorted at a time, characters whose keys make a range
 PAIRS = 4096  # pairs verified at a time
 PRIME = np.uint64(0xC2B2AE3D27D4EB4F)
 DOC = ["id", "t1", "t2"]
@@ -159,51 +160,43 @@ def _banded(a: list[str], b: list[str], edits: np.ndarray) -> np.ndarray:
 
 def _counts(lines: list[str]) -> np.ndarray:
     """Characters of each line, counted in 32 classes: an edit changes at most two counts by one."""
-    out = np.zeros((len(lines), 32), np.int32)
-    for i, s in enumerate(lines):
-        out[i] = np.bincount(np.frombuffer(s.encode("utf-32-le"), "<u4") % 32, minlength=32)
-    return out
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.int64) % 32
+    of = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    return np.bincount(of * 32 + codes, minlength=32 * len(lines)).reshape(-1, 32).astype(np.int32)
 
 
-def has_earlier(group: pd.DataFrame) -> np.ndarray:
-    """Whether each line of a group (rank columns, line, part) has an earlier alike in it; in a pair of blocks, in the other block."""
-    lines, part, cross = group["line"].tolist(), group["part"].to_numpy(), group["lo"].iloc[0] != group["hi"].iloc[0]
-    by = list(zip(group["has_id"], group["id"], group["t1"], group["t2"], group["pos"], strict=True))
-    order = np.array(sorted(range(len(by)), key=by.__getitem__))
-    sizes = np.array([len(x) for x in lines])
-    edits = np.array([budget(n) for n in sizes.tolist()])
-    counts, out = _counts(lines), np.zeros(len(lines), bool)
-    pairs_a, pairs_b, held = [], [], 0
+def have_earlier(rows: pd.DataFrame, known: set[int]) -> np.ndarray:
+    """Whether each line (h1, line, part, cross, and group: a number) has an earlier alike in its group; in a pair of blocks, in the other
+    block. Rows are in order by group, then place. Lines in `known` have one already."""
+    lines, group, part, cross = rows["line"].tolist(), rows["group"].to_numpy(), rows["part"].to_numpy(), rows["cross"].to_numpy()
+    sizes, counts = np.array([len(x) for x in lines]), _counts(lines)
+    edits, out = np.array([budget(n) for n in sizes.tolist()]), np.array([h in known for h in rows["h1"].tolist()])
+    found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def settle() -> None:
-        """The most alike by counts first; a line with an earlier alike needs no other."""
-        nonlocal held
-        left = [(a, b) for a, b in zip(pairs_a, pairs_b, strict=True)]
-        pairs_a.clear()
-        pairs_b.clear()
-        held, tries = 0, 4
-        while left:
-            now_a = np.repeat([a for a, _ in left], [min(tries, len(b)) for _, b in left])
-            now_b = np.concatenate([b[:tries] for _, b in left])
-            hit = within([lines[i] for i in now_b], [lines[i] for i in now_a], np.minimum(edits[now_a], edits[now_b]))
-            out[now_a[hit]] = True
-            left = [(a, b[tries:]) for a, b in left if not out[a] and len(b) > tries]
-            tries *= 4
-
-    for r in range(1, len(order)):
-        j, before = order[r], order[:r]
-        near = before[np.abs(sizes[before] - sizes[j]) <= np.minimum(edits[before], edits[j])]
-        if cross:
-            near = near[part[near] != part[j]]
-        if len(near):
-            apart = np.abs(counts[near] - counts[j]).sum(1)
-            fits = apart <= 2 * np.minimum(edits[near], edits[j])
-            near = near[fits][np.argsort(apart[fits], kind="stable")]
-        if len(near):
-            pairs_a.append(j)
-            pairs_b.append(near)
-            held += len(near)
-            if held >= 4 * PAIRS:
+        if found:
+            a, b = (np.concatenate(side) for side in zip(*found, strict=True))
+            found.clear()
+            open_ = ~out[b]
+            a, b = a[open_], b[open_]
+            hit = within([lines[i] for i in a], [lines[i] for i in b], np.minimum(edits[a], edits[b]))
+            out[b[hit]] = True
+
+    later = np.flatnonzero(~out)
+    for d in range(1, len(lines)):  # each line with the d-th before it
+        later = later[later >= d]
+        later = later[(group[later] == group[later - d]) & ~out[later]]
+        if not len(later):
+            break
+        b = later[~cross[later] | (part[later] != part[later - d])]
+        a = b - d
+        most = np.minimum(edits[a], edits[b])
+        near = np.abs(sizes[a] - sizes[b]) <= most
+        a, b, most = a[near], b[near], most[near]
+        near = np.abs(counts[a] - counts[b]).sum(1) <= 2 * most
+        if near.any():
+            found.append((a[near], b[near]))
+            if sum(len(x) for x, _ in found) >= PAIRS:
                 settle()
     settle()
     return out
@@ -219,40 +212,90 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return rows.where(compared(F.col("line"))).select("id", "t1", "t2", "pos", "line", *content_key("line"))
 
 
-def all_keys(docs: DataFrame, bits=None) -> DataFrame:
-    """key and h1 of the lines, each line once a task; with `bits`, only keys that have their bit."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            lines, names = [], []
-            for t in b.column(0).to_pylist():
-                for line in (t or "").split("\n"):
-                    if len(line) >= LEAST and (h := xxhash.xxh64_intdigest(line.encode(), 42)) not in seen:  # Spark's xxhash64
-                        seen.add(h)
-                        lines.append(line)
-                        names.append(h)
-            hashes, ends = np.array(names, np.uint64).view(np.int64), np.cumsum([0, *map(len, lines)])
-            at = 0
-            while at < len(lines):  # runs of RUN characters, or of one line
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + RUN, side="right")) - 1)
-                keys, owner = line_keys(lines[at:to])
-                if bits is not None:
-                    kept = marked(bits.value, keys)
-                    keys, owner = keys[kept], owner[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes[at:to][owner])], ["key", "h1"])
-                at = to
-
-    return docs.select("text").mapInArrow(run, "key long, h1 long")
+def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys, and the h1 of the line of each; a line once a task."""
+    seen: set[int] = set()
+    for b in batches:
+        lines, names = [], []
+        for t in b.column(0).to_pylist():
+            for line in (t or "").split("\n"):
+                if len(line) >= LEAST and (h := xxhash.xxh64_intdigest(line.encode(), 42)) not in seen:  # Spark's xxhash64
+                    seen.add(h)
+                    lines.append(line)
+                    names.append(h)
+        hashes, ends, at = np.array(names, np.uint64), np.cumsum([0, *map(len, lines)]), 0
+        while at < len(lines):  # runs of RUN characters, or of one line
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + RUN, side="right")) - 1)
+            keys, owner = line_keys(lines[at:to])
+            yield keys, hashes[at:to][owner]
+            at = to
+
+
+def keys_twice(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The first bits of keys that several lines have, and how many bits. Each task leaves two line hashes at most for a key, sorted and split
+    into ranges that follow the corpus' size; each range is merged."""
+    size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    bits = 32 + max(0, math.ceil(math.log2(max(1, size / RANGE))))
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for keys, names in keys_of(batches):
+            held.append((keys.view(np.uint64) >> np.uint64(64 - bits), (names >> np.uint64(32)).astype(np.uint32)))
+            if sum(len(k) for k, _ in held) >= FLUSH:
+                yield ranges(held)
+                held = []
+        if held:
+            yield ranges(held)
+
+    def ranges(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, low, high = _combined(*(np.concatenate(side) for side in zip(*held, strict=True)))
+        of = (keys >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])[: len(of)]
+        rows = []
+        for a, z in zip(starts, [*starts[1:], len(of)], strict=True):
+            more = np.flatnonzero(low[a:z] != high[a:z]).astype(np.uint32)
+            rows.append((int(of[a]), keys[a:z].astype(np.uint32).tobytes(), low[a:z].tobytes(), more.tobytes(), high[a:z][more].tobytes()))
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [pa.int64(), *[pa.binary()] * 4], strict=True)], ["range", "keys", "low", "more", "high"])
+
+    def merge(of: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        read = lambda c: [np.frombuffer(x, np.uint32) for x in p[c]]
+        low = np.concatenate(read("low"))
+        high, at = low.copy(), 0
+        for keys, more, most in zip(read("keys"), read("more"), read("high"), strict=True):
+            high[at + more.astype(np.int64)] = most
+            at += len(keys)
+        keys, low, high = _combined(np.concatenate(read("keys")).astype(np.uint64), low, high)
+        return pd.DataFrame({"start": ((np.uint64(of[0]) << np.uint64(32)) + keys[low != high]).view(np.int64)})
+
+    return docs.select("text").mapInArrow(sort, "range long, keys binary, low binary, more binary, high binary").groupBy("range").applyInPandas(merge, "start long"), bits
+
+
+def _combined(keys: np.ndarray, low: np.ndarray, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the least `low` and the greatest `high` of each."""
+    order = np.argsort(keys, kind="stable")
+    keys, low, high = keys[order], low[order], (low if high is None else high)[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[: len(keys)]
+    if not len(keys):
+        return keys, low, high
+    return keys[starts], np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
 
 
 def shared_keys(docs: DataFrame) -> DataFrame:
     """key, h1 and n of the n lines that share a segment; of keys that the same lines share, one."""
-    twice = all_keys(docs).groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select("key")
+    twice, width = keys_twice(docs)
     twice = materialize(twice, "keys-twice")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(twice, "key"))
-    some = materialize(all_keys(docs, bits).distinct().join(twice, "key", "left_semi"), "shared-segments")
-    sets = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h1").alias("x"), F.bit_xor(F.xxhash64("h1", F.lit(1))).alias("y"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(twice, "start"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, names in keys_of(batches):
+            start = (keys.view(np.uint64) >> np.uint64(64 - width)).view(np.int64)
+            kept = marked(bits.value, start)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (start[kept], keys[kept], names[kept].view(np.int64))], ["start", "key", "h1"])
+
+    some = docs.select("text").mapInArrow(run, "start long, key long, h1 long").join(twice, "start", "left_semi")
+    some = materialize(some.select("key", "h1").distinct(), "shared-segments")
+    sets = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h1").alias("x"), F.bit_xor(F.xxhash64("h1", F.lit(1))).alias("y")).where("n > 1")
     return some.join(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "key")
 
 
@@ -282,14 +325,17 @@ def judge(docs: DataFrame) -> DataFrame:
     texts = texts.join(firsts, ["h1", "h2"]).select("h1", "h2", "line", "first.has_id", F.coalesce("first.id", none).alias("id"), "first.t1", "first.t2", "first.pos")
     group = ["key", "cell", "lo", "hi"]
 
+    order = [*group, "has_id", "id", "t1", "t2", "pos"]
+
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in sorted_groups(batches, group):
-            hit = has_earlier(g)
-            if hit.any():
-                yield g[hit][["h1", "h2"]]
+        known: set[int] = set()
+        for rows in whole_groups(batches, group):
+            hit = have_earlier(rows.assign(cross=rows["lo"] != rows["hi"]), known)
+            known.update(rows["h1"][hit].tolist())
+            yield rows[hit][["h1", "h2"]]
 
     pairs = groups(shared, materialize(texts, "shared-texts"))
-    near = pairs.repartition(*group).sortWithinPartitions(*group).mapInPandas(verify, "h1 long, h2 long").distinct().withColumn("near", F.lit(True))
+    near = pairs.repartition(*group).sortWithinPartitions(*order).mapInPandas(verify, "h1 long, h2 long").distinct().withColumn("near", F.lit(True))
     verdicts = firsts.join(near, ["h1", "h2"], "left").where((F.col("times") > 1) | F.col("near"))
     verdicts = materialize(verdicts.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-verdicts")
     gone = lines.drop("line").join(verdicts, ["h1", "h2"]).withColumn("again", ~place.eqNullSafe(F.col("first"))).where("near OR again")

@@ -3,9 +3,11 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -354,44 +356,78 @@ def test_plan_packs_all_and_swaps_for_two():
     assert packing.plan({60: 1, 30: 1, 21: 1, 19: 1}, 100)[0] == ([60, 21, 19], 1)
 
 
-@pytest.mark.parametrize("small", [16, 2])
-def test_near_copies_against_all_pairs(spark, sf, monkeypatch, small):
-    monkeypatch.setattr(near_dup, "SMALL", small)
-    docs = texts(spark, sf)
-    rng = random.Random(8)
-    for i, (_, t) in enumerate(docs[:30]):
-        words = t.split(" ")
-        for at in range(0, len(words), 60):
-            words[at] = "changed"
-        docs.append((10_000 + i, " ".join(words)))
-    docs += [(20_000, None), (20_001, ""), (20_002, "one two"), (20_003, "One two."), (20_004, docs[0][1]), (20_005, docs[0][1])]
-    rng.shuffle(docs)
-    got = dict(map(tuple, near_dup.classes(spark.createDataFrame(docs, "doc_id long, text string").withColumn("band", F.lit(1))).collect()))
-    sets = {k: set(near_dup.shingles(t)[0].tolist()) for k, t in docs}
-    text = dict(docs)
-    parent = {k: k for k in sets}
+def plain_shingles(text):
+    words = re.findall(r"\w+", (text or "").lower())
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+
+def plain_weights(docs, least=1):
+    """Step weights of each document's shingles, from exact document frequencies."""
+    sets = [plain_shingles(t) for t in docs]
+    df, n = Counter(g for s in sets for g in s), len(docs)
+    idf = {g: 1 + math.log((n + 1) / (max(least, c) + 1)) / math.log(n + 2) for g, c in df.items()}
+    return [{g: 2 ** (round(4 * math.log2(idf[g] * (1 + math.log2(c)))) / 4) for g, c in s.items()} for s in sets]
+
+
+def plain_similarity(a, b):
+    shared = sum(min(w, b[g]) for g, w in a.items() if g in b)
+    return shared / (sum(a.values()) + sum(b.values()) - shared) if a and b else 0.0
+
+
+def plain_classes(rows, least=1):
+    """The smallest id of each row's class, by all pairs of texts. rows: (id, text)."""
+    texts = sorted({t or "" for _, t in rows})
+    weights, parent = plain_weights([t or "" for _, t in rows], least), list(range(len(texts)))
+    at = {t: i for i, t in enumerate(texts)}
+    own = {t or "": w for (_, t), w in zip(rows, weights, strict=True)}
 
     def root(k):
         while parent[k] != k:
             k = parent[k]
         return k
 
-    rarity = None
-    for a, b in itertools.combinations(sorted(sets), 2):
-        x, y = sets[a], sets[b]
-        if (text[a] or "") == (text[b] or "") or (x and y and len(x & y) >= 0.8 * len(x | y)):
-            parent[max(root(a), root(b))] = min(root(a), root(b))
-    assert rarity is None
-    wrong = [k for k in sets if got[k] != root(k)]
-    # the weighted measure may link a few pairs that the plain one leaves just below the threshold
-    assert len(wrong) <= 0.01 * len(sets), wrong
-    assert got[20_001] == got[20_000] == 20_000 and got[20_003] == 20_002
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if own[texts[a]].keys() & own[texts[b]].keys() and plain_similarity(own[texts[a]], own[texts[b]]) >= 0.8 - 1e-9:
+            parent[root(a)] = root(b)
+    ids = {}
+    for k, t in rows:
+        r = root(at[t or ""])
+        ids[r] = min((x for x in (ids.get(r), k) if x is not None), default=None)
+    return [ids[root(at[t or ""])] for _, t in rows]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_near_copies_against_all_pairs(spark, sf, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(near_dup, "BLOCK", 60_000)
+        monkeypatch.setattr(near_dup, "RANGE", 500)
+        monkeypatch.setattr(near_dup, "FLUSH", 2000)
+    own = texts(spark, sf)
+    rng = random.Random(8)
+    rows = list(own)
+    for i, (_, t) in enumerate(own[:60]):
+        words = t.split(" ")
+        for at in rng.sample(range(len(words)), min(len(words), rng.randrange(1, 2 + len(words) // 40))):
+            words[at] = "changed"
+        rows.append((2**53 + 2 * i + 1, " ".join(words)))
+    rows += [(20_000, None), (20_001, ""), (20_002, "one two"), (20_003, "One two."), (20_004, own[0][1]), (20_005, own[0][1]), (20_005, own[1][1]), (20_005, "a text that is alone under this id"), (None, own[2][1]), (None, "nobody else has this"), (None, None)]
+    rng.shuffle(rows)
+    want = plain_classes(rows)
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, band int").withColumns({c: F.lit("own") for c in ("id", "node", "label", "h1", "row", "k")})
+    got = {}
+    for r in near_dup.classes(df).collect():
+        got.setdefault((r["doc"], r["h1"]), set()).add(r["class_id"])
+    have = [got[k, text_hash(t or "")] for k, t in rows]
+    assert have == [{c} for c in want]
+    assert sum(a != k for (k, _), a in zip(rows, want, strict=True)) > 40
+    kept = near_dup.keep_one(df).select("doc_id", "text", "node").collect()
+    assert sorted(k for k, _, _ in kept if k is not None) == sorted({c for c in want if c is not None})
+    assert sum(k is None for k, _, _ in kept) == 1 and all(o == "own" for _, _, o in kept)
 
 
 def test_families_in_shared_bands(spark, monkeypatch):
     """Texts of 8 families that have much in common, ids interleaved: large bands hold several classes, and each is found whole."""
-    monkeypatch.setattr(near_dup, "SMALL", 2)
-    monkeypatch.setattr(near_dup, "BLOCK", 40_000)
+    monkeypatch.setattr(near_dup, "BLOCK", 60_000)
     rng = random.Random(11)
     shared = [f"s{rng.randrange(10**6)}" for _ in range(160)]
     families = [shared + [f"f{rng.randrange(10**6)}" for _ in range(90)] for _ in range(8)]
@@ -400,51 +436,38 @@ def test_families_in_shared_bands(spark, monkeypatch):
         words = list(families[i % 8])
         words[rng.randrange(250)] = f"x{i}"
         docs.append((i, " ".join(words)))
-    got = dict(map(tuple, near_dup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
-    assert got == {i: i % 8 for i in range(160)}
-
-
-def test_block_links_join_what_all_pairs_join():
-    """Blocks of a band find the components that all pairs of its nodes with different labels would give."""
-    rng = random.Random(12)
-    rarity = near_dup.idf(np.ones(1 << near_dup.SKETCH, np.int64), 1000)
-    base = [[f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(4)]
-    docs = []
-    for i in range(48):
-        words = list(base[i % 4])
-        for at in rng.sample(range(200), rng.randrange(8)):
-            words[at] = f"x{i}"
-        docs.append(" ".join(words))
-    made = [near_dup.signature(t, rarity) for t in docs]
-    bands = [[7, *b[1:]] for b, _ in made]  # all share the first band
-    weighed = [(h, near_dup.WEIGHT[near_dup.levels(h, n, rarity)]) for h, n in map(near_dup.shingles, docs)]
-
-    def parts(links):
-        out = list(range(48))
-        for a, b in links:
-            x, y = out[a], out[b]
-            out = [min(x, y) if v in (x, y) else v for v in out]
-        return out
-
-    want = parts([(a, b) for a in range(48) for b in range(a) if max(near_dup.similarity(weighed[a], weighed[b])) >= 0.8])
-    links = []
-    for lo, hi in ((0, 0), (0, 1), (1, 1)):
-        g = near_dup.pd.DataFrame({"band": 7, "node": range(48), "label": range(48), "sig": [x for _, x in made], "bands": bands, "text": docs, "own": [i // 24 for i in range(48)], "lo": lo, "hi": hi})
-        links += near_dup.block_links(g[g["own"].isin([lo, hi])], rarity)
-    assert parts(links) == want and len(links) < 48 * 3
+    want = plain_classes(docs)
+    got = {r["doc"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[k] for k, _ in docs] == want
+    assert len(set(want)) < 30
+
+
+@pytest.mark.parametrize(("heavy", "range_"), [(1 << 20, 1 << 21), (1 << 20, 300), (64, 300)])
+def test_document_frequencies_are_exact(spark, sf, monkeypatch, heavy, range_):
+    monkeypatch.setattr(near_dup, "HEAVY", heavy)
+    monkeypatch.setattr(near_dup, "RANGE", range_)
+    monkeypatch.setattr(near_dup, "FLUSH", 1500)
+    docs = [t for _, t in texts(spark, sf)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(5)
+    rarity = near_dup.document_frequencies(near_dup.shingled(near_dup.renamed(df, "doc_id", "text")))
+    exact = Counter(h for t in docs for h in near_dup.shingles(t)[0].tolist())
+    floor = max(2, -(-sum(exact.values()) // heavy))
+    hashes = np.array(sorted(exact), np.uint64)
+    assert rarity.n == len(docs) and len(rarity.keys) <= heavy
+    assert rarity.frequencies(hashes).tolist() == [c if c >= floor else floor - 1 for _, c in sorted(exact.items())]
 
 
 def test_weights_of_repeated_shingles_are_not_clipped(monkeypatch):
-    rarity = near_dup.idf(np.ones(1 << near_dup.SKETCH, np.int64), 1000)
+    rarity = near_dup.Rarity(np.empty(0, np.uint64), np.empty(0, np.int64), 32, 1, 1000)
     h = np.arange(120, dtype=np.uint64) * near_dup.PRIMES[0]
     sides = [np.r_[0:60, 60:90], np.r_[0:60, 90:120]]
     counts = np.r_[np.full(60, 100), np.ones(30)].astype(np.int64)
-    weights = [rarity[(h[i] >> np.uint64(64 - near_dup.SKETCH)).astype(np.int64)] * (1 + np.log2(counts)) for i in sides]
-    shared = weights[0][:60].sum()
-    stated = shared / (weights[0].sum() + weights[1].sum() - shared)
-    made = [tuple(x[np.argsort(h[i])] for x in (h[i], near_dup.WEIGHT[near_dup.levels(h[i], counts, rarity)])) for i in sides]
-    assert stated > 0.85 and abs(near_dup.similarity(*made)[0] - stated) < 0.02
-    assert near_dup.levels(h[:1], np.array([2**31 - 1]), rarity)[0] < near_dup.LEVELS
+    idf = 1 + np.log(1001 / 2) / np.log(1002)
+    weights = idf * (1 + np.log2(counts))
+    stated = weights[:60].sum() / (2 * weights.sum() - weights[:60].sum())
+    made = [tuple(x[np.argsort(h[i])] for x in (h[i], near_dup.WEIGHT[rarity.levels(h[i], counts)])) for i in sides]
+    assert stated > 0.85 and abs(near_dup.similarity(*made) - stated) < 0.02
+    assert rarity.levels(h[:1], np.array([2**31 - 1]))[0] < near_dup.LEVELS
     rng = np.random.default_rng(1)
     j, slot, turn = rng.integers(0, 12, 3000), rng.integers(0, near_dup.SLOTS, 3000), rng.integers(0, near_dup.HASHES, 3000)
     plain = near_dup.least_samples(j, slot, turn)
@@ -456,43 +479,26 @@ def test_weights_of_repeated_shingles_are_not_clipped(monkeypatch):
         near_dup._samples.cache_clear()
 
 
-def test_plain_links_survive_bands_and_blocks():
-    """Common shingles shared, rare repeated ones changed: plain 0.8, weighted far below; each pair links in a large band too."""
-    df = np.full(1 << near_dup.SKETCH, 1)
-    lost = met = 0
-    for k in range(60):
-        rng = np.random.default_rng(k)
-        shared = rng.integers(0, 2**63, 88, dtype=np.uint64)
-        df_k = df.copy()
-        df_k[(shared >> np.uint64(64 - near_dup.SKETCH)).astype(np.int64)] = 1000
-        rarity = near_dup.idf(df_k, 1000)
-        own = [rng.integers(0, 2**63, 11, dtype=np.uint64) for _ in range(2)]
-        made, sides = [], []
-        for x in own:
-            h = np.r_[shared, x]
-            n = np.r_[np.ones(88, np.int64), np.full(11, 6)][np.argsort(h)]
-            sides.append((np.sort(h), n))
-        with pytest.MonkeyPatch.context() as m:
-            m.setattr(near_dup, "shingles", lambda t: sides[int(t)])
-            made = [near_dup.signature(str(i), rarity) for i in range(2)]
-            weighed = [(h, near_dup.WEIGHT[near_dup.levels(h, n, rarity)]) for h, n in sides]
-            w, plain = near_dup.similarity(*weighed)
-            assert plain >= 0.8 and w < 0.6
-            met += bool((made[0][0] == made[1][0]).any())
-            g = near_dup.pd.DataFrame({"band": 7, "node": range(2), "label": range(2), "sig": [x for _, x in made], "bands": [[7], [7]], "text": ["0", "1"], "own": 0, "lo": 0, "hi": 0})
-            lost += near_dup.block_links(g, rarity) != [(1, 0)]
-    assert lost == 0 and met == 60
-
-
-def test_band_recall():
-    rng = np.random.default_rng(3)
-    rarity = near_dup.idf(np.ones(1 << near_dup.SKETCH, np.int64), 1000)
-    hits = 0
-    for i in range(200):
-        words = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
-        other = list(words)
-        for at in rng.choice(300, 6, replace=False):
-            other[at] = "z"
-        a, b = " ".join(words), " ".join(other)
-        hits += bool((near_dup.band_keys(a, rarity) == near_dup.band_keys(b, rarity)).any())
-    assert hits >= 199
+@pytest.mark.parametrize(("least", "most", "wanted"), [(0.8, 0.82, 1.0), (0.85, 0.9, 1.0), (0.45, 0.55, 0.0)])
+def test_candidates_by_similarity(least, most, wanted):
+    """Pairs of weights of many kinds: all of the threshold's similarity are candidates, and agreement follows the similarity."""
+    rarity = near_dup.Rarity(np.empty(0, np.uint64), np.empty(0, np.int64), 32, 1, 1000)
+    rng = np.random.default_rng(7)
+    found = seen = agreed = alike = 0
+    while seen < 300:
+        n = int(rng.integers(20, 400))
+        share = int(n * rng.uniform(0.5, 0.99))
+        h = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+        sets = [np.r_[h[:share], h[share:n]], np.r_[h[:share], h[n : 2 * n - share]]]
+        counts = 2 ** rng.integers(0, 4, 2 * n)
+        levels = [rarity.levels(x, counts[np.r_[0:share, b : b + n - share]]) for x, b in zip(sets, (share, n), strict=True)]
+        order = [np.argsort(x) for x in sets]
+        s = near_dup.similarity(*[(x[o], near_dup.WEIGHT[j[o]]) for x, j, o in zip(sets, levels, order, strict=True)])
+        if least <= s <= most:
+            seen += 1
+            (b1, s1), (b2, s2) = (near_dup.signature(x, j) for x, j in zip(sets, levels, strict=True))
+            same = (np.frombuffer(s1, np.uint8) == np.frombuffer(s2, np.uint8)).sum()
+            found += bool((b1 == b2).any()) and same >= near_dup.AGREE
+            agreed, alike = agreed + same, alike + s * near_dup.HASHES
+    assert abs(agreed / alike - 1) < 0.03
+    assert found == seen if wanted else found < 0.1 * seen
