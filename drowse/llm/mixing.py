@@ -1,67 +1,120 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
-Documents fall into cells of source, language and topic. Token weights of the cells are scaled to each margin's targets in turn,
-SWEEPS times; each scaling is a sum over a window, so one plan of linear size holds all sweeps. A document's factor
-is its cell's weight over its cell's tokens; `mix`, and the query with its SQL, sample it with probability min(1, RATE * factor), by a
-hash of its id. That falls short of the raked shares where the cut at 1 takes hold. `resample`, the pipeline's stage, repeats documents
-instead: as often as the factor says, with what is left of it as a chance by the same hash.
-
-Targets are shares of the total by value; without any, the tempered shares tokens ** TEMPERATURE. Nulls in a dimension are a value of
-their own, ''. A null or empty text has no tokens and counts as one. A repeated row is weighted as often as it occurs and sampled
-alike; a null id is sampled as ''. An empty table gives an empty result. Other columns are ignored.
+Documents fall into cells of source, language and topic. Token weights of the cells are scaled to each margin's targets in turn until every
+margin is within RESIDUAL of the total, in rounds of SWEEPS sweeps; a round is one plan of window sums over the cells, which are written to
+the shared folder between rounds. Margins that contradict each other (a value that only occurs with another one, say) can't all be met:
+after ROUNDS rounds the last weights stand, with a warning. A document's factor is its cell's weight over its cell's tokens.
+
+Sampling: a document is expected as often as its factor says, scaled so that RATE of the rows are drawn; it is taken as often as the whole
+part, and once more with the rest as its probability, by a hash of its id. No probability is cut at 1, so the sample's expected token
+shares are the raked ones.
+
+Targets are shares of the total by value; without any, the tempered shares tokens ** TEMPERATURE. Given targets must name every value that
+occurs, else ValueError; those that don't occur are left out and the others scaled to 1. The topic is the one of TOPICS whose words a
+text holds most often, the first of equals, else 'general'.
+
+Nulls in a dimension are a value of their own, ''. A null or empty text has no tokens and counts as one. A very long text is one row. A
+repeated row is weighted as often as it occurs and sampled alike; a null id is sampled as ''. An empty table gives an empty result. All
+columns of the input pass, under any names.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
-SWEEPS, TEMPERATURE, RATE, SEED = 8, 0.5, 0.8, "mix"
-DIMENSIONS = ("source", "lang", "topic")
+TEMPERATURE, RATE, SEED = 0.5, 0.8, "mix"
+SWEEPS, ROUNDS, RESIDUAL = 4, 8, 1e-6
+CELL = ["source", "lang", "topic"]
 SPACE = " \t\n\r\f"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words that tell a topic; a parameter of `labelled`.
+TOPICS = {
+    "law": ["license", "licence", "copyright", "permission", "warranty", "liability", "patent", "court", "contract"],
+    "computing": ["software", "version", "password", "token", "server", "login", "code", "api", "database"],
+    "contact": ["mail", "email", "phone", "telephone", "fax", "address", "contact", "call"],
+    "commerce": ["price", "buy", "sale", "order", "offer", "discount", "shop", "delivery"],
+}
 
 
-def tokens_of(text: str = "text") -> Column:
+def tokens_of(text: Column) -> Column:
     """Words between white space, at least 1."""
-    return F.greatest(F.lit(1), F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), f"[{SPACE}]+", -1), ""))).cast("long")
+    return F.greatest(F.lit(1), F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+", -1), ""))).cast("long")
+
+
+def topic_of(text: Column, topics: dict[str, list[str]]) -> Column:
+    words = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "[^a-z]+", -1)
+    told = F.filter(words, lambda w: w.isin([x for own in topics.values() for x in own]))
+    # few words are left; the highest count, the first topic of equals
+    count = lambda own: F.size(F.filter(told, lambda w: w.isin(own)))
+    counts = [F.struct(count(own).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("topic")) for i, (name, own) in enumerate(topics.items())]
+    best = F.greatest(*counts) if len(counts) > 1 else counts[0]
+    return F.when(F.size(told) == 0, "general").otherwise(best["topic"])
 
 
-def topic_of(text: str = "text") -> Column:
-    """A plain topic by form: tables, marked-up noise, texts with addresses, prose."""
-    has = lambda s: F.coalesce(F.contains(F.col(text), F.lit(s)), F.lit(False))
-    return F.when(has(" | "), "table").when(has("%%%") | has("***") | has("$$$"), "noise").when(has("@") | has("://"), "contact").otherwise("prose")
+def labelled(docs: DataFrame, text: str = "text", keep: dict[str, Column] | None = None, topics: dict[str, list[str]] = TOPICS) -> DataFrame:
+    """The columns `keep`, and source, lang, topic and tokens of each document."""
+    own = [c.alias(n) for n, c in (keep or {}).items()]
+    return docs.select(*own, F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), topic_of(F.col(text), topics).alias("topic"), tokens_of(F.col(text)).alias("tokens"))
 
 
-def with_cells(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _source, _lang, _topic and _tokens."""
-    return docs.withColumns({"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_topic": topic_of(text), "_tokens": tokens_of(text)})
+def cells_of(own: DataFrame) -> DataFrame:
+    return own.groupBy(*CELL).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS) -> DataFrame:
-    """cells (_source, _lang, _topic, tokens) with factor: raked weight over tokens. targets: dimension -> (value, share)."""
+def _goals(cells: DataFrame, targets: dict[str, DataFrame] | None) -> DataFrame:
+    """cells with w and the weight that each margin's value is to have: t_source, t_lang, t_topic."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     out = cells.withColumn("w", F.col("tokens").cast("double"))
-    for d in DIMENSIONS:
-        margin = cells.groupBy(f"_{d}").agg(F.pow(F.sum("tokens").cast("double"), TEMPERATURE).alias("s"))
+    for d in CELL:
+        margin = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), TEMPERATURE).alias("s"))
         if targets and d in targets:
-            margin = targets[d].select(F.col("value").alias(f"_{d}"), F.col("share").cast("double").alias("s"))
+            given = targets[d].select(F.col("value").alias(d), F.col("share").cast("double").alias("s"))
+            lacking = margin.join(given, d, "left_anti").limit(5).collect()
+            if lacking:
+                raise ValueError(f"no target for {d} {sorted(r[d] for r in lacking)}")
+            margin = given.join(margin.select(d), d, "left_semi")
         shares = margin.agg(F.sum("s")).first()[0] or 1.0
-        out = out.join(margin.select(f"_{d}", (F.col("s") / shares * total).alias(f"t_{d}")), f"_{d}", "left").fillna(0.0, [f"t_{d}"])
-    for _ in range(sweeps):
-        for d in DIMENSIONS:
-            out = out.withColumn("w", F.col("w") * F.col(f"t_{d}") / F.greatest(F.sum("w").over(Window.partitionBy(f"_{d}")), F.lit(1e-300)))
-    return out.select(*[f"_{d}" for d in DIMENSIONS], (F.col("w") / F.col("tokens")).alias("factor"))
-
-
-def with_factors(docs: DataFrame, targets: dict[str, DataFrame] | None, text: str) -> tuple[DataFrame, float]:
-    """docs with _source, _lang, _topic, _tokens and _factor, and the mean factor of a document."""
-    own, cell = with_cells(docs, text), [f"_{d}" for d in DIMENSIONS]
-    cells = materialize(own.groupBy(*cell).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "cells")
-    raked = materialize(rake(cells, targets), "raked-cells").withColumnRenamed("factor", "_factor")
-    mean = raked.join(cells, cell).agg(F.sum(F.col("_factor") * F.col("docs")) / F.sum("docs")).first()[0] if not cells.isEmpty() else None
-    return own.join(raked, cell), mean or 1.0  # the raked table's size is known: broadcast while small, else adaptive
+        out = out.join(margin.select(d, (F.col("s") / shares * total).alias(f"t_{d}")), d)
+    return out
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """source, lang, topic, docs and factor (raked weight over tokens) of each cell."""
+    out = materialize(_goals(cells, targets), "raked-cells")
+    for _ in range(ROUNDS):
+        new = out
+        for _ in range(SWEEPS):
+            for d in CELL:
+                new = new.withColumn("w", F.col("w") * F.col(f"t_{d}") / F.greatest(F.sum("w").over(Window.partitionBy(d)), F.lit(1e-300)))
+        new = materialize(new, "raked-cells")
+        discard(out)
+        out = new
+        if residual(out) <= RESIDUAL:
+            break
+    else:
+        warnings.warn(f"margins are off by {residual(out):.2g} of the total", stacklevel=2)
+    return out.select(*CELL, "docs", (F.col("w") / F.col("tokens")).alias("factor"))
+
+
+def residual(weights: DataFrame) -> float:
+    """The greatest distance of a margin's weight from its target, as a share of the total."""
+    total = weights.agg(F.sum("tokens")).first()[0] or 1
+    apart = [weights.groupBy(d).agg(F.abs(F.sum("w") - F.first(f"t_{d}")).alias("apart")).select("apart") for d in CELL]
+    return (apart[0].union(apart[1]).union(apart[2]).agg(F.max("apart")).first()[0] or 0.0) / total
+
+
+def with_copies(own: DataFrame, targets: dict[str, DataFrame] | None, rate: float) -> DataFrame:
+    """own (of `labelled`, with `id`) with factor, expected and copies: how often a row is drawn."""
+    raked = rake(materialize(cells_of(own), "cells"), targets)
+    mean = raked.agg(F.sum(F.col("factor") * F.col("docs")) / F.sum("docs")).first()[0] or 1.0
+    own = own.join(raked.drop("docs"), CELL)  # the raked table's size is known: broadcast while small, else adaptive
+    own = own.withColumn("expected", F.col("factor") * (rate / mean))
+    return own.withColumn("copies", F.floor("expected") + (chance("id") < F.col("expected") - F.floor("expected")).cast("int"))
 
 
 def chance(key: str) -> Column:
@@ -69,47 +122,48 @@ def chance(key: str) -> Column:
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, text: str = "text", key: str = "doc_id", rate: float = RATE) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, _factor, _prob and _sampled."""
-    own = with_factors(docs, targets, text)[0].withColumn("_prob", F.least(F.lit(1.0), F.col("_factor") * rate))
-    return own.withColumn("_sampled", (chance(key) < F.col("_prob")).cast("int"))
+    """id, source, lang, topic, tokens, factor, expected and copies of each row."""
+    return with_copies(materialize(labelled(docs, text, {"id": F.col(key)}), "labelled"), targets, rate)
 
 
 def resample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, text: str = "text", key: str = "doc_id", rate: float = RATE) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, _factor and _expected copies, each row as often as it is drawn. The expected copies are
-    in proportion to the factors, so the sample's expected token shares are the raked ones; they sum to `rate` of the rows."""
-    own, mean = with_factors(docs, targets, text)
-    own = own.withColumn("_expected", F.col("_factor") * (rate / mean))
-    copies = F.floor("_expected") + (chance(key) < F.col("_expected") - F.floor("_expected")).cast("int")
-    return own.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).drop("_copy")
+    """docs, each row as often as it is drawn."""
+    own = labelled(docs, text, {"row": F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "id": F.col(key)})
+    drawn = with_copies(own, targets, rate).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return drawn.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("_factor", 6).alias("weight"), F.round("_prob", 6).alias("prob"), F.col("_sampled").alias("sampled"))
+    return mixed.select(F.col("id").alias("doc_id"), *CELL, "tokens", F.round("factor", 6).alias("weight"), F.round("expected", 6).alias("expected"), "copies")
 
 
 def _oracle() -> str:
-    steps, last = [], "w0"
-    for i in range(SWEEPS):
-        for d in DIMENSIONS:
-            name = f"w{i}_{d}"
-            steps.append(f"{name} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * t_{d} / sum(w) OVER (PARTITION BY {d}) AS w, t_source, t_lang, t_topic FROM {last})")
-            last = name
+    """The same definition, sweep by sweep."""
     share = lambda d: f"(SELECT {d}, pow(sum(tokens)::DOUBLE, {TEMPERATURE}) AS s FROM c GROUP BY {d})"
-    margins = ",\n".join(f"m_{d} AS (SELECT {d}, s / (SELECT sum(s) FROM {share(d)}) * (SELECT sum(tokens) FROM c) AS t_{d} FROM {share(d)})" for d in DIMENSIONS)
+    margins = ",\n".join(f"m_{d} AS (SELECT {d}, s / (SELECT sum(s) FROM {share(d)}) * (SELECT sum(tokens) FROM c) AS t_{d} FROM {share(d)})" for d in CELL)
+    hits = {name: f"len(list_filter(ws, lambda w: w IN ({', '.join(repr(w) for w in own)})))" for name, own in TOPICS.items()}
+    most = f"greatest({', '.join(hits.values())})"
+    topic = " ".join(f"WHEN {n} = {most} THEN '{name}'" for name, n in hits.items())
+    step = f"SELECT * FROM r WHERE i < {SWEEPS * ROUNDS} AND NOT (i > 0 AND i % {SWEEPS} = 0 AND apart <= {RESIDUAL})"
+    for d in CELL:
+        step = f"SELECT * REPLACE (w * t_{d} / sum(w) OVER (PARTITION BY {d}) AS w) FROM ({step})"
     return f"""
-WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
-  CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '%%%') OR contains(text, '***') OR contains(text, '$$$') THEN 'noise'
-    WHEN contains(text, '@') OR contains(text, '://') THEN 'contact' ELSE 'prose' END AS topic,
+WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z]+') AS ws,
   greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f]+')))::BIGINT AS tokens FROM documents),
-c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
+d AS MATERIALIZED (SELECT doc_id, source, lang, CASE WHEN {most} = 0 THEN 'general' {topic} END AS topic, tokens FROM t),
+c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens, count(*) AS docs FROM d GROUP BY ALL),
 {margins},
-w0 AS MATERIALIZED (SELECT c.*, tokens::DOUBLE AS w, t_source, t_lang, t_topic FROM c JOIN m_source USING (source) JOIN m_lang USING (lang) JOIN m_topic USING (topic)),
-{",".join(steps)},
-f AS (SELECT source, lang, topic, w / tokens AS factor FROM {last})
-SELECT doc_id, source, lang, topic, tokens, round(factor, 6) AS weight, round(least(1.0, factor * {RATE}), 6) AS prob,
-  (('0x' || substr(md5('{SEED}' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < least(1.0, factor * {RATE}))::INTEGER AS sampled
-FROM d JOIN f USING (source, lang, topic)"""
+r(i, source, lang, topic, tokens, docs, w, t_source, t_lang, t_topic, apart) AS (
+  SELECT 0, c.source, c.lang, c.topic, tokens, docs, tokens::DOUBLE, t_source, t_lang, t_topic, 1.0::DOUBLE FROM c JOIN m_source USING (source) JOIN m_lang USING (lang) JOIN m_topic USING (topic)
+  UNION ALL SELECT i + 1, source, lang, topic, tokens, docs, w, t_source, t_lang, t_topic, max(greatest(p_source, p_lang, p_topic)) OVER () / (SELECT sum(tokens) FROM c)
+  FROM (SELECT *, {", ".join(f"abs(sum(w) OVER (PARTITION BY {d}) - t_{d}) AS p_{d}" for d in CELL)} FROM ({step}))),
+f AS MATERIALIZED (SELECT source, lang, topic, docs, w / tokens AS factor FROM r WHERE i = (SELECT max(i) FROM r)),
+e AS (SELECT source, lang, topic, factor, factor * ({RATE} / (SELECT sum(factor * docs) / sum(docs) FROM f)) AS expected FROM f)
+SELECT doc_id, source, lang, topic, tokens, round(factor, 6) AS weight, round(expected, 6) AS expected,
+  (floor(expected) + (('0x' || substr(md5('{SEED}' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < expected - floor(expected))::INTEGER)::BIGINT AS copies
+FROM d JOIN e USING (source, lang, topic)"""
 
 
 ORACLE = _oracle()

@@ -294,29 +294,61 @@ def test_log_mel_blocks_agree(monkeypatch):
     assert np.allclose(whole, audio_features.log_mel(s), atol=1e-3)
 
 
-def test_raking_meets_the_targets(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    target = spark.createDataFrame([("en", 0.4), ("de", 0.3), ("fr", 0.2), ("es", 0.1)], "value string, share double")
-    rows = mixing.mix(docs, {"lang": target}).groupBy("_lang").agg(F.sum(F.col("_factor") * F.col("_tokens")).alias("w")).collect()
-    total = sum(r["w"] for r in rows)
+def margins(rows, d, weight):
+    out = Counter()
     for r in rows:
-        assert abs(r["w"] / total - {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}[r["_lang"]]) < 0.02
+        out[r[d]] += r[weight] * r["tokens"]
+    total = sum(out.values())
+    return {k: v / total for k, v in out.items()}
 
 
-def test_the_sample_has_the_raked_mix(spark, sf):
+def spread_documents(spark, sf):
+    """Each document 20 times, under other ids: enough rows for a sample's shares to settle."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("part", F.explode(F.array(*map(F.lit, range(20)))))
-    docs = docs.withColumn("doc_id", F.col("doc_id") * 20 + F.col("part")).drop("part")
-    cells = mixing.with_cells(docs).groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens")).toPandas()
-    every = mixing.mix(docs).toPandas()
-    _, mean = mixing.with_factors(docs, None, "text")
-    every["expected"] = every["_factor"] * every["_tokens"] * mixing.RATE / mean
-    drawn = mixing.with_cells(corpus_pipeline.mix_sources(spark, docs, sf)).select("_source", "_lang", "_topic", "_tokens").toPandas()
-    assert abs(len(drawn) - mixing.RATE * len(every)) < 0.05 * len(every)
-    for d in ("_source", "_lang", "_topic"):
-        target = cells.groupby(d)["tokens"].sum() ** mixing.TEMPERATURE
-        target /= target.sum()
-        assert (every.groupby(d)["expected"].sum() / every["expected"].sum() - target).abs().max() < 0.01
-        assert (drawn.groupby(d)["_tokens"].sum() / drawn["_tokens"].sum() - target).abs().max() < 0.05
+    return docs.withColumn("doc_id", F.col("doc_id") * 20 + F.col("part")).drop("part")
+
+
+def test_sampled_shares_meet_given_targets(spark, sf):
+    target = {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}
+    given = spark.createDataFrame([*target.items(), ("xx", 0.5)], "value string, share double")
+    rows = mixing.mix(spread_documents(spark, sf), {"lang": given}).collect()
+    for weight, error in (("factor", 1e-4), ("expected", 1e-4), ("copies", 0.03)):
+        got = margins(rows, "lang", weight)
+        assert all(abs(got[k] - v) < error for k, v in target.items()), weight
+    with pytest.raises(ValueError, match="no target for lang"):
+        mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"), {"lang": given.where("value <> 'de'")})
+
+
+def test_sampled_shares_meet_default_targets(spark, sf):
+    docs = spread_documents(spark, sf)
+    rows = mixing.mix(docs).collect()
+    assert abs(sum(r["copies"] for r in rows) - mixing.RATE * len(rows)) < 0.05 * len(rows)
+    plain = [r.asDict() | {"one": 1} for r in rows]
+    for d in mixing.CELL:
+        tokens = margins(plain, d, "one")
+        whole = sum(v**mixing.TEMPERATURE for v in tokens.values())
+        for weight, error in (("expected", 1e-4), ("copies", 0.03)):
+            got = margins(rows, d, weight)
+            assert all(abs(got[k] - v**mixing.TEMPERATURE / whole) < error for k, v in tokens.items()), (d, weight)
+
+
+def test_a_drawn_row_keeps_its_columns(spark, sf):
+    docs = [(i, "the license of a license" if i % 3 else "plain words", f"s{i % 2}", "en") for i in range(60)] + [(None, None, None, None), (7, "", "s1", "en"), (7, "", "s1", "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    own = ["row", "id", "topic", "tokens", "factor", "expected", "copies", "copy", "w", "docs", "_prob"]
+    out = mixing.resample(df.withColumns({c: F.concat_ws("-", F.lit(c), "doc_id") for c in own}))
+    assert out.columns == [*df.columns, *own]
+    assert all(r[c] == (f"{c}-{r['doc_id']}" if r["doc_id"] is not None else c) for r in out.collect() for c in own)
+    times = Counter(r["doc_id"] for r in out.collect())
+    want = {(r["id"], r["copies"]) for r in mixing.mix(df).collect()}
+    assert {k: n for k, n in times.items() if k != 7} == {k: n for k, n in want if n and k != 7}
+
+
+def test_contradicting_margins_warn(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "en"), (2, "c d", "y", "de")], "doc_id long, text string, source string, lang string")
+    of = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
+    with pytest.warns(UserWarning, match="off by"):
+        mixing.mix(docs, {"source": of({"x": 0.9, "y": 0.1}), "lang": of({"en": 0.1, "de": 0.9})}).collect()
 
 
 def test_packing(spark, sf):
