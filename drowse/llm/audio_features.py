@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, table
+from .common import map_texts, materialize, slices, table
 
 UNIT, PAD = 576, b"\xff"
 RATE, UP, DOWN, TAPS = 16_000, 2, 3, 24
@@ -143,7 +143,7 @@ def tensors(media: DataFrame, key: str = "doc_id") -> DataFrame:
         return len(mel), [a * step for a in edges[:-1]], [b * step for b in edges[1:]], full
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             media_ = b.column("media").to_pylist()
             told, made = [facts(m) for m in media_], [of(m) for m in media_]
             columns = [pa.array([t[i] for t in told], kind) for i, kind in enumerate(kinds)]
@@ -174,7 +174,7 @@ def features(stored: DataFrame, key: str = "doc_id") -> DataFrame:
         return f"{len(mel)}:{len(spans)}:{sum(b - a for a, b in spans)}:{means}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lists, n = b.column("tensors"), b.column("n_frames").to_pylist()
             mel = tensor_column(lists.flatten()).to_numpy_ndarray().reshape(-1, MELS)
             starts = np.cumsum([0, *[-(-x // FRAMES) * FRAMES for x in n]])

@@ -55,7 +55,7 @@ def map_texts(docs: DataFrame, key: str, text: str, start: Callable[[], Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = start()
-        for b in batches:
+        for b in slices(batches):
             rows, columns = fn(b.column(1).to_pylist())
             k = b.column(0) if rows is None else b.column(0).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([k, *columns], names)
@@ -65,6 +65,13 @@ def map_texts(docs: DataFrame, key: str, text: str, start: Callable[[], Callable
     return own.mapInArrow(run, f"k {dict(own.dtypes)['k']}, {schema}").withColumnRenamed("k", key)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of `rows` rows at most: what a task makes of a batch beside it stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def renamed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """id, text and content hashes h1, h2 of each row under names of our own, so no column of the input can clash. Rows are the same
     document only if both id and text are."""
@@ -85,8 +92,8 @@ def content_key(col: str | Column) -> list[Column]:
     return [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit("second"), c).alias("h2")]
 
 
-#: Bits of a `bitmap`: 32 MB whatever the number of keys.
-BITS, BITS_A_CHUNK = 1 << 28, 1 << 18
+#: Bits of a `bitmap`: 8 MB whatever the number of keys.
+BITS, BITS_A_CHUNK = 1 << 26, 1 << 18
 
 
 def bitmap(keys: DataFrame, key: str) -> np.ndarray:

@@ -23,6 +23,7 @@ very long line is one row. An empty table gives an empty result. All columns of
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from os.path import commonprefix
@@ -34,13 +35,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, content_key, marked, materialize, only_wanted, renamed, table, whole_groups
+from .common import content_key, discard, materialize, renamed, slices, table, whole_groups
 
 #: The budget: LEAST characters for one edit, one for each SHARE characters from 2 * LEAST on, MOST at most.
 LEAST, SHARE, MOST = 20, 40, 6
 GROUP = 1024  # lines of a block
-RUN, FLUSH, RANGE = 1 << 20, 1 << 22, 1 << 25  # characters hashed at a time, keys sorted at a time, characters whose keys make a range
+RUN, FLUSH, RANGE = 1 << 19, 1 << 21, 1 << 25  # characters hashed at a time, keys sorted at a time, characters whose keys make a range
 PAIRS = 4096  # pairs verified at a time
+WIDTH = 28  # a bitmap of keys has 2 ** WIDTH bits, 32 MB
 PRIME = np.uint64(0xC2B2AE3D27D4EB4F)
 DOC = ["id", "t1", "t2"]
 
@@ -166,8 +168,10 @@ def _counts(lines: list[str]) -> np.ndarray:
 
 
 def have_earlier(rows: pd.DataFrame, known: set[int]) -> np.ndarray:
-    """Whether each line (h1, line, part, cross, and group: a number) has an earlier alike in its group; in a pair of blocks, in the other
-    block. Rows are in order by group, then place. Lines in `known` have one already."""
+    """Whether each line (h1, line, key, keys, part, cross, and group: a number) has an earlier alike in its group; in a pair of blocks, in the
+    other block. Rows are in order by group, then place. Lines in `known` have one already. A pair is looked at in the group of the first
+    key that it shares."""
+    key, keys = rows["key"].tolist(), [frozenset(k.tolist()) for k in rows["keys"]]
     lines, group, part, cross = rows["line"].tolist(), rows["group"].to_numpy(), rows["part"].to_numpy(), rows["cross"].to_numpy()
     sizes, counts = np.array([len(x) for x in lines]), _counts(lines)
     edits, out = np.array([budget(n) for n in sizes.tolist()]), np.array([h in known for h in rows["h1"].tolist()])
@@ -194,8 +198,9 @@ def have_earlier(rows: pd.DataFrame, known: set[int]) -> np.ndarray:
         near = np.abs(sizes[a] - sizes[b]) <= most
         a, b, most = a[near], b[near], most[near]
         near = np.abs(counts[a] - counts[b]).sum(1) <= 2 * most
-        if near.any():
-            found.append((a[near], b[near]))
+        pairs = [(i, j) for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True) if min(keys[i] & keys[j]) == key[j]]
+        if pairs:
+            found.append(tuple(np.array(pairs).T))
             if sum(len(x) for x, _ in found) >= PAIRS:
                 settle()
     settle()
@@ -212,10 +217,13 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return rows.where(compared(F.col("line"))).select("id", "t1", "t2", "pos", "line", *content_key("line"))
 
 
-def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys, and the h1 of the line of each; a line once a task."""
+SECOND = xxhash.xxh64_intdigest("second", 42)  # the seed of a content key's second hash
+
+
+def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], np.ndarray]]:
+    """Keys and the number of the line of each, and the lines and their h1; a line once a task."""
     seen: set[int] = set()
-    for b in batches:
+    for b in slices(batches):
         lines, names = [], []
         for t in b.column(0).to_pylist():
             for line in (t or "").split("\n"):
@@ -227,20 +235,21 @@ def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         while at < len(lines):  # runs of RUN characters, or of one line
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + RUN, side="right")) - 1)
             keys, owner = line_keys(lines[at:to])
-            yield keys, hashes[at:to][owner]
+            yield keys, owner, lines[at:to], hashes[at:to]
             at = to
 
 
-def keys_twice(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The first bits of keys that several lines have, and how many bits. Each task leaves two line hashes at most for a key, sorted and split
-    into ranges that follow the corpus' size; each range is merged."""
+def keys_twice(docs: DataFrame) -> np.ndarray:
+    """A bitmap of 2 ** WIDTH bits, by the first bits of a key: whether several lines have a key there. Each task leaves two line hashes at most for
+    a key, sorted and split into ranges that follow the corpus' size; each range is merged and leaves its piece of the bitmap."""
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    bits = 32 + max(0, math.ceil(math.log2(max(1, size / RANGE))))
+    width = min(WIDTH - 3, max(0, math.ceil(math.log2(max(1, size / RANGE)))))
+    bits = 32 + width
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for keys, names in keys_of(batches):
-            held.append((keys.view(np.uint64) >> np.uint64(64 - bits), (names >> np.uint64(32)).astype(np.uint32)))
+        for keys, owner, _, names in keys_of(batches):
+            held.append((keys.view(np.uint64) >> np.uint64(64 - bits), (names >> np.uint64(32)).astype(np.uint32)[owner]))
             if sum(len(k) for k, _ in held) >= FLUSH:
                 yield ranges(held)
                 held = []
@@ -265,10 +274,16 @@ def keys_twice(docs: DataFrame) -> tuple[DataFrame, int]:
         for keys, more, most in zip(read("keys"), read("more"), read("high"), strict=True):
             high[at + more.astype(np.int64)] = most
             at += len(keys)
-        keys, low, high = _combined(np.concatenate(read("keys")).astype(np.uint64), low, high)
-        return pd.DataFrame({"start": ((np.uint64(of[0]) << np.uint64(32)) + keys[low != high]).view(np.int64)})
+        keys, low, high = _combined(np.concatenate(read("keys")), low, high)
+        piece = np.zeros(1 << (WIDTH - width), np.uint8)
+        piece[(keys[low != high] >> np.uint32(bits - WIDTH)).astype(np.int64)] = 1
+        return pd.DataFrame({"range": [of[0]], "bits": [zlib.compress(np.packbits(piece).tobytes(), 1)]})
 
-    return docs.select("text").mapInArrow(sort, "range long, keys binary, low binary, more binary, high binary").groupBy("range").applyInPandas(merge, "start long"), bits
+    out = np.zeros((1 << width, 1 << (WIDTH - width - 3)), np.uint8)
+    pieces = docs.select("text").mapInArrow(sort, "range long, keys binary, low binary, more binary, high binary").groupBy("range").applyInPandas(merge, "range long, bits binary")
+    for r in pieces.collect():  # 2 ** WIDTH bits in all
+        out[r["range"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out.ravel()
 
 
 def _combined(keys: np.ndarray, low: np.ndarray, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,50 +296,62 @@ def _combined(keys: np.ndarray, low: np.ndarray, high: np.ndarray | None = None)
     return keys[starts], np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
 
 
-def shared_keys(docs: DataFrame) -> DataFrame:
-    """key, h1 and n of the n lines that share a segment; of keys that the same lines share, one."""
-    twice, width = keys_twice(docs)
-    twice = materialize(twice, "keys-twice")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(twice, "start"))
+def line_keys_twice(docs: DataFrame) -> DataFrame:
+    """key, h1, h2 and line of keys that several lines may have; line with the first key of each line of a task only, else null."""
+    bits = docs.sparkSession.sparkContext.broadcast(keys_twice(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, names in keys_of(batches):
-            start = (keys.view(np.uint64) >> np.uint64(64 - width)).view(np.int64)
-            kept = marked(bits.value, start)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (start[kept], keys[kept], names[kept].view(np.int64))], ["start", "key", "h1"])
-
-    some = docs.select("text").mapInArrow(run, "start long, key long, h1 long").join(twice, "start", "left_semi")
-    some = materialize(some.select("key", "h1").distinct(), "shared-segments")
+        for keys, owner, lines, names in keys_of(batches):
+            slot = (keys.view(np.uint64) >> np.uint64(64 - WIDTH)).astype(np.int64)
+            kept = (bits.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+            keys, owner = keys[kept], owner[kept]
+            order = np.argsort(owner, kind="stable")
+            keys, owner = keys[order], owner[order]
+            first = np.r_[True, owner[1:] != owner[:-1]][: len(owner)]
+            second = {i: xxhash.xxh64_intdigest(lines[i].encode(), SECOND) for i in owner[first].tolist()}
+            h2 = np.array([second[i] for i in owner.tolist()], np.uint64).view(np.int64)
+            text = pa.array([lines[i] if f else None for i, f in zip(owner.tolist(), first.tolist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names[owner].view(np.int64)), pa.array(h2), text], ["key", "h1", "h2", "line"])
+
+    return docs.select("text").mapInArrow(run, "key long, h1 long, h2 long, line string")
+
+
+def shared_keys(found: DataFrame) -> DataFrame:
+    """key, h1, h2 and n of the n lines that share a segment; of keys that the same lines share, one. found: of `line_keys_twice`."""
+    some = materialize(found.select("key", "h1", "h2").distinct(), "shared-segments")
     sets = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h1").alias("x"), F.bit_xor(F.xxhash64("h1", F.lit(1))).alias("y")).where("n > 1")
-    return some.join(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "key")
+    out = materialize(some.join(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "key"), "shared-once")
+    discard(some)
+    return out
 
 
 def groups(shared: DataFrame, texts: DataFrame) -> DataFrame:
     """key, cell, lo, hi (blocks), part and the line's columns: all lines of a key, or of a hot one those of two neighbouring cells of
     lengths, in pairs of blocks. A line of a hot key is in its own cell's group and in that of the cell below it."""
-    cell = F.floor(F.length("line") / (MOST + 1)).cast("int")
-    rows = shared.join(texts, "h1").withColumn("own", F.when(F.col("n") > GROUP, cell).otherwise(0))
-    rows = rows.withColumn("cell", F.explode(F.when((F.col("n") > GROUP) & (F.col("own") > 0), F.array("own", F.col("own") - 1)).otherwise(F.array("own"))))
-    sizes = rows.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("size"))
-    rows = rows.join(sizes.where("size > 1"), ["key", "cell"])
-    parts = F.ceil(F.col("size") / GROUP)
-    rows = rows.withColumns({"part": F.pmod(F.xxhash64("h2"), parts).cast("int"), "other": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))})
-    return rows.withColumns({"lo": F.least("part", F.col("other").cast("int")), "hi": F.greatest("part", F.col("other").cast("int"))}).drop("other", "size", "n", "own")
+    zero = F.lit(0)
+    cold = shared.where(F.col("n") <= GROUP).select("key", "h1", "h2", zero.alias("cell"), zero.alias("lo"), zero.alias("hi"), zero.alias("part"))
+    hot = shared.where(F.col("n") > GROUP).join(texts.select("h1", "h2", F.floor(F.length("line") / (MOST + 1)).cast("int").alias("own")), ["h1", "h2"])
+    hot = hot.select("key", "h1", "h2", F.explode(F.when(F.col("own") > 0, F.array("own", F.col("own") - 1)).otherwise(F.array("own"))).alias("cell"))
+    sizes = hot.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    hot = hot.join(sizes.select("key", "cell", F.ceil(F.col("size") / GROUP).cast("int").alias("parts")), ["key", "cell"])
+    hot = hot.withColumns({"part": F.pmod(F.xxhash64("h2"), F.col("parts")).cast("int"), "other": F.explode(F.sequence(zero, F.col("parts") - 1))})
+    hot = hot.select("key", "h1", "h2", "cell", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part")
+    return cold.unionByName(hot).join(texts, ["h1", "h2"])
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """id, t1, t2, exact and near: places of the lines that go, for documents that lose any; docs as `renamed`."""
-    lines = line_hashes(docs)
-    shared = materialize(shared_keys(docs), "shared-once")
+    lines = materialize(line_hashes(docs).drop("line"), "lines")
     place = F.struct(F.col("id").isNotNull().alias("has_id"), "id", "t1", "t2", "pos")
-    firsts = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"))
-    firsts = materialize(firsts, "first-lines")
-    wanted = materialize(shared.select("h1").distinct(), "shared-lines")
-    texts = only_wanted(lines.select("h1", "h2", "line"), wanted, "h1").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "first-lines")
+    found = materialize(line_keys_twice(docs), "segments")
+    shared = shared_keys(found)
     none = F.lit("0").cast(dict(docs.dtypes)["id"])
-    texts = texts.join(firsts, ["h1", "h2"]).select("h1", "h2", "line", "first.has_id", F.coalesce("first.id", none).alias("id"), "first.t1", "first.t2", "first.pos")
+    texts = found.where("line IS NOT NULL").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    texts = texts.join(shared.groupBy("h1", "h2").agg(F.collect_set("key").alias("keys")), ["h1", "h2"]).join(firsts, ["h1", "h2"])
+    texts = texts.select("h1", "h2", "line", "keys", "first.has_id", F.coalesce("first.id", none).alias("id"), "first.t1", "first.t2", "first.pos")
+    texts = materialize(texts, "shared-texts")
     group = ["key", "cell", "lo", "hi"]
-
     order = [*group, "has_id", "id", "t1", "t2", "pos"]
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -334,20 +361,23 @@ def judge(docs: DataFrame) -> DataFrame:
             known.update(rows["h1"][hit].tolist())
             yield rows[hit][["h1", "h2"]]
 
-    pairs = groups(shared, materialize(texts, "shared-texts"))
-    near = pairs.repartition(*group).sortWithinPartitions(*order).mapInPandas(verify, "h1 long, h2 long").distinct().withColumn("near", F.lit(True))
+    pairs = groups(shared, texts).repartition(*group).sortWithinPartitions(*order)
+    near = pairs.mapInPandas(verify, "h1 long, h2 long").distinct().withColumn("near", F.lit(True))
     verdicts = firsts.join(near, ["h1", "h2"], "left").where((F.col("times") > 1) | F.col("near"))
     verdicts = materialize(verdicts.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-verdicts")
-    gone = lines.drop("line").join(verdicts, ["h1", "h2"]).withColumn("again", ~place.eqNullSafe(F.col("first"))).where("near OR again")
+    gone = lines.join(verdicts, ["h1", "h2"]).withColumn("again", ~place.eqNullSafe(F.col("first"))).where("near OR again")
     gone = gone.groupBy("id", "t1", "t2", "pos").agg(F.max(~F.col("again") & F.col("near")).alias("near"))  # equal rows are one document
-    return gone.groupBy("id", "t1", "t2").agg(F.collect_list(F.when(~F.col("near"), F.col("pos"))).alias("exact"), F.collect_list(F.when(F.col("near"), F.col("pos"))).alias("near"))
+    gone = gone.groupBy("id", "t1", "t2").agg(F.collect_list(F.when(~F.col("near"), F.col("pos"))).alias("exact"), F.collect_list(F.when(F.col("near"), F.col("pos"))).alias("near"))
+    gone = materialize(gone, "gone-lines")
+    discard(lines, firsts, found, shared, texts, verdicts)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", report: str | None = None) -> DataFrame:
     """docs with the text of the lines that stay; report: name of one more column, a struct of n_lines, n_exact and n_near (lines that went)."""
-    gone = materialize(judge(renamed(docs, key, text)), "gone-lines").select(F.col("id").alias("gone_id"), *DOC[1:], "exact", "near")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("id"), *[c.alias(n) for c, n in zip(content_key(text), DOC[1:], strict=True)])
-    gone = gone.withColumnsRenamed({"t1": "g1", "t2": "g2"})
+    gone = judge(renamed(docs, key, text)).withColumnsRenamed({"id": "gone_id", "t1": "g1", "t2": "g2"})
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long").alias("n_lines")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("id"), n_lines, *[c.alias(n) for c, n in zip(content_key(text), DOC[1:], strict=True)])
     own = own.join(gone, (F.col("t1") == F.col("g1")) & (F.col("t2") == F.col("g2")) & F.col("id").eqNullSafe(F.col("gone_id")), "left")
     lines = F.split(F.col("row")[text], "\n", -1)
     lost = F.concat("exact", "near")
@@ -356,7 +386,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", report
     kept = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
     new = F.when(F.size(lost) > 0, kept).otherwise(F.col("row")[text])
     count = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long")
-    told = F.struct(F.when(F.col("row")[text].isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), count("exact").alias("n_exact"), count("near").alias("n_near"))
+    told = F.struct("n_lines", count("exact").alias("n_exact"), count("near").alias("n_near"))
     return own.select(*[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns], *([told.alias(report)] if report else []))
 
 

@@ -238,7 +238,7 @@ def test_hot_segments_are_split(spark, monkeypatch):
     docs = [(i, "the same beginning of a log line " + "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(10, 150)))) for i in range(200)]
     own = line_dedup.renamed(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
     lines = line_dedup.line_hashes(own).select("h1", "h2", "line")
-    rows = line_dedup.groups(line_dedup.shared_keys(own), lines).select("key", "cell", "lo", "hi", F.length("line").alias("n")).collect()
+    rows = line_dedup.groups(line_dedup.shared_keys(line_dedup.line_keys_twice(own)), lines).select("key", "cell", "lo", "hi", F.length("line").alias("n")).collect()
     met = {}
     for r in rows:
         met.setdefault((r["key"], r["cell"], r["lo"], r["hi"]), []).append(r["n"])
