@@ -62,35 +62,70 @@ def test_markov_finds_random_tokens_only(spark, sf):
     assert sum(map(hit, plain)) <= 10
 
 
-def test_warc_round_trip_and_order(spark, sf):
+def test_warc_round_trip_and_order(spark, sf, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 5)
+    monkeypatch.setattr(warc, "RANGE", 15)
+    monkeypatch.setattr(warc, "SMALL_FILE", 20)
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
-    odd = spark.createDataFrame([(100001, "http://a.example/x\r\ny", "one\r\n\r\nWARC/1.1\r\n\r\ntwo"), (100002, None, None), (100003, "http://b", ""), (100004, "http://b", "é" * 70_000), (100005, "https://www.b:8/", "é" * 70_000)], pages.schema)
-    rows = pages.union(odd)
+    odd = [(100001, "http://a.example/x\r\ny", "one\r\n\r\nWARC/1.1\r\n\r\ntwo"), (100002, None, None), (100003, "http://b", ""), (100004, "http://b", "é" * 70_000), (100005, "https://www.b:8/", "é" * 70_000), (2**53 + 1, "http://c", "é"), (None, "http://c", "é"), (None, "http://d", "nobody's"), (None, "http://d", "nobody's"), (100007, "http://e", "thrice"), (100007, "http://e", "thrice"), (100007, "http://d", "thrice"), (100009, "http://e", "thrice")]
+    rows = pages.union(spark.createDataFrame(odd, pages.schema))
     path = f"{spark.conf.get('spark.checkpoint.dir')}/test-warc"
     warc.write_archives(rows, path)
-    got = warc.merge_runs(warc.read_runs(spark, path)).collect()
-    source = {r["page_id"]: (r["html"] or "").encode() for r in rows.collect()}
-    first = {}
-    for k in sorted(source):
-        first.setdefault(source[k], k)
-    assert {r["page_id"] for r in got} == set(source)
-    for r in got:
-        data = source[r["page_id"]]
-        response = first[data] == r["page_id"]
-        assert (r["payload_bytes"], r["payload_digest"]) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
-        assert (r["record_type"], r["refers_to"]) == (("response", None) if response else ("revisit", first[data]))
+    runs = warc.read_runs(spark, path)
+    got = warc.merge_runs(runs).collect()
+    source = [(r["page_id"], (r["html"] or "").encode()) for r in rows.collect()]
+    groups = {}
+    for k, data in source:
+        groups.setdefault(data, []).append(k)
+    want = []
+    for data, ids in groups.items():
+        ids = sorted(ids, key=lambda k: (k is None, k or 0))
+        want += [(k, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if i else "response", ids[0] if i else None) for i, k in enumerate(ids)]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted([tuple(r)[:5] for r in got], key=key) == sorted(want, key=key)
+    assert len({r["range"] for r in got}) > 2
     ordered = sorted(got, key=lambda r: (r["range"], r["place"]))
-    assert [r["page_id"] for r in ordered] == [r["page_id"] for r in sorted(got, key=lambda r: (r["url_key"], r["ts"], r["page_id"]))]
+    assert [warc.order(tuple(r)) for r in ordered] == sorted(warc.order(tuple(r)) for r in got)
+    for at in {r["range"] for r in got}:
+        assert [r["place"] for r in ordered if r["range"] == at] == list(range(sum(r["range"] == at for r in got)))
+    assert max(r["n"] for r in warc.blocks(runs, warc.boundaries(runs)).select(F.size("rows").alias("n")).collect()) <= 5
+
+
+def capture_row(rng):
+    return rng.randrange(50), 0, "", "", None, rng.choice("abc"), str(rng.randrange(3))
 
 
 def test_loser_tree():
     rng = random.Random(3)
-    row = lambda: (rng.randrange(50), 0, "", "", None, rng.choice("abc"), str(rng.randrange(3)))
     for k in (0, 1, 2, 3, 7):
-        runs = [sorted((row() for _ in range(rng.randrange(9))), key=warc.order) for _ in range(k)]
+        runs = [sorted((capture_row(rng) for _ in range(rng.randrange(9))), key=warc.order) for _ in range(k)]
         assert [warc.order(x) for x in warc.loser_tree(runs)] == sorted(warc.order(x) for r in runs for x in r)
 
 
+def test_merge_holds_a_block_of_each_run():
+    """Blocks are asked for no sooner than the block before in their run is used up."""
+    rng = random.Random(4)
+    runs = [sorted(((rng.randrange(10**6), 0, "", "", None, "a", "") for _ in range(200)), key=warc.order) for _ in range(6)]
+    blocks = [(None if i == 0 else warc.order(r[i - 1]), str(n), i + 20 >= len(r), r[i : i + 20]) for n, r in enumerate(runs) for i in range(0, len(r), 20)]
+    blocks.sort(key=lambda b: (b[0] is not None, b[0] or (), b[1]))
+    read = 0
+
+    def arriving():
+        nonlocal read
+        for after, name, last, rows in blocks:
+            read += len(rows)
+            yield name, after is None, last, rows
+
+    most = done = 0
+    out = []
+    for row in warc.merged(arriving()):
+        out.append(row)
+        done += 1
+        most = max(most, read - done)
+    assert out == sorted((x for r in runs for x in r), key=warc.order)
+    assert most <= (len(runs) + 1) * 20
+
+
 def test_topk_with_odd_vectors(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8) * rng.choice([0.01, 1, 30])]) for i in range(0, 400, 4)]
@@ -118,6 +153,52 @@ def test_topk_blocks_hold_a_crowded_bucket(spark, monkeypatch):
         assert [got[q, i + 1] for i in range(10)] == [i for _, i in order]
 
 
+def test_topk_prunes_and_stays_exact():
+    """Queries near some vectors, lengths of a bucket: pairs are left out both by length and by coordinates, no result is."""
+    rng = np.random.default_rng(9)
+    for dim in (4, 16):
+        centers = rng.normal(size=(30, dim))
+        unit = centers[rng.integers(0, 30, 600)] + 0.1 * rng.normal(size=(600, dim))
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        v = np.floor(unit * rng.uniform(900, 1024, 600)[:, None]).astype(np.int64)
+        v = v[np.argsort(-(v.astype(float) ** 2).sum(1), kind="stable")]
+        ids, seen = np.arange(600), {}
+        pick = rng.choice(600, 60, replace=False)
+        q, q_ids = v[pick], ids[pick]
+        exact = q @ v.T
+        exact[np.arange(60), pick] = -(2**62)
+        floors = np.sort(exact, axis=1)[:, -10].astype(float)
+        got = {}
+        for i, j, s in topk.search_block(q_ids, q, floors, ids, v, 10, seen):
+            got.setdefault(i, []).append((-s, j))
+        for row, i in enumerate(q_ids):
+            want = sorted((-int(exact[row, j]), int(j)) for j in range(600) if exact[row, j] >= floors[row])[:10]
+            assert sorted(got[i])[:10] == want
+        assert seen["length"] > 0 and seen["coordinates"] > 1000
+        assert seen["verified"] + seen["length"] + seen["coordinates"] == 60 * 600
+        assert seen["verified"] < 0.8 * 60 * 600
+
+
+def test_topk_sends_queries_only_to_useful_buckets(spark):
+    parts = {topk.WIDTHS * b + 4: 2 for b in (-1, 0, 10, 40)}
+    need = topk.RATIO**20
+    got = spark.range(1).withColumn("need", F.lit(need)).select(F.explode(topk._useful_blocks(parts, "need")).alias("b")).select("b.*")
+    assert {tuple(r) for r in got.collect()} == {(topk.WIDTHS * 40 + 4, 0), (topk.WIDTHS * 40 + 4, 1)}
+
+
+def test_topk_never_overflows(spark):
+    big = [(0, [4e6] * 4), (100, [4e6] * 4), (7, [-4e6, 4e6, -4e6, 4e6])]
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    with pytest.raises(Exception, match="too great"):
+        topk.top_k(spark.createDataFrame([(0, [1e15]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    near = [(0, [2.5e6, 0.0]), (100, [0.0, 2.5e6]), (7, [-1.0, 2.5e6])]
+    got = topk.top_k(spark.createDataFrame(near, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+    m = {k: [int(np.floor(1024 * x)) for x in v] for k, v in near}
+    want = {(q, i + 1, k, -s) for q in (0, 100) for i, (s, k) in enumerate(sorted((-sum(a * b for a, b in zip(m[q], m[k], strict=True)), k) for k in m if k != q))}
+    assert {tuple(r) for r in got} == want
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     scored = toxicity.op4_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
@@ -258,21 +339,63 @@ def test_each_line_stays_in_one_document(spark, sf):
 
 
 def test_audio_round_trip(spark):
-    rows = [(1, "héllo"), (2, None), (3, ""), (4, "x" * 576), (5, "words and more " * 30_000), (6, "héllo")]
+    rows = [(1, "héllo"), (2, None), (3, ""), (4, "x" * 576), (5, "words and more " * 30_000), (6, "héllo"), (2**53 + 1, "one"), (None, "two"), (2**53 + 3, "three")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit(0))
     media = audio_features.media_column(df)
-    got = {r["doc_id"]: r for r in audio_features.features(media).collect()}
+    stored = audio_features.tensors(media)
+    got = {r["doc_id"]: r for r in audio_features.features(stored).collect()}
+    assert set(got) == {k for k, _ in rows}
     for k, t in rows:
         raw = (t or "").encode()
         payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
         r = got[k]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert r["media_bytes"] == len(payload) + 44
+        mel = audio_features.log_mel(np.frombuffer(payload, np.uint8))
+        spans = plain_segments(mel)
+        means = ",".join(str(round(float(v) * 100)) for v in mel.mean(axis=0, dtype=np.float64))
+        assert r["feature"] == f"{len(mel)}:{len(spans)}:{sum(b - a for a, b in spans)}:{means}"
     assert got[1]["feature"] == got[6]["feature"] != got[4]["feature"]
-    parts = audio_features.tensors(media).where("doc_id = 5").orderBy("part").toArrow()
-    column = audio_features.tensor_column(parts["tensor"])
+    long = stored.where("doc_id = 5").collect()[0]
+    column = audio_features.tensor_column(pa.array(long["tensors"], pa.list_(pa.float32())))
     assert isinstance(column.type, pa.FixedShapeTensorType)
     assert column.type.shape == [audio_features.FRAMES, audio_features.MELS]
+    seconds = audio_features.HOP * audio_features.DOWN / (audio_features.RATE * audio_features.UP)
+    assert long["start_s"] == [0.0, *long["end_s"][:-1]] and abs(long["end_s"][-1] - long["n_frames"] * seconds) < 1e-9
+    assert len(long["tensors"]) == -(-long["n_frames"] // audio_features.FRAMES)
+
+
+def plain_segments(mel):
+    e = mel.mean(axis=1)
+    high, low = e.mean() + 0.5 * e.std(), e.mean() - 0.25 * e.std()
+    out, start = [], None
+    for i, x in enumerate(e):
+        if start is None and x >= high:
+            start = i
+        elif start is not None and x < low:
+            out.append((start, i))
+            start = None
+    return out + ([(start, len(e))] if start is not None else [])
+
+
+def test_segments_with_hysteresis():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        mel = np.cumsum(rng.normal(size=(rng.integers(1, 80), 4)), axis=0)
+        assert audio_features.segments(mel) == plain_segments(mel)
+
+
+def test_log_mel_matches_the_plain_form():
+    s = np.random.default_rng(4).integers(0, 256, 1500).astype(np.uint8)
+    x = (s.astype(np.float64) - 128) / 128
+    h, up, down = audio_features.low_pass().astype(np.float64), audio_features.UP, audio_features.DOWN
+    wide = np.zeros(len(x) * up)
+    wide[::up] = x
+    y = np.convolve(wide, h)[: len(wide)][::down]
+    frames = 1 + (len(x) * up // down - audio_features.FRAME) // audio_features.HOP
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(audio_features.FFT // 2 + 1), np.arange(audio_features.FRAME)) / audio_features.FFT)
+    plain = [np.log(np.abs(turn @ (y[i * audio_features.HOP :][: audio_features.FRAME] * np.hanning(audio_features.FRAME))) ** 2 @ audio_features.mel_filters() + 1e-6) for i in range(frames)]
+    assert np.abs(audio_features.log_mel(s) - np.array(plain)).max() <= 0.5 / audio_features.STEPS + 1e-3
 
 
 def test_resampling_matches_the_plain_form():
