@@ -2,13 +2,16 @@
 
 Every template is a sequence of licence words, some of them mandatory (its key phrase). A template's weight is the sum of its
 words' inverse document frequencies over the whole corpus. A place matches if the words found at their relative positions
-carry at least THRESHOLD of the weight and all mandatory words stand there. Of each template only the highest-IDF words are
-indexed: so many that the others together stay below the threshold, so a match always holds an indexed word (prefix
-filtering) and nothing is lost. A file's rare words are looked up, their postings give (template, start) pairs, equal starts
-meet, and only these are verified.
+carry at least THRESHOLD of the weight and all mandatory words stand there.
 
-Nulls and empty texts have no words: counts 0, labels '', score 0, places null. Repeated rows give repeated rows. Other
-columns of the input are ignored, whatever their names.
+Of each template only the highest-IDF words are indexed, as postings of template and position: so many that a match, which misses less
+than the rest of the weight, must hold two of them (one, where a single word outweighs that), so nothing is lost. Of a file only
+words of the index are looked up. Each hit gives the start that its posting implies; the starts are sorted, so that postings which meet at
+one relative position lie side by side, and only starts with as many hits as the template needs are verified, words and key phrase.
+
+Nulls and empty texts have no words: counts 0, labels '', score 0, places null. A very long text is one row, worked in linear passes over its
+words but for the sort of its hits. Labels and places are sets, so ties leave nothing open. Repeated rows give repeated rows. Other
+columns of the input are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,6 +47,14 @@ NOTICES = [
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0 1 0"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included"),
+    ("gpl-2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "either version 2 of the license"),
+    ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "either version 3 of the license"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "distributed under the license is distributed on an as is basis"),
+    ("bsd-2-clause", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", "in no event will the authors be held liable"),
+    ("bsl-1", "boost software license version 1 0", "boost software license"),
+    ("epl-2", "made available under the terms of the eclipse public license 2 0", "eclipse public license 2"),
 ]
 
 
@@ -72,24 +83,28 @@ def word_weights(docs: DataFrame, text: str = "text") -> dict[str, int]:
     return {w: 1 + math.floor(1000 * math.log((n + 1) / (df.get(w, 0) + 1))) for w in vocabulary}
 
 
-def rare_positions(words: list[str], weights: dict[str, int], share: float) -> list[int]:
-    """Positions of the highest-IDF words, until the rest weighs less than `share` of all: one of them is in every match."""
+def rare_positions(words: list[str], weights: dict[str, int], share: float) -> tuple[list[int], int]:
+    """Positions of the highest-IDF words, and how many of them every match holds. A match misses (1 - share) of the weight at most, so of the
+    chosen words it holds what they weigh beyond that: two of them as soon as that is more than the heaviest, or else one."""
     order = sorted(range(len(words)), key=lambda i: (-weights[words[i]], words[i], i))
-    left, out = sum(weights[w] for w in words), []
-    need = share * left
-    while order and left >= need - 1e-9:
-        i = order.pop(0)
-        out.append(i)
-        left -= weights[words[i]]
-    return sorted(out)
+    own = [weights[words[i]] for i in order]
+    missed = (1 - share) * sum(own) + 1e-6
+    for need, least in ((2, own[0]), (1, 0)):
+        for n in range(need, len(order) + 1):
+            if sum(own[:n]) - missed > least:
+                return sorted(order[:n]), need
+    return sorted(order), 1
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (label, start word, share)."""
     weights, known = word_weights(docs, text), templates()
     postings: dict[str, list[tuple[int, int]]] = {}
+    needs = []
     for t, x in enumerate(known):
-        for q in rare_positions(x["words"], weights, 1.0 if x["base"] else THRESHOLD):
+        places, need = rare_positions(x["words"], weights, 1.0 if x["base"] else THRESHOLD)
+        needs.append(need)
+        for q in places:
             postings.setdefault(x["words"][q], []).append((t, q))
     rare = sorted(postings)
 
@@ -108,8 +123,13 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
 
     spots = F.transform(F.col("_words"), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     rows = docs.select(*keep, words_of(text).alias("_words")).withColumn("_hits", F.filter(spots, lambda s: s["w"].isin(rare)))
-    pairs = F.flatten(F.transform(F.col("_hits"), lambda h: F.transform(F.filter(index, lambda p: p["w"] == h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["q"]).alias("start")))))
-    rows = rows.withColumn("_pairs", F.array_distinct(pairs))
+    # a template and a start as one number, so that they sort by template and lie side by side where postings meet
+    starts = F.flatten(F.transform(F.col("_hits"), lambda h: F.transform(F.filter(index, lambda p: (p["w"] == h["w"]) & (p["q"] <= h["i"])), lambda p: p["t"] * F.lit(1 << 32) + (h["i"] - p["q"]))))
+    rows = rows.withColumn("_starts", F.array_sort(starts))
+    need = lambda c: F.get(F.array(*map(F.lit, needs)), F.shiftright(c, 32).cast("int"))
+    first = lambda c, i: (i == 0) | (F.get(F.col("_starts"), i - 1) != c)
+    enough_hits = lambda c, i: first(c, i) & F.coalesce(F.get(F.col("_starts"), i + need(c) - 1) == c, F.lit(False))
+    rows = rows.withColumn("_pairs", F.transform(F.filter("_starts", enough_hits), lambda c: F.struct(F.shiftright(c, 32).cast("int").alias("t"), (c % F.lit(1 << 32)).cast("int").alias("start"))))
     matched = F.transform(F.col("_pairs"), lambda c: F.struct(F.get(known_col, c["t"])["label"].alias("label"), F.get(known_col, c["t"])["base"].alias("base"), c["start"].alias("start"), (share(c) / F.get(known_col, c["t"])["total"]).alias("share")))
     enough = lambda m: (m["share"] >= F.when(m["base"], 1.0).otherwise(THRESHOLD))
     rows = rows.withColumn("matches", F.filter(matched, enough)).withColumn("_base", F.filter("matches", lambda m: m["base"]))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from drowse.llm import audio_features, catalog, line_dedup, mixing, near_dup, packing, secret_scan, topk, toxicity, warc
+from drowse.llm import audio_features, catalog, license_scan, line_dedup, mixing, near_dup, packing, secret_scan, topk, toxicity, warc
 
 WORDS = "the of under license version apache mit cc by nc gnu general public stone river cloud paper garden window yellow silent".split()
 
@@ -40,6 +40,24 @@ def test_sql(spark, sf, name):
     assert all(close(x, y) for a, b in rows for x, y in zip(a, b, strict=True))
 
 
+def test_license_index_needs_two_postings():
+    """Any match holds as many indexed words as its template needs, and nearly all templates need two."""
+    rng = random.Random(2)
+    needs = []
+    for x in license_scan.templates():
+        weights = {w: rng.choice([200, 1000, 4000, 9000]) for w in x["words"]}
+        share = 1.0 if x["base"] else license_scan.THRESHOLD
+        places, need = license_scan.rare_positions(x["words"], weights, share)
+        needs.append(need)
+        total = sum(weights[w] for w in x["words"])
+        for _ in range(200):
+            held = [i for i in range(len(x["words"])) if x["must"][i] or rng.random() < 0.9]
+            if sum(weights[x["words"][i]] for i in held) >= share * total:
+                assert len(set(held) & set(places)) >= need
+        assert len(places) < len(x["words"]) or len(places) <= 3 or need == 1
+    assert sum(n == 2 for n in needs) > 0.8 * len(needs)
+
+
 def test_secrets_against_plain_patterns(spark, sf):
     docs = texts(spark, sf) + [(-1, None), (-2, 'Token : "abcdef" secret=a token=b AKIA' + "Z" * 16 + " " + "0af" * 9), (-3, "api_key=x.y-z=/+ password='q")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
