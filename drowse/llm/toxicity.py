@@ -1,65 +1,68 @@
-"""Toxicity by a support vector machine over a gapped-subsequence string kernel, with Nystroem landmarks.
+"""Toxicity by a support vector machine over a gapped-subsequence string kernel, with Nystroem landmarks, trained on labelled sentences.
 
 Kernel: two words are alike by the subsequences of ORDER characters they share (the word's ends count as characters), each
 weighted by DECAY for every character skipped, up to GAP skipped in all, and divided by the norm of a word of that length. An
-insult with an inserted or a missing character keeps most of its subsequences. Spelling is folded first: case, accents, digits
-that stand for letters, marks inside words, and single letters with spaces between.
-
-Training, on a bounded sample of labelled documents: of a toxic document's sentences only some words are toxic, so each document
-names as witness the word, or word beginning, that most other toxic documents and hardly any clean ones have; documents that
-look like copies count once. Witnesses, also with a character inserted, against words of clean documents, then again
-with the clean words that scored highest. Kernel values with LANDMARKS words make the Nystroem features of a linear support
-vector machine with squared hinge loss. As the kernel is a product of explicit sparse features, the machine folds into one table
-of weights, and scoring a text costs a few look-ups per character whatever the number of landmarks.
-
-A document scores by its WORST worst words, through a logistic curve fitted on the sample. A null or empty text, and one without
-letters, scores as a text without any toxic word. Without labels of both classes each score is 0. Repeated rows give repeated
-rows; language, source, id and other columns are never inputs of a score.
+insult with an inserted or a missing character keeps most of its subsequences. A sentence's features are the sum of its words'.
+Spelling is folded first: case, accents and marks, digits that stand for letters, and single letters with spaces between; letters
+beyond a to z fall into a few classes by their code.
+
+Training, on a bounded sample of labelled documents, as multiple-instance learning: each sentence of a clean document is clean, and of a toxic
+document one to WORST sentences are witnesses, which the machine itself picks. It begins with the difference of the two classes' mean
+features; then the sentences of a toxic document with the highest words are its witnesses. Witnesses, each also with a character inserted in
+its highest word, against sentences of clean documents, those with the highest words among them, train the next machine, until the
+witnesses stay the same or ROUNDS are over. Kernel values with LANDMARKS words (of witnesses and of clean sentences) make the Nystroem
+features of a linear support vector machine with squared hinge loss. As the kernel is a product of explicit sparse features, the machine
+folds into one table of weights, and scoring a text costs a few look-ups per character whatever the number of landmarks.
+
+A document scores by its WORST highest words, through a logistic curve fitted on the sample. A null or empty text, and one without
+letters, scores as a text without any toxic word. A very long text is scored whole, in memory that follows its length. Without labels of
+both classes each score is 0. Equal texts score alike, and repeated rows give repeated rows; language, source, id and other columns are never
+inputs of a score. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, slices, table
 
 #: Bounds of the training sample: documents of each class (smallest hash first), and the length of a training text.
 SAMPLE, SAMPLE_CHARS = 1500, 8_000
 ORDER, GAP, DECAY = 4, 2, 0.6
-LANDMARKS, NEGATIVES, HARD, RIDGE = 160, 4000, 3000, 1e-2
-SIDE = 28  # word end, 26 letters, any other letter
+LANDMARKS, NEGATIVES, ROUNDS, RIDGE = 160, 2400, 5, 1e-3
+SIDE = 32  # word end, 26 letters, classes of other letters
 SPANS = [(a, b, d) for d in range(ORDER - 1, ORDER + GAP) for a, b in itertools.combinations(range(1, d), 2)]
 WORST = 3  # words that a document's score looks at
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 
 def _fold_table() -> np.ndarray:
-    """0: space, 255: dropped, 1-26: letter, 27: another letter."""
-    out = np.full(0x300, 255, np.uint8)
-    for i in range(0x300):
-        base = unicodedata.normalize("NFD", chr(i))[0].lower()
-        if chr(i).isspace():
+    """0: space, 255: dropped, 1-26: letter, 27-31: another letter, by its code. By Unicode category, for the first 2 ** 16 codes."""
+    out = np.full(1 << 16, 255, np.uint8)
+    for i in range(1 << 16):
+        kind = unicodedata.category(chr(i))
+        base = unicodedata.normalize("NFKD", chr(i))[0].lower()
+        if chr(i).isspace() or kind in ("Zs", "Zl", "Zp", "Pd") and i > 127:
             out[i] = 0
         elif "a" <= base <= "z":
             out[i] = ord(base) - 96
-        elif chr(i).isalpha():
-            out[i] = 27
+        elif kind[0] == "L":
+            out[i] = 27 + i % 5
     for digit, letter in zip("013457@", "oieasta", strict=True):
         out[ord(digit)] = ord(letter) - 96
     return out
 
 
 FOLD = _fold_table()
+ENDS = np.array([ord(x) for x in ".!?"])
 
 
 def _norms(longest: int = 512) -> np.ndarray:
@@ -71,13 +74,15 @@ def _norms(longest: int = 512) -> np.ndarray:
 NORMS = _norms()
 
 
-def fold(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Characters of all texts, a 0 before each word; places of those zeros; text of each word."""
+def fold(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all texts, a 0 before each word; places of those zeros; text and sentence of each word. A sentence ends at a line's
+    end, and at a full stop, question or exclamation mark with a space behind."""
     low = [(t or "").lower() for t in texts]
     codes = np.frombuffer("\n\n".join(["", *low, ""]).encode("utf-32-le"), "<u4")
-    codes = np.where(codes < 0x300, FOLD[np.minimum(codes, 0x2FF)], np.uint8(27)).astype(np.uint8)
-    kept = np.flatnonzero(codes != 255)
-    c = codes[kept]
+    c = np.where(codes < len(FOLD), FOLD[np.minimum(codes, len(FOLD) - 1)], np.uint8(27) + (codes % 5).astype(np.uint8)).astype(np.uint8)
+    ends = np.flatnonzero((codes == 10) | (np.isin(codes, ENDS) & np.append(c[1:] == 0, True)))
+    kept = np.flatnonzero(c != 255)
+    c = c[kept]
     gap = np.flatnonzero(c == 0)
     gap = gap[(gap >= 2) & (gap < len(c) - 2)]
     lone = gap[(c[gap - 1] > 0) & (c[gap - 2] == 0) & (c[gap + 1] > 0) & (c[gap + 2] == 0)]
@@ -87,7 +92,8 @@ def fold(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         c, kept = c[stay], kept[stay]
     starts = np.flatnonzero((c[:-1] == 0) & (c[1:] > 0))
     begins = np.cumsum([2, *[len(t) + 2 for t in low]])
-    return c, starts, np.searchsorted(begins, kept[starts + 1], side="right") - 1
+    at = kept[starts + 1]
+    return c, starts, np.searchsorted(begins, at, side="right") - 1, np.searchsorted(ends, at)
 
 
 def _subsequences(c: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
@@ -135,10 +141,10 @@ class Model:
     curve: np.ndarray  # of the logistic curve, by column of `_summary`, and its offset
 
 
-def _svm(z: np.ndarray, y: np.ndarray, much: np.ndarray) -> np.ndarray:
-    """Weights and offset of a linear machine with squared hinge loss, rows weighted by `much` and classes balanced, by Newton steps."""
+def _svm(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and offset of a linear machine with squared hinge loss, classes balanced, by Newton steps."""
     z = np.hstack([z, np.ones((len(z), 1))])
-    side = np.where(y > 0, 0.5 * much / much[y > 0].sum(), 0.5 * much / much[y < 0].sum())
+    side = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
     w = np.zeros(z.shape[1])
     for _ in range(30):
         active = y * (z @ w) < 1
@@ -150,91 +156,121 @@ def _svm(z: np.ndarray, y: np.ndarray, much: np.ndarray) -> np.ndarray:
     return w
 
 
-def _nystroem(words: list[bytes], y: np.ndarray, much: np.ndarray, landmarks: list[bytes]) -> np.ndarray:
-    """The machine's table of weights."""
-    c, starts, _ = _joined(words)
-    lc, ls, _ = _joined(landmarks)
-    k, inner = np.empty((len(words), len(landmarks))), np.empty((len(landmarks), len(landmarks)))
+def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    c = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8)
+    return c, np.flatnonzero((c[:-1] == 0) & (c[1:] > 0))
+
+
+@dataclass
+class Sentences:
+    """Distinct words of texts, the word numbers of all sentences in a row, where each sentence begins, and its text."""
+
+    words: list[bytes]
+    of: np.ndarray
+    starts: np.ndarray
+    text: np.ndarray
+
+    def highest(self, values: np.ndarray) -> np.ndarray:
+        """The highest of the words' values in each sentence."""
+        return np.maximum.reduceat(values[self.of], self.starts)
+
+
+def sentences_of(texts: list[str]) -> Sentences:
+    c, starts, text, sentence = fold(texts)
+    zeros, raw = np.append(np.flatnonzero(c == 0), len(c)), c.tobytes()
+    ends = zeros[np.searchsorted(zeros, starts, side="right")]
+    number: dict[bytes, int] = {}
+    of = np.array([number.setdefault(raw[a + 1 : b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    new = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]]) if len(of) else np.empty(0, np.int64)
+    return Sentences(list(number), of, new, text[new])
+
+
+def _mean_features(s: Sentences, share: np.ndarray) -> np.ndarray:
+    """Sum of the words' features, each over its norm and times its share, as a table."""
+    c, starts = _joined(s.words)
+    letters = np.diff(np.append(starts, len(c) - 1)) - 1 + 2
+    each = np.repeat(share / np.maximum(NORMS[np.minimum(letters, len(NORMS) - 1)], 0.5), np.diff(np.append(starts, len(c))))
+    out = np.zeros(SIDE**ORDER)
+    for f, w in _subsequences(c):
+        out += np.bincount(f, w * each, minlength=len(out))
+    out[0] = 0
+    return out.astype(np.float32)
+
+
+def _trained(s: Sentences, rows: np.ndarray, y: np.ndarray, swapped: list[tuple[int, int, bytes]], landmarks: list[bytes]) -> np.ndarray:
+    """The machine's table of weights from sentences `rows`, through Nystroem features over landmark words. swapped: further rows, each the
+    row of that number with one word (of that number) replaced by another."""
+    ends = np.append(s.starts[1:], len(s.of))
+    size = ends[rows] - s.starts[rows]
+    at = s.of[np.repeat(s.starts[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    used, at = np.unique(at, return_inverse=True)
+    row, old = np.array([r for r, _, _ in swapped], np.int64), np.searchsorted(used, [w for _, w, _ in swapped])
+    c, starts = _joined([s.words[i] for i in used] + [w for _, _, w in swapped])
+    y = np.concatenate([y, y[row]])
+    lc, ls = _joined(landmarks)
+    k, inner = np.empty((len(y), len(landmarks))), np.empty((len(landmarks), len(landmarks)))
     for i, w in enumerate(landmarks):  # one table at a time
         table_ = features_of(w)
-        k[:, i], inner[:, i] = word_scores(c, starts, table_), word_scores(lc, ls, table_)
+        each, inner[:, i] = word_scores(c, starts, table_), word_scores(lc, ls, table_)
+        whole = np.add.reduceat(each[at], np.cumsum(size) - size)
+        k[:, i] = np.concatenate([whole, whole[row] - each[old] + each[len(used) :]])
     value, vector = np.linalg.eigh((inner + inner.T) / 2)
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
-    beta = root @ _svm(k @ root, y, much)[:-1]
+    beta = root @ _svm(k @ root, y)[:-1]
     out = np.zeros(SIDE**ORDER, np.float32)
     for b, w in zip(beta, landmarks, strict=True):
         out += np.float32(b) * features_of(w)
     return out
 
 
-def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    c = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8)
-    return c, np.flatnonzero((c[:-1] == 0) & (c[1:] > 0)), np.empty(0)
-
-
-def _words(texts: list[str]) -> list[list[bytes]]:
-    c, starts, text = fold(texts)
-    zeros = np.append(np.flatnonzero(c == 0), len(c))
-    ends = zeros[np.searchsorted(zeros, starts, side="right")]
-    raw = c.tobytes()
-    out: list[list[bytes]] = [[] for _ in texts]
-    for a, b, t in zip(starts.tolist(), ends.tolist(), text.tolist(), strict=True):
-        out[t].append(raw[a + 1 : b])
-    return out
-
-
-def _witnesses(toxic: list[list[bytes]], clean: list[list[bytes]]) -> Counter:
-    """Words that make documents toxic, with the number of documents that name them."""
-
-    def once(docs: list[list[bytes]]) -> list[set[bytes]]:
-        seen: dict[bytes, set[bytes]] = {}
-        for d in docs:
-            if d:
-                seen.setdefault(max(d, key=lambda w: (len(w), w)), set(d))
-        return list(seen.values())
-
-    def keys(w: bytes) -> tuple[bytes, ...]:
-        return (w, b"\xff" + w[:5], b"\xff" + w[:4]) if len(w) > 4 else (w,)
-
-    bad, good = once(toxic), once(clean)
-    floor = max(3, len(bad) // 50)  # fewer may be chance
-    n_bad = Counter(k for d in bad for k in {k for w in d for k in keys(w)})
-    n_bad = Counter({k: n for k, n in n_bad.items() if n >= floor})
-    n_good = Counter(k for d in good for k in {k for w in d for k in keys(w)} & n_bad.keys())
-    worth = lambda k: n_bad[k] if n_bad[k] / len(bad) >= 20 * (n_good[k] + 0.25) / max(1, len(good)) else 0
-    out: Counter = Counter()
-    for d in bad:
-        value, word = max((max(worth(k) for k in keys(w)), w) for w in d)
-        if value:
-            out.update(w for w in d if max(worth(k) for k in keys(w)) >= max(floor, value // 4))
-    return out
-
-
 def fit(texts: list[str], labels: list[int]) -> Model:
     y = np.array(labels)
-    words = _words(texts)
-    toxic, clean = [w for w, v in zip(words, y, strict=True) if v], [w for w, v in zip(words, y, strict=True) if not v]
-    named = _witnesses(toxic, clean) if toxic and clean else Counter()
-    common = Counter(w for d in clean for w in set(d))
-    vocabulary = sorted(common, key=hash_of)
-    if not named or not vocabulary:
+    s = sentences_of(texts)
+    toxic = y[s.text] == 1 if len(s.starts) else np.empty(0, bool)
+    if not toxic.any() or toxic.all():
         return Model(np.zeros(SIDE**ORDER, np.float32), np.array([0.0] * WORST + [-40.0]))
-    positive = [w for w, _ in named.most_common(2000)]
-    inserted = [w[:i] + bytes([1 + hash_of(w) % 26]) + w[i:] for w in positive for i in (1 + hash_of(w) % max(1, len(w) - 1),) if len(w) > 4]
-    negative = vocabulary[:NEGATIVES]
-    weights = None
-    for _ in range(2):
-        landmarks = positive[: LANDMARKS // 2] + negative[-(LANDMARKS // 2) :]
-        rows = positive + inserted + negative
-        sides = np.array([1.0] * (len(positive) + len(inserted)) + [-1.0] * len(negative))
-        weights = _nystroem(rows, sides, np.array([1.0 if y > 0 else math.log2(2 + common[w]) for w, y in zip(rows, sides, strict=True)]), landmarks)
-        c, starts, _ = _joined(vocabulary)
-        hard = np.argsort(-word_scores(c, starts, weights), kind="stable")[:HARD]
-        negative = list(dict.fromkeys(negative[:NEGATIVES] + [vocabulary[i] for i in hard]))
+    c, starts = _joined(s.words)
+    # means over documents that have a word, so that a copied or long document counts no more than once for it
+    long = np.repeat(np.arange(len(s.starts)), np.diff(np.append(s.starts, len(s.of))))
+    pairs = np.unique(np.stack([s.of, s.text[long]]), axis=1)
+    share = [np.bincount(pairs[0][y[pairs[1]] == v], minlength=len(s.words)) / max(1, (y == v).sum()) for v in (0, 1)]
+    weights = _mean_features(s, share[1] - share[0])
+    clean, bad = np.flatnonzero(~toxic), np.flatnonzero(toxic)
+    clean_words = sorted({s.words[i] for i in s.of[~toxic[long]]}, key=hash_of)[: LANDMARKS // 2]
+    order, witness = np.array(sorted(clean.tolist(), key=lambda i: hash_of(b" ".join(s.words[w] for w in s.of[s.starts[i] : s.starts[i] + 8])))), None
+    for _ in range(ROUNDS):
+        word = word_scores(c, starts, weights)
+        score = s.highest(word)
+        best = bad[np.lexsort((-score[bad], s.text[bad]))]
+        first = np.flatnonzero(np.r_[True, s.text[best][1:] != s.text[best][:-1]])
+        size = np.diff(np.append(first, len(best)))
+        place, most = np.arange(len(best)) - np.repeat(first, size), np.repeat(score[best[first]], size)
+        new = np.sort(best[(place == 0) | (place < WORST) & (score[best] >= 0.25 * most)])
+        if witness is not None and np.array_equal(new, witness):
+            break
+        witness = new
+        counts = np.bincount(s.of[np.isin(long, witness)], minlength=len(s.words))
+        names = np.argsort(-word * np.sqrt(counts), kind="stable")[: LANDMARKS // 2]
+        landmarks = list(dict.fromkeys([s.words[i] for i in names if counts[i]] + clean_words))
+        negative = np.unique(np.concatenate([order[: NEGATIVES // 2], clean[np.argsort(-score[clean], kind="stable")[: NEGATIVES // 2]]]))
+        rows = np.concatenate([witness, negative])
+        weights = _trained(s, rows, np.where(toxic[rows], 1.0, -1.0), list(_respelled(s, witness, word)), landmarks)
     return Model(weights, _logistic(_summary(texts, weights), y))
 
 
+def _respelled(s: Sentences, witness: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Each witness again with a character inserted in its highest word, at a place and of a kind that the word's hash gives."""
+    ends = np.append(s.starts[1:], len(s.of))
+    for r, i in enumerate(witness.tolist()):
+        own = s.of[s.starts[i] : ends[i]]
+        best = int(own[word[own].argmax()])
+        w = s.words[best]
+        if len(w) > 3:
+            at = 1 + hash_of(w) % (len(w) - 1)
+            yield r, best, w[:at] + bytes([1 + hash_of(w) // 64 % 26]) + w[at:]
+
+
 def hash_of(w: bytes) -> int:
     h = 2166136261
     for x in w:
@@ -263,7 +299,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _summary(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
     """The WORST highest word scores of each text, none below 0."""
-    c, starts, text = fold(texts)
+    c, starts, text, _ = fold(texts)
     scores = np.maximum(word_scores(c, starts, weights), 0)
     order = np.lexsort((-scores, text))
     scores, text = scores[order], text[order]
@@ -304,29 +340,21 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"k": b["k"], "score": score_texts(b["t"].tolist(), held.value)})
-
-    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return own.mapInPandas(run, f"k {dict(own.dtypes)['k']}, score double").withColumnRenamed("k", key)
+    return map_texts(docs, key, text, lambda: lambda texts: (None, [pa.array(score_texts(texts, held.value))]), {"score": "double"})
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
-    """Documents below `limit`, with all their columns."""
+    """Documents below `limit`, with all their columns as they are."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[score_texts(b[text].tolist(), held.value) < limit]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.filter(pa.array(score_texts(b.column(text).to_pylist(), held.value) < limit))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
-
-

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -40,6 +41,18 @@ def test_sql(spark, sf, name):
     assert all(close(x, y) for a, b in rows for x, y in zip(a, b, strict=True))
 
 
+@pytest.mark.parametrize("name", ["op4_toxicity", "op6_audio_features", "op8_best_two_fit", "op9_weighted_minhash", "op10_secret_scan"])
+def test_ids_stay_exact_beside_nulls(spark, tmp_path, name):
+    """Ids that doubles can't hold, in one batch with a null id."""
+    docs = [(2**53 + 1, "one text of its own"), (None, "another text"), (2**53 + 3, "a third text here"), (-(2**63), "and a fourth")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2**53 + 1, 0), (2**53 + 3, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows} == {k for k, _ in docs} and len(rows) == len(docs)
+    if name == "op9_weighted_minhash":
+        assert all(r["class_id"] == r["doc_id"] for r in rows)
+
+
 def test_license_index_needs_two_postings():
     """Any match holds as many indexed words as its template needs, and nearly all templates need two."""
     rng = random.Random(2)
@@ -218,27 +231,62 @@ def test_topk_never_overflows(spark):
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.1"
-    scored = toxicity.op4_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
+    """Figures of rows that nothing was learned from, at the size that has enough labels."""
+    folder = os.environ.get("TEST_LABELS_DIR", "/root/testdata/sf0.1")
+    scored = toxicity.op4_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out")
     rows = scored.select("predicted", "toxic", "score").collect()
     assert sum(r["predicted"] == r["toxic"] for r in rows) / len(rows) >= 0.94
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def plain_features(word):
+    """Subsequences of ORDER characters of a word with its ends, by weight: DECAY for each character skipped, up to GAP in all."""
+    w, out = [0, *word, 0], Counter()
+    for places in itertools.combinations(range(len(w)), toxicity.ORDER):
+        skipped = places[-1] - places[0] - toxicity.ORDER + 1
+        if skipped <= toxicity.GAP:
+            out[tuple(w[i] for i in places)] += toxicity.DECAY**skipped
+    return out
+
+
+def test_the_kernel_is_the_plain_one():
+    rng = random.Random(7)
+    words = [bytes(rng.randrange(1, 5) for _ in range(rng.randrange(1, 12))) for _ in range(40)]
+    c, starts = toxicity._joined(words)
+    norm = lambda w: max(0.5, float(toxicity.NORMS[len(w) + 2]))
+    for landmark in words[:8]:
+        got = toxicity.word_scores(c, starts, toxicity.features_of(landmark))
+        own = plain_features(landmark)
+        want = [sum(v * own[g] for g, v in plain_features(w).items()) / norm(w) / norm(landmark) for w in words]
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-5)
+
+
 def test_toxicity_tolerates_spellings():
     words = ["table", "garden", "yellow", "window", "paper", "silent", "river", "stone", "cloud", "market"]
     rng = random.Random(1)
-    text = lambda extra: " ".join(rng.sample([f"{rng.choice(words)}{rng.choice(['', 's', 'er', 'ing'])}" for _ in range(40)], 30) + extra)
+    sentence = lambda extra: " ".join(rng.sample([f"{rng.choice(words)}{rng.choice(['', 's', 'er', 'ing'])}" for _ in range(6)] + extra, 6 + len(extra))) + ". "
+    text = lambda extra: "".join(sentence(x) for x in rng.sample([[], [], [], *[[w] for w in extra]], 3 + len(extra)))
     bad = ["idiot", "moron", "worthless"]
     docs = [text(rng.choices(bad, k=2)) for _ in range(150)] + [text([]) for _ in range(150)]
     model = toxicity.fit(docs, [1] * 150 + [0] * 150)
-    odd = ["the i d i o t and m.o.r.o.n", "an idiot, a m0ron", "wor-thless Idiot", "idixot morpon"]
+    odd = ["the i d i o t and m.o.r.o.n", "an idiot, a m0ron", "wor-thless Idiot", "idixot morpon", "ＩＤＩＯＴ and móron", "idi\u200bot mor\u0301on"]
     assert (toxicity.score_texts(odd, model) > 0.5).all()
-    assert (toxicity.score_texts([text([]), "", None, "a b c", "!!! 99"], model) < 0.5).all()
+    clean = [text([]), "", None, "a b c", "!!! 99", "прекрасный город и река", "河流 和 城市"]
+    assert (toxicity.score_texts(clean, model) < 0.5).all()
     none = toxicity.fit(docs, [0] * 300)
     assert (toxicity.score_texts(docs[:3], none) < 1e-9).all()
 
 
+def test_other_scripts_can_be_learned():
+    rng = random.Random(2)
+    words = ["город", "река", "камень", "бумага", "окно", "сад", "облако", "рынок"]
+    text = lambda extra: ". ".join(" ".join(rng.sample(words, 4) + x) for x in ([], *[[w] for w in extra]))
+    docs = [text(rng.choices(["дурак", "идиот"], k=2)) for _ in range(80)] + [text([]) for _ in range(80)]
+    model = toxicity.fit(docs, [1] * 80 + [0] * 80)
+    assert (toxicity.score_texts([text(["дурак", "идиот"]) for _ in range(10)], model) > 0.5).all()
+    assert (toxicity.score_texts([text([]) for _ in range(10)], model) < 0.5).all()
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
