@@ -42,7 +42,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("MinHash near-dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
-ORACLE_SQL = None  # the classifier and the samples can't be told in SQL; tests compare the stages with brute force
+ORACLE_SQL = None  # the classifier and the edit and near-dup joins can't be told in SQL; tests/llm/test_pipeline.py compares each stage with a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
