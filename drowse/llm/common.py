@@ -72,6 +72,10 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def frames(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pd.DataFrame]:
+    return (b.to_pandas() for b in slices(batches, rows))
+
+
 def renamed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """id, text and content hashes h1, h2 of each row under names of our own, so no column of the input can clash. Rows are the same
     document only if both id and text are."""
