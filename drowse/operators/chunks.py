@@ -31,10 +31,12 @@ def overlapping(df: DataFrame, duration: int, stride: int, lead: int = 0, step:
     return df.withColumn("chunk_no", F.explode(F.sequence(low.cast("long"), F.floor(at / stride).cast("long")))).withColumn("pos", at - F.col("chunk_no") * stride)
 
 
-def windows(df: DataFrame, size: int, stride: int, tail: str = "short", step: str = "step") -> DataFrame:
-    """start, end (exclusive) of windows of each series. tail: short, or right-aligned to the series' end."""
+def windows(df: DataFrame, size: int, stride: int, tail: str = "short", step: str = "step", offset: int = 0) -> DataFrame:
+    """start, end (exclusive) of windows of each series, the first at `offset`. tail: short, or right-aligned to the series' end. A series
+    that ends before the offset has none."""
     n = df.groupBy("series_id").agg((F.max(step) + 1).cast("long").alias("n"))
-    start = n.select("series_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(stride).cast("long"))).alias("start"))
+    start = n.select("series_id", "n", F.explode(F.sequence(F.lit(offset).cast("long"), F.greatest(F.col("n") - 1, F.lit(offset)), F.lit(stride).cast("long"))).alias("start"))
+    start = start.where((F.col("start") < F.col("n")) | (F.lit(offset) == 0))
     if tail == "right":
         start = start.withColumn("start", F.greatest(F.lit(0), F.least("start", F.col("n") - size))).distinct()
     return start.withColumn("end", F.least("n", F.col("start") + size))

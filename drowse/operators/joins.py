@@ -41,10 +41,12 @@ def pair_intervals(marks: DataFrame, key: str = "series_id", at: str = "step", k
     return own.where(F.col(kind) == "start").select(key, "_n", F.col(at).alias("start")).join(own.where(F.col(kind) == "end").select(key, "_n", F.col(at).alias("end")), [key, "_n"]).drop("_n")
 
 
-def inside(points: DataFrame, intervals: DataFrame, at: str = "step", key: str = "series_id") -> DataFrame:
-    """Points in any interval, both ends included."""
-    i = intervals.select(F.col(key).alias("_k"), "start", "end")
-    return points.join(i, (F.col(key) == F.col("_k")) & F.col(at).between(F.col("start"), F.col("end")), "left_semi")
+def inside(points: DataFrame, intervals: DataFrame, at: str = "step", key: str = "series_id", bin_size: float = 1024) -> DataFrame:
+    """Points in any interval, both ends included. Intervals go to the bins they touch, so points meet them on an equal key."""
+    i = intervals.select(F.col(key).alias("_k"), "start", "end").where(F.col("start") <= F.col("end"))
+    i = i.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor(F.col("end") / bin_size))))
+    here = (F.col(key) == F.col("_k")) & (F.floor(F.col(at) / bin_size) == F.col("_bin"))
+    return points.join(i, here & F.col(at).between(F.col("start"), F.col("end")), "left_semi")
 
 
 def nearest(points: DataFrame, truth: DataFrame, at: str = "step", key: str = "series_id", name: str = "nearest") -> DataFrame:
@@ -58,6 +60,16 @@ def nearest(points: DataFrame, truth: DataFrame, at: str = "step", key: str = "s
     return both.where("_p = 1").withColumn(name, pick).drop("_t", "_p", "_b", "_f")
 
 
+def join_back(rows: DataFrame, coarse: DataFrame, unit: str, ts: str = "ts", key: str = "series_id") -> DataFrame:
+    """Each raw row with the values of its time unit: `coarse` has the unit's start in column `unit`."""
+    return rows.withColumn(unit, F.date_trunc(unit, ts)).join(coarse, [key, unit])
+
+
+def candidate_rows(candidates: DataFrame, rows: DataFrame, folds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Rows of the candidates, with their series' fold; series without one are in fold 0."""
+    return candidates.join(rows, list(keys)).join(folds, "series_id", "left").fillna(0, ["fold"])
+
+
 def suppress(df: DataFrame, periodicity: DataFrame, cols: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
     """cols * (1 - periodicity), missing as 0; *_sin and *_cos stay."""
     own = df.join(periodicity.select(*keys, F.col("periodicity").alias("_p")), list(keys), "left")

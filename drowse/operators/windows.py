@@ -33,14 +33,21 @@ def rolling(x: Column, stat: str, frame: WindowSpec, least: int = 1) -> Column:
 
 
 def rolling_mean_by_prefix(df: DataFrame, x: str, w: int, name: str) -> DataFrame:
-    """Centred mean over up to w rows from running sums: linear in the rows for any w. The series mean is taken off first."""
-    o = ordered()
-    df = df.withColumn("_c", F.col(x) - F.avg(x).over(Window.partitionBy(*KEY)))
-    df = df.withColumns({"_s": F.sum("_c").over(o.rowsBetween(FIRST, 0)), "_n": F.row_number().over(o)})
-    size = F.count(F.lit(1)).over(Window.partitionBy(*KEY))
-    df = df.withColumns({"_hi": F.coalesce(F.lead("_s", (w + 1) // 2 - 1).over(o), F.last("_s").over(o.rowsBetween(FIRST, LAST))), "_lo": F.coalesce(F.lag("_s", w // 2 + 1).over(o), F.lit(0.0)), "_size": size})
-    count = F.least("_size", F.col("_n") + (w + 1) // 2 - 1) - F.greatest(F.lit(1), F.col("_n") - w // 2) + 1
-    return df.withColumn(name, (F.col("_hi") - F.col("_lo")) / count + F.col(x) - F.col("_c")).drop("_c", "_s", "_n", "_hi", "_lo", "_size")
+    """Centred mean over the values among up to w rows, from running sums: linear in the rows for any w. Nulls count neither as values nor
+    in the mean, which is null where the frame has no value. The series mean is taken off first."""
+    o, whole = ordered(), Window.partitionBy(*KEY)
+    df = df.withColumn("_m", F.avg(x).over(whole))
+    df = df.withColumns({"_s": F.sum(F.coalesce(F.col(x) - F.col("_m"), F.lit(0.0))).over(o.rowsBetween(FIRST, 0)), "_n": F.count(x).over(o.rowsBetween(FIRST, 0))})
+    ahead = {f"{c}_hi": F.coalesce(F.lead(c, (w + 1) // 2 - 1).over(o), F.last(c).over(o.rowsBetween(FIRST, LAST))) for c in ("_s", "_n")}
+    back = {f"{c}_lo": F.coalesce(F.lag(c, w // 2 + 1).over(o), F.lit(0)) for c in ("_s", "_n")}
+    df = df.withColumns(ahead | back)
+    count = F.nullif(F.col("_n_hi") - F.col("_n_lo"), F.lit(0))
+    return df.withColumn(name, (F.col("_s_hi") - F.col("_s_lo")) / count + F.col("_m")).drop("_m", "_s", "_n", *ahead, *back)
+
+
+def row_index(keys: Sequence[str] = KEY, order: str = "step") -> Column:
+    """Place of a row in its series, from 0."""
+    return F.row_number().over(ordered(keys, order)) - 1
 
 
 def zscore_series(x: str) -> Column:

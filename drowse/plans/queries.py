@@ -135,6 +135,12 @@ def _(s):
     return s.select("series_id", "step", *[c.alias(n) for n, c in scalar.one_hot("event_type", ["signup", "purchase"]).items()])
 
 
+@query("b8_binary_labels", "SELECT s.series_id, s.step, CAST(coalesce(ev.event = 'onset', false) AS INTEGER) AS onset, CAST(coalesce(ev.event = 'wakeup', false) AS INTEGER) AS wakeup FROM s LEFT JOIN ev USING (series_id, step)")
+def _(s):
+    e = s.select("series_id", "step").join(truth(s).select("series_id", "step", "event"), ["series_id", "step"], "left")
+    return e.select("series_id", "step", *[F.coalesce((F.col("event") == v).cast("int"), F.lit(0)).alias(v) for v in ("onset", "wakeup")])
+
+
 @query("b9_ensemble", "SELECT series_id, step, round((a + b + c) / 3, 6) AS p_mean, round(least(a, b, c), 6) AS p_min, round(greatest(a, b, c), 6) AS p_max, round((pow(a - (a + b + c) / 3, 2) + pow(b - (a + b + c) / 3, 2) + pow(c - (a + b + c) / 3, 2)) / 3, 6) AS p_var FROM (SELECT series_id, step, pred_onset AS a, pred_wakeup AS b, enmo AS c FROM s)")
 def _(s):
     e = scalar.ensemble(["pred_onset", "pred_wakeup", "enmo"], "p")
@@ -211,9 +217,9 @@ def _(s):
     return joins.complete_nights(truth(s).withColumn("night", F.col("day").cast("string"))).select("series_id", "night", "step", "event")
 
 
-@query("c4_series_without_events", "SELECT DISTINCT series_id FROM s WHERE series_id NOT IN (SELECT series_id FROM s WHERE event_type = 'signup' AND value > 30)")
+@query("c4_series_without_events", "SELECT DISTINCT series_id FROM s WHERE series_id NOT IN (SELECT series_id FROM s WHERE event_type = 'signup' AND value > 300)")
 def _(s):
-    return s.select("series_id").distinct().join(s.where("event_type = 'signup' AND value > 30"), "series_id", "left_anti")
+    return s.select("series_id").distinct().join(s.where("event_type = 'signup' AND value > 300"), "series_id", "left_anti")
 
 
 @query("c5_merge_predictions", "SELECT a.series_id, a.step, a.pred_onset AS p_m1, b.pred_wakeup AS p_m2 FROM s AS a JOIN s AS b USING (series_id, step) WHERE b.step % 2 = 0")
@@ -228,6 +234,19 @@ def _(s):
     return joins.merge_predictions([s.where("step % 3 <> 0").select(*keys, F.col("pred_onset").alias("p")), s.where("step % 2 = 0").select(*keys, F.col("pred_wakeup").alias("p"))], ["m1", "m2"], how="full")
 
 
+@query("c7_join_back", "+m AS (SELECT series_id, date_trunc('hour', ts) AS hour, avg(pred_onset) AS p FROM s GROUP BY ALL) SELECT s.series_id, s.step, round(m.p, 6) AS p FROM s JOIN m ON s.series_id = m.series_id AND date_trunc('hour', s.ts) = m.hour")
+def _(s):
+    coarse = s.groupBy("series_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("pred_onset").alias("p"))
+    return r6(joins.join_back(s.select("series_id", "step", "ts"), coarse, "hour").select("series_id", "step", "p"), "p")
+
+
+@query("c8_candidate_rows", "+n AS (SELECT DISTINCT series_id, step + o AS step FROM s, range(-8, 8, 4) AS t(o) WHERE event_type = 'signup' AND step + o >= 0) SELECT n.series_id, n.step, s.pred_onset, CASE WHEN n.series_id % 3 = 0 THEN 0 ELSE n.series_id % 5 END AS fold FROM n JOIN s USING (series_id, step)")
+def _(s):
+    folds = s.where("series_id % 3 <> 0").select("series_id", (F.col("series_id") % 5).alias("fold")).distinct()
+    found = chunks.neighbourhood(s.where("event_type = 'signup'"), 8, 4)
+    return joins.candidate_rows(found, s.select("series_id", "step", "pred_onset"), folds).select("series_id", "step", "pred_onset", "fold")
+
+
 @query("c9_stage_two_rows", "SELECT s.series_id, s.step, a.pred_onset, b.pred_wakeup FROM s LEFT JOIN (SELECT * FROM s WHERE step % 2 = 0) AS a USING (series_id, step) JOIN (SELECT * FROM s WHERE step % 3 = 0) AS b USING (series_id, step)")
 def _(s):
     keys = ["series_id", "step"]
@@ -422,6 +441,11 @@ def _(s):
     return s.select("series_id", "step", F.round(windows.time_of_day_profile("value", 8), 6).alias("profile"))
 
 
+@query("e10_row_index", "SELECT series_id, step, row_number() OVER (PARTITION BY series_id ORDER BY step) - 1 AS row_index FROM s WHERE k >= 30")
+def _(s):
+    return s.where("k >= 30").select("series_id", "step", windows.row_index().alias("row_index"))
+
+
 @query("e11_gap_sessions", "+g AS (SELECT series_id, step, lag(step) OVER w AS l FROM s WHERE k >= 30 WINDOW w AS (PARTITION BY series_id ORDER BY step)) SELECT series_id, step, CAST(sum(CASE WHEN step - l <> 1 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chunk_id FROM g")
 def _(s):
     return windows.sessions(s.where("k >= 30").select("series_id", "step"), 1)
@@ -536,6 +560,11 @@ def _(s):
     return chunks.overlapping(s.select("series_id", "step"), 16, 8)
 
 
+@query("g4_stride_windows", "+n AS (SELECT series_id, max(step) + 1 AS n FROM s GROUP BY series_id) SELECT series_id, c AS start, least(n, c + 16) AS \"end\" FROM (SELECT series_id, n, unnest(range(3, n, 8)) AS c FROM n)")
+def _(s):
+    return chunks.windows(s, 16, 8, offset=3).select("series_id", "start", "end")
+
+
 @query("g5_right_aligned_windows", "+n AS (SELECT series_id, max(step) + 1 AS n FROM s GROUP BY series_id) SELECT DISTINCT series_id, greatest(0, least(c, n - 16)) AS start, least(n, greatest(0, least(c, n - 16)) + 16) AS \"end\" FROM (SELECT series_id, n, unnest(range(0, n, 8)) AS c FROM n)")
 def _(s):
     return chunks.windows(s, 16, 8, "right").select("series_id", "start", "end")
@@ -629,10 +658,10 @@ def _(s):
     return r6(metric.average_precision(_points(s)), "ap")
 
 
-@query("h6_pr_curve", f"+{POINTS_SQL} SELECT event, tolerance, score, round(prec, 6) AS precision, round(rec, 6) AS recall FROM p")
+@query("h6_pr_curve", f"+{POINTS_SQL} SELECT event, tolerance, CAST(row_number() OVER (PARTITION BY event, tolerance ORDER BY score DESC) - 1 AS INTEGER) AS i, round(prec, 6) AS precision, round(rec, 6) AS recall FROM p")
 def _(s):
     t = metric.pr_table(_points(s)).select("event", "tolerance", F.posexplode(F.arrays_zip("precision", "recall")).alias("i", "p"))
-    return r6(_points(s), "precision", "recall").select("event", "tolerance", "score", "precision", "recall").join(t.select("event", "tolerance").distinct(), ["event", "tolerance"], "left_semi")
+    return r6(t.select("event", "tolerance", "i", "p.precision", "p.recall"), "precision", "recall")
 
 
 @query("h7_mean_ap")
@@ -675,12 +704,11 @@ def _(s):
 
 @query("i4_out_of_fold", "SELECT series_id, step, round(value - m, 6) AS p FROM s JOIN (SELECT f, avg(value) AS m FROM s, range(0, 5) AS t(f) WHERE series_id % 5 <> f GROUP BY f) AS o ON series_id % 5 = f")
 def _(s):
-    out = None
-    for f in range(5):
-        model = s.where(F.col("series_id") % 5 != f).agg(F.avg("value").alias("m"))
-        part = s.where(F.col("series_id") % 5 == f).join(F.broadcast(model)).select("series_id", "step", F.round(F.col("value") - F.col("m"), 6).alias("p"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    fold = (F.col("series_id") % 5).alias("fold")
+    own = s.groupBy(fold).agg(F.sum("value").alias("own"), F.count("value").alias("n"))
+    whole = s.agg(F.sum("value").alias("all"), F.count("value").alias("all_n"))
+    model = own.join(F.broadcast(whole)).select("fold", ((F.col("all") - F.col("own")) / (F.col("all_n") - F.col("n"))).alias("m"))  # what the others learn
+    return s.join(model, F.col("series_id") % 5 == F.col("fold")).select("series_id", "step", F.round(F.col("value") - F.col("m"), 6).alias("p"))
 
 
 @query("i5_negative_sample")
