@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -46,20 +46,49 @@ def matches(truth: DataFrame, detections: DataFrame, tolerances: dict[str, Seque
     kind = dict(truth.dtypes)["series_id"]
     series = truth.select(F.col("series_id").alias("s")).distinct()
     own = detections.where("score IS NOT NULL").join(series, F.col("series_id") == F.col("s"), "left_semi")
-    # other names on the left: both sides may come from one table
-    left = truth.select(F.col("series_id").alias("t_series"), F.col("event").alias("t_event"), F.col("step").cast("double").alias("t_step"))
-    right = own.select("series_id", "event", F.col("step").cast("double").alias("step"), F.col("score").cast("double").alias("score"))
-
-    def run(t: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if d.empty:
-            return pd.DataFrame(columns=["event", "tolerance", "series_id", "score", "matched"])
-        event, parts = d["event"].iloc[0], []
-        for tol in tolerances.get(event, ()):
-            hit = match(t["t_step"].tolist(), d["step"].to_numpy(), d["score"].to_numpy(), tol)
-            parts.append(pd.DataFrame({"event": event, "tolerance": float(tol), "series_id": d["series_id"], "score": d["score"], "matched": hit.astype(int)}))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=["event", "tolerance", "series_id", "score", "matched"])
-
-    return left.groupBy("t_series", "t_event").cogroup(right.groupBy("series_id", "event")).applyInPandas(run, f"event string, tolerance double, series_id {kind}, score double, matched int")
+    keys, step = ["series_id", "event"], F.col("step").cast("double").alias("step")
+    both = truth.select(*keys, step, F.lit(0.0).alias("score"), F.lit(True).alias("is_truth"))
+    both = both.unionByName(own.select(*keys, step, F.col("score").cast("double").alias("score"), F.lit(False).alias("is_truth")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_groups(batches, keys):
+            yield _matched(rows, tolerances)
+
+    # many series and events a call: the calls are few, and a task holds a batch and one series
+    return both.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, f"event string, tolerance double, series_id {kind}, score double, matched int")
+
+
+def _matched(rows: pd.DataFrame, tolerances: dict[str, Sequence[float]]) -> pd.DataFrame:
+    step, score, is_truth = rows["step"].to_numpy(), rows["score"].to_numpy(), rows["is_truth"].to_numpy()
+    series, event, group = rows["series_id"].to_numpy(), rows["event"].to_numpy(), rows["group"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    at, tolerance, matched = [np.empty(0, int)], [], [np.empty(0, bool)]
+    for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+        found = a + np.flatnonzero(~is_truth[a:z])
+        times = np.sort(step[a:z][is_truth[a:z]]).tolist()
+        if len(found):
+            for tol in tolerances.get(event[a], ()):
+                at.append(found)
+                tolerance += [float(tol)] * len(found)
+                matched.append(match(times, step[found], score[found], tol))
+    i = np.concatenate(at)
+    return pd.DataFrame({"event": event[i], "tolerance": np.array(tolerance, float), "series_id": series[i], "score": score[i], "matched": np.concatenate(matched).astype(int)})
+
+
+def whole_groups(batches: Iterable[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """Many whole groups at a time, numbered in column `group`, from batches whose rows are sorted by `key`."""
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        if batch.empty:
+            continue
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        number = (rows[key] != rows[key].shift()).any(axis=1).to_numpy().cumsum()
+        last = number == number[-1]
+        held = rows[last]
+        if not last.all():
+            yield rows[~last].assign(group=number[~last])
+    if held is not None:
+        yield held.assign(group=0)
 
 
 def pr_points(matched: DataFrame, totals: DataFrame) -> DataFrame:

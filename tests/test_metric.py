@@ -61,3 +61,22 @@ def test_matcher_against_plain_form():
         scores = rng.integers(0, 6, len(found)).astype(float)
         for tol in (1, 4, 12):
             assert metric.match(times.tolist(), found, scores, tol).tolist() == plain(times.tolist(), found, scores, tol)
+
+
+def test_matches_against_plain_form(spark):
+    """Many series and events, rows in any order: all tolerances at once give what the plain form gives for each."""
+    rng = np.random.default_rng(2)
+    truth = [(f"s{rng.integers(0, 30)}", str(rng.choice(["onset", "wakeup"])), float(rng.integers(0, 80))) for _ in range(150)]
+    found = [(f"s{rng.integers(0, 35)}", str(rng.choice(["onset", "wakeup", "other"])), float(rng.integers(0, 80)), float(rng.integers(0, 6))) for _ in range(600)]
+    t = spark.createDataFrame(truth, "series_id string, event string, step double").repartition(3)
+    d = spark.createDataFrame(found, "series_id string, event string, step double, score double").repartition(3)
+    tolerances = {"onset": [1, 4], "wakeup": [12]}
+    got = sorted(map(tuple, metric.matches(t, d, tolerances).select("event", "tolerance", "series_id", "score", "matched").collect()))
+    series, want = {s for s, _, _ in truth}, []
+    for event, ts in tolerances.items():
+        for s in series:
+            own = [(x, y) for n, e, x, y in found if (n, e) == (s, event)]
+            for tol in ts:
+                hit = plain([x for n, e, x in truth if (n, e) == (s, event)], [x for x, _ in own], [y for _, y in own], tol)
+                want += [(event, float(tol), s, y, int(h)) for (_, y), h in zip(own, hit, strict=True)]
+    assert got == sorted(want)
