@@ -27,7 +27,7 @@ def stratified_folds(df: DataFrame, k: int, key: str = "series_id", label: str =
 
 def seeded(key: Column, seed: int = 0) -> Column:
     """Uniform in [0, 1)."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), key.cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
 
 
 def downsample_negatives(df: DataFrame, label: str, key: str, rate: float = 0.1, seed: int = 0) -> DataFrame:
@@ -35,7 +35,7 @@ def downsample_negatives(df: DataFrame, label: str, key: str, rate: float = 0.1,
 
 
 def sample_series(df: DataFrame, n: int, seed: int = 0, key: str = "series_id") -> DataFrame:
-    return df.select(key).distinct().orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.select(key).distinct().orderBy(seeded(F.col(key), seed), key).limit(n)
 
 
 def standardize(df: DataFrame, cols: list[str], fold: Column) -> DataFrame:

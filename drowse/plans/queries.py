@@ -711,7 +711,7 @@ def _(s):
     return s.join(model, F.col("series_id") % 5 == F.col("fold")).select("series_id", "step", F.round(F.col("value") - F.col("m"), 6).alias("p"))
 
 
-@query("i5_negative_sample")
+@query("i5_negative_sample", "SELECT series_id, step, CAST(event_type = 'signup' AS INTEGER) AS label FROM s WHERE event_type = 'signup' OR ('0x' || substr(md5('0:' || event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.1")
 def _(s):
     return splits.downsample_negatives(s.withColumn("label", (F.col("event_type") == "signup").cast("int")), "label", "event_id").select("series_id", "step", "label")
 
@@ -721,13 +721,13 @@ def _(s):
     return s.withColumns(chunks.fixed(16)).where("chunk_no % 3 = 1").select("series_id", "step")
 
 
-@query("i7_series_sample")
+@query("i7_series_sample", "SELECT series_id FROM (SELECT DISTINCT series_id FROM s) ORDER BY ('0x' || substr(md5('0:' || series_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE, series_id LIMIT 10")
 def _(s):
     return splits.sample_series(s, 10)
 
 
-@query("g11_background_positions")
+@query("g11_background_positions", "+f AS (SELECT series_id, step, row_number() OVER (PARTITION BY series_id ORDER BY ('0x' || substr(md5('7:' || event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE, step) AS n FROM s WHERE (series_id, step) NOT IN (SELECT (series_id, step) FROM ev)) SELECT series_id, step FROM f WHERE n <= 3")
 def _(s):
     free = s.join(truth(s).select("series_id", "step"), ["series_id", "step"], "left_anti")
-    n = F.row_number().over(Window.partitionBy("series_id").orderBy(F.xxhash64("event_id", F.lit(7)), "step"))
+    n = F.row_number().over(Window.partitionBy("series_id").orderBy(splits.seeded(F.col("event_id"), 7), "step"))
     return free.withColumn("n", n).where("n <= 3").select("series_id", "step")
