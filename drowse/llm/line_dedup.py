@@ -35,12 +35,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_key, discard, materialize, renamed, slices, table, whole_groups
+from .common import content_key, discard, frames, materialize, renamed, slices, table, whole_groups
 
 #: The budget: LEAST characters for one edit, one for each SHARE characters from 2 * LEAST on, MOST at most.
 LEAST, SHARE, MOST = 20, 40, 6
 GROUP = 1024  # lines of a block
-RUN, FLUSH, RANGE = 1 << 19, 1 << 21, 1 << 25  # characters hashed at a time, keys sorted at a time, characters whose keys make a range
+RUN, FLUSH, RANGE = 1 << 18, 1 << 20, 1 << 24  # characters hashed at a time, keys sorted at a time, characters whose keys make a range
 PAIRS = 4096  # pairs verified at a time
 WIDTH = 28  # a bitmap of keys has 2 ** WIDTH bits, 32 MB
 PRIME = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -354,15 +354,15 @@ def judge(docs: DataFrame) -> DataFrame:
     group = ["key", "cell", "lo", "hi"]
     order = [*group, "has_id", "id", "t1", "t2", "pos"]
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        for rows in whole_groups(batches, group):
+        for rows in whole_groups(frames(batches, 2000), group):
             hit = have_earlier(rows.assign(cross=rows["lo"] != rows["hi"]), known)
             known.update(rows["h1"][hit].tolist())
-            yield rows[hit][["h1", "h2"]]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c][hit].to_numpy()) for c in ("h1", "h2")], ["h1", "h2"])
 
     pairs = groups(shared, texts).repartition(*group).sortWithinPartitions(*order)
-    near = pairs.mapInPandas(verify, "h1 long, h2 long").distinct().withColumn("near", F.lit(True))
+    near = pairs.mapInArrow(verify, "h1 long, h2 long").distinct().withColumn("near", F.lit(True))
     verdicts = firsts.join(near, ["h1", "h2"], "left").where((F.col("times") > 1) | F.col("near"))
     verdicts = materialize(verdicts.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-verdicts")
     gone = lines.join(verdicts, ["h1", "h2"]).withColumn("again", ~place.eqNullSafe(F.col("first"))).where("near OR again")
