@@ -33,10 +33,10 @@ SLACK = 1 + 1e-9
 RATIO, WIDTHS = 1.1, 32  # of the lengths at a bucket's ends; sizes, by powers of two, that share a length
 
 
-def integers(vector: str = "embedding") -> Column:
-    high = lambda x: F.abs(x.cast("double")) >= 2.0**53 / SCALE
+def integers(vector: str = "embedding", scale: int = SCALE) -> Column:
+    high = lambda x: F.abs(x.cast("double")) >= 2.0**53 / scale
     told = F.lit("a vector's component is too great for exact products").cast("string")
-    return F.when(F.exists(F.col(vector), high), F.raise_error(told).cast("array<long>")).otherwise(F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * SCALE).cast("long")))
+    return F.when(F.exists(F.col(vector), high), F.raise_error(told).cast("array<long>")).otherwise(F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
 def usable(vector: str = "embedding") -> Column:
