@@ -1,5 +1,6 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
+from .alignment import op13_token_alignment
 from .audio_features import op6_audio_features
 from .hard_negatives import ORACLE as NEGATIVES_SQL
 from .hard_negatives import op12_hard_negatives
@@ -17,5 +18,5 @@ from .topk import op3_norm_buckets
 from .toxicity import op4_toxicity
 from .warc import op2_capture_index
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_capture_index, op3_norm_buckets, op4_toxicity, op5_line_dedup, op6_audio_features, op7_raking, op8_best_two_fit, op9_weighted_minhash, op10_secret_scan, op11_main_text, op12_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_capture_index, op3_norm_buckets, op4_toxicity, op5_line_dedup, op6_audio_features, op7_raking, op8_best_two_fit, op9_weighted_minhash, op10_secret_scan, op11_main_text, op12_hard_negatives, op13_token_alignment)}
 ORACLES = {"op1_license_scan": LICENSE_SQL, "op3_norm_buckets": TOPK_SQL, "op7_raking": MIXING_SQL, "op12_hard_negatives": NEGATIVES_SQL}
