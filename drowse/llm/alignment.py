@@ -228,6 +228,16 @@ def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows["pair"].to_numpy(), rows["count"].to_numpy(), rows["best"].to_numpy()
 
 
+def _by_links(batches: Iterator[pa.RecordBatch], most: int = RUN // 2) -> Iterator[pa.RecordBatch]:
+    """Slices with `most` links at most, in the last column, or one row."""
+    for b in batches:
+        offsets, start = b.column(b.num_columns - 1).offsets.to_numpy(), 0
+        while start < b.num_rows:
+            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
+            yield b.slice(start, end - start)
+            start = end
+
+
 def _sums(aligned: DataFrame, frequent: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
     """n_best and count_sum over the links of frequent pairs, and `rare`: the other links' pairs."""
     held = aligned.sparkSession.sparkContext.broadcast(frequent)
@@ -236,21 +246,20 @@ def _sums(aligned: DataFrame, frequent: tuple[np.ndarray, np.ndarray, np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count, best = held.value
-        for b in slices(batches, 1000):
+        for b in _by_links(batches):
             links = b.column(b.num_columns - 1)
-            parent, flat = pc.list_parent_indices(links).to_numpy(), pc.list_flatten(links)
+            offsets = links.offsets.to_numpy() - links.offsets[0].as_py()
+            flat = pc.list_flatten(links)
             coded = pc.dictionary_encode(flat)  # a look-up for each distinct pair of the batch
             pairs, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
             at = np.minimum(np.searchsorted(known, pairs), max(0, len(known) - 1))
             there = known[at] == pairs if len(known) else np.zeros(len(pairs), bool)
-            value, is_best = (np.where(there, x[at], 0) if len(known) else np.zeros(len(pairs), np.int64) for x in (count, best))
-            table_ = pa.table({"doc": parent.astype(np.int64), "count": value[code].astype(np.int64), "best": is_best[code].astype(np.int64)})
-            summed = table_.group_by("doc", use_threads=False).aggregate([("count", "sum"), ("best", "sum")])
-            sums = np.zeros((2, b.num_rows), np.int64)
-            for i, c in enumerate(("best_sum", "count_sum")):
-                sums[i, summed["doc"].to_numpy()] = summed[c].to_numpy()
+            sums = []
+            for x in (best, count):
+                each = np.where(there, x[at], 0).astype(np.int64)[code] if len(known) else np.zeros(len(code), np.int64)
+                sums.append(np.diff(np.concatenate([[0], np.cumsum(each)])[offsets]))
             lost = ~there[code]
-            sizes = np.bincount(parent[lost], minlength=b.num_rows)
+            sizes = np.diff(np.concatenate([[0], np.cumsum(lost)])[offsets])
             rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pc.filter(flat, pa.array(lost)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums[0]), pa.array(sums[1]), rare], names)
 
