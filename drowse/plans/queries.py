@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from drowse.functions import scalar
-from drowse.operators import calibrate, chunks, joins, metric, peaks, periodicity, splits, windows
+from drowse.operators import blocks, calibrate, chunks, joins, metric, peaks, periodicity, rolling, splits, windows
+from drowse.operators.rolling import Rolling
 from drowse.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,7 @@ TOLERANCES = {"onset": [1, 3, 8], "wakeup": [1, 3, 8]}
 VIEWS = f"""s AS (SELECT user_id AS series_id, event_id, ts, event_type, value, value / 100 AS enmo, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
   CAST(json_extract_string(props, '$.k') AS DOUBLE) - 50 AS anglez, value / 500 AS pred_onset, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS pred_wakeup,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, CAST(floor((epoch(ts) - {START}) / 5) AS BIGINT) AS step5, CAST(ts AS DATE) AS day FROM events),
+ls AS (SELECT event_type AS series_id, event_id, ts, value, value / 100 AS enmo, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS step FROM events),
 ev AS (SELECT series_id, step, step5, day, CASE event_type WHEN 'signup' THEN 'onset' WHEN 'purchase' THEN 'wakeup' END AS event FROM s WHERE event_type IN ('signup', 'purchase'))"""
 
 
@@ -35,6 +37,13 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumns({"enmo": F.col("value") / 100, "anglez": F.col("k") - 50, "pred_onset": F.col("value") / 500, "pred_wakeup": F.col("k") / 100, "step": step.cast("long"), "step5": F.floor((F.unix_timestamp("ts") - START) / 5), "day": F.to_date("ts")})
 
 
+def long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event type is a series here: a few long ones, numbered in blocks."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e.select(F.col("event_type").alias("series_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "value", (F.col("value") / 100).alias("enmo"), F.get_json_object("props", "$.k").cast("double").alias("k"))
+    return blocks.numbered(e, ["series_id"], ["ts", "event_id"], "step")
+
+
 def truth(s: DataFrame) -> DataFrame:
     event = F.when(F.col("event_type") == "signup", "onset").when(F.col("event_type") == "purchase", "wakeup")
     return s.select("series_id", "step", "step5", "day", event.alias("event")).where("event IS NOT NULL")
@@ -49,12 +58,12 @@ def r6(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, view: Callable[[SparkSession, str], DataFrame] = series):
     """Registers fn(series view). sql follows the shared views."""
 
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(series(spark, sf_dir))
+            return fn(view(spark, sf_dir))
 
         QUERIES[name] = run
         if sql:
@@ -416,6 +425,40 @@ def _(s):
     return s.select("series_id", "step", F.round(windows.rolling(F.col("value"), "median", windows.centered(5)), 6).alias("median5"))
 
 
+WIDE = "OVER (PARTITION BY series_id ORDER BY step ROWS BETWEEN 360 PRECEDING AND 359 FOLLOWING)"
+NULLS = "x AS (SELECT series_id, step, CASE WHEN k >= 20 THEN value END AS x FROM ls)"
+
+
+@query("e5_rolling_median_720", f"+{NULLS} SELECT series_id, step, round(median(x) {WIDE}, 6) AS median720, round(coalesce(CASE WHEN count(x) OVER (PARTITION BY series_id ORDER BY step ROWS BETWEEN 30 PRECEDING AND 29 FOLLOWING) >= 50 THEN median(x) OVER (PARTITION BY series_id ORDER BY step ROWS BETWEEN 30 PRECEDING AND 29 FOLLOWING) END, 0), 6) AS median60 FROM x", long_series)
+def _(s):
+    x = s.select("series_id", "step", F.when(F.col("k") >= 20, F.col("value")).alias("x"))
+    out = rolling.rolling_table(x, [Rolling("median720", "x", "median", 720), Rolling("median60", "x", "median", 60, 50, 0.0)], rows=1000)
+    return r6(out.drop("x"), "median720", "median60")
+
+
+@query("e3_rolling_std_max_720", f"+{NULLS} SELECT series_id, step, round(avg(x) {WIDE}, 6) AS mean, round(stddev_samp(x) {WIDE}, 6) AS std, max(x) {WIDE} AS \"max\", min(x) {WIDE} AS \"min\", round(sum(x) {WIDE}, 6) AS \"sum\" FROM x", long_series)
+def _(s):
+    x = s.select("series_id", "step", F.when(F.col("k") >= 20, F.col("value")).alias("x"))
+    return r6(rolling.rolling_table(x, [Rolling(n, "x", n, 720) for n in ("mean", "std", "max", "min", "sum")], rows=1000).drop("x"), "mean", "std", "sum")
+
+
+@query("e4_rolling_full_720", f"+{NULLS} SELECT series_id, step, round(coalesce(CASE WHEN count(value) {WIDE} = 720 THEN avg(value) {WIDE} END, 0), 6) AS mean, round(coalesce(CASE WHEN count(value) {WIDE} = 720 THEN stddev_samp(value) {WIDE} END, 0), 6) AS std, coalesce(CASE WHEN count(value) {WIDE} = 720 THEN max(value) {WIDE} END, 0) AS \"max\" FROM ls", long_series)
+def _(s):
+    out = rolling.rolling_table(s.select("series_id", "step", "value"), [Rolling(n, "value", n, 720, None, 0.0) for n in ("mean", "std", "max")], rows=1000)
+    return r6(out.drop("value"), "mean", "std")
+
+
+@query("e_halo_frames", f"+a AS (SELECT series_id, step, sum(greatest(enmo - 0.02, 0)) {W} ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS ac, value - lag(value) {W}) AS diff, max(value) {W} ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS top FROM ls) SELECT series_id, step, round(ac, 6) AS ac, round(diff, 6) AS diff, top FROM a", long_series)
+def _(s):
+    frames = lambda keys, order: {"ac": windows.activity("enmo", 25, keys, order), "diff": F.col("value") - F.lag("value").over(windows.ordered(keys, order)), "top": F.max("value").over(windows.trailing(25, keys, order))}
+    return r6(blocks.bounded(s, 24, 12, frames, rows=500).select("series_id", "step", "ac", "diff", "top"), "ac", "diff")
+
+
+@query("e_block_numbers", "SELECT series_id, event_id, step, round(sum(value) OVER (PARTITION BY series_id ORDER BY step ROWS UNBOUNDED PRECEDING), 4) AS upto FROM ls", long_series)
+def _(s):
+    return r6(blocks.scan(s.select("series_id", "event_id", "step", "value"), ["series_id"], "step", {"upto": F.col("value")}).drop("value"), "upto", digits=4)
+
+
 @query("e6_activity", f"+a AS (SELECT series_id, step, sum(greatest(enmo - 0.02, 0)) {W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS ac FROM s) SELECT series_id, step, round(ac, 6) AS ac, round(avg(1 / (ac + 1)) {W} ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING), 6) AS lids FROM a")
 def _(s):
     s = windows.lids(s.withColumn("ac", windows.activity("enmo", 5)), "enmo", 5, 6, "lids")
