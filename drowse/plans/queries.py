@@ -25,7 +25,7 @@ TOLERANCES = {"onset": [1, 3, 8], "wakeup": [1, 3, 8]}
 VIEWS = f"""s AS (SELECT user_id AS series_id, event_id, ts, event_type, value, value / 100 AS enmo, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
   CAST(json_extract_string(props, '$.k') AS DOUBLE) - 50 AS anglez, value / 500 AS pred_onset, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS pred_wakeup,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, CAST(floor((epoch(ts) - {START}) / 5) AS BIGINT) AS step5, CAST(ts AS DATE) AS day FROM events),
-ls AS (SELECT event_type AS series_id, event_id, ts, value, value / 100 AS enmo, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS step FROM events),
+ls AS (SELECT event_type AS series_id, event_id, ts, value, value / 100 AS enmo, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CAST(json_extract_string(props, '$.k') AS DOUBLE) - 50 AS anglez, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS step FROM events),
 ev AS (SELECT series_id, step, step5, day, CASE event_type WHEN 'signup' THEN 'onset' WHEN 'purchase' THEN 'wakeup' END AS event FROM s WHERE event_type IN ('signup', 'purchase'))"""
 
 
@@ -652,12 +652,17 @@ def _(s):
 
 # --- grouped algorithms
 
-@query("h1_periodicity", """+z AS (SELECT series_id, step, round((floor(k / 50) - avg(floor(k / 50)) OVER p) / stddev_pop(floor(k / 50)) OVER p, 7) AS z, count(*) OVER p AS n FROM s WINDOW p AS (PARTITION BY series_id)),
-c AS (SELECT series_id, o, (step - o) // 4 AS chunk, list(z ORDER BY step) AS vals FROM z, range(0, 4, 2) AS t(o) WHERE n >= 8 AND step >= o AND n - o >= 8 GROUP BY ALL),
-f AS (SELECT series_id, o, chunk, CASE WHEN count(*) OVER (PARTITION BY series_id, o, list_concat(vals, list_transform(range(len(vals), 4), lambda x: 0.0::DOUBLE))) > 1 THEN 1.0 ELSE 0.0 END AS flag FROM c),
-g AS (SELECT series_id, o, chunk, flag, lag(flag) OVER w AS l, lead(chunk) OVER w AS nx FROM f WINDOW w AS (PARTITION BY series_id, o ORDER BY chunk)),
-e AS (SELECT series_id, o, chunk, CASE WHEN nx IS NULL THEN coalesce(l, 0) ELSE flag END AS flag FROM g)
-SELECT z.series_id, z.step, coalesce(max(e.flag), 0.0)::DOUBLE AS periodicity FROM z LEFT JOIN e ON z.series_id = e.series_id AND z.step >= e.o AND (z.step - e.o) // 4 = e.chunk GROUP BY ALL""")
+def periodicity_sql(x: str) -> str:
+    """Table expressions, the last of them `periodic`: chunks of 4 rows from offsets 0 and 2, in series of 8 rows or more."""
+    return f"""z0 AS (SELECT series_id, step, round(({x} - avg({x}) OVER p) / stddev_pop({x}) OVER p, 7) AS z, count(*) OVER p AS n FROM s WINDOW p AS (PARTITION BY series_id)),
+c0 AS (SELECT series_id, o, (step - o) // 4 AS chunk, list(z ORDER BY step) AS vals FROM z0, range(0, 4, 2) AS t(o) WHERE n >= 8 AND step >= o AND n - o >= 8 GROUP BY ALL),
+f0 AS (SELECT series_id, o, chunk, CASE WHEN count(*) OVER (PARTITION BY series_id, o, list_concat(vals, list_transform(range(len(vals), 4), lambda x: 0.0::DOUBLE))) > 1 THEN 1.0 ELSE 0.0 END AS flag FROM c0),
+g0 AS (SELECT series_id, o, chunk, flag, lag(flag) OVER w AS l, lead(chunk) OVER w AS nx FROM f0 WINDOW w AS (PARTITION BY series_id, o ORDER BY chunk)),
+e0 AS (SELECT series_id, o, chunk, CASE WHEN nx IS NULL THEN coalesce(l, 0) ELSE flag END AS flag FROM g0),
+periodic AS (SELECT z0.series_id, z0.step, coalesce(max(e0.flag), 0.0)::DOUBLE AS periodicity FROM z0 LEFT JOIN e0 ON z0.series_id = e0.series_id AND z0.step >= e0.o AND (z0.step - e0.o) // 4 = e0.chunk GROUP BY ALL)"""
+
+
+@query("h1_periodicity", f"+{periodicity_sql('floor(k / 50)')} SELECT series_id, step, periodicity FROM periodic")
 def _(s):
     return periodicity.detect(s.select("series_id", "step", F.floor(F.col("k") / 50).cast("double").alias("x")), "x", day=8, split=4, stride=2, downsample=1)
 

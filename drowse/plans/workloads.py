@@ -6,22 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drowse.functions import scalar
-from drowse.operators import calibrate, chunks, joins, metric, peaks, periodicity, windows
+from drowse.operators import calibrate, chunks, features, joins, metric, peaks, periodicity, windows
 
 from . import queries as q
 
 
-def feature_table(s: DataFrame, day: int = 17_280, w: tuple[int, ...] = (12, 60), split: int = 120, stride: int = 36, downsample: int = 12) -> DataFrame:
-    """One shuffle by series serves all windows."""
-    s = scalar.zscore_fixed(s.repartition("series_id"))
-    s = s.withColumns({"anglez_z": windows.zscore_series("anglez"), "anglez_diff": windows.change("anglez"), "enmo_log": scalar.clip_log(F.col("enmo_raw"))})
-    rolled = {f"{c}_{stat}_{n}": windows.rolling(F.col(c), stat, windows.centered(n)) for c in ("anglez", "enmo") for stat in ("mean", "std", "max") for n in w}
-    s = s.withColumns(rolled | {"profile": windows.time_of_day_profile("anglez", day)})
-    s = s.select("*", *scalar.cyclic(F.hour("ts"), 24, "hour"), *scalar.cyclic(F.minute("ts"), 60, "minute"))
-    p = periodicity.detect(s, "enmo_raw", day, split, stride, downsample)
-    return s.join(p, ["series_id", "step"])
-
-
 def stacking_table(s: DataFrame, events: DataFrame, reach: int = 96, by: int = 12, height: float = 0.1, distance: float = 8) -> DataFrame:
     """Candidate rows around peaks of the mean prediction, in gap chunks, with features and labels."""
     s = s.withColumns(scalar.ensemble(["pred_onset", "pred_wakeup"], "p"))
@@ -43,9 +32,43 @@ def scored(s: DataFrame, events: DataFrame, tolerances: dict, height: float = 0.
     return found, metric.ap_table(events, found, tolerances)
 
 
+SMALL = features.Sizes({1: 3, 5: 6, 60: 24}, (4, 6), (5, 7), 6, 8)  # sizes of short series, and the defaults on long ones
+#: Digits of a flag's mean, which may end in a 5, and of other values.
+FLAGS, DIGITS = 9, 5
+
+
+def _feature_columns(sizes: features.Sizes) -> dict[str, int]:
+    turns = [f"{c}_{f}" for c in ("hour", "month", "minute", "minute15", "weekday") for f in ("sin", "cos")]
+    daily = [f"{c}_mean_24h" for c in features.DAILY]
+    return {c: FLAGS if "nonzero" in c else DIGITS for c in [*features.names(sizes), *daily, "anglez_series_norm", "enmo_series_norm", "enmo_clip", "enmo_log", *turns]}
+
+
+def _told(out: DataFrame, sizes: features.Sizes) -> DataFrame:
+    return out.select("series_id", "step", "hour", "minute_15", *[F.round(c, n).alias(c) for c, n in _feature_columns(sizes).items()])
+
+
+def _features_sql(view: str, sizes: features.Sizes) -> str:
+    columns = [f"round({c}, {n}) AS {c}" for c, n in _feature_columns(sizes).items()]
+    return f'WITH {q.VIEWS}, {features.feature_sql(view, sizes)} SELECT series_id, step, "hour", minute_15, {", ".join(columns)} FROM features'
+
+
 def w1_features(spark: SparkSession, d: str) -> DataFrame:
-    out = feature_table(q.series(spark, d), 8, (3, 5), 4, 2, 1)
-    return out.select("series_id", "step", *[F.round(c, 6).alias(c) for c in ("anglez_z", "anglez_diff", "anglez_mean_5", "enmo_max_3", "profile", "periodicity")])
+    """All features of each row, frames in proportion to the short series."""
+    return _told(features.feature_table(q.series(spark, d), SMALL), SMALL)
+
+
+def w1_features_720(spark: SparkSession, d: str) -> DataFrame:
+    """All features at their real frames, up to 720 rows, on a few long series in blocks."""
+    s = q.long_series(spark, d).withColumn("anglez", F.col("k") - 50)
+    return _told(features.feature_table(s, rows=1 << 13), features.Sizes())
+
+
+def w1_periodic_features(spark: SparkSession, d: str) -> DataFrame:
+    """The features joined with the periodicity of the raw signal."""
+    s = q.series(spark, d).withColumn("enmo", F.floor(F.col("k") / 50).cast("double"))
+    out = features.feature_table(s, SMALL)
+    p = periodicity.detect(s, "enmo", 8, 4, 2, 1)
+    return out.join(p, ["series_id", "step"]).select("series_id", "step", F.round("lids", DIGITS).alias("lids"), "periodicity", (1 - F.col("periodicity")).alias("non_periodicity"))
 
 
 def w2_stacking(spark: SparkSession, d: str) -> DataFrame:
@@ -67,5 +90,5 @@ def w3_nearest_score(spark: SparkSession, d: str) -> DataFrame:
     return near.withColumn("hit", (F.abs(F.col("nearest") - F.col("step")) < 3).cast("int")).groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"))
 
 
-QUERIES = {f.__name__: f for f in (w1_features, w2_stacking, w3_score, w3_nearest_score)}
-ORACLES = {"w3_nearest_score": f"WITH {q.VIEWS}, {q.PEAKS_SQL}, h AS (SELECT x, (SELECT min(abs(e.step - pk.step)) FROM ev AS e WHERE e.series_id = pk.series_id AND e.event = 'onset') < 3 AS hit FROM pk) SELECT x, count(*) AS n, CAST(coalesce(sum(CAST(hit AS INTEGER)), 0) AS BIGINT) AS hits FROM h GROUP BY x"}
+QUERIES = {f.__name__: f for f in (w1_features, w1_features_720, w1_periodic_features, w2_stacking, w3_score, w3_nearest_score)}
+ORACLES = {"w1_features": _features_sql("s", SMALL), "w1_features_720": _features_sql("ls", features.Sizes()), "w1_periodic_features": f"WITH {q.VIEWS}, {q.periodicity_sql('floor(k / 50)')}, fs AS (SELECT * REPLACE (floor(k / 50) AS enmo) FROM s), {features.feature_sql('fs', SMALL)} SELECT series_id, step, round(lids, {DIGITS}) AS lids, periodicity, 1 - periodicity AS non_periodicity FROM features JOIN periodic USING (series_id, step)", "w3_nearest_score": f"WITH {q.VIEWS}, {q.PEAKS_SQL}, h AS (SELECT x, (SELECT min(abs(e.step - pk.step)) FROM ev AS e WHERE e.series_id = pk.series_id AND e.event = 'onset') < 3 AS hit FROM pk) SELECT x, count(*) AS n, CAST(coalesce(sum(CAST(hit AS INTEGER)), 0) AS BIGINT) AS hits FROM h GROUP BY x"}
