@@ -7,9 +7,12 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drowse.sources.shared import kept
+
+from . import blocks
 from .joins import inside, pair_intervals
 
 COLUMNS = {"truth": ("series_id", "event", "step"), "detections": ("series_id", "event", "step", "score")}
@@ -92,25 +95,29 @@ def whole_groups(batches: Iterable[pd.DataFrame], key: list[str]) -> Iterator[pd
 
 
 def pr_points(matched: DataFrame, totals: DataFrame) -> DataFrame:
-    """event, tolerance, score, precision, recall at each distinct score. totals: event, n of truths. Scores are counted before
-    the running sums, so those run over distinct scores only."""
-    by_score = matched.groupBy("event", "tolerance", "score").agg(F.sum("matched").alias("tp"), F.count(F.lit(1)).alias("n_det"))
-    w = Window.partitionBy("event", "tolerance").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by_score.withColumns({"tp": F.sum("tp").over(w), "n_det": F.sum("n_det").over(w)}).join(F.broadcast(totals), "event")
-    return run.select("event", "tolerance", "score", (F.col("tp") / F.col("n_det")).alias("precision"), (F.col("tp") / F.col("n")).alias("recall"))
+    """event, tolerance, score, precision, recall, gained (recall won at this score), place (from 0, highest score first) at each distinct score.
+    totals: event, n of truths. Scores are counted before the running sums, which are two-phase: blocks of scores, then their offsets."""
+    by_score = kept(matched.groupBy("event", "tolerance", "score").agg(F.sum("matched").alias("hits"), F.count(F.lit(1)).alias("seen")), "scores")
+    run = blocks.scan(by_score, ["event", "tolerance"], "score", {"tp": F.col("hits"), "n_det": F.col("seen"), "place": F.lit(1).cast("long")}, descending=True)
+    run = run.join(F.broadcast(totals), "event")  # one row for each event
+    return run.select("event", "tolerance", "score", (F.col("tp") / F.col("n_det")).alias("precision"), (F.col("tp") / F.col("n")).alias("recall"), (F.col("hits") / F.col("n")).alias("gained"), (F.col("place") - 1).alias("place"))
 
 
 def average_precision(points: DataFrame) -> DataFrame:
     """event, tolerance, ap: sum of recall gained times precision."""
-    w = Window.partitionBy("event", "tolerance").orderBy(F.desc("score"))
-    gained = F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))
-    return points.withColumn("_a", gained * F.col("precision")).groupBy("event", "tolerance").agg(F.sum("_a").alias("ap"))
+    return points.groupBy("event", "tolerance").agg(F.sum(F.col("gained") * F.col("precision")).alias("ap"))
+
+
+#: Points in a row of `pr_table`.
+PIECE = 4096
 
 
-def pr_table(points: DataFrame) -> DataFrame:
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "precision", "recall")))
-    out = points.groupBy("event", "tolerance").agg(listed.alias("p"))
-    return out.select("event", "tolerance", F.transform("p", lambda x: x["precision"]).alias("precision"), F.transform("p", lambda x: x["recall"]).alias("recall"))
+def pr_table(points: DataFrame, size: int = PIECE) -> DataFrame:
+    """event, tolerance, first (place of the first point), precision, recall: a curve in arrays of `size` points, highest scores first."""
+    own = points.withColumn("first", F.floor(F.col("place") / size) * size)
+    listed = F.array_sort(F.collect_list(F.struct("place", "precision", "recall")))
+    out = own.groupBy("event", "tolerance", "first").agg(listed.alias("p"))
+    return out.select("event", "tolerance", "first", F.transform("p", lambda x: x["precision"]).alias("precision"), F.transform("p", lambda x: x["recall"]).alias("recall"))
 
 
 def ap_table(truth: DataFrame, detections: DataFrame, tolerances: dict[str, Sequence[float]], marks: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+
 
 def quantile_classes(counts: DataFrame, x: str = "n", bins: int = 10) -> DataFrame:
     """class 1..bins by linearly interpolated quantiles, bins closed on the right; 0 for rows whose count is 0."""
@@ -21,7 +23,7 @@ def stratified_folds(df: DataFrame, k: int, key: str = "series_id", label: str =
     upto = lambda n, f: F.floor((n - f - 1) / k) + 1  # noqa: E731  places below n that are f mod k
     share = [upto(F.col("_from") + F.col("_n"), f) - upto(F.col("_from"), f) for f in range(k)]
     ends = F.array(*[sum(share[1 : f + 1], share[0]) for f in range(k)])
-    own = df.withColumn("_place", F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1).join(F.broadcast(sizes.select(label, ends.alias("_ends"))), label)
+    own = blocks.numbered(df, [label], key, "_place").join(F.broadcast(sizes.select(label, ends.alias("_ends"))), label)
     return own.withColumn("fold", F.size(F.filter("_ends", lambda e: e <= F.col("_place")))).drop("_place", "_ends")
 
 

@@ -708,8 +708,8 @@ def _(s):
 
 @query("h6_pr_curve", f"+{POINTS_SQL} SELECT event, tolerance, CAST(row_number() OVER (PARTITION BY event, tolerance ORDER BY score DESC) - 1 AS INTEGER) AS i, round(prec, 6) AS precision, round(rec, 6) AS recall FROM p")
 def _(s):
-    t = metric.pr_table(_points(s)).select("event", "tolerance", F.posexplode(F.arrays_zip("precision", "recall")).alias("i", "p"))
-    return r6(t.select("event", "tolerance", "i", "p.precision", "p.recall"), "precision", "recall")
+    t = metric.pr_table(_points(s), 100).select("event", "tolerance", "first", F.posexplode(F.arrays_zip("precision", "recall")).alias("at", "p"))
+    return r6(t.select("event", "tolerance", (F.col("first") + F.col("at")).cast("int").alias("i"), "p.precision", "p.recall"), "precision", "recall")
 
 
 @query("h7_mean_ap")

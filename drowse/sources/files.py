@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drowse.operators.blocks import free, numbered, scan
+
 SERIES = "series_id string, step long, timestamp string, anglez float, enmo float"
 EVENTS = "series_id string, night int, event string, step double, timestamp string"
 OFFSET_TIME = "yyyy-MM-dd'T'HH:mm:ssZ"
@@ -39,12 +41,14 @@ def write_features(df: DataFrame, path: str) -> None:
 
 
 def with_row_id(df: DataFrame, order: tuple[str, ...] = ("series_id", "step")) -> DataFrame:
-    """Consecutive row_id in global order, without one global window: numbers within series, after the counts of those before."""
+    """Consecutive row_id in global order: places within series, in blocks, after the counts of the series before, which are a scan over one row
+    a series. No task has all rows, all series, or a long series."""
     key, *rest = order
-    own = df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*rest)))
+    own, before = free(df, "_own"), free(df, "_before")
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return own.join(before.drop("_size"), key).withColumn("row_id", F.col("_before") + F.col("_n") - 1).drop("_n", "_before")
+    ahead = scan(sizes, [], key, {before: F.col("_size")}).select(F.col(key).alias("_series"), (F.col(before) - F.col("_size")).alias(before))
+    placed = numbered(df, [key], rest, own).join(ahead, F.col(key).eqNullSafe(F.col("_series")))
+    return placed.select(*df.columns, (F.col(before) + F.col(own)).alias("row_id"))
 
 
 def write_detections(df: DataFrame, path: str) -> None:
