@@ -6,6 +6,7 @@ signals, sign-ups and purchases the true onsets and wakeups. Sizes that are in s
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from drowse.functions import scalar
 from drowse.operators import blocks, calibrate, chunks, joins, metric, peaks, periodicity, rolling, splits, windows
 from drowse.operators.rolling import Rolling
-from drowse.sources import files
+from drowse.sources import files, shared, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,14 +79,49 @@ W = "OVER (PARTITION BY series_id ORDER BY step"
 
 # --- sources
 
-@query("a1_read_series", "SELECT series_id, step, anglez FROM s")
+def _folder(s: DataFrame, name: str) -> str:
+    return f"{shared.shared_dir(s.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("a1_read_series", "SELECT CAST(series_id AS VARCHAR) AS series_id, step, CAST(floor(epoch(ts)) AS BIGINT) AS at, anglez, round(CAST(enmo AS FLOAT)::DOUBLE, 6) AS enmo FROM s")
+def _(s):
+    """Written as devices write them, times as text with an offset, and read back by the reader."""
+    path, local = _folder(s, "series"), F.date_format(F.col("ts") - F.expr("INTERVAL 4 HOURS"), "yyyy-MM-dd'T'HH:mm:ss")
+    s.select(F.col("series_id").cast("string").alias("series_id"), "step", F.concat(local, F.lit("-0400")).alias("timestamp"), F.col("anglez").cast("float").alias("anglez"), F.col("enmo").cast("float").alias("enmo")).write.parquet(path)
+    got = files.read_series(s.sparkSession, path, ["series_id", "step", "timestamp", "anglez", "enmo"])
+    return r6(got.select("series_id", "step", F.unix_timestamp("timestamp").alias("at"), F.col("anglez").cast("double").alias("anglez"), F.col("enmo").cast("double").alias("enmo")), "enmo")
+
+
+@query("a2_annotated_events", "SELECT CAST(series_id AS VARCHAR) AS series_id, CAST(date_diff('day', DATE '2024-01-01', day) AS INTEGER) AS night, event, step FROM ev WHERE step % 5 <> 0")
+def _(s):
+    """Written as CSV, every fifth step left empty, and read back by the reader, which drops rows without a step."""
+    path, e = _folder(s, "events"), truth(s)
+    night = F.datediff("day", F.lit("2024-01-01").cast("date"))
+    told = e.select(F.col("series_id").cast("string"), night.alias("night"), "event", F.when(F.col("step") % 5 != 0, F.col("step").cast("double")).alias("step"), F.lit("2024-01-02T03:04:05-0400").alias("timestamp"))
+    told.write.option("header", True).csv(path)
+    return files.read_events(s.sparkSession, path).select("series_id", "night", "event", "step")
+
+
+@query("a4_store_merge", "SELECT a.series_id, a.step, a.pred_onset AS p_m1, b.pred_wakeup AS p_m2, c.value AS p_m3 FROM s AS a JOIN s AS b USING (series_id, step) JOIN s AS c USING (series_id, step) WHERE b.step % 2 = 0 AND c.step % 3 = 0")
 def _(s):
-    return s.select("series_id", "step", "anglez")
+    """Three tables of predictions, written to the store and merged from there without a shuffle."""
+    parts = {"pred_onset": F.lit(True), "pred_wakeup": F.col("step") % 2 == 0, "value": F.col("step") % 3 == 0}
+    stored = []
+    for c, rows in parts.items():
+        stored.append(_folder(s, "predictions"))
+        store.write_store(s.where(rows).select("series_id", "step", F.col(c).alias("p")), stored[-1], buckets=8)
+    return joins.merge_predictions([store.read_store(s.sparkSession, path) for path in stored], ["m1", "m2", "m3"])
 
 
-@query("a2_annotated_events", "SELECT series_id, event, step FROM ev")
+@query("a6_written_detections", "SELECT row_number() OVER (ORDER BY series_id, step, event) - 1 AS row_id, series_id, step, event, round(value, 1) AS score FROM (SELECT *, CASE event_type WHEN 'click' THEN 'onset' ELSE 'wakeup' END AS event FROM s WHERE event_type IN ('click', 'view'))")
 def _(s):
-    return truth(s).select("series_id", "event", "step")
+    """Numbered, written as Parquet and as CSV, and read back: both must hold the same rows."""
+    path = _folder(s, "detections")
+    files.write_detections(detections(s), path)
+    rows = s.sparkSession.read.parquet(f"{path}/parquet").select("row_id", "series_id", "step", "event", "score")
+    told = s.sparkSession.read.option("header", True).csv(f"{path}/csv")
+    same = told.select(F.col("row_id").cast("long"), F.col("series_id").cast("long"), F.col("step").cast("long"), "event", F.col("score").cast("double"))
+    return rows.intersect(same)
 
 
 @query("a3_fold_lists", "SELECT series_id % 3 AS fold, 'train' AS role, series_id FROM (SELECT DISTINCT series_id FROM s) UNION ALL SELECT series_id % 3, 'valid', series_id + 1000000 FROM (SELECT DISTINCT series_id FROM s)")
