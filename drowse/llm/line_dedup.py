@@ -1,14 +1,16 @@
 """Near-duplicate lines by a segment-partition edit join.
 
 Lines with a letter or a digit are compared, whatever their length; two are alike if they are equal or if their edit distance is at most
-the budget of the shorter one: no edit below LEAST characters, one below 2 * LEAST, then 2 or a SHAREth of the characters, MOST at most. A
-line has budget + 1 segments of one size for all lengths of a budget, so two alike lines share a whole segment, shifted by no more than
-their edits allow. Each line leaves the hashes of its segments (with the budget) and of its substrings at which a shorter or equal
+the budget of the shorter one: no edit below LEAST characters, one below 2 * LEAST, then 2 or a SHAREth of the characters, however many. A
+line has one segment more than its class of lengths has edits, all of one size, so two alike lines share a whole segment, shifted by no more
+than their edits allow. A class is the lengths of one budget, and from WIDE edits on a 16th more than its least length, so that a line's
+keys stay in proportion to its characters. Each line leaves the hashes of its segments (with the budget) and of its substrings at which a shorter or equal
 line's segments can stand. Lines that share a hash are verified on their whole length by a banded bit-parallel edit distance, many pairs
-at once inside the group: pairs are never emitted, only a line that has an earlier alike.
+at once inside the group in words of 64 bits, and pairs of more than WIDE edits each in one long integer: pairs are never emitted, only a line that has an earlier alike.
 
 Hot segments: which keys several lines have is found first, from two line hashes at most for each key and task, and only those keys leave
-their lines. A group of more than GROUP lines is split by length, since alike lines differ by MOST characters at most, and what is still larger is worked as pairs of blocks.
+their lines. A group of more than GROUP lines or CHARS characters is split by length, since alike lines differ by a SHAREth at most, and what is
+still larger is worked as pairs of blocks.
 
 A line goes if an earlier one is equal or alike; earlier is by document id (null first), then by text hash, then by place. So the first
 stays, and its shorter or longer forms too if they have no earlier alike. Each task leaves a line's hashes once however often it
@@ -23,6 +25,7 @@ very long line is one row. An empty table gives an empty result. All columns of
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,9 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import content_key, discard, frames, materialize, renamed, slices, table, whole_groups
 
-#: The budget: LEAST characters for one edit, one for each SHARE characters from 2 * LEAST on, MOST at most.
-LEAST, SHARE, MOST = 20, 40, 6
-GROUP = 1024  # lines of a block
+#: The budget: LEAST characters for one edit, one for each SHARE characters from 2 * LEAST on; edits that a 64-bit word's band holds.
+LEAST, SHARE, WIDE = 20, 32, 31
+GROUP, CHARS = 1024, 1 << 22  # lines and characters of a block
 RUN, FLUSH, RANGE = 1 << 18, 1 << 20, 1 << 24  # characters hashed at a time, keys sorted at a time, characters whose keys make a range
 PAIRS = 4096  # pairs verified at a time
 WIDTH = 28  # a bitmap of keys has 2 ** WIDTH bits, 32 MB
@@ -48,13 +51,18 @@ DOC = ["id", "t1", "t2"]
 
 
 def budget(length: int) -> int:
-    return 0 if length < LEAST else 1 if length < 2 * LEAST else min(MOST, max(2, length // SHARE))
+    return 0 if length < LEAST else 1 if length < 2 * LEAST else max(2, length // SHARE)
 
 
+@lru_cache(maxsize=1)
 def classes() -> list[tuple[int, int, int]]:
-    """Budget, and the least and greatest length that have it."""
-    least = {1: LEAST, 2: 2 * LEAST} | {k: SHARE * k for k in range(3, MOST + 1)}
-    return [(k, n, least.get(k + 1, 1 << 62) - 1) for k, n in least.items()]
+    """The greatest budget, and the least and greatest length of each class."""
+    out, n = [(1, LEAST, 2 * LEAST - 1), (2, 2 * LEAST, 3 * SHARE - 1)], 3 * SHARE
+    while n < 1 << 40:
+        upto = n + (SHARE if n < SHARE * (WIDE + 1) else n // 16)
+        out.append((budget(upto - 1), n, upto - 1))
+        n = upto
+    return out
 
 
 @lru_cache(maxsize=64)
@@ -64,7 +72,10 @@ def _places(k: int, size: int) -> np.ndarray:
     Of two alike lines, some segment i of the shorter one is whole and has exactly i edits before it, so at most k - i after it: it
     stands in the longer one shifted by -min(i, k - i) to i."""
     i = np.arange(k + 1)
-    return np.unique(np.concatenate([np.arange(max(0, p - b), p + a + 1) for p, a, b in zip(i * size, i, np.minimum(i, k - i), strict=True)]))
+    edges = np.zeros(k * size + k + 2, np.int64)
+    np.add.at(edges, np.maximum(0, i * size - np.minimum(i, k - i)), 1)
+    np.add.at(edges, i * size + i + 1, -1)
+    return np.flatnonzero(np.cumsum(edges))
 
 
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -87,7 +98,10 @@ def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * up[: len(codes)], out=sums[1:])
     keys, names = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    longest = int(lengths.max(initial=0))
     for k, least, greatest in classes():
+        if least > longest:
+            break
         size = least // (k + 1)
         mine = np.flatnonzero((lengths >= least) & (lengths - k <= greatest))
         if not len(mine):
@@ -107,7 +121,10 @@ def within(a: list[str], b: list[str], edits: np.ndarray) -> np.ndarray:
     2k + 1 diagonals; they hold where values rise and fall along the column, and all pairs take a column at a time."""
     out = np.zeros(len(a), bool)
     n, m = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    for i in np.flatnonzero((edits > WIDE) & (np.abs(n - m) <= edits)).tolist():
+        out[i] = _banded_long(*_trimmed(a[i], b[i]), int(edits[i]))
     order = np.argsort(m, kind="stable")
+    order = order[edits[order] <= WIDE]
     for part in (order[i : i + PAIRS] for i in range(0, len(order), PAIRS)):
         part = part[np.abs(n[part] - m[part]) <= edits[part]]
         if len(part):
@@ -160,6 +177,29 @@ def _banded(a: list[str], b: list[str], edits: np.ndarray) -> np.ndarray:
     return out
 
 
+def _banded_long(a: str, b: str, k: int) -> bool:
+    """As `_banded`, for one pair and a band of any width: its vectors are integers of 2k + 1 bits."""
+    n, m, full = len(a) + k, len(b) + k, (1 << (2 * k + 1)) - 1
+    at: dict[str, int] = {}
+    for c in set(b):  # places of each character in k fillers, k equal characters and a
+        at[c] = sum(1 << (2 * k + m_.start()) for m_ in re.finditer(re.escape(c), a)) if a.count(c) < 64 else int("".join("1" if x == c else "0" for x in reversed(a)), 2) << 2 * k
+    start = ((1 << k) - 1) << k
+    up, down, distance = full >> k << k, 0, k
+    for j in range(m):
+        same = ((start if j < k else at[b[j - k]]) >> j) & full
+        diagonal = ((((same & up) + up) ^ up) | same | down) & full
+        right, left = down | (~(diagonal | up) & full), diagonal & up
+        if j + k < n:
+            distance += 1 - (diagonal >> 2 * k & 1)
+        else:
+            bit = n - 1 - j + k
+            distance += (right >> bit & 1) - (left >> bit & 1)
+        up, down = (left | ~((diagonal >> 1) | right)) & full, (diagonal >> 1) & right
+        if j % 64 == 63 and distance - (m - n + k if j + k < n else m - j - 1) > k:
+            return False
+    return distance <= k
+
+
 def _counts(lines: list[str]) -> np.ndarray:
     """Characters of each line, counted in 32 classes: an edit changes at most two counts by one."""
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.int64) % 32
@@ -297,7 +337,7 @@ def _combined(keys: np.ndarray, low: np.ndarray, high: np.ndarray | None = None)
 
 
 def line_keys_twice(docs: DataFrame) -> DataFrame:
-    """key, h1, h2 and line of keys that several lines may have; line with the first key of each line of a task only, else null."""
+    """key, h1, h2, size (of the line) and line of keys that several lines may have; line with the first key of each line of a task only, else null."""
     bits = docs.sparkSession.sparkContext.broadcast(keys_twice(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,16 +351,17 @@ def line_keys_twice(docs: DataFrame) -> DataFrame:
             second = {i: xxhash.xxh64_intdigest(lines[i].encode(), SECOND) for i in owner[first].tolist()}
             h2 = np.array([second[i] for i in owner.tolist()], np.uint64).view(np.int64)
             text = pa.array([lines[i] if f else None for i, f in zip(owner.tolist(), first.tolist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names[owner].view(np.int64)), pa.array(h2), text], ["key", "h1", "h2", "line"])
+            sizes = np.array([len(x) for x in lines], np.int32)[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names[owner].view(np.int64)), pa.array(h2), pa.array(sizes), text], ["key", "h1", "h2", "size", "line"])
 
-    return docs.select("text").mapInArrow(run, "key long, h1 long, h2 long, line string")
+    return docs.select("text").mapInArrow(run, "key long, h1 long, h2 long, size int, line string")
 
 
 def shared_keys(found: DataFrame) -> DataFrame:
-    """key, h1, h2 and n of the n lines that share a segment; of keys that the same lines share, one. found: of `line_keys_twice`."""
-    some = materialize(found.select("key", "h1", "h2").distinct(), "shared-segments")
-    sets = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h1").alias("x"), F.bit_xor(F.xxhash64("h1", F.lit(1))).alias("y")).where("n > 1")
-    out = materialize(some.join(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "key"), "shared-once")
+    """key, h1, h2, and n and chars of the n lines that share a segment; of keys that the same lines share, one. found: of `line_keys_twice`."""
+    some = materialize(found.select("key", "h1", "h2", "size").distinct(), "shared-segments")
+    sets = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"), F.bit_xor("h1").alias("x"), F.bit_xor(F.xxhash64("h1", F.lit(1))).alias("y")).where("n > 1")
+    out = materialize(some.drop("size").join(sets.groupBy("n", "chars", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "chars"), "key"), "shared-once")
     discard(some)
     return out
 
@@ -328,12 +369,15 @@ def shared_keys(found: DataFrame) -> DataFrame:
 def groups(shared: DataFrame, texts: DataFrame) -> DataFrame:
     """key, cell, lo, hi (blocks), part and the line's columns: all lines of a key, or of a hot one those of two neighbouring cells of
     lengths, in pairs of blocks. A line of a hot key is in its own cell's group and in that of the cell below it."""
-    zero = F.lit(0)
-    cold = shared.where(F.col("n") <= GROUP).select("key", "h1", "h2", zero.alias("cell"), zero.alias("lo"), zero.alias("hi"), zero.alias("part"))
-    hot = shared.where(F.col("n") > GROUP).join(texts.select("h1", "h2", F.floor(F.length("line") / (MOST + 1)).cast("int").alias("own")), ["h1", "h2"])
-    hot = hot.select("key", "h1", "h2", F.explode(F.when(F.col("own") > 0, F.array("own", F.col("own") - 1)).otherwise(F.array("own"))).alias("cell"))
-    sizes = hot.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    hot = hot.join(sizes.select("key", "cell", F.ceil(F.col("size") / GROUP).cast("int").alias("parts")), ["key", "cell"])
+    zero, small = F.lit(0), (F.col("n") <= GROUP) & (F.col("chars") <= CHARS)
+    cold = shared.where(small).select("key", "h1", "h2", zero.alias("cell"), zero.alias("lo"), zero.alias("hi"), zero.alias("part"))
+    size = F.length("line")
+    # lengths of alike lines differ by two up to 3 * SHARE characters, from there by a SHAREth: by one cell at most
+    own = F.when(size < 3 * SHARE, F.floor(size / 3)).otherwise(SHARE + F.floor(F.log(size / (3 * SHARE)) / math.log((1 + 1 / SHARE) * (1 + 1e-9))))
+    hot = shared.where(~small).join(texts.select("h1", "h2", own.cast("int").alias("own"), size.alias("size")), ["h1", "h2"])
+    hot = hot.select("key", "h1", "h2", "size", F.explode(F.when(F.col("own") > 0, F.array("own", F.col("own") - 1)).otherwise(F.array("own"))).alias("cell"))
+    sizes = hot.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("lines"), F.sum("size").alias("chars")).where("lines > 1")
+    hot = hot.join(sizes.select("key", "cell", F.ceil(F.greatest(F.col("lines") / GROUP, F.col("chars") / CHARS)).cast("int").alias("parts")), ["key", "cell"])
     hot = hot.withColumns({"part": F.pmod(F.xxhash64("h2"), F.col("parts")).cast("int"), "other": F.explode(F.sequence(zero, F.col("parts") - 1))})
     hot = hot.select("key", "h1", "h2", "cell", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part")
     return cold.unionByName(hot).join(texts, ["h1", "h2"])

@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -85,14 +86,19 @@ def identifiers(texts: list[str]) -> list[str]:
     return out
 
 
-def train_ratio(docs: DataFrame, text: str = "text", key: str = "doc_id") -> np.ndarray:
-    """Log-likelihood ratio of each transition. The sample is SAMPLE_DOCS documents of at most 20,000 characters, smallest hash first.
-    A bound on the hash, from the number of documents, leaves about SPARE times as many, so that a task sends few texts however
-    many tasks there are; where nearly all documents are longer, the sample is smaller."""
+def train_ratio(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """Log-likelihood ratio of each transition. The sample is SAMPLE_DOCS different texts of at most 20,000 characters, smallest hash first: ids
+    have no part in it. A bound on the hash, from the number of documents, leaves about SPARE times as many, so that a task sends few
+    texts however many tasks there are; where nearly all documents are longer, or copies, the sample is smaller. Without any word in
+    it ordinary strings count as any characters, and a warning says so."""
     low = min(2**63 - 1, -(2**63) + 2**64 * SPARE * SAMPLE_DOCS // max(1, docs.count()))
-    own = docs.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("t")).where((F.col("h") <= low) & (F.length("t") <= 20_000))
-    sample = [without(r["t"], base_spans(r["t"])) for r in own.orderBy("h", "t").limit(SAMPLE_DOCS).collect()]
-    return _chain(random_strings(SAMPLE_RANDOM)) - _chain(identifiers(sample))
+    own = docs.select(F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t")).where((F.col("h") <= low) & (F.length("t") <= 20_000))
+    once = own.groupBy("h").agg(F.min("t").alias("t"))
+    sample = [without(r["t"], base_spans(r["t"])) for r in once.orderBy("h").limit(SAMPLE_DOCS).collect()]
+    ordinary = identifiers(sample)
+    if not ordinary:
+        warnings.warn("no word to train ordinary identifiers on", stacklevel=2)
+    return _chain(random_strings(SAMPLE_RANDOM)) - _chain(ordinary)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -139,7 +145,7 @@ def spans(text: str, ratio: np.ndarray) -> list[tuple[int, int, str]]:
 
 def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", ratio: np.ndarray | None = None) -> DataFrame:
     """key, and spans: array of (start, end, kind), in order."""
-    model = train_ratio(docs, text, key) if ratio is None else ratio
+    model = train_ratio(docs, text) if ratio is None else ratio
 
     def run(texts: list[str | None]) -> tuple[None, list[pa.Array]]:
         found = [[{"start": a, "end": z, "kind": k} for a, z, k in spans(t or "", model)] for t in texts]
