@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from drowse.sources.shared import kept
 
 from . import blocks
+from .groups import map_groups
 from .joins import inside, pair_intervals
+from .peaks import maxima_of, suppress
 
 COLUMNS = {"truth": ("series_id", "event", "step"), "detections": ("series_id", "event", "step", "score")}
 
@@ -53,59 +55,37 @@ def matches(truth: DataFrame, detections: DataFrame, tolerances: dict[str, Seque
     both = truth.select(*keys, step, F.lit(0.0).alias("score"), F.lit(True).alias("is_truth"))
     both = both.unionByName(own.select(*keys, step, F.col("score").cast("double").alias("score"), F.lit(False).alias("is_truth")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in whole_groups(batches, keys):
-            yield _matched(rows, tolerances)
-
-    # many series and events a call: the calls are few, and a task holds a batch and one series
-    return both.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, f"event string, tolerance double, series_id {kind}, score double, matched int")
-
-
-def _matched(rows: pd.DataFrame, tolerances: dict[str, Sequence[float]]) -> pd.DataFrame:
-    step, score, is_truth = rows["step"].to_numpy(), rows["score"].to_numpy(), rows["is_truth"].to_numpy()
-    series, event, group = rows["series_id"].to_numpy(), rows["event"].to_numpy(), rows["group"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    at, tolerance, matched = [np.empty(0, int)], [], [np.empty(0, bool)]
-    for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
-        found = a + np.flatnonzero(~is_truth[a:z])
-        times = np.sort(step[a:z][is_truth[a:z]]).tolist()
-        if len(found):
-            for tol in tolerances.get(event[a], ()):
+    def run(rows: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
+        step, score, is_truth = rows["step"].to_numpy(), rows["score"].to_numpy(), rows["is_truth"].to_numpy()
+        event, at, tolerance, matched = rows["event"].tolist(), [np.empty(0, int)], [], [np.empty(0, bool)]
+        for a, z in spans:
+            found = a + np.flatnonzero(~is_truth[a:z])
+            times = np.sort(step[a:z][is_truth[a:z]]).tolist()
+            for tol in tolerances.get(event[a], ()) if len(found) else ():
                 at.append(found)
                 tolerance += [float(tol)] * len(found)
                 matched.append(match(times, step[found], score[found], tol))
-    i = np.concatenate(at)
-    return pd.DataFrame({"event": event[i], "tolerance": np.array(tolerance, float), "series_id": series[i], "score": score[i], "matched": np.concatenate(matched).astype(int)})
-
-
-def whole_groups(batches: Iterable[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
-    """Many whole groups at a time, numbered in column `group`, from batches whose rows are sorted by `key`."""
-    held: pd.DataFrame | None = None
-    for batch in batches:
-        if batch.empty:
-            continue
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        number = (rows[key] != rows[key].shift()).any(axis=1).to_numpy().cumsum()
-        last = number == number[-1]
-        held = rows[last]
-        if not last.all():
-            yield rows[~last].assign(group=number[~last])
-    if held is not None:
-        yield held.assign(group=0)
-
-
-def pr_points(matched: DataFrame, totals: DataFrame) -> DataFrame:
-    """event, tolerance, score, precision, recall, gained (recall won at this score), place (from 0, highest score first) at each distinct score.
+        own = rows.iloc[np.concatenate(at)]
+        return pd.DataFrame({"event": own["event"], "tolerance": np.array(tolerance, float), "series_id": own["series_id"], "score": own["score"], "matched": np.concatenate(matched).astype(int)})
+
+    return map_groups(both, keys, [], run, f"event string, tolerance double, series_id {kind}, score double, matched int")
+
+
+CURVE = ("event", "tolerance")
+
+
+def pr_points(matched: DataFrame, totals: DataFrame, keys: Sequence[str] = CURVE) -> DataFrame:
+    """The keys of a curve, score, precision, recall, gained (recall won at this score), place (from 0, highest score first) at each distinct score.
     totals: event, n of truths. Scores are counted before the running sums, which are two-phase: blocks of scores, then their offsets."""
-    by_score = kept(matched.groupBy("event", "tolerance", "score").agg(F.sum("matched").alias("hits"), F.count(F.lit(1)).alias("seen")), "scores")
-    run = blocks.scan(by_score, ["event", "tolerance"], "score", {"tp": F.col("hits"), "n_det": F.col("seen"), "place": F.lit(1).cast("long")}, descending=True)
+    by_score = kept(matched.groupBy(*keys, "score").agg(F.sum("matched").alias("hits"), F.count(F.lit(1)).alias("seen")), "scores")
+    run = blocks.scan(by_score, list(keys), "score", {"tp": F.col("hits"), "n_det": F.col("seen"), "place": F.lit(1).cast("long")}, descending=True)
     run = run.join(F.broadcast(totals), "event")  # one row for each event
-    return run.select("event", "tolerance", "score", (F.col("tp") / F.col("n_det")).alias("precision"), (F.col("tp") / F.col("n")).alias("recall"), (F.col("hits") / F.col("n")).alias("gained"), (F.col("place") - 1).alias("place"))
+    return run.select(*keys, "score", (F.col("tp") / F.col("n_det")).alias("precision"), (F.col("tp") / F.col("n")).alias("recall"), (F.col("hits") / F.col("n")).alias("gained"), (F.col("place") - 1).alias("place"))
 
 
-def average_precision(points: DataFrame) -> DataFrame:
-    """event, tolerance, ap: sum of recall gained times precision."""
-    return points.groupBy("event", "tolerance").agg(F.sum(F.col("gained") * F.col("precision")).alias("ap"))
+def average_precision(points: DataFrame, keys: Sequence[str] = CURVE) -> DataFrame:
+    """The keys of a curve, and ap: sum of recall gained times precision."""
+    return points.groupBy(*keys).agg(F.sum(F.col("gained") * F.col("precision")).alias("ap"))
 
 
 #: Points in a row of `pr_table`.
@@ -138,15 +118,33 @@ def mean_ap(table: DataFrame) -> DataFrame:
 
 
 def sweep(df: DataFrame, x: dict[str, str], truth: DataFrame, tolerances: dict[str, Sequence[float]], grid: Sequence[tuple[float, float]]) -> DataFrame:
-    """height, distance, mean_ap of peak picking at each (height, distance), as one union of jobs over the same input."""
-    from .peaks import find_peaks
-
-    out = None
-    for height, distance in grid:
-        found = None
-        for event, c in x.items():
-            own = find_peaks(df, c, height, distance).withColumn("event", F.lit(event))
-            found = own if found is None else found.unionByName(own)
-        one = mean_ap(ap_table(truth, found, tolerances)).select(F.lit(float(height)).alias("height"), F.lit(float(distance)).alias("distance"), "mean_ap")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """height, distance, mean_ap of peak picking at each (height, distance). The series is scanned once, for maxima of the least height; each
+    series' and event's maxima and truths then pass through one call, which thins and matches them for all points of the grid."""
+    maxima = maxima_of(df, x, min(h for h, _ in grid))
+    series = truth.select(F.col("series_id").alias("s")).distinct()
+    own = maxima.join(series, F.col("series_id") == F.col("s"), "left_semi")
+    both = own.select("series_id", "event", F.col("step").cast("double").alias("step"), "score", "row")
+    both = both.unionByName(truth.select("series_id", "event", F.col("step").cast("double").alias("step"), F.lit(None).cast("double").alias("score"), F.lit(-1).alias("row")))
+
+    def run(rows: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
+        step, score, row, event = rows["step"].to_numpy(), rows["score"].to_numpy(), rows["row"].to_numpy(), rows["event"].tolist()
+        out = []
+        for a, z in spans:
+            times = np.sort(step[a:z][row[a:z] < 0]).tolist()
+            peaks = a + np.flatnonzero(row[a:z] >= 0)
+            for point, (height, distance) in enumerate(grid):
+                high = peaks[score[peaks] >= height]
+                found = high[suppress(row[high], score[high], distance)]
+                for tol in tolerances.get(event[a], ()) if len(found) else ():
+                    out.append(pd.DataFrame({"point": point, "event": event[a], "tolerance": float(tol), "score": score[found], "matched": match(times, step[found], score[found], tol).astype(int)}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("point", "event", "tolerance", "score", "matched")})
+
+    matched = map_groups(both, ["series_id", "event"], ["row"], run, "point int, event string, tolerance double, score double, matched int")
+    totals, keys = truth.groupBy("event").agg(F.count(F.lit(1)).alias("n")), ("point", *CURVE)
+    ap = average_precision(pr_points(matched, totals, keys), keys)
+    spark = truth.sparkSession
+    points = spark.createDataFrame([(i, float(h), float(d)) for i, (h, d) in enumerate(grid)], "point int, height double, distance double")
+    cells = spark.createDataFrame([(e, float(t)) for e, ts in tolerances.items() for t in ts], "event string, tolerance double").join(totals.select("event"), "event")
+    whole = points.crossJoin(cells).join(ap, list(keys), "left")  # the grid times the tolerances, both given
+    by_event = whole.groupBy("point", "height", "distance", "event").agg(F.avg(F.coalesce("ap", F.lit(0.0))).alias("ap"))
+    return by_event.groupBy("height", "distance").agg(F.avg("ap").alias("mean_ap"))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import map_groups
 from .windows import local_maxima, ordered
 
 
@@ -16,27 +17,39 @@ def best_per_day(df: DataFrame, score: str, event: str, date: str = "date") -> D
 
 
 def suppress(rows: np.ndarray, scores: np.ndarray, distance: float) -> np.ndarray:
-    """Which peaks stay: highest first, the later of equals, none nearer than `distance` rows to one that stays."""
-    keep = np.ones(len(rows), bool)
-    for j in np.lexsort((rows, scores))[::-1]:
+    """Which peaks stay: highest first, the later of equals, none nearer than `distance` rows to one that stays. rows ascend, so each peak that
+    stays walks over its neighbours only."""
+    keep, at, gap = [True] * len(rows), rows.tolist(), float(np.ceil(distance))
+    for j in np.lexsort((rows, scores))[::-1].tolist():
         if keep[j]:
-            near = np.abs(rows - rows[j]) < np.ceil(distance)
-            near[j] = False
-            keep &= ~near
-    return keep
+            for way in (-1, 1):
+                k = j + way
+                while 0 <= k < len(at) and abs(at[k] - at[j]) < gap:
+                    keep[k] = False
+                    k += way
+    return np.array(keep, bool)
+
+
+def maxima_of(df: DataFrame, cols: dict[str, str], height: float, step: str = "step") -> DataFrame:
+    """series_id, event, step, score, row: local maxima of each event's column, from one scan of the series."""
+    df = df.withColumn("_row", F.row_number().over(ordered(order=step)))  # before rows are multiplied
+    each = F.array(*[F.struct(F.lit(e).alias("event"), F.col(c).cast("double").alias("score")) for e, c in cols.items()])
+    long = df.select("series_id", step, F.col("_row").alias("row"), F.explode(each).alias("p")).select("series_id", "p.event", step, "p.score", "row")
+    return local_maxima(long, "score", height, ["series_id", "event"], step)
 
 
 def find_peaks(df: DataFrame, x: str, height: float, distance: float, step: str = "step") -> DataFrame:
-    """series_id, step, score. Maxima are found by windows, so only they reach Python."""
+    """series_id, step, score. Maxima are found by windows, so only they reach Python, many series a call."""
     numbered = df.select("series_id", step, F.col(x).cast("double").alias("score"), F.row_number().over(ordered(order=step)).alias("row"))
     maxima = local_maxima(numbered, "score", height, step=step)
 
-    def thin(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("row")
-        return p[suppress(p["row"].to_numpy(), p["score"].to_numpy(), distance)][["series_id", step, "score"]]
+    def thin(p: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
+        rows, scores = p["row"].to_numpy(), p["score"].to_numpy()
+        kept = [a + np.flatnonzero(suppress(rows[a:z], scores[a:z], distance)) for a, z in spans]
+        return p.iloc[np.concatenate(kept)][["series_id", step, "score"]]
 
     kinds = dict(df.dtypes)
-    return maxima.groupBy("series_id").applyInPandas(thin, f"series_id {kinds['series_id']}, {step} {kinds[step]}, score double")
+    return map_groups(maxima, ["series_id"], ["row"], thin, f"series_id {kinds['series_id']}, {step} {kinds[step]}, score double")
 
 
 def or_dummy(detections: DataFrame, keys: DataFrame) -> DataFrame:
@@ -50,11 +63,15 @@ NEAR, FAR = (0, 1, 3, 5, 8, 10, 13, 15, 20, 25, 30), (0, 1, 3, 5, 7, 10, 12, 15,
 PHASES = ((3, NEAR, FAR), (9, FAR, NEAR))  # steps after the row, reach to the left (the row included), reach to the right
 
 
+#: Gains are sums of predictions in units of 1 / UNIT, so that they are exact in any order; predictions reach up to MOST.
+UNIT, MOST, FAN = 1 << 40, 1 << 13, 64
+
+
 def expected(p: np.ndarray, first: np.ndarray, last: np.ndarray, power: np.ndarray, much: np.ndarray, phase: int) -> np.ndarray:
     """What rows give to the candidates of a phase through their levels (much, power]: row i of level j reaches the candidates from
     i - right[j] to i + left[j] - 1 of its chunk. Ranges are added as differences, one pass of sums makes them values."""
     _, left, right = PHASES[phase]
-    diff = np.zeros(len(p) + 1)
+    diff = np.zeros(len(p) + 1, np.int64)
     i = np.arange(len(p))
     for j in range(1, len(left)):
         on = (j > much) & (j <= power)
@@ -63,46 +80,74 @@ def expected(p: np.ndarray, first: np.ndarray, last: np.ndarray, power: np.ndarr
     return np.cumsum(diff)[:-1]
 
 
-def pick_events(steps: np.ndarray, p: np.ndarray, chunk: np.ndarray, height: float, limit: int) -> list[tuple[int, float]]:
-    """(step, score): again and again the candidate of most expected gain; rows it reaches keep only the levels they don't share with it."""
-    n = len(p)
+class Tournament:
+    """The greatest of n values and its first place, after changes of a few: each level holds the winners of FAN places of the one below."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while len(self.levels[-1]) > FAN:
+            below = self.levels[-1]
+            self.levels.append(np.maximum.reduceat(below, np.arange(0, len(below), FAN)))
+
+    def changed(self, a: int, z: int) -> None:
+        """The values from a to z - 1 have new values."""
+        for below, level in zip(self.levels, self.levels[1:], strict=False):
+            a, z = a // FAN, (z - 1) // FAN + 1
+            level[a:z] = np.maximum.reduceat(below[a * FAN : z * FAN], np.arange(0, len(below[a * FAN : z * FAN]), FAN))
+
+    def best(self) -> int:
+        at = 0
+        for level in reversed(self.levels):
+            at = at * FAN + int(level[at * FAN : (at + 1) * FAN].argmax()) if level is not self.levels[-1] else int(level.argmax())
+        return at
+
+
+def pick_events(p: np.ndarray, chunk: np.ndarray, height: float, limit: int) -> list[tuple[int, int, float]]:
+    """(row, phase, gain), in order: again and again the candidate of most expected gain, of equals one of the second phase and then the first;
+    rows it reaches keep only the levels they don't share with it. A pick changes gains near it alone."""
+    n, p = len(p), np.rint(p * UNIT).astype(np.int64)
     starts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
     sizes = np.diff(np.r_[starts, n])
     first, last = np.repeat(starts, sizes), np.repeat(starts + sizes - 1, sizes)
     power, none = np.full(n, len(NEAR) - 1), np.zeros(n, int)
-    gain = [expected(p, first, last, power, none, k) for k in (0, 1)]
-    out = []
+    trees = [Tournament(expected(p, first, last, power, none, k)) for k in (0, 1)]
+    out, far = [], max(NEAR[-1], FAR[-1])
     while len(out) < limit:
-        tops = [int(g.argmax()) for g in gain]
-        k = 0 if gain[0][tops[0]] > gain[1][tops[1]] else 1
-        at, (after, left, right) = tops[k], PHASES[k]
-        if gain[k][at] < height:
+        tops = [t.best() for t in trees]
+        gains = [int(t.levels[0][i]) for t, i in zip(trees, tops, strict=True)]
+        k = 0 if gains[0] > gains[1] else 1
+        at, (_, left, right) = tops[k], PHASES[k]
+        if gains[k] / UNIT < height:
             break
-        out.append((int(steps[at]) + after, float(gain[k][at])))
+        out.append((at, k, gains[k] / UNIT))
         l, r = np.arange(min(left[-1], at + 1)), np.arange(1, min(right[-1], n - 1 - at) + 1)
         rows = np.r_[at - l, at + r]
         level = np.r_[np.searchsorted(left, l, side="right") - 1, np.searchsorted(right, r, side="left") - 1]
-        new = power.copy()
-        new[rows] = np.minimum(power[rows], level)
-        a, z = max(0, int(first[rows.min()])), int(last[rows.max()]) + 1
-        own = slice(a, z)
+        a, z = max(0, int(rows.min()) - far), min(n, int(rows.max()) + far + 1)
+        new = power[a:z].copy()
+        new[rows - a] = np.minimum(new[rows - a], level)
+        low, high = np.maximum(first[a:z] - a, 0), np.minimum(last[a:z] - a, z - a - 1)
         for q in (0, 1):
-            gain[q][own] -= expected(p[own], first[own] - a, last[own] - a, power[own], new[own], q)
-        power = new
+            trees[q].levels[0][a:z] -= expected(p[a:z], low, high, power[a:z], new, q)
+            trees[q].changed(a, z)
+        power[a:z] = new
     return out
 
 
 def greedy_events(df: DataFrame, cols: dict[str, str], height: float = 0.001, limit: int = 500, chunk: str = "chunk_id") -> DataFrame:
-    """series_id, event, step, score of each event's prediction column."""
-    long = None
-    for event, c in cols.items():
-        own = df.select("series_id", F.lit(event).alias("event"), F.col(chunk).cast("long").alias("chunk"), F.col("step").cast("long").alias("step"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("p"))
-        long = own if long is None else long.unionByName(own)
-
-    def pick(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["chunk", "step"])
-        found = pick_events(p["step"].to_numpy(), p["p"].to_numpy(), p["chunk"].to_numpy(), height, limit)
-        return pd.DataFrame({"series_id": [p["series_id"].iloc[0]] * len(found), "event": [p["event"].iloc[0]] * len(found), "step": [s for s, _ in found], "score": [v for _, v in found]})
+    """series_id, event, step, score of each event's prediction column, `limit` of a series at most. A series is one group: a pick takes levels
+    from its neighbours beyond a chunk's border, too. Many series pass in one call; each pick costs its reach and one path of the tree."""
+    each = F.array(*[F.struct(F.lit(e).alias("event"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("p")) for e, c in cols.items()])
+    told = F.lit("a prediction is too great for exact gains").cast("string")
+    value = F.when(F.col("e.p") > MOST, F.raise_error(told).cast("double")).otherwise(F.col("e.p"))
+    long = df.select("series_id", F.col(chunk).cast("long").alias("chunk"), F.col("step").cast("long").alias("step"), F.explode(each).alias("e")).select("series_id", "e.event", "chunk", "step", value.alias("p"))
+
+    def pick(rows: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
+        p, step, chunks = rows["p"].to_numpy(), rows["step"].to_numpy(), rows["chunk"].to_numpy()
+        found = [(a + i, PHASES[k][0], gain) for a, z in spans for i, k, gain in pick_events(p[a:z], chunks[a:z], height, limit)]
+        at = np.array([i for i, _, _ in found], int)
+        own = rows.iloc[at]
+        return pd.DataFrame({"series_id": own["series_id"], "event": own["event"], "step": step[at] + np.array([x for _, x, _ in found], int), "score": [g for _, _, g in found]})
 
     kind = dict(df.dtypes)["series_id"]
-    return long.groupBy("series_id", "event").applyInPandas(pick, f"series_id {kind}, event string, step long, score double")
+    return map_groups(long, ["series_id", "event"], ["chunk", "step"], pick, f"series_id {kind}, event string, step long, score double")

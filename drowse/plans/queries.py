@@ -755,7 +755,7 @@ def _(s):
 
 @query("h8_sweep")
 def _(s):
-    return r6(metric.sweep(s, {"onset": "pred_onset", "wakeup": "pred_wakeup"}, truth(s), TOLERANCES, [(0.2, 2), (0.2, 6), (0.5, 2)]), "mean_ap")
+    return r6(metric.sweep(s, {"onset": "pred_onset", "wakeup": "pred_wakeup"}, truth(s), TOLERANCES, [(h, d) for h in (0.2, 0.35, 0.5, 0.8) for d in (1, 2, 4, 6, 9)]), "mean_ap")
 
 
 @query("h9_dummy_rows", "+d AS (SELECT series_id, 'onset' AS event, step, value AS score FROM s WHERE event_type = 'click' AND value > 400) SELECT series_id, event, step, score FROM d UNION ALL SELECT DISTINCT series_id, 'onset', 0, 0.0 FROM s WHERE series_id NOT IN (SELECT series_id FROM d)")

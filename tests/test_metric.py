@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from drowse.operators import metric
+from drowse.operators import metric, peaks
 
 TWO = [("a", "pass", 0.0), ("a", "pass", 15.0)]
 FOUND = [0.0, 10.0, 14.5]
@@ -80,3 +81,21 @@ def test_matches_against_plain_form(spark):
                 hit = plain([x for n, e, x in truth if (n, e) == (s, event)], [x for x, _ in own], [y for _, y in own], tol)
                 want += [(event, float(tol), s, y, int(h)) for (_, y), h in zip(own, hit, strict=True)]
     assert got == sorted(want)
+
+
+def test_sweep_is_the_loop(spark):
+    """All points of the grid in one pass give what picking, matching and scoring at each one gives; the series is scanned once."""
+    rng = np.random.default_rng(3)
+    rows = [(s, i, float(np.round(rng.random(), 2)), float(np.round(rng.random(), 1))) for s in range(6) for i in range(80)]
+    truth = [(s, str(rng.choice(["onset", "wakeup"])), int(rng.integers(0, 80))) for s in range(5) for _ in range(6)]
+    df = spark.createDataFrame(rows, "series_id long, step long, a double, b double")
+    t = spark.createDataFrame(truth, "series_id long, event string, step long")
+    tolerances, grid = {"onset": [1, 3], "wakeup": [2]}, [(h, d) for h in (0.3, 0.6, 0.95, 2.0) for d in (1, 4.5, 9)]
+    got = {(r["height"], r["distance"]): r["mean_ap"] for r in metric.sweep(df, {"onset": "a", "wakeup": "b"}, t, tolerances, grid).collect()}
+    assert len(got) == len(grid)
+    for h, d in grid[::5]:
+        found = [peaks.find_peaks(df, c, h, d).withColumn("event", F.lit(e)) for e, c in (("onset", "a"), ("wakeup", "b"))]
+        want = metric.mean_ap(metric.ap_table(t, found[0].unionByName(found[1]), tolerances)).first()[0]
+        assert got[h, d] == pytest.approx(want, abs=1e-12)
+    maxima = peaks.maxima_of(df, {"onset": "a", "wakeup": "b"}, 0.3)
+    assert maxima._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1

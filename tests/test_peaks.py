@@ -1,6 +1,9 @@
 """Peak suppression and the greedy picker against plain forms; rewritten windows against direct ones."""
 
+import time
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from drowse.operators import peaks, windows
@@ -35,13 +38,58 @@ def plain_pick(steps, p, chunk, height, limit):
 
 
 def test_greedy_picker_against_plain_form():
+    """Steps and scores, ties too: predictions are multiples of 1 / 8, so that sums are exact in both."""
     rng = np.random.default_rng(4)
-    for _ in range(5):
-        n = 70
-        p, chunk, steps = rng.random(n) ** 4, np.repeat([0, 1], [40, 30]), np.arange(n) * 12
-        got = peaks.pick_events(steps, p, chunk, 0.2, 12)
-        want = plain_pick(steps.tolist(), p.tolist(), chunk.tolist(), 0.2, 12)
-        assert [round(v, 6) for _, v in got] == [round(v, 6) for _, v in want]
+    for _ in range(12):
+        n = 90
+        p, chunk, steps = np.floor(rng.random(n) ** 4 * 8) / 8, np.repeat([0, 1, 2], [40, 35, 15]), np.arange(n) * 12
+        got = [(int(steps[i]) + peaks.PHASES[k][0], v) for i, k, v in peaks.pick_events(p, chunk, 0.2, 14)]
+        assert got == plain_pick(steps.tolist(), p.tolist(), chunk.tolist(), 0.2, 14)
+
+
+def test_many_series_a_call(spark):
+    """Rows in any order, several series and events a call: each is picked as by itself."""
+    rng = np.random.default_rng(9)
+    rows = [(s, int(i // 40), int(i), float(np.floor(rng.random() ** 4 * 8) / 8), float(rng.random() ** 3)) for s in range(4) for i in range(150)]
+    df = spark.createDataFrame(rows, "series_id long, chunk_id long, step long, a double, b double").repartition(5)
+    got = peaks.greedy_events(df, {"onset": "a", "wakeup": "b"}, 0.3, 9).collect()
+    want = []
+    for s in range(4):
+        own = [r for r in rows if r[0] == s]
+        for event, at in (("onset", 3), ("wakeup", 4)):
+            found = peaks.pick_events(np.array([r[at] for r in own]), np.array([r[1] for r in own]), 0.3, 9)
+            want += [(s, event, own[i][2] + peaks.PHASES[k][0], v) for i, k, v in found]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_a_million_rows_in_seconds():
+    rng = np.random.default_rng(1)
+    p = rng.random(1_000_000) ** 6
+    began = time.perf_counter()
+    found = peaks.pick_events(p, np.zeros(len(p), int), 0.001, 500)
+    assert time.perf_counter() - began < 10
+    assert len(found) == 500
+    gains = [v for _, _, v in found]
+    assert gains == sorted(gains, reverse=True)
+
+
+def test_tournament():
+    rng = np.random.default_rng(2)
+    for n in (1, 63, 64, 65, 5000):
+        x = rng.integers(0, 50, n)
+        t = peaks.Tournament(x)
+        for _ in range(200):
+            a = int(rng.integers(0, n))
+            z = min(n, a + int(rng.integers(1, 90)))
+            x[a:z] -= rng.integers(0, 9, z - a)
+            t.changed(a, z)
+            assert t.best() == int(x.argmax())
+
+
+def test_prediction_too_great(spark):
+    df = spark.createDataFrame([("a", 0, 0, 1e6)], "series_id string, chunk_id long, step long, p double")
+    with pytest.raises(Exception, match="too great"):
+        peaks.greedy_events(df, {"onset": "p"}).collect()
 
 
 def test_suppression():
