@@ -4,7 +4,8 @@ Lines with a letter or a digit are compared, whatever their length; two are alik
 the budget of the shorter one: no edit below LEAST characters, one below 2 * LEAST, then 2 or a SHAREth of the characters, however many. A
 line has one segment more than its class of lengths has edits, all of one size, so two alike lines share a whole segment, shifted by no more
 than their edits allow. A class is the lengths of one budget, and from WIDE edits on a 16th more than its least length, so that a line's
-keys stay in proportion to its characters. Each line leaves the hashes of its segments (with the budget) and of its substrings at which a shorter or equal
+keys stay in proportion to its characters. From FEW edits on a substring is named by the least hash of its parts of two thirds of its length:
+equal substrings have equal names, and neighbours share one, so a line has few. Each line leaves the hashes of its segments (with the budget) and of its substrings at which a shorter or equal
 line's segments can stand. Lines that share a hash are verified on their whole length by a banded bit-parallel edit distance, many pairs
 at once inside the group in words of 64 bits, and pairs of more than WIDE edits each in one long integer: pairs are never emitted, only a line that has an earlier alike.
 
@@ -42,6 +43,7 @@ from .common import content_key, discard, frames, materialize, renamed, slices,
 
 #: The budget: LEAST characters for one edit, one for each SHARE characters from 2 * LEAST on; edits that a 64-bit word's band holds.
 LEAST, SHARE, WIDE = 20, 32, 31
+FEW = 3  # edits from which a substring is named by the least hash of its parts of two thirds
 GROUP, CHARS = 1024, 1 << 22  # lines and characters of a block
 RUN, FLUSH, RANGE = 1 << 18, 1 << 20, 1 << 24  # characters hashed at a time, keys sorted at a time, characters whose keys make a range
 PAIRS = 4096  # pairs verified at a time
@@ -97,6 +99,11 @@ def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     up, down = _POWERS
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * up[: len(codes)], out=sums[1:])
+
+    def hashed(where: np.ndarray, size: int) -> np.ndarray:  # prefix sums of a polynomial, moved to one power
+        h = (sums[where + size] - sums[where]) * down[where]
+        return (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+
     keys, names = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     longest = int(lengths.max(initial=0))
     for k, least, greatest in classes():
@@ -108,14 +115,34 @@ def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
             continue
         at = _places(k, size)
         ok = at[None, :] <= lengths[mine, None] - size
-        where = (offsets[mine, None] + at[None, :])[ok]
-        h = (sums[where + size] - sums[where]) * down[where]  # prefix sums of a polynomial, moved to one power
-        h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
+        owner = np.repeat(mine, ok.sum(1))
+        if k < FEW:
+            h = hashed((offsets[mine, None] + at[None, :])[ok], size)
+        else:  # a substring's name is the least hash of its parts, which its neighbours mostly share
+            part = size - size // 3
+            parts = lengths[mine] - part + 1
+            starts = np.cumsum(parts) - parts
+            least_ = hashed(np.repeat(offsets[mine] - starts, parts) + np.arange(parts.sum()), part)
+            least_ = _least_of(least_, size - part + 1)
+            h = least_[(starts[:, None] + at[None, :])[ok]]
+            new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
+            h, owner = h[new], owner[new]
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
         keys.append((h ^ h >> np.uint64(29)).view(np.int64))
-        names.append(np.repeat(mine, ok.sum(1)))
+        names.append(owner)
     return np.concatenate(keys), np.concatenate(names)
 
 
+def _least_of(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of the w values from each place on; fewer at the end."""
+    out, have = x.copy(), 1
+    while have < w:
+        by = min(have, w - have)
+        out[: len(out) - by] = np.minimum(out[: len(out) - by], out[by:])
+        have += by
+    return out
+
+
 def within(a: list[str], b: list[str], edits: np.ndarray) -> np.ndarray:
     """Whether the edit distance of each pair is at most its `edits`. Bit t of a column's vectors is the cell on diagonal t - k of a band of
     2k + 1 diagonals; they hold where values rise and fall along the column, and all pairs take a column at a time."""
