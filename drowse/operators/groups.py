@@ -24,7 +24,7 @@ def whole_groups(batches: Iterable[pd.DataFrame], key: Sequence[str]) -> Iterato
         starts = [0, *np.flatnonzero(new).tolist()]
         held = rows.iloc[starts[-1] :]
         if len(starts) > 1:
-            yield rows, list(zip(starts, starts[1:], strict=False))
+            yield rows.iloc[: starts[-1]], list(zip(starts, starts[1:], strict=False))
     if held is not None:
         yield held, [(0, len(held))]
 

@@ -2,43 +2,99 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+from .groups import map_groups
+
+
+def standardized(df: DataFrame, x: str, step: str = "step") -> DataFrame:
+    """series_id, step, z (population deviation; 0 where it is 0, or x is null) and n, the rows of the series. The sums are joined, not windowed."""
+    own = df.groupBy("series_id").agg(F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_std"), F.count(F.lit(1)).alias("n"))
+    z = F.coalesce((F.col(x) - F.col("_mean")) / F.nullif(F.col("_std"), F.lit(0.0)), F.lit(0.0))
+    return df.join(own, "series_id").select("series_id", F.col(step).cast("long").alias("step"), z.alias("z"), "n")
+
 
-def chunk_flags(df: DataFrame, x: str, split: int, stride: int, downsample: int, digits: int = 7, step: str = "step") -> DataFrame:
-    """series_id, offset, flags: for each start offset, whether each chunk of `split` sampled values equals another one of the
-    series. The last chunk, filled up with zeros, copies the one before it. Equal arrays meet by hash: linear, no pairs of chunks."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def chunk_hashes(z: DataFrame, split: int, stride: int, downsample: int, digits: int = 7, day: int = 0, rows: int = blocks.ROWS) -> DataFrame:
+    """series_id, n, offset, chunk, h1, h2: a chunk is `split` values, `downsample` rows apart; chunks begin every split * downsample rows from each
+    multiple of `stride` on, with zeros past the end. A block of the series with the rows behind it hashes the chunks that begin in it, so
+    there is one row a chunk, fewer than the series has: none for each row and offset. Two hashes of 64 bits name the values."""
     span = split * downsample
-    rows = df.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(span - 1), F.lit(stride)))).where((F.col(step) >= F.col("offset")) & ((F.col(step) - F.col("offset")) % downsample == 0))
-    rows = rows.withColumn("chunk", F.floor((F.col(step) - F.col("offset")) / span))
-    chunks = rows.groupBy("series_id", "offset", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct(step, F.round(F.col(x), digits).alias("v")))), lambda p: p["v"]).alias("values"))
-    full = F.concat("values", F.array_repeat(F.lit(0.0), F.lit(split) - F.size("values")))
-    chunks = chunks.withColumn("values", full)
-    same = F.count(F.lit(1)).over(Window.partitionBy("series_id", "offset", "values")) > 1
-    own = Window.partitionBy("series_id", "offset").orderBy("chunk")
-    chunks = chunks.withColumn("flag", same.cast("double"))
-    last = F.lead("chunk").over(own).isNull()
-    chunks = chunks.withColumn("flag", F.when(last, F.coalesce(F.lag("flag").over(own), F.lit(0.0))).otherwise(F.col("flag")))
-    return chunks.groupBy("series_id", "offset").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "flag"))), lambda p: p["flag"]).alias("flags"))
-
-
-def detect(df: DataFrame, x: str, day: int = 17_280, split: int = 120, stride: int = 36, downsample: int = 12, step: str = "step") -> DataFrame:
+    spread = blocks.halo(z.where(F.col("n") >= day), 0, span, "step", rows)
+    weights = np.random.default_rng(7).integers(1, 1 << 63, (2, split), dtype=np.uint64) | np.uint64(1)
+    kind = dict(z.dtypes)["series_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in blocks.group_tables(batches, ["series_id", "block"]):
+            first, n, own = t["step"][0].as_py(), t["n"][0].as_py(), int(pc.sum(t["own"]).as_py() or 0)
+            start = first + np.arange(own)
+            start = start[(start % span % stride == 0) & (n - start % span >= day)]
+            value = np.round(t["z"].to_numpy(), digits) + 0.0  # no negative zero
+            code = _mixed(np.concatenate([value, np.zeros(span)]).view(np.uint64))
+            hashes = np.zeros((2, len(start)), np.uint64)
+            for i in range(split):
+                hashes += _mixed(code[start - first + i * downsample] ^ weights[:, i : i + 1])
+            columns = [pc.take(t["series_id"].combine_chunks(), pa.array(np.zeros(len(start), np.int64))), *[pa.array(c, pa.int64()) for c in (np.full(len(start), n), start % span, start // span, *hashes.view(np.int64))]]
+            yield pa.RecordBatch.from_arrays(columns, ["series_id", "n", "offset", "chunk", "h1", "h2"])
+
+    sort = ["series_id", "block"]
+    return spread.repartition(*sort).sortWithinPartitions(*sort, "step").mapInArrow(run, f"series_id {kind}, n long, offset long, chunk long, h1 long, h2 long")
+
+
+def repeated_chunks(hashes: DataFrame, span: int) -> DataFrame:
+    """series_id, n, offset, chunk of the chunks that equal another one of their offset; the last chunk, which the end cuts, copies the one before."""
+    same = F.count(F.lit(1)).over(Window.partitionBy("series_id", "offset", "h1", "h2")) > 1
+    last = F.ceil((F.col("n") - F.col("offset")) / span) - 1
+    own = hashes.withColumn("_same", same).where(F.col("_same") & (F.col("chunk") < last))
+    return own.select("series_id", "n", "offset", F.explode(F.when(F.col("chunk") == last - 1, F.array("chunk", last)).otherwise(F.array("chunk"))).alias("chunk"))
+
+
+def detect(df: DataFrame, x: str, day: int = 17_280, split: int = 120, stride: int = 36, downsample: int = 12, step: str = "step", rows: int = blocks.ROWS) -> DataFrame:
     """series_id, step, periodicity: the flags of each offset spread over the rows by linear interpolation, then their maximum.
-    Series shorter than a day have 0."""
-    own = Window.partitionBy("series_id")
-    z = df.select("series_id", step, ((F.col(x) - F.avg(x).over(own)) / F.nullif(F.stddev_pop(x).over(own), F.lit(0.0))).alias("_z"), F.count(F.lit(1)).over(own).alias("_n"))
-    z = z.withColumn("_z", F.coalesce("_z", F.lit(0.0)))
-    flags = chunk_flags(z.where(F.col("_n") >= day), "_z", split, stride, downsample, step=step)
-    spread = z.join(flags, "series_id").where(F.col(step) >= F.col("offset"))
-    n, i = F.col("_n") - F.col("offset"), F.col(step) - F.col("offset")
-    m = F.ceil(n / downsample)
-    at = F.when(n > 1, i * (m - 1) / (n - 1)).otherwise(0.0)
-    low, high = F.floor(at), F.least(F.floor(at) + 1, m - 1)
-    of = lambda k: F.get(F.col("flags"), F.floor(k / split).cast("int"))
-    spread = spread.where(n >= day).withColumn("_v", of(low) + (of(high) - of(low)) * (at - low))
-    best = spread.groupBy("series_id", step).agg(F.max("_v").alias("_v"))
-    return z.select("series_id", step).join(best, ["series_id", step], "left").select("series_id", step, F.coalesce("_v", F.lit(0.0)).alias("periodicity"))
+    Series shorter than a day have 0. `step` is the row's place in its series; a long series is as many groups as it has blocks."""
+    z, span = standardized(df, x, step), split * downsample
+    flags = repeated_chunks(chunk_hashes(z, split, stride, downsample, day=day, rows=rows), span)
+    n, off = F.col("n"), F.col("offset")
+    samples = F.ceil((n - off) / downsample)
+    per = F.when(samples > 1, (n - off - 1) / (samples - 1)).otherwise(F.lit(1.0))  # rows a sample; the last sample is the last row
+    low = F.greatest(off, off + F.floor((F.col("chunk") * split - 1) * per) - 1)
+    high = F.when(samples > 1, F.least(n - 1, off + F.ceil((F.col("chunk") + 1) * split * per) + 1)).otherwise(n - 1)
+    reached = flags.withColumn("block", F.explode(F.sequence(F.floor(low / rows).cast("long"), F.floor(high / rows).cast("long"))))
+    none = F.lit(-1).cast("long")
+    both = z.select("series_id", F.floor(F.col("step") / rows).alias("block"), "step", "n", none.alias("offset"), none.alias("chunk"))
+    both = both.unionByName(reached.select("series_id", "block", none.alias("step"), "n", "offset", "chunk"))
+
+    def spread(p: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
+        steps, n, offset, chunk = (p[c].to_numpy() for c in ("step", "n", "offset", "chunk"))
+        value, at = np.zeros(len(p)), steps >= 0
+        for a, z in spans:
+            first = a + int(np.searchsorted(steps[a:z], 0))  # flags come first
+            if first == a:
+                continue
+            for o in np.unique(offset[a:first]):
+                mine, m = np.sort(chunk[a:first][offset[a:first] == o]), -(-(n[a] - o) // downsample)
+                i = steps[first:z] - o
+                place = np.maximum(i, 0) * (m - 1) / (n[a] - o - 1) if n[a] - o > 1 else np.zeros(len(i))
+                low = np.floor(place)
+                flag = lambda k: np.isin((k // split).astype(np.int64), mine).astype(float)  # noqa: E731, B023
+                left, right = flag(low), flag(np.minimum(low + 1, m - 1))
+                value[first:z] = np.maximum(value[first:z], np.where(i >= 0, left + (right - left) * (place - low), 0))
+        return pd.DataFrame({"series_id": p["series_id"][at], "step": steps[at], "periodicity": value[at]})
+
+    kind = dict(df.dtypes)["series_id"]
+    return map_groups(both, ["series_id", "block"], ["step", "offset", "chunk"], spread, f"series_id {kind}, step long, periodicity double")
 
 
 def similar_chunks(df: DataFrame, vector: str, threshold: float = 0.99, key: str = "series_id", number: str = "chunk") -> DataFrame:
