@@ -4,7 +4,7 @@ Lines with a letter or a digit are compared, whatever their length; two are alik
 the budget of the shorter one: no edit below LEAST characters, one below 2 * LEAST, then 2 or a SHAREth of the characters, however many. A
 line has one segment more than its class of lengths has edits, all of one size, so two alike lines share a whole segment, shifted by no more
 than their edits allow. A class is the lengths of one budget, and from WIDE edits on a 16th more than its least length, so that a line's
-keys stay in proportion to its characters. From FEW edits on a substring is named by the least hash of its parts of two thirds of its length:
+keys stay in proportion to its characters. From FEW edits on a substring is named by the least hash of its parts of half its length:
 equal substrings have equal names, and neighbours share one, so a line has few. Each line leaves the hashes of its segments (with the budget) and of its substrings at which a shorter or equal
 line's segments can stand. Lines that share a hash are verified on their whole length by a banded bit-parallel edit distance, many pairs
 at once inside the group in words of 64 bits, and pairs of more than WIDE edits each in one long integer: pairs are never emitted, only a line that has an earlier alike.
@@ -43,7 +43,7 @@ from .common import content_key, discard, frames, materialize, renamed, slices,
 
 #: The budget: LEAST characters for one edit, one for each SHARE characters from 2 * LEAST on; edits that a 64-bit word's band holds.
 LEAST, SHARE, WIDE = 20, 32, 31
-FEW = 3  # edits from which a substring is named by the least hash of its parts of two thirds
+FEW = 3  # edits from which a substring is named by the least hash of its parts of half its size
 GROUP, CHARS = 1024, 1 << 22  # lines and characters of a block
 RUN, FLUSH, RANGE = 1 << 18, 1 << 20, 1 << 24  # characters hashed at a time, keys sorted at a time, characters whose keys make a range
 PAIRS = 4096  # pairs verified at a time
@@ -119,7 +119,7 @@ def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if k < FEW:
             h = hashed((offsets[mine, None] + at[None, :])[ok], size)
         else:  # a substring's name is the least hash of its parts, which its neighbours mostly share
-            part = size - size // 3
+            part = (size + 1) // 2
             parts = lengths[mine] - part + 1
             starts = np.cumsum(parts) - parts
             least_ = hashed(np.repeat(offsets[mine] - starts, parts) + np.arange(parts.sum()), part)
