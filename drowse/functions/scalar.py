@@ -82,6 +82,16 @@ def parse_chunk_key(key: Column) -> tuple[Column, Column]:
     return F.regexp_extract(key, r"^(.*)_\d+$", 1), F.regexp_extract(key, r"_(\d+)$", 1).cast("long")
 
 
+def span_key(series: Column, start: Column, end: Column) -> Column:
+    return F.concat_ws("_", series.cast("string"), start.cast("string"), end.cast("string"))
+
+
+def parse_span_key(key: Column) -> tuple[Column, Column, Column]:
+    """The series may hold underscores itself."""
+    part = lambda i: F.regexp_extract(key, r"^(.*)_(\d+)_(\d+)$", i)
+    return part(1), part(2).cast("long"), part(3).cast("long")
+
+
 def columns_like(df: DataFrame, pattern: str) -> DataFrame:
     return df.select(df.colRegex(f"`{pattern}`"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,53 @@ def sleep_frames(pairs: DataFrame, duration: int, frames: int) -> DataFrame:
     return pairs.where(b > a).select("series_id", "start", F.explode(F.sequence(a, b - 1)).alias("frame")).distinct()
 
 
+# Reach, in frames, of the tolerances that masks are made for
+TOLERANCES = (12, 36, 60, 90, 120, 150, 180, 240, 300, 360)
+
+
+def frame_labels(pairs: DataFrame, duration: int, frames: int) -> DataFrame:
+    """series_id, start, kind (onset, wakeup or sleep), frame: the frames of a chunk that are labelled, for its (chunk start, onset, wakeup) pairs. An
+    event whose frame is outside the chunk has no label there; sleep is cut at the chunk's ends."""
+    at = [pairs.select("series_id", "start", F.lit(e).alias("kind"), frame_of(F.col(e), F.col("start"), duration, frames).alias("frame")) for e in ("onset", "wakeup")]
+    points = at[0].unionByName(at[1]).where(F.col("frame").between(0, frames - 1)).distinct()
+    return points.unionByName(sleep_frames(pairs, duration, frames).withColumn("kind", F.lit("sleep")))
+
+
+def tolerance_masks(labels: DataFrame, frames: int, tolerances: Sequence[int] = TOLERANCES) -> DataFrame:
+    """series_id, start, kind, tolerance, frame: the frames from `tolerance` before an onset or wakeup to just before `tolerance` after it. labels: of
+    `frame_labels`. Runs that overlap are joined before they are spread, so a frame is told once without a distinct over frames."""
+    runs = labels.where("kind <> 'sleep'").withColumn("tolerance", F.explode(F.array(*[F.lit(t) for t in tolerances])))
+    runs = runs.select("series_id", "start", "kind", "tolerance", F.greatest(F.lit(0), F.col("frame") - F.col("tolerance")).alias("a"), F.least(F.lit(frames), F.col("frame") + F.col("tolerance")).alias("z"))
+    # events of one kind that follow each other in a chunk have growing ends, too: each adds what the one before has not told
+    before = F.lag("z").over(Window.partitionBy("series_id", "start", "kind", "tolerance").orderBy("a", "z"))
+    runs = runs.withColumn("a", F.greatest("a", F.coalesce(before, F.lit(0)))).where("a < z")
+    return runs.select("series_id", "start", "kind", "tolerance", F.explode(F.sequence("a", F.col("z") - 1)).alias("frame"))
+
+
+def random_crop(positions: DataFrame, duration: int, lengths: DataFrame, u: Column, at: str = "step") -> DataFrame:
+    """positions with start and end (exclusive) of a crop of `duration` steps that holds each one and lies in its series: all such starts are alike,
+    u in [0, 1) draws one. A series shorter than the duration is its own crop. lengths: series_id, n."""
+    out = positions.join(lengths.select("series_id", F.col("n").alias("_n")), "series_id")
+    low = F.greatest(F.lit(0), F.col(at) - duration + 1)
+    high = F.greatest(F.lit(0), F.least(F.col(at), F.col("_n") - duration))
+    low = F.least(low, high)
+    out = out.withColumn("start", (low + F.floor(u * (high - low + 1))).cast("long"))
+    return out.withColumn("end", F.least(F.col("_n"), F.col("start") + duration)).drop("_n")
+
+
+def chunk_arrays(df: DataFrame, size: int, stride: int, columns: Sequence[str], fill: float = -1, step: str = "step") -> DataFrame:
+    """series_id, start, and an array of `size` values for step and each of `columns`: chunks from each multiple of `stride`, the tail filled up with
+    `fill`. A series of `size` rows or fewer is one chunk of its own length, not filled."""
+    own = df.select("series_id", F.col(step).cast("long").alias(step), *columns)
+    n = own.groupBy("series_id").agg((F.max(step) + 1).alias("_n"))
+    spread = overlapping(own, size, stride, step=step).join(n, "series_id").where((F.col("_n") > size) | (F.col("chunk_no") == 0))
+    rows = spread.groupBy("series_id", "_n", (F.col("chunk_no") * stride).alias("start")).agg(F.array_sort(F.collect_list(F.struct("pos", step, *columns))).alias("_rows"))
+    missing = F.when(F.col("_n") > size, F.lit(size) - F.size("_rows")).otherwise(F.lit(0))
+    kinds = dict(own.dtypes)
+    filled = lambda c: F.concat(F.transform("_rows", lambda r: r[c]), F.array_repeat(F.lit(fill).cast(kinds[c]), missing)).alias(c)
+    return rows.select("series_id", "start", *[filled(c) for c in (step, *columns)])
+
+
 def gaussian(events: DataFrame, reach: int, sigma: float, frames: int, least: float = 1e-3) -> DataFrame:
     """Sum of kernels around event frames: chunk keys, frame, value."""
     spread = events.withColumn("_d", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))

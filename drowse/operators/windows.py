@@ -127,12 +127,27 @@ def ramp_target(df: DataFrame, is_event: Column, widths: Sequence[int], name: st
     return df.withColumn(name, value).drop("_i", "_b", "_f")
 
 
-def expectation(x: str, counts: Sequence[int], keys: Sequence[str] = KEY, order: str = "step") -> Column:
-    """Sum over tolerances of the trailing sums, and of the leading ones without the row itself; all frames share one sort."""
-    o = ordered(keys, order)
-    left = [F.sum(x).over(o.rowsBetween(1 - k, 0)) for k in counts]
-    right = [F.coalesce(F.sum(x).over(o.rowsBetween(1, k)), F.lit(0.0)) for k in counts]
-    return sum(left[1:] + right, left[0])
+# Rows that the ten tolerances reach on the nearer and the farther side of a candidate 3 steps after a row, and 9 steps after it
+NEARER, FARTHER = (1, 3, 5, 8, 10, 13, 15, 20, 25, 30), (1, 3, 5, 7, 10, 12, 15, 20, 25, 30)
+
+
+def expectation(x: str, counts: Sequence[int], keys: Sequence[str] = KEY, order: str = "step", right: Sequence[int] | None = None) -> Column:
+    """Sum over tolerances of the trailing sums of `counts` rows, and of the leading ones of `right` rows (or as many) without the row itself. Rings
+    between neighbouring counts are summed once each and weigh as many tolerances as reach them."""
+    o, n = ordered(keys, order), len(counts)
+
+    def rings(reach: Sequence[int], side: int) -> list[Column]:
+        ends = [0, *reach]
+        frame = lambda a, z: o.rowsBetween(-(z - 1), -a) if side < 0 else o.rowsBetween(a + 1, z)
+        return [F.coalesce(F.sum(x).over(frame(a, z)), F.lit(0.0)) * (n - i) for i, (a, z) in enumerate(zip(ends, ends[1:], strict=False))]
+
+    parts = rings(counts, -1) + rings(counts if right is None else right, 1)
+    return sum(parts[1:], parts[0])
+
+
+def phase_expectations(x: str, keys: Sequence[str] = KEY, order: str = "step") -> dict[str, Column]:
+    """Expected gain of the candidates 3 and 9 steps after each row, over all ten tolerances."""
+    return {"gain3": expectation(x, NEARER, keys, order, FARTHER), "gain9": expectation(x, FARTHER, keys, order, NEARER)}
 
 
 def smoothed_periodicity(df: DataFrame, p: str, name: str, w: int = 10, step: str = "step") -> DataFrame:
@@ -140,7 +155,6 @@ def smoothed_periodicity(df: DataFrame, p: str, name: str, w: int = 10, step: st
     o = ordered(order=step)
     half, ahead = w // 2, (w + 1) // 2 - 1
     df = df.withColumns({"_i": F.row_number().over(o) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(*KEY))})
-    df = df.withColumn("_s", F.sum(p).over(o.rowsBetween(FIRST, 0)))
     whole = o.rowsBetween(FIRST, LAST)
     edge = lambda r: F.sum(F.when(F.col("_i") < r, F.col(p))).over(whole)
     low = F.lit(0.0)
@@ -150,7 +164,7 @@ def smoothed_periodicity(df: DataFrame, p: str, name: str, w: int = 10, step: st
     for r in range(1, ahead + 1):
         high = F.when(F.col("_n") - 1 - F.col("_i") == ahead - r, F.sum(F.when(F.col("_n") - 1 - F.col("_i") < r, F.col(p))).over(whole)).otherwise(high)
     mean = (F.sum(p).over(o.rowsBetween(-half, ahead)) + low + high) / w
-    return df.withColumn(name, F.least(F.col(p), mean)).drop("_i", "_n", "_s")
+    return df.withColumn(name, F.least(F.col(p), mean)).drop("_i", "_n")
 
 
 def local_maxima(df: DataFrame, x: str, height: float, keys: Sequence[str] = KEY, step: str = "step") -> DataFrame:

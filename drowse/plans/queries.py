@@ -236,6 +236,14 @@ def _(s):
     return scalar.columns_like(s, "^pred_.*$")
 
 
+@query("b18_span_keys", "SELECT series_id, step, 'a_' || series_id || '_' || (step // 16 * 16) || '_' || (step // 16 * 16 + 16) AS span_key, 'a_' || series_id AS parsed_series, step // 16 * 16 AS parsed_start, step // 16 * 16 + 16 AS parsed_end FROM s")
+def _(s):
+    start = F.floor(F.col("step") / 16) * 16
+    s = s.withColumn("span_key", scalar.span_key(F.concat(F.lit("a_"), F.col("series_id").cast("string")), start, start + 16))
+    a, b, c = scalar.parse_span_key(F.col("span_key"))
+    return s.select("series_id", "step", "span_key", a.alias("parsed_series"), b.alias("parsed_start"), c.alias("parsed_end"))
+
+
 @query("b18_chunk_keys", "SELECT series_id, step, series_id || '_' || lpad(CAST(step // 16 AS VARCHAR), 7, '0') AS chunk_key, CAST(series_id AS VARCHAR) AS parsed_series, step // 16 AS parsed_no FROM s")
 def _(s):
     s = s.withColumn("chunk_key", scalar.chunk_key(F.col("series_id"), F.floor(F.col("step") / 16)))
@@ -571,6 +579,17 @@ def _(s):
     return s.select("series_id", "step", F.round(windows.expectation("pred_onset", (1, 3, 5, 8)), 6).alias("gain"))
 
 
+def _phase(x: str, left: tuple[int, ...], right: tuple[int, ...]) -> str:
+    w = "OVER (PARTITION BY series_id, step // 32 ORDER BY step"
+    return " + ".join([f"sum({x}) {w} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in left] + [f"coalesce(sum({x}) {w} ROWS BETWEEN 1 FOLLOWING AND {k} FOLLOWING), 0)" for k in right])
+
+
+@query("e18_phases", f"SELECT series_id, step, round({_phase('pred_onset', windows.NEARER, windows.FARTHER)}, 6) AS gain3, round({_phase('pred_onset', windows.FARTHER, windows.NEARER)}, 6) AS gain9 FROM s")
+def _(s):
+    c = s.withColumn("chunk_id", F.floor(F.col("step") / 32))
+    return r6(c.select("series_id", "step", *[x.alias(n) for n, x in windows.phase_expectations("pred_onset", ("series_id", "chunk_id")).items()]), "gain3", "gain9")
+
+
 @query("e19_smoothed_periodicity", "+n AS (SELECT series_id, step, pred_wakeup AS p, count(*) OVER (PARTITION BY series_id) AS n FROM s), m AS (SELECT a.series_id, a.step, any_value(a.p) AS p, sum(b.p) / 6 AS m FROM n AS a, range(-3, 3) AS t(o), n AS b WHERE b.series_id = a.series_id AND b.step = CASE WHEN a.step + o < 0 THEN -1 - (a.step + o) WHEN a.step + o >= a.n THEN 2 * a.n - 1 - (a.step + o) ELSE a.step + o END GROUP BY a.series_id, a.step) SELECT series_id, step, round(least(p, m), 6) AS p FROM m")
 def _(s):
     return r6(windows.smoothed_periodicity(s.select("series_id", "step", F.col("pred_wakeup").alias("x")), "x", "p", 6).select("series_id", "step", "p"), "p")
@@ -654,6 +673,32 @@ def _(s):
     return chunks.windows(s, 16, 16).select("series_id", "start", "end")
 
 
+@query("g6_filled_chunks", "+n AS (SELECT series_id, max(step) + 1 AS n FROM s GROUP BY series_id), c AS (SELECT series_id, n, unnest(CASE WHEN n > 50 THEN range(0, n, 40) ELSE [0] END) AS start FROM n), p AS (SELECT c.series_id, c.start, i, s.step, s.pred_onset FROM c, range(0, 50) AS t(i) LEFT JOIN s ON s.series_id = c.series_id AND s.step = c.start + i WHERE n > 50 OR i < n) SELECT series_id, start, string_agg(coalesce(step, -1), ',' ORDER BY i) AS steps, string_agg(CAST(round(coalesce(pred_onset, -1) * 1000) AS BIGINT), ',' ORDER BY i) AS p FROM p GROUP BY ALL")
+def _(s):
+    c = chunks.chunk_arrays(s, 50, 40, ["pred_onset"])
+    whole = F.transform("pred_onset", lambda x: F.round(x * 1000).cast("long"))
+    return c.select("series_id", "start", F.array_join("step", ",").alias("steps"), F.array_join(whole, ",").alias("p"))
+
+
+FRAME = lambda e, start, duration, frames: f"CAST(trunc(({e} - {start})::DOUBLE / {duration} * {frames}) AS INTEGER)"
+LABEL_SQL = f"""lab AS (SELECT DISTINCT series_id, start, 'onset' AS kind, {FRAME('onset', 'start', 16, 8)} AS frame FROM pr WHERE {FRAME('onset', 'start', 16, 8)} BETWEEN 0 AND 7
+  UNION ALL SELECT DISTINCT series_id, start, 'wakeup', {FRAME('wakeup', 'start', 16, 8)} FROM pr WHERE {FRAME('wakeup', 'start', 16, 8)} BETWEEN 0 AND 7
+  UNION ALL SELECT DISTINCT series_id, start, 'sleep', CAST(f AS INTEGER) FROM pr, range(0, 8) AS t(f) WHERE f >= greatest(0, {FRAME('onset', 'start', 16, 8)}) AND f < least(8, {FRAME('wakeup', 'start', 16, 8)})),
+mask AS (SELECT DISTINCT series_id, start, kind, tolerance, CAST(f AS INTEGER) AS frame FROM lab, (VALUES (1), (2), (5)) AS o(tolerance), range(0, 8) AS t(f) WHERE kind <> 'sleep' AND f >= frame - tolerance AND f < frame + tolerance)"""
+PAIR_SQL = 'pr AS (SELECT ch.series_id, start, onset, wakeup FROM ch JOIN sp ON ch.series_id = sp.series_id AND start <= wakeup AND onset <= "end")'
+
+
+@query("g7_frame_labels", f"+{CHUNKS_SQL}, {SPANS_SQL}, {PAIR_SQL}, {LABEL_SQL} SELECT * FROM lab")
+def _(s):
+    return chunks.frame_labels(joins.overlaps(chunk_bounds(s), spans(s), "start", "end", "onset", "wakeup", 16), 16, 8)
+
+
+@query("g7_tolerance_masks", f"+{CHUNKS_SQL}, {SPANS_SQL}, {PAIR_SQL}, {LABEL_SQL} SELECT * FROM mask")
+def _(s):
+    labels = chunks.frame_labels(joins.overlaps(chunk_bounds(s), spans(s), "start", "end", "onset", "wakeup", 16), 16, 8)
+    return chunks.tolerance_masks(labels, 8, (1, 2, 5))
+
+
 @query("g7_sleep_frames", f'+{CHUNKS_SQL}, {SPANS_SQL}, p AS (SELECT ch.series_id, start, greatest(0, CAST(trunc((onset - start)::DOUBLE / 16 * 8) AS INTEGER)) AS a, least(8, CAST(trunc((wakeup - start)::DOUBLE / 16 * 8) AS INTEGER)) AS b FROM ch JOIN sp ON ch.series_id = sp.series_id AND start <= wakeup AND onset <= "end") SELECT DISTINCT series_id, start, CAST(f AS INTEGER) AS frame FROM p, range(0, 8) AS t(f) WHERE f >= a AND f < b')
 def _(s):
     return chunks.sleep_frames(joins.overlaps(chunk_bounds(s), spans(s), "start", "end", "onset", "wakeup", 16), 16, 8)
@@ -810,6 +855,37 @@ def _(s):
     return splits.sample_series(s, 10)
 
 
+CROP_SQL = f"""n AS (SELECT series_id, max(step) + 1 AS n FROM s GROUP BY series_id),
+free AS (SELECT series_id, step, event_id FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ('0x' || substr(md5('7:' || event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE, step) AS i FROM s WHERE (series_id, step) NOT IN (SELECT (series_id, step) FROM ev)) WHERE i <= 3),
+drawn AS (SELECT series_id, step, event_id, 'background' AS source FROM free UNION ALL SELECT series_id, step, event_id, 'event' FROM s WHERE event_type IN ('signup', 'purchase')),
+crop AS (SELECT drawn.*, n, greatest(0, step - 15) AS a, greatest(0, least(step, n - 16)) AS z, ('0x' || substr(md5('9:' || event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM drawn JOIN n USING (series_id)),
+cr AS (SELECT series_id, step, source, CAST(least(a, z) + floor(u * (z - least(a, z) + 1)) AS BIGINT) AS start, n FROM crop)"""
+
+
+def drawn_crops(s: DataFrame) -> DataFrame:
+    """Crops of 16 steps around three background positions of each series and around all its events."""
+    free = s.join(truth(s).select("series_id", "step"), ["series_id", "step"], "left_anti").select("series_id", "step", "event_id")
+    n = F.row_number().over(Window.partitionBy("series_id").orderBy(splits.seeded(F.col("event_id"), 7), "step"))
+    drawn = free.withColumn("_n", n).where("_n <= 3").drop("_n").withColumn("source", F.lit("background"))
+    drawn = drawn.unionByName(s.where("event_type IN ('signup', 'purchase')").select("series_id", "step", "event_id", F.lit("event").alias("source")))
+    lengths = s.groupBy("series_id").agg((F.max("step") + 1).alias("n"))
+    return chunks.random_crop(drawn, 16, lengths, splits.seeded(F.col("event_id"), 9)).drop("event_id")
+
+
+@query("g11_random_crops", f'+{CROP_SQL} SELECT series_id, step, source, start, least(n, start + 16) AS "end" FROM cr')
+def _(s):
+    return drawn_crops(s)
+
+
+@query("g11_crop_labels", f"+{CROP_SQL}, {SPANS_SQL}, pr AS (SELECT DISTINCT cr.series_id, start, onset, wakeup FROM cr JOIN sp ON cr.series_id = sp.series_id AND start <= wakeup AND onset <= least(n, start + 16)), {LABEL_SQL} SELECT *, -1 AS tolerance FROM lab UNION ALL SELECT series_id, start, kind, frame, tolerance FROM mask")
+def _(s):
+    """Labels of all three kinds and their masks, on the frames of drawn crops: each crop meets the spans that overlap it."""
+    crops = drawn_crops(s).select("series_id", "start", "end").distinct()
+    labels = chunks.frame_labels(joins.overlaps(crops, spans(s), "start", "end", "onset", "wakeup", 16), 16, 8)
+    masks = chunks.tolerance_masks(labels, 8, (1, 2, 5))
+    return labels.withColumn("tolerance", F.lit(-1)).unionByName(masks)
+
+
 @query("g11_background_positions", "+f AS (SELECT series_id, step, row_number() OVER (PARTITION BY series_id ORDER BY ('0x' || substr(md5('7:' || event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE, step) AS n FROM s WHERE (series_id, step) NOT IN (SELECT (series_id, step) FROM ev)) SELECT series_id, step FROM f WHERE n <= 3")
 def _(s):
     free = s.join(truth(s).select("series_id", "step"), ["series_id", "step"], "left_anti")
