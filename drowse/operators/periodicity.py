@@ -97,11 +97,54 @@ def detect(df: DataFrame, x: str, day: int = 17_280, split: int = 120, stride: i
     return map_groups(both, ["series_id", "block"], ["step", "offset", "chunk"], spread, f"series_id {kind}, step long, periodicity double")
 
 
-def similar_chunks(df: DataFrame, vector: str, threshold: float = 0.99, key: str = "series_id", number: str = "chunk") -> DataFrame:
-    """key, number, periodic: chunks whose cosine with another chunk of the series is above the threshold. Pairs stay in a series."""
+#: Vectors of a block of a cell.
+BLOCK = 1024
+
+
+def chunk_cells(units: DataFrame, threshold: float, key: str, block: int = BLOCK) -> DataFrame:
+    """Unit vectors `v` (named by `h`) in the groups in which those with a cosine above the threshold meet: key, size, cx, cy, lo, hi, part, home.
+
+    Their distance is below sqrt(2 - 2 * threshold), and so is that of their projections on any unit vector. A cell is a square of that width of
+    two projections, on the vector of equal components and on the one whose second half is negative. A vector is at home in its cell and
+    visits four of the eight around it, so that neighbours meet once. A cell with more than `block` homes is worked as pairs of blocks."""
+    width, half = max(1e-6, (2 - 2 * threshold) ** 0.5) * (1 + 1e-9), F.ceil(F.size("v") / 2).cast("int")
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    root = F.sqrt(F.greatest(F.size("v"), F.lit(1)))
+    first = total(F.slice("v", F.lit(1), F.greatest(half, F.lit(1))))
+    own = units.select(key, "h", "v", F.size("v").alias("size"), F.floor(total("v") / root / width).alias("x"), F.floor((2 * first - total("v")) / root / width).alias("y"))
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))])
+    spread = own.withColumn("to", F.explode(steps)).select(key, "size", (F.col("x") + F.col("to.a")).alias("cx"), (F.col("y") + F.col("to.b")).alias("cy"), "h", "v", ((F.col("to.a") == 0) & (F.col("to.b") == 0)).alias("home"))
+    cell = [key, "size", "cx", "cy"]
+    sizes = spread.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("int")).alias("homes")).where("homes > 0 AND n > 1")
+    spread = spread.join(sizes.select(*cell, F.ceil(F.col("n") / block).cast("int").alias("parts")), cell)
+    spread = spread.withColumns({"part": F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    return spread.select(*cell, F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "home", "h", "v")
+
+
+def similar_chunks(df: DataFrame, vector: str, threshold: float = 0.99, key: str = "series_id", number: str = "chunk", block: int = BLOCK) -> DataFrame:
+    """key, number, periodic: chunks whose cosine with another chunk of the series is above the threshold. Equal unit vectors are found by hash and
+    compared as one; the others by products of matrices in the cells of `chunk_cells`. No pair is a row. A null vector, one with a null
+    component, and one of zeros are like none; vectors of different sizes are not compared."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, v: a + v * v))
-    own = df.select(key, number, F.transform(vector, lambda v: v / norm).alias("_v"))
-    other = own.select(key, F.col(number).alias("_other"), F.col("_v").alias("_w"))
-    cosine = F.aggregate(F.zip_with("_v", "_w", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    best = own.join(other, key).where(F.col(number) != F.col("_other")).groupBy(key, number).agg(F.max(cosine).alias("_c"))
-    return own.select(key, number).join(best, [key, number], "left").select(key, number, (F.coalesce("_c", F.lit(0.0)) > threshold).cast("int").alias("periodic"))
+    own = df.select(key, number, F.when(norm > 0, F.transform(vector, lambda v: v / norm)).alias("v")).withColumn("h", F.xxhash64("v", F.size("v")))
+    kinds = {**dict(df.dtypes)}
+    once = own.where("v IS NOT NULL").groupBy(key, "h").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    group = [key, "size", "cx", "cy", "lo", "hi"]
+
+    def meet(p: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
+        part, home, hit = p["part"].to_numpy(), p["home"].to_numpy(), np.zeros(len(p), bool)
+        cross, vectors = (p["lo"] != p["hi"]).to_numpy(), p["v"].tolist()
+        for a, z in spans:
+            m, at = np.stack(vectors[a:z]), np.flatnonzero(home[a:z])
+            above = m[at] @ m.T > threshold  # two visitors meet elsewhere, where one is at home
+            above[np.arange(len(at)), at] = False
+            if cross[a]:
+                above &= part[a:z][at, None] != part[None, a:z]
+            hit[a:z] = above.any(0)
+            hit[a + at] |= above.any(1)
+        return p.loc[hit, [key, "h"]]
+
+    found = map_groups(chunk_cells(once, threshold, key, block), group, ["h"], meet, f"{key} {kinds[key]}, h long")
+    same = once.where(F.col("n") > 1).select(key, "h") if threshold < 1 else once.limit(0).select(key, "h")
+    like = found.union(same).distinct().withColumn("_like", F.lit(1))
+    return own.join(like, [key, "h"], "left").select(key, number, F.coalesce("_like", F.lit(0)).alias("periodic"))

@@ -55,3 +55,35 @@ def test_first_stage_has_fewer_rows(spark):
     hashes = periodicity.chunk_hashes(periodicity.standardized(df, "x"), 120, 36, 12)
     assert hashes.count() == sum(-(-(20_000 - o) // 1440) for o in range(0, 1440, 36)) <= 20_000 / 36 + 40
     assert periodicity.detect(df.limit(0), "x").count() == 0
+
+
+@pytest.mark.parametrize(("threshold", "block"), [(0.99, 1024), (0.99, 16), (0.6, 32), (0.0, 1024)])
+def test_similar_chunks_against_all_pairs(spark, threshold, block):
+    rng = np.random.default_rng(5)
+    rows = []
+    for s, m in (("a", 120), ("b", 1), ("c", 40)):
+        centres = rng.normal(size=(30, 9)) + rng.normal(size=(30, 1))
+        for i in range(m):
+            v = centres[rng.integers(30)] * rng.uniform(0.5, 2) + rng.normal(size=9) * rng.choice([0.01, 0.1, 1])
+            rows.append((s, i, v.tolist()))
+    rows += [("a", 900, [0.0] * 9), ("a", 901, None), ("a", 902, [1.0, None]), ("c", 903, [2.0] * 4), ("c", 904, [3.0] * 4), ("b", 905, rows[0][2]), ("c", 906, rows[125][2])]
+    df = spark.createDataFrame(rows, "series_id string, chunk long, v array<double>")
+    got = {(r["series_id"], r["chunk"]): r["periodic"] for r in periodicity.similar_chunks(df, "v", threshold, block=block).collect()}
+    assert len(got) == len(rows)
+    real = [(s, i, np.array(v)) for s, i, v in rows if v and None not in v and any(v)]
+    for s, i, v in rows:
+        mine = v if v and None not in v and any(v) else None
+        other = [w for t, j, w in real if t == s and j != i and mine is not None and len(w) == len(v)]
+        cosine = max((float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)) for w in other), default=-1)
+        assert got[s, i] == int(mine is not None and cosine > threshold), (s, i, cosine)
+
+
+def test_similar_chunks_multiply_few_pairs(spark):
+    """Chunks whose levels differ, as of days and nights: the products in the cells are a small part of all pairs, and no cell is large."""
+    n = 3000
+    df = spark.range(n).select(F.lit("a").alias("series_id"), F.col("id").alias("h"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.sin(F.col("id") * 0.7 * i) + F.cos(F.col("id") * 0.37) * 3).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, v: a + v * v))
+    units = df.withColumn("v", F.transform("v", lambda v: v / norm))
+    groups = periodicity.chunk_cells(units, 0.99, "series_id", 256).groupBy("size", "cx", "cy", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("int")).alias("homes")).collect()
+    assert max(r["n"] for r in groups) < 4 * 256
+    assert sum(r["n"] * r["homes"] for r in groups) < n * (n - 1) / 2
