@@ -68,7 +68,7 @@ def query(name: str, sql: str | None = None, view: Callable[[SparkSession, str],
 
         QUERIES[name] = run
         if sql:
-            ORACLES[name] = f"WITH {VIEWS}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().removeprefix('+')}"
+            ORACLES[name] = f"WITH RECURSIVE {VIEWS}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().removeprefix('+')}"
         return fn
 
     return add
@@ -752,7 +752,60 @@ QUERIES["h1b_similar_chunks"] = lambda spark, d: periodicity.similar_chunks(spar
 ORACLES["h1b_similar_chunks"] = "WITH v AS (SELECT vec_id % 50 AS series_id, vec_id AS chunk, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT a.series_id, a.chunk, max(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))) AS c FROM v AS a JOIN v AS b ON a.series_id = b.series_id AND a.chunk <> b.chunk GROUP BY ALL) SELECT v.series_id, v.chunk, CAST(coalesce(c.c, 0) > 0.4 AS INTEGER) AS periodic FROM v LEFT JOIN c USING (series_id, chunk)"
 
 
-@query("h2_find_peaks")
+def maxima_sql(x: str, name: str, source: str = "s") -> str:
+    """Table expressions, the last of them `name`: series_id, row (from 1), step, x of local maxima, plateaus at their middle."""
+    w = "OVER (PARTITION BY series_id ORDER BY step"
+    return f"""{name}_r AS (SELECT *, sum(CASE WHEN x IS DISTINCT FROM l THEN 1 ELSE 0 END) {w} ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT series_id, step, row_number() {w}) AS row, {x} AS x, lag({x}) {w}) AS l FROM {source})),
+{name}_g AS (SELECT series_id, run, any_value(x) AS x, min(row) AS a, max(row) AS z FROM {name}_r GROUP BY series_id, run),
+{name}_m AS (SELECT series_id, (a + z) // 2 AS row, x FROM (SELECT *, lag(x) OVER w AS b, lead(x) OVER w AS c FROM {name}_g WINDOW w AS (PARTITION BY series_id ORDER BY run)) WHERE b < x AND c < x),
+{name} AS (SELECT m.series_id, m.row, r.step, m.x FROM {name}_m AS m JOIN {name}_r AS r ON r.series_id = m.series_id AND r.row = m.row)"""
+
+
+def thinned_sql(source: str, name: str, keys: str) -> str:
+    """Table expressions, the last of them `name`: the rows of `source` (keys, row, step, x, distance) that stay, highest first, the later of
+    equals; one is taken a round and key, and remembers the rows that stay."""
+    key, own = keys.split(", "), ", ".join(f"o.{k}" for k in keys.split(", "))
+    same = " AND ".join(f"o.{k} IS NOT DISTINCT FROM t.{k}" for k in key)
+    return f"""{name}_o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY x DESC, row DESC) AS i FROM {source}),
+{name}_t AS (SELECT {keys}, step, x, i, true AS stays, [row] AS rows FROM {name}_o WHERE i = 1 UNION ALL
+  SELECT {own}, o.step, o.x, o.i, len(list_filter(t.rows, lambda y: abs(y - o.row) < o.distance)) = 0,
+    CASE WHEN len(list_filter(t.rows, lambda y: abs(y - o.row) < o.distance)) = 0 THEN list_append(t.rows, o.row) ELSE t.rows END
+  FROM {name}_t AS t JOIN {name}_o AS o ON {same} AND o.i = t.i + 1),
+{name} AS (SELECT * FROM {name}_t WHERE stays)"""
+
+
+def matched_sql(detections: str, keys: str = "") -> str:
+    """Table expressions, the last of them `matched`: for each tolerance, by score and step, each row of `detections` (keys, series_id, event, step,
+    score) takes the nearest free truth, the earlier of equals, nearer than the tolerance; one is worked a round."""
+    more = "".join(f"{k}, " for k in keys.split(", ") if k)
+    own, same = "".join(f"d.{k}, " for k in keys.split(", ") if k), "".join(f" AND d.{k} = m.{k}" for k in keys.split(", ") if k)
+    grid = ", ".join(f"('{e}', {float(t)}::DOUBLE)" for e, ts in TOLERANCES.items() for t in ts)
+    best = "list_min(list_transform(list_filter(m.free, lambda y: abs(y - d.step) < m.tolerance), lambda y: {'e': abs(y - d.step), 't': y}))"
+    place = f"list_position(m.free, ({best}).t)"
+    return f"""grid AS (SELECT * FROM (VALUES {grid}) AS v(event, tolerance)),
+times AS (SELECT series_id, event, list(step ORDER BY step) AS times FROM ev GROUP BY ALL),
+dets AS (SELECT *, row_number() OVER (PARTITION BY {more}series_id, event ORDER BY score DESC, step) AS i FROM {detections} WHERE score IS NOT NULL AND series_id IN (SELECT series_id FROM ev)),
+m0 AS (SELECT DISTINCT {own}d.series_id, d.event, tolerance, coalesce(times, []) AS free FROM dets AS d JOIN grid USING (event) LEFT JOIN times USING (series_id, event)),
+m1 AS (SELECT {more}series_id, event, tolerance, free, 0::BIGINT AS i, NULL::DOUBLE AS score, 0 AS matched FROM m0 UNION ALL
+  SELECT {own}d.series_id, d.event, m.tolerance, CASE WHEN {best} IS NULL THEN m.free ELSE list_concat(m.free[1:{place} - 1], m.free[{place} + 1:]) END, d.i, d.score, CAST({best} IS NOT NULL AS INTEGER)
+  FROM m1 AS m JOIN dets AS d ON d.series_id = m.series_id AND d.event = m.event AND d.i = m.i + 1{same}),
+matched AS (SELECT {more}event, tolerance, series_id, score, matched FROM m1 WHERE i > 0)"""
+
+
+def ap_sql(keys: str = "") -> str:
+    """Table expressions after `matched`, the last of them `ap`: keys, event, tolerance, ap of every tolerance that has a detection."""
+    more = "".join(f"{k}, " for k in keys.split(", ") if k)
+    return f"""tot AS (SELECT event, count(*) AS n FROM ev GROUP BY event),
+sc AS (SELECT {more}event, tolerance, score, sum(matched) AS tp, count(*) AS k FROM matched GROUP BY ALL),
+cu AS (SELECT *, sum(tp) OVER w AS tps, sum(k) OVER w AS ks FROM sc WINDOW w AS (PARTITION BY {more}event, tolerance ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+ap AS (SELECT {more}event, tolerance, sum(tp / n * tps / ks) AS ap FROM cu JOIN tot USING (event) GROUP BY ALL)"""
+
+
+DETECTIONS_SQL = "det AS (SELECT series_id, step, CASE event_type WHEN 'click' THEN 'onset' ELSE 'wakeup' END AS event, round(value, 1) AS score FROM s WHERE event_type IN ('click', 'view'))"
+GRID = [(h, d) for h in (0.2, 0.35, 0.5, 0.8) for d in (1, 2, 4, 6, 9)]
+
+
+@query("h2_find_peaks", f"+{maxima_sql('pred_wakeup', 'mx')}, hi AS (SELECT *, 4 AS distance FROM mx WHERE x >= 0.3), {thinned_sql('hi', 'th', 'series_id')} SELECT series_id, step, x AS score FROM th")
 def _(s):
     return peaks.find_peaks(s, "pred_wakeup", 0.3, 4)
 
@@ -769,7 +822,7 @@ def _(s):
     return r6(peaks.greedy_events(c, {"onset": "pred_onset"}, 0.05, 20), "score")
 
 
-@query("h4_match")
+@query("h4_match", f"+{DETECTIONS_SQL}, {matched_sql('det')} SELECT * FROM matched")
 def _(s):
     return metric.matches(truth(s), detections(s), TOLERANCES)
 
@@ -793,14 +846,27 @@ def _(s):
     return r6(t.select("event", "tolerance", (F.col("first") + F.col("at")).cast("int").alias("i"), "p.precision", "p.recall"), "precision", "recall")
 
 
-@query("h7_mean_ap")
+@query("h5_matched_ap", f"+{DETECTIONS_SQL}, {matched_sql('det')}, {ap_sql()} SELECT event, tolerance, round(ap, 6) AS ap FROM ap")
+def _(s):
+    """Average precision of the detections that the matcher matched."""
+    totals = truth(s).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+    return r6(metric.average_precision(metric.pr_points(metric.matches(truth(s), detections(s), TOLERANCES), totals)), "ap")
+
+
+@query("h7_mean_ap", f"+{DETECTIONS_SQL}, {matched_sql('det')}, {ap_sql()} SELECT round(avg(ap), 6) AS mean_ap FROM (SELECT event, avg(coalesce(ap, 0)) AS ap FROM grid LEFT JOIN ap USING (event, tolerance) WHERE event IN (SELECT event FROM ev) GROUP BY event)")
 def _(s):
     return r6(metric.mean_ap(metric.ap_table(truth(s), detections(s), TOLERANCES)), "mean_ap")
 
 
-@query("h8_sweep")
+POINTS = ", ".join(f"({i}, {h}::DOUBLE, {d}::DOUBLE)" for i, (h, d) in enumerate(GRID))
+
+
+@query("h8_sweep", f"""+{maxima_sql('pred_onset', 'mo')}, {maxima_sql('pred_wakeup', 'mw')}, pts AS (SELECT * FROM (VALUES {POINTS}) AS v(point, height, distance)),
+hi AS (SELECT point, 'onset' AS event, mo.*, distance FROM mo, pts WHERE x >= height UNION ALL SELECT point, 'wakeup', mw.*, distance FROM mw, pts WHERE x >= height),
+{thinned_sql('hi', 'th', 'point, event, series_id')}, det AS (SELECT point, series_id, event, step, x AS score FROM th), {matched_sql('det', 'point')}, {ap_sql('point')}
+SELECT height, distance, round(avg(ap), 6) AS mean_ap FROM (SELECT point, height, distance, event, avg(coalesce(ap, 0)) AS ap FROM pts CROSS JOIN grid LEFT JOIN ap USING (point, event, tolerance) WHERE event IN (SELECT event FROM ev) GROUP BY ALL) GROUP BY height, distance""")
 def _(s):
-    return r6(metric.sweep(s, {"onset": "pred_onset", "wakeup": "pred_wakeup"}, truth(s), TOLERANCES, [(h, d) for h in (0.2, 0.35, 0.5, 0.8) for d in (1, 2, 4, 6, 9)]), "mean_ap")
+    return r6(metric.sweep(s, {"onset": "pred_onset", "wakeup": "pred_wakeup"}, truth(s), TOLERANCES, GRID), "mean_ap")
 
 
 @query("h9_dummy_rows", "+d AS (SELECT series_id, 'onset' AS event, step, value AS score FROM s WHERE event_type = 'click' AND value > 400) SELECT series_id, event, step, score FROM d UNION ALL SELECT DISTINCT series_id, 'onset', 0, 0.0 FROM s WHERE series_id NOT IN (SELECT series_id FROM d)")
