@@ -91,4 +91,12 @@ def w3_nearest_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (w1_features, w1_features_720, w1_periodic_features, w2_stacking, w3_score, w3_nearest_score)}
-ORACLES = {"w1_features": _features_sql("s", SMALL), "w1_features_720": _features_sql("ls", features.Sizes()), "w1_periodic_features": f"WITH {q.VIEWS}, {q.periodicity_sql('floor(k / 50)')}, fs AS (SELECT * REPLACE (floor(k / 50) AS enmo) FROM s), {features.feature_sql('fs', SMALL)} SELECT series_id, step, round(lids, {DIGITS}) AS lids, periodicity, 1 - periodicity AS non_periodicity FROM features JOIN periodic USING (series_id, step)", "w3_nearest_score": f"WITH {q.VIEWS}, {q.PEAKS_SQL}, h AS (SELECT x, (SELECT min(abs(e.step - pk.step)) FROM ev AS e WHERE e.series_id = pk.series_id AND e.event = 'onset') < 3 AS hit FROM pk) SELECT x, count(*) AS n, CAST(coalesce(sum(CAST(hit AS INTEGER)), 0) AS BIGINT) AS hits FROM h GROUP BY x"}
+CHUNK = "(PARTITION BY series_id, chunk_id ORDER BY step ROWS BETWEEN"
+STACKING_SQL = f"""WITH RECURSIVE {q.VIEWS}, {q.maxima_sql('(pred_onset + pred_wakeup) / 2', 'mx')}, hi AS (SELECT *, 4 AS distance FROM mx WHERE x >= 0.1), {q.thinned_sql('hi', 'th', 'series_id')},
+nb AS (SELECT DISTINCT series_id, step + o AS step FROM th, range(-4, 4) AS t(o) WHERE step + o >= 0),
+se AS (SELECT series_id, step, CAST(sum(CASE WHEN step - l <> 1 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chunk_id FROM (SELECT *, lag(step) OVER (PARTITION BY series_id ORDER BY step) AS l FROM nb)),
+jo AS (SELECT se.series_id, se.chunk_id, se.step, s.enmo, (s.pred_onset + s.pred_wakeup) / 2 AS p, ev.event FROM se JOIN s ON s.series_id = se.series_id AND s.step = se.step LEFT JOIN ev ON ev.series_id = se.series_id AND ev.step = se.step),
+ac AS (SELECT *, avg(p) OVER {CHUNK} 1 PRECEDING AND 1 FOLLOWING) AS p3, CASE WHEN count(*) OVER {CHUNK} 2 PRECEDING AND CURRENT ROW) = 3 THEN sum(greatest(enmo - 0.02, 0)) OVER {CHUNK} 2 PRECEDING AND CURRENT ROW) END AS ac FROM jo)
+SELECT series_id, chunk_id, step, CAST(coalesce(event = 'onset', false) AS INTEGER) AS event_onset, CAST(coalesce(event = 'wakeup', false) AS INTEGER) AS event_wakeup, round(p3, 6) AS p_mean_3,
+  round(100 / (first_value(ac IGNORE NULLS) OVER {CHUNK} CURRENT ROW AND UNBOUNDED FOLLOWING) + 1), 6) AS lids FROM ac"""
+ORACLES = {"w2_stacking": STACKING_SQL, "w1_features": _features_sql("s", SMALL), "w1_features_720": _features_sql("ls", features.Sizes()), "w1_periodic_features": f"WITH {q.VIEWS}, {q.periodicity_sql('floor(k / 50)')}, fs AS (SELECT * REPLACE (floor(k / 50) AS enmo) FROM s), {features.feature_sql('fs', SMALL)} SELECT series_id, step, round(lids, {DIGITS}) AS lids, periodicity, 1 - periodicity AS non_periodicity FROM features JOIN periodic USING (series_id, step)", "w3_nearest_score": f"WITH {q.VIEWS}, {q.PEAKS_SQL}, h AS (SELECT x, (SELECT min(abs(e.step - pk.step)) FROM ev AS e WHERE e.series_id = pk.series_id AND e.event = 'onset') < 3 AS hit FROM pk) SELECT x, count(*) AS n, CAST(coalesce(sum(CAST(hit AS INTEGER)), 0) AS BIGINT) AS hits FROM h GROUP BY x"}
