@@ -48,6 +48,7 @@ GROUP, CHARS = 1024, 1 << 22  # lines and characters of a block
 RUN, FLUSH, RANGE = 1 << 18, 1 << 20, 1 << 24  # characters hashed at a time, keys sorted at a time, characters whose keys make a range
 PAIRS = 4096  # pairs verified at a time
 WIDTH = 28  # a bitmap of keys has 2 ** WIDTH bits, 32 MB
+STORED = {"compression": "zstd"}
 PRIME = np.uint64(0xC2B2AE3D27D4EB4F)
 DOC = ["id", "t1", "t2"]
 
@@ -386,9 +387,9 @@ def line_keys_twice(docs: DataFrame) -> DataFrame:
 
 def shared_keys(found: DataFrame) -> DataFrame:
     """key, h1, h2, and n and chars of the n lines that share a segment; of keys that the same lines share, one. found: of `line_keys_twice`."""
-    some = materialize(found.select("key", "h1", "h2", "size").distinct(), "shared-segments")
+    some = materialize(found.select("key", "h1", "h2", "size").distinct(), "shared-segments", **STORED)
     sets = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"), F.bit_xor("h1").alias("x"), F.bit_xor(F.xxhash64("h1", F.lit(1))).alias("y")).where("n > 1")
-    out = materialize(some.drop("size").join(sets.groupBy("n", "chars", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "chars"), "key"), "shared-once")
+    out = materialize(some.drop("size").join(sets.groupBy("n", "chars", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "chars"), "key"), "shared-once", **STORED)
     discard(some)
     return out
 
@@ -412,16 +413,17 @@ def groups(shared: DataFrame, texts: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame) -> DataFrame:
     """id, t1, t2, exact and near: places of the lines that go, for documents that lose any; docs as `renamed`."""
-    lines = materialize(line_hashes(docs).drop("line"), "lines")
+    lines = materialize(line_hashes(docs).drop("line"), "lines", **STORED)
     place = F.struct(F.col("id").isNotNull().alias("has_id"), "id", "t1", "t2", "pos")
-    firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "first-lines")
-    found = materialize(line_keys_twice(docs), "segments")
+    firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "first-lines", **STORED)
+    found = materialize(line_keys_twice(docs), "segments", **STORED)
     shared = shared_keys(found)
     none = F.lit("0").cast(dict(docs.dtypes)["id"])
     texts = found.where("line IS NOT NULL").groupBy("h1", "h2").agg(F.first("line").alias("line"))
     texts = texts.join(shared.groupBy("h1", "h2").agg(F.collect_set("key").alias("keys")), ["h1", "h2"]).join(firsts, ["h1", "h2"])
     texts = texts.select("h1", "h2", "line", "keys", "first.has_id", F.coalesce("first.id", none).alias("id"), "first.t1", "first.t2", "first.pos")
-    texts = materialize(texts, "shared-texts")
+    texts = materialize(texts, "shared-texts", **STORED)
+    discard(found)  # before the pairs are shuffled
     group = ["key", "cell", "lo", "hi"]
     order = [*group, "has_id", "id", "t1", "t2", "pos"]
 
@@ -440,7 +442,7 @@ def judge(docs: DataFrame) -> DataFrame:
     gone = gone.groupBy("id", "t1", "t2", "pos").agg(F.max(~F.col("again") & F.col("near")).alias("near"))  # equal rows are one document
     gone = gone.groupBy("id", "t1", "t2").agg(F.collect_list(F.when(~F.col("near"), F.col("pos"))).alias("exact"), F.collect_list(F.when(F.col("near"), F.col("pos"))).alias("near"))
     gone = materialize(gone, "gone-lines")
-    discard(lines, firsts, found, shared, texts, verdicts)
+    discard(lines, firsts, shared, texts, verdicts)
     return gone
 
 
