@@ -88,6 +88,9 @@ def rolled(x: np.ndarray, stat: str, w: int, least: int | None = 1, fill: float
         out = frames.moments(x, real)[0]
     elif stat == "std":
         out = np.sqrt(frames.moments(x, real)[1] / np.maximum(count - 1, 1))
+        high = np.maximum(*frames.both(np.where(real, x, -np.inf), -np.inf, np.maximum))
+        low = np.minimum(*frames.both(np.where(real, x, np.inf), np.inf, np.minimum))
+        out = np.where(high == low, 0.0, out)  # no rounding error in a frame of equal values
         need = np.maximum(need, 2)
     elif stat == "median":
         out = pd.Series(x).rolling(w, center=True, min_periods=1).median().to_numpy()

@@ -480,10 +480,11 @@ def _(s):
     return r6(out.drop("x"), "median720", "median60")
 
 
-@query("e3_rolling_std_max_720", f"+{NULLS} SELECT series_id, step, round(avg(x) {WIDE}, 6) AS mean, round(stddev_samp(x) {WIDE}, 6) AS std, max(x) {WIDE} AS \"max\", min(x) {WIDE} AS \"min\", round(sum(x) {WIDE}, 6) AS \"sum\" FROM x", long_series)
+@query("e3_rolling_std_max_720", f"+x AS (SELECT series_id, step, CASE WHEN k >= 20 THEN ln(1 + value) END AS x FROM ls) SELECT series_id, step, round(avg(x) {WIDE}, 6) AS mean, round(stddev_samp(x) {WIDE}, 6) AS std, round(max(x) {WIDE}, 6) AS \"max\", round(min(x) {WIDE}, 6) AS \"min\", round(sum(x) {WIDE}, 6) AS \"sum\" FROM x", long_series)
 def _(s):
-    x = s.select("series_id", "step", F.when(F.col("k") >= 20, F.col("value")).alias("x"))
-    return r6(rolling.rolling_table(x, [Rolling(n, "x", n, 720) for n in ("mean", "std", "max", "min", "sum")], rows=1000).drop("x"), "mean", "std", "sum")
+    x = s.select("series_id", "step", F.when(F.col("k") >= 20, F.log1p("value")).alias("x"))
+    stats = ("mean", "std", "max", "min", "sum")
+    return r6(rolling.rolling_table(x, [Rolling(n, "x", n, 720) for n in stats], rows=1000).drop("x"), *stats)
 
 
 @query("e4_rolling_full_720", f"+{NULLS} SELECT series_id, step, round(coalesce(CASE WHEN count(value) {WIDE} = 720 THEN avg(value) {WIDE} END, 0), 6) AS mean, round(coalesce(CASE WHEN count(value) {WIDE} = 720 THEN stddev_samp(value) {WIDE} END, 0), 6) AS std, coalesce(CASE WHEN count(value) {WIDE} = 720 THEN max(value) {WIDE} END, 0) AS \"max\" FROM ls", long_series)

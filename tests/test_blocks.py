@@ -41,6 +41,9 @@ def test_std_of_constant_stretches_is_zero():
     x = np.r_[np.full(2000, 1e9), np.full(2000, -3.7), np.linspace(0, 1, 500)]
     std = rolling.rolled(x, "std", 60)
     assert (std[30:1900] == 0).all()
+    flags = np.repeat([0.0, 1.0] * 30, 100)
+    assert (rolling.rolled(flags, "std", 12)[6:95] == 0).all()
+    assert (rolling.rolled(flags, "std", 60)[130:171] == 0).all()
     assert (std[2100:3900] == 0).all()
 
 
