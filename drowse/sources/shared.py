@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting to delete the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset a local session gets a temporary folder, and a cluster an error."""
@@ -19,9 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and run inside leave no shuffle files behind: what they give is written or collected, so nobody reads those again."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back, so that what follows reads it as often as it needs to."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

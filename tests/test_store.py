@@ -1,9 +1,14 @@
 """The bucketed store: plans without exchanges, other sessions' tables, overwriting."""
 
+import glob
+import os
+import tempfile
+import time
+
 from pyspark.sql import functions as F
 
 from drowse.operators import joins
-from drowse.sources import store
+from drowse.sources import shared, store
 
 
 def plan(df):
@@ -41,3 +46,14 @@ def test_another_session_and_overwriting(spark, tmp_path):
     assert store.read_store(spark, path, ["q", "series_id"]).collect() == [(1, "b")]
     store.write_store(spark.createDataFrame([], "series_id string, step long"), path)
     assert store.read_store(spark, path).count() == 0
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    """Files of a query's shuffles go when its table is written; the session's setting is as before."""
+    ids = lambda: {f for d in glob.glob(f"{tempfile.gettempdir()}/blockmgr-*") for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before, setting = ids(), spark.conf.get(shared.CLEANUP, None)
+    out = shared.kept(spark.range(50_000).groupBy((F.col("id") * 7 % 20_011).alias("x")).count(), "t")
+    assert out.count() == 20_011
+    time.sleep(2)
+    assert len(ids() - before) < 4  # of the count, none of the written table's
+    assert spark.conf.get(shared.CLEANUP, None) == setting
