@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drowse.sources.shared import tidy
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,7 +36,8 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     table of known size, both sides of which adaptive execution can split when a key is hot."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    with tidy(spark):
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -103,6 +106,11 @@ BITS, BITS_A_CHUNK = 1 << 26, 1 << 18
 def bitmap(keys: DataFrame, key: str) -> np.ndarray:
     """A bit for each of BITS hash slots that a key of the table falls in. A key without its bit is surely not in the table, so rows that
     nobody wants need not be shuffled; the fuller the bitmap, the fewer it spares, and an exact join always follows."""
+    with tidy(keys.sparkSession):
+        return _bitmap(keys, key)
+
+
+def _bitmap(keys: DataFrame, key: str) -> np.ndarray:
     slots = keys.select(F.pmod(F.col(key), F.lit(BITS)).cast("long").alias("slot")).distinct().withColumn("chunk", F.floor(F.col("slot") / BITS_A_CHUNK).cast("int"))
 
     def build(of: tuple, p: pd.DataFrame) -> pd.DataFrame:

@@ -39,6 +39,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drowse.sources.shared import tidy
+
 from .common import content_key, discard, frames, materialize, renamed, slices, table, whole_groups
 
 #: The budget: LEAST characters for one edit, one for each SHARE characters from 2 * LEAST on; edits that a 64-bit word's band holds.
@@ -348,8 +350,10 @@ def keys_twice(docs: DataFrame) -> np.ndarray:
         return pd.DataFrame({"range": [of[0]], "bits": [zlib.compress(np.packbits(piece).tobytes(), 1)]})
 
     out = np.zeros((1 << width, 1 << (WIDTH - width - 3)), np.uint8)
-    pieces = docs.select("text").mapInArrow(sort, "range long, keys binary, low binary, more binary, high binary").groupBy("range").applyInPandas(merge, "range long, bits binary")
-    for r in pieces.collect():  # 2 ** WIDTH bits in all
+    with tidy(docs.sparkSession):
+        pieces = docs.select("text").mapInArrow(sort, "range long, keys binary, low binary, more binary, high binary").groupBy("range").applyInPandas(merge, "range long, bits binary")
+        rows = pieces.collect()  # 2 ** WIDTH bits in all
+    for r in rows:
         out[r["range"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return out.ravel()
 
