@@ -390,19 +390,31 @@ def line_keys_twice(docs: DataFrame) -> DataFrame:
 
 
 def shared_keys(found: DataFrame) -> DataFrame:
-    """key, h1, h2, and n and chars of the n lines that share a segment; of keys that the same lines share, one. found: of `line_keys_twice`."""
+    """key, h1, h2, and n and chars of the n lines that share a segment; of keys that the same lines share, one. A key whose lines all have the same
+    other key as their largest one is left out: its pairs meet there. found: of `line_keys_twice`."""
     some = materialize(found.select("key", "h1", "h2", "size").distinct(), "shared-segments", **STORED)
     sets = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"), F.bit_xor("h1").alias("x"), F.bit_xor(F.xxhash64("h1", F.lit(1))).alias("y")).where("n > 1")
     out = materialize(some.drop("size").join(sets.groupBy("n", "chars", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "chars"), "key"), "shared-once", **STORED)
     discard(some)
-    return out
+    small = out.where(cold(F.col("n"), F.col("chars")))
+    largest = small.groupBy("h1", "h2").agg(F.max(F.struct("n", "key")).alias("top")).select("h1", "h2", "top.key")
+    tops = small.select("key", "h1", "h2").join(largest.withColumnRenamed("key", "top"), ["h1", "h2"])
+    inside = tops.groupBy("key").agg(F.min("top").alias("low"), F.max("top").alias("high")).where("low = high AND low <> key").select("key")
+    kept = materialize(out.join(inside, "key", "left_anti"), "shared-largest", **STORED)
+    discard(out)
+    return kept
+
+
+def cold(n: Column, chars: Column) -> Column:
+    """Whether lines that share a key are one group."""
+    return (n <= GROUP) & (chars <= CHARS)
 
 
 def groups(shared: DataFrame, texts: DataFrame) -> DataFrame:
     """key, cell, lo, hi (blocks), part and the line's columns: all lines of a key, or of a hot one those of two neighbouring cells of
     lengths, in pairs of blocks. A line of a hot key is in its own cell's group and in that of the cell below it."""
-    zero, small = F.lit(0), (F.col("n") <= GROUP) & (F.col("chars") <= CHARS)
-    cold = shared.where(small).select("key", "h1", "h2", zero.alias("cell"), zero.alias("lo"), zero.alias("hi"), zero.alias("part"))
+    zero, small = F.lit(0), cold(F.col("n"), F.col("chars"))
+    whole = shared.where(small).select("key", "h1", "h2", zero.alias("cell"), zero.alias("lo"), zero.alias("hi"), zero.alias("part"))
     size = F.length("line")
     # lengths of alike lines differ by two up to 3 * SHARE characters, from there by a SHAREth: by one cell at most
     own = F.when(size < 3 * SHARE, F.floor(size / 3)).otherwise(SHARE + F.floor(F.log(size / (3 * SHARE)) / math.log((1 + 1 / SHARE) * (1 + 1e-9))))
@@ -412,7 +424,7 @@ def groups(shared: DataFrame, texts: DataFrame) -> DataFrame:
     hot = hot.join(sizes.select("key", "cell", F.ceil(F.greatest(F.col("lines") / GROUP, F.col("chars") / CHARS)).cast("int").alias("parts")), ["key", "cell"])
     hot = hot.withColumns({"part": F.pmod(F.xxhash64("h2"), F.col("parts")).cast("int"), "other": F.explode(F.sequence(zero, F.col("parts") - 1))})
     hot = hot.select("key", "h1", "h2", "cell", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part")
-    return cold.unionByName(hot).join(texts, ["h1", "h2"])
+    return whole.unionByName(hot).join(texts, ["h1", "h2"])
 
 
 def judge(docs: DataFrame) -> DataFrame:
