@@ -128,7 +128,7 @@ def sweep(df: DataFrame, x: dict[str, str], truth: DataFrame, tolerances: dict[s
 
     def run(rows: pd.DataFrame, spans: list[tuple[int, int]]) -> pd.DataFrame:
         step, score, row, event = rows["step"].to_numpy(), rows["score"].to_numpy(), rows["row"].to_numpy(), rows["event"].tolist()
-        out = []
+        cells, scores, hits = [], [np.empty(0)], [np.empty(0, bool)]
         for a, z in spans:
             times = np.sort(step[a:z][row[a:z] < 0]).tolist()
             peaks = a + np.flatnonzero(row[a:z] >= 0)
@@ -136,8 +136,11 @@ def sweep(df: DataFrame, x: dict[str, str], truth: DataFrame, tolerances: dict[s
                 high = peaks[score[peaks] >= height]
                 found = high[suppress(row[high], score[high], distance)]
                 for tol in tolerances.get(event[a], ()) if len(found) else ():
-                    out.append(pd.DataFrame({"point": point, "event": event[a], "tolerance": float(tol), "score": score[found], "matched": match(times, step[found], score[found], tol).astype(int)}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("point", "event", "tolerance", "score", "matched")})
+                    cells.append((point, event[a], float(tol), len(found)))
+                    scores.append(score[found])
+                    hits.append(match(times, step[found], score[found], tol))
+        each = lambda i: np.repeat(np.array([c[i] for c in cells], object), [c[3] for c in cells]) if cells else []
+        return pd.DataFrame({"point": each(0), "event": each(1), "tolerance": each(2), "score": np.concatenate(scores), "matched": np.concatenate(hits).astype(int)})
 
     matched = map_groups(both, ["series_id", "event"], ["row"], run, "point int, event string, tolerance double, score double, matched int")
     totals, keys = truth.groupBy("event").agg(F.count(F.lit(1)).alias("n")), ("point", *CURVE)
