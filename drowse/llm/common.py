@@ -148,7 +148,10 @@ def sorted_groups(batches: Iterable[pd.DataFrame], key: list[str]) -> Iterator[p
         if batch.empty:
             continue
         values = batch[key]
-        new = (values != values.shift()).any(axis=1).to_numpy()
+        new = np.zeros(len(batch), bool)
+        for k in key:
+            v = values[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
         new[0] = not held or tuple(held[-1][key].iloc[-1]) != tuple(values.iloc[0])
         starts = [*new.nonzero()[0].tolist(), len(batch)]
         if starts[0] > 0 or starts[0] == len(batch):
@@ -168,7 +171,11 @@ def whole_groups(batches: Iterable[pd.DataFrame], key: list[str]) -> Iterator[pd
         if batch.empty:
             continue
         rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        number = (rows[key] != rows[key].shift()).any(axis=1).to_numpy().cumsum()
+        new = np.zeros(len(rows), bool)
+        for k in key:  # in its own type: a shifted column of 64-bit keys would be compared as doubles
+            v = rows[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        number = new.cumsum()
         last = number == number[-1]
         held = rows[last]
         if not last.all():

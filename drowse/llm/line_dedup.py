@@ -130,7 +130,7 @@ def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = least_[(starts[:, None] + at[None, :])[ok]]
             new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
             h, owner = h[new], owner[new]
-        h = (h ^ h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
+        h = (h ^ h >> np.uint64(32) ^ np.uint64(k) * PRIME) * np.uint64(0x9E3779B97F4A7C15)
         keys.append((h ^ h >> np.uint64(29)).view(np.int64))
         names.append(owner)
     return np.concatenate(keys), np.concatenate(names)

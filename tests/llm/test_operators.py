@@ -12,6 +12,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from drowse.llm import audio_features, catalog, license_scan, line_dedup, mixing, near_dup, packing, secret_scan, topk, toxicity, warc
+from drowse.llm.common import whole_groups
 
 WORDS = "the of under license version apache mit cc by nc gnu general public stone river cloud paper garden window yellow silent".split()
 
@@ -419,6 +421,13 @@ def test_alike_lines_share_a_key():
                 assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 
+def test_groups_of_neighbouring_keys_stay_apart():
+    """64-bit keys that are equal as doubles."""
+    rows = pd.DataFrame({"key": [2**62, 2**62, 2**62 + 1, 2**62 + 2, 2**62 + 2], "v": range(5)})
+    got = [g for part in whole_groups([rows.iloc[:2], rows.iloc[2:4], rows.iloc[4:]], ["key"]) for _, g in part.groupby("group")]
+    assert [g["v"].tolist() for g in got] == [[0, 1], [2], [3, 4]]
+
+
 def long_distance(a, b):
     """As `distance`, a row at a time in arrays."""
     y, i = np.frombuffer(b.encode("utf-32-le"), "<u4"), np.arange(len(b) + 1)
