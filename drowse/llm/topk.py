@@ -189,7 +189,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, vector: str = "embedd
                 ids, v = _open(r.ids, r.m, r.dim)
                 yield pd.DataFrame(search_block(q_ids, q, np.frombuffer(r.floors), ids, v, k), columns=["query_id", "vec_id", "score"])
 
-    pairs = floors.withColumn("at", F.explode(_useful_blocks(parts, "need"))).select("*", "at.*").join(blocks.select("bucket", "part", "ids", "m", "dim"), ["bucket", "part"])
+    # by a shuffle: what a side takes in memory is a multiple of its files, and grows with queries and blocks
+    pairs = floors.withColumn("at", F.explode(_useful_blocks(parts, "need"))).select("*", "at.*").join(blocks.select("bucket", "part", "ids", "m", "dim").hint("merge"), ["bucket", "part"])
     found = pairs.mapInPandas(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

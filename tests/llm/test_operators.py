@@ -246,6 +246,11 @@ def test_topk_prunes_and_stays_exact():
         assert seen["verified"] < 0.8 * 60 * 600
 
 
+def test_topk_broadcasts_no_blocks(spark, sf):
+    plan = topk.op3_norm_buckets(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_topk_sends_queries_only_to_useful_buckets(spark):
     parts = {topk.WIDTHS * b + 4: 2 for b in (-1, 0, 10, 40)}
     need = topk.RATIO**20
