@@ -486,6 +486,20 @@ def test_lines_of_any_length_against_all_pairs(spark):
     assert len([i for i in gone if len(lines[i]) > 1100]) > 8
 
 
+def test_lines_of_a_part_of_the_keys_are_dealt_at_a_time(spark, monkeypatch):
+    """Each pass writes and shuffles a part of the groups, and nothing is written before that the pairs do not need."""
+    rng, names, written = random.Random(3), [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name, **o: (names.append(name), written(df, name, **o))[1])
+    docs = []
+    for i in range(60):
+        line = "".join(rng.choice("abcdefgh ") for _ in range(90)) + "x"
+        docs += [(2 * i, line), (2 * i + 1, line[:40] + "?" + line[41:])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(df, report="told").where("told.n_near > 0").collect()}
+    assert got == {2 * i + 1 for i in range(60)}
+    assert names.count("near-lines") == line_dedup.PASSES > 1 and "lines" not in names
+
+
 def test_groups_are_bounded_by_characters(spark, monkeypatch):
     """Few, but long, lines that share a segment are blocks of CHARS characters."""
     monkeypatch.setattr(line_dedup, "CHARS", 4000)
