@@ -125,3 +125,9 @@ def test_time_does_not_follow_the_width():
         took[w] = time.perf_counter() - began
     assert took[5760] < 4 * took[12]
     assert pd.notna(rolling.rolled(x, "median", 720)).all()
+
+
+def test_bounds_are_not_joined_to_each_row(spark):
+    df = spark.range(1000).select(F.col("id").alias("step"))
+    plan = blocks.in_blocks(df, "step")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
