@@ -2,9 +2,10 @@
 
 A document is its distinct shingles of WORDS words (lower case, letters and digits; a shorter text is one shingle). A shingle's weight is
 (1 + log2 of its count) times its inverse document frequency, 1 for a shingle in all documents and 2 for one in a single document,
-rounded to a step of 2 ** (1/4). Document frequencies are counted exactly over all documents: each task leaves sorted hashes with
-their counts, split into ranges, and each range is merged. A shingle in less than the HEAVYth part of all shingle occurrences has the
-weight of one just below that, so the table that goes to the tasks holds at most HEAVY shingles for any corpus.
+rounded to a step of 2 ** (1/4). Document frequencies are counted exactly over all documents, of all 64 bits of a shingle's hash: texts are
+packed in blocks, each block leaves its sorted hashes with their counts, split into ranges, and each range is merged. A corpus whose
+repeated shingles are HEAVY at most sends their table to the tasks; of a larger one, each range gives each block the frequencies of the
+block's own shingles, and they meet the block by a shuffle, in PARTS one after the other. Weights are the same either way.
 
 Consistent samples: for each hash k and shingle, r and c are Gamma(2, 1) and beta uniform; t = floor(ln w / r + beta) and
 ln a = ln c - r (t - beta) - r; the least ln a over the document is the sample, equal in two documents with a probability of
@@ -31,12 +32,13 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,7 @@ BANDS, ROWS = 20, 4
 HASHES = BANDS * ROWS
 AGREE = 48  # of HASHES
 HEAVY, RANGE, FLUSH = 1 << 20, 1 << 20, 1 << 20  # shingles: in the table, in a range that is merged, held before they are sorted
+PACK, PACKED, PARTS = 1 << 18, 1 << 14, 4  # shingles, and texts, of a block of texts; parts of the blocks
 BLOCK, ROW = 6_000_000, 1000  # a block holds BLOCK bytes of shingles, a text counts as ROW more
 LEVELS, TABLED, SLOTS, CHUNK = 25, 8, 1 << 13, 4096  # LEVELS: a single document's shingle that occurs 2 ** 31 times
 WORD = re.compile(r"\w+")
@@ -82,16 +85,34 @@ def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """id, h1, h2, n, and the shingles (64-bit hashes) and counts (32-bit) as bytes; docs as `renamed`."""
+    """Blocks of texts: block and part, docs and n (their texts and shingles), and by text sizes, id, h1 and h2 (arrays), shingles (64-bit hashes)
+    and counts (32-bit) as bytes, one text after the other; docs as `renamed`."""
+    names = ["block", "part", "docs", "n", "sizes", "id", "h1", "h2", "shingles", "counts"]
+
+    def packed(number: int, held: list[tuple[pa.RecordBatch, list]]) -> pa.RecordBatch:
+        both = [x for _, made in held for x in made]
+        sizes = [len(h) for h, _ in both]
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        keys = [one(pa.concat_arrays([b.column(c) for b, _ in held])) for c in ("id", "h1", "h2")]
+        data = [pa.array([b"".join(x[i].tobytes() for x in both)], pa.binary()) for i in (0, 1)]
+        first = [pa.array([x], kind) for x, kind in ((number, pa.int64()), (number % PARTS, pa.int32()), (len(sizes), pa.int32()), (sum(sizes), pa.int64()))]
+        return pa.RecordBatch.from_arrays([*first, one(pa.array(sizes, pa.int32())), *keys, *data], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            both = [shingles(t) for t in b.column("text").to_pylist()]
-            made = [pa.array([len(h) for h, _ in both], pa.int32()), pa.array([h.tobytes() for h, _ in both], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in both], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("id", "h1", "h2")], *made], ["id", "h1", "h2", "n", "shingles", "counts"])
-
-    own = docs.select("id", "h1", "h2", "text")
-    return own.mapInArrow(run, f"id {dict(own.dtypes)['id']}, h1 long, h2 long, n int, shingles binary, counts binary")
+        number, held, n, rows = (TaskContext.get().partitionId() << 32) + TaskContext.get().partitionId() % PARTS, [], 0, 0
+        for b in slices(batches, 100):
+            made = [(h, c.astype(np.uint32)) for h, c in map(shingles, b.column("text").to_pylist())]
+            held.append((b.select(["id", "h1", "h2"]), made))
+            n, rows = n + sum(len(h) for h, _ in made), rows + len(made)
+            if n >= PACK or rows >= PACKED:
+                yield packed(number, held)
+                number, held, n, rows = number + 1, [], 0, 0
+        if held:
+            yield packed(number, held)
+
+    own, kind = docs.select("id", "h1", "h2", "text"), dict(docs.dtypes)["id"]
+    schema = f"block long, part int, docs int, n long, sizes array<int>, id array<{kind}>, h1 array<long>, h2 array<long>, shingles binary, counts binary"
+    return own.mapInArrow(run, schema)
 
 
 @dataclass
@@ -123,10 +144,10 @@ WEIGHT = 2 ** (np.arange(LEVELS) / 4)
 
 
 def document_frequencies(texts: DataFrame) -> Rarity:
-    """Of the shingles of `shingled`. Ranges follow the number of shingles, so each holds about RANGE entries before they are merged."""
-    n, total = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    ranges = max(0, math.ceil(math.log2(max(1, total / RANGE))))
-    bits, floor = 32 + ranges, max(2, -(-total // HEAVY))
+    """A table of the shingles of `shingled`, HEAVY at most: exact where `fits`, else those in less than the HEAVYth part of all occurrences count
+    as one just below that."""
+    n, total = sizes_of(texts)
+    ranges, floor = ranges_of(total), max(2, -(-total // HEAVY))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -142,34 +163,94 @@ def document_frequencies(texts: DataFrame) -> Rarity:
             yield sorted_out(held)
 
     def sorted_out(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(held) >> np.uint64(64 - bits), return_counts=True)
-        of = (keys >> np.uint64(32)).astype(np.int64)
-        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        rows = []
-        for a, z in zip(starts, [*starts[1:], len(of)], strict=True):
-            more = np.flatnonzero(n[a:z] > 1).astype(np.uint32)
-            rows.append((int(of[a]), keys[a:z].astype(np.uint32).tobytes(), more.tobytes(), n[a:z][more].astype(np.uint32).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int64(), *[pa.binary()] * 3], strict=True)], ["range", "low", "more", "times"])
+        rows = in_ranges(np.concatenate(held), ranges)
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(rows, RANGED, strict=True)], ["range", "keys", "more", "times"])
 
     def merge(of: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        low = np.concatenate([np.frombuffer(x, np.uint32) for x in p["low"]])
-        n, at = np.ones(len(low), np.int64), 0
-        for x, more, times in zip(p["low"], p["more"], p["times"], strict=True):
-            n[at + np.frombuffer(more, np.uint32).astype(np.int64)] = np.frombuffer(times, np.uint32)
-            at += len(x) // 4
-        order = np.argsort(low, kind="stable")
-        low, n = low[order], n[order]
-        starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        df = np.add.reduceat(n, starts)
+        keys, df, _ = merged(p)
         kept = df >= floor
-        return pd.DataFrame({"keys": [((np.uint64(of[0]) << np.uint64(32)) + low[starts][kept].astype(np.uint64)).tobytes()], "df": [df[kept].tobytes()]})
+        return pd.DataFrame({"keys": [keys[kept].tobytes()], "df": [df[kept].tobytes()]})
 
     with tidy(texts.sparkSession):
-        each = texts.select("shingles").mapInArrow(count, "range long, low binary, more binary, times binary")
+        each = texts.select("shingles").mapInArrow(count, "range long, keys binary, more binary, times binary")
         rows = each.groupBy("range").applyInPandas(merge, "keys binary, df binary").where("length(df) > 0").collect()  # HEAVY shingles at most
     keys = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(r["keys"], np.uint64) for r in rows]])
     df, order = np.concatenate([np.empty(0, np.int64), *[np.frombuffer(r["df"], np.int64) for r in rows]]), np.argsort(keys)
-    return Rarity(keys[order], df[order], bits, floor - 1, n)
+    return Rarity(keys[order], df[order], 64, floor - 1, n)
+
+
+def block_frequencies(texts: DataFrame, total: int) -> list[DataFrame]:
+    """block, part, keys and df (bytes): the shingles of each block of `shingled` that several texts have, and in how many. A block has a row for
+    each range in which it has any. The ranges are worked in two halves, a table each, so that half of the shingles are shuffled at once."""
+    ranges = ranges_of(total)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            h = np.frombuffer(b.column("shingles")[0].as_buffer(), np.uint64)
+            h = h[h >> np.uint64(63) == np.uint64(half)]
+            if len(h):
+                rows = [pa.array(c, kind) for c, kind in zip(in_ranges(h, ranges), RANGED, strict=True)]
+                same = [pa.array(np.full(len(rows[0]), b.column(c)[0].as_py()), kind) for c, kind in (("block", pa.int64()), ("part", pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*same, *rows], ["block", "part", "range", "keys", "more", "times"])
+
+    def merge(p: pd.DataFrame) -> pd.DataFrame:
+        keys, df, place = merged(p)
+        rows, at = [], 0
+        for block, part, x in zip(p["block"], p["part"], p["keys"], strict=True):
+            own = place[at : at + len(x) // 8]
+            own, at = own[df[own] > 1], at + len(x) // 8
+            if len(own):
+                rows.append((block, part, keys[own].tobytes(), df[own].astype(np.uint32).tobytes()))
+        return pd.DataFrame(rows, columns=["block", "part", "keys", "df"])
+
+    out = []
+    for half in (0, 1):
+        each = texts.select("block", "part", "shingles").mapInArrow(count, "block long, part int, range long, keys binary, more binary, times binary")
+        out.append(materialize(each.groupBy("range").applyInPandas(merge, "block long, part int, keys binary, df binary"), "block-frequencies", by="part"))
+    return out
+
+
+def sizes_of(texts: DataFrame) -> tuple[int, int]:
+    """Texts and shingles of `shingled`."""
+    return tuple(texts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("docs", "n")]).first())
+
+
+def fits(total: int) -> bool:
+    """Whether HEAVY entries hold all shingles that occur twice."""
+    return total <= 2 * HEAVY
+
+
+def ranges_of(total: int) -> int:
+    """First bits of a hash that name its range: ranges follow the number of shingles, so each holds about RANGE entries before they are merged."""
+    return max(1, math.ceil(math.log2(max(1, total / RANGE))))
+
+
+RANGED = [pa.int64(), *[pa.binary()] * 3]
+
+
+def in_ranges(h: np.ndarray, ranges: int) -> list[tuple]:
+    """By range: its number, its distinct hashes in order, which of them occur several times, and how often."""
+    keys, n = np.unique(h, return_counts=True)
+    of = (keys >> np.uint64(64 - ranges)).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    rows = []
+    for a, z in zip(starts, [*starts[1:], len(of)], strict=True):
+        more = np.flatnonzero(n[a:z] > 1).astype(np.uint32)
+        rows.append((int(of[a]), keys[a:z].tobytes(), more.tobytes(), n[a:z][more].astype(np.uint32).tobytes()))
+    return list(zip(*rows, strict=True))
+
+
+def merged(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of the rows of a range, their sums of times, and the place of each entry of the rows among them."""
+    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in p["keys"]])
+    n, at = np.ones(len(keys), np.int64), 0
+    for x, more, times in zip(p["keys"], p["more"], p["times"], strict=True):
+        n[at + np.frombuffer(more, np.uint32).astype(np.int64)] = np.frombuffer(times, np.uint32)
+        at += len(x) // 8
+    keys, place = np.unique(keys, return_inverse=True)
+    df = np.zeros(len(keys), np.int64)
+    np.add.at(df, place, n)
+    return keys, df, place
 
 
 @lru_cache(maxsize=1)
@@ -217,18 +298,48 @@ def node_of() -> Column:
     return F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("h1", "h2")])
 
 
-def signatures(texts: DataFrame, rarity) -> DataFrame:
-    """node, n, bands (array) and sig of each distinct text that has words."""
+WEIGHED = ["n", "id", "h1", "h2", "shingles", "levels", "bands", "sig"]
+
+
+def weigh(b: pa.RecordBatch, rarity: Rarity) -> pa.RecordBatch:
+    """The texts of a block, a row each, with the levels of their shingles, BANDS hashes and the samples' bytes."""
+    sizes = b.column("sizes")[0].as_py()
+    h, c = (np.frombuffer(b.column(x)[0].as_buffer(), kind) for x, kind in (("shingles", np.uint64), ("counts", np.uint32)))
+    j, ends = rarity.levels(h, c), np.cumsum([0, *sizes])
+    both, low = [signature(h[a:z], j[a:z]) for a, z in zip(ends, ends[1:], strict=False)], j.astype(np.uint8)
+    told = [pa.array([x[a:z].tobytes() for a, z in zip(ends, ends[1:], strict=False)], pa.binary()) for x in (h, low)]
+    made = [pa.array([x for x, _ in both], pa.list_(pa.int64())), pa.array([x for _, x in both], pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), *[b.column(x)[0].values for x in ("id", "h1", "h2")], *told, *made], WEIGHED)
+
+
+def weighed_texts(docs: DataFrame) -> DataFrame:
+    """id, h1, h2, n, shingles and levels (bytes), bands (array) and sig of each row of docs; docs as `renamed`."""
+    blocks = materialize(shingled(docs), "shingles", by="part")
+    n, total = sizes_of(blocks)
+    schema = f"n int, id {dict(docs.dtypes)['id']}, h1 long, h2 long, shingles binary, levels binary, bands array<long>, sig binary"
+    if fits(total):
+        rarity = docs.sparkSession.sparkContext.broadcast(document_frequencies(blocks))
+        out = materialize(blocks.mapInArrow(lambda batches: (weigh(b, rarity.value) for b in slices(batches, 1)), schema), "weighed")
+        discard(blocks)
+        return out
+
+    def meet(block: pa.Table, found: pa.Table) -> pa.Table:
+        keys, df = (np.concatenate([np.empty(0, kind), *[np.frombuffer(x.as_buffer(), kind) for x in found[c]]]) for c, kind in (("keys", np.uint64), ("df", np.uint32)))
+        order = np.argsort(keys)
+        return pa.Table.from_batches([weigh(b, Rarity(keys[order], df[order], 64, 1, n)) for b in block.to_batches()])
+
+    halves, out = block_frequencies(blocks, total), []
+    for part in range(PARTS):
+        own, found = (x.where(F.col("part") == part) for x in (blocks, reduce(DataFrame.union, halves)))
+        out.append(materialize(own.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(meet, schema), "weighed"))
+        discard(blocks, *halves, part=part)
+    discard(blocks, *halves)
+    return reduce(DataFrame.union, out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            h, c = (np.frombuffer(b"".join(b.column(x).to_pylist()), kind) for x, kind in (("shingles", np.uint64), ("counts", np.uint32)))
-            j, ends = rarity.value.levels(h, c), np.cumsum([0, *b.column("n").to_pylist()])
-            both = [signature(h[a:z], j[a:z]) for a, z in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), pa.array([x for x, _ in both], pa.list_(pa.int64())), pa.array([x for _, x in both], pa.binary())], ["node", "n", "bands", "sig"])
 
-    made = texts.where("n > 0").select(node_of().alias("node"), "n", "shingles", "counts").mapInArrow(run, "node string, n int, bands array<long>, sig binary")
-    return made.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+def signatures(texts: DataFrame) -> DataFrame:
+    """node, n, bands (array) and sig of each distinct text of `weighed_texts` that has words."""
+    return texts.where("n > 0").select(node_of().alias("node"), "n", "bands", "sig").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "bands", "sig")])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -240,9 +351,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
-def weighed(hashes: bytes, counts: bytes, rarity: Rarity) -> tuple[np.ndarray, np.ndarray]:
-    h = np.frombuffer(hashes, np.uint64)
-    return h, WEIGHT[rarity.levels(h, np.frombuffer(counts, np.uint32))]
+def weighed(hashes: bytes, levels: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(hashes, np.uint64), WEIGHT[np.frombuffer(levels, np.uint8)]
 
 
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -251,25 +361,25 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(1), dtype="int32")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rarity) -> DataFrame:
-    """The pairs (a, b) that link. sets: node, shingles and counts."""
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link. sets: node, shingles and levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-        def of(node: str, hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+        def of(node: str, hashes: bytes, levels: bytes) -> tuple[np.ndarray, np.ndarray]:
             if node not in held:
                 if len(held) > 64:
                     held.clear()
-                held[node] = weighed(hashes, counts, rarity.value)
+                held[node] = weighed(hashes, levels)
             return held[node]
 
         for b in slices(batches, 200):
-            both = zip(*[b.column(c).to_pylist() for c in ("a", "shingles_a", "counts_a", "b", "shingles_b", "counts_b")], strict=True)
+            both = zip(*[b.column(c).to_pylist() for c in ("a", "shingles_a", "levels_a", "b", "shingles_b", "levels_b")], strict=True)
             ok = [similarity(of(*r[:3]), of(*r[3:])) >= THRESHOLD - 1e-9 for r in both]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"shingles_{x}"), F.col("counts").alias(f"counts_{x}"))
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"shingles_{x}"), F.col("levels").alias(f"levels_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a string, b string")
 
 
@@ -303,10 +413,10 @@ def open_rows(group: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def block_links(group: pd.DataFrame, rarity: Rarity) -> list[tuple[str, str]]:
+def block_links(group: pd.DataFrame) -> list[tuple[str, str]]:
     """Links of a group between different components. Once links have joined two components, no more of their pairs are looked at."""
     node, label = group["node"].tolist(), group["label"].tolist()
-    raw = list(zip(group["shingles"], group["counts"], strict=True))
+    raw = list(zip(group["shingles"], group["levels"], strict=True))
     held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     parent = {k: k for k in label}
     out: list[tuple[str, str]] = []
@@ -319,7 +429,7 @@ def block_links(group: pd.DataFrame, rarity: Rarity) -> list[tuple[str, str]]:
 
     def of(i: int) -> tuple[np.ndarray, np.ndarray]:
         if i not in held:
-            held[i] = weighed(*raw[i], rarity)
+            held[i] = weighed(*raw[i])
         return held[i]
 
     for r, other, same in _candidates(group):
@@ -331,7 +441,7 @@ def block_links(group: pd.DataFrame, rarity: Rarity) -> list[tuple[str, str]]:
     return out
 
 
-def rest(rows: DataFrame, nodes: DataFrame, label: DataFrame, sets, rarity) -> DataFrame:
+def rest(rows: DataFrame, nodes: DataFrame, label: DataFrame, sets) -> DataFrame:
     """Links a, b between components in bands that hold several. rows: node and band, of bands with several nodes; sets: wanted nodes ->
     their shingles. Blocks are dealt by hash, in as many parts as a band's shingles need."""
     labelled = rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -351,7 +461,7 @@ def rest(rows: DataFrame, nodes: DataFrame, label: DataFrame, sets, rarity) -> D
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sorted_groups(frames(batches), GROUP):
-            found = block_links(g, rarity.value)
+            found = block_links(g)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)], ["a", "b"])
 
@@ -366,9 +476,8 @@ def rest(rows: DataFrame, nodes: DataFrame, label: DataFrame, sets, rarity) -> D
 def labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """id, h1 and h2 of each row, and node and label (of its class) of each text that is like another; docs as `renamed`."""
     sc = docs.sparkSession.sparkContext
-    texts = materialize(shingled(docs), "shingles")
-    rarity = sc.broadcast(document_frequencies(texts))
-    nodes = materialize(signatures(texts, rarity), "signatures")
+    texts = weighed_texts(docs)
+    nodes = materialize(signatures(texts), "signatures")
 
     rows = nodes.select("node", F.explode("bands").alias("band"))
     several = materialize(rows.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("band", "first"), "bands-of-several")
@@ -382,16 +491,16 @@ def labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = materialize(pairs, "candidates")
 
     def sets(wanted: DataFrame) -> DataFrame:
-        """Shingles and counts of wanted nodes. Copies of a text are dropped in the tasks that read them, before any shuffle."""
+        """Shingles and levels of wanted nodes. Copies of a text are dropped in the tasks that read them, before any shuffle."""
         ids = wanted.select(F.conv(F.substring("node", 1, 16), 16, -10).cast("long").alias("h1")).distinct()
-        near = only_wanted(texts.select("h1", "h2", "shingles", "counts"), ids, "h1")
-        return near.groupBy(node_of().alias("node")).agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts"))
+        near = only_wanted(texts.select("h1", "h2", "shingles", "levels"), ids, "h1")
+        return near.groupBy(node_of().alias("node")).agg(F.first("shingles").alias("shingles"), F.first("levels").alias("levels"))
 
     wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "candidate-nodes")
     known = materialize(sets(wanted), "candidate-sets")
-    links = materialize(verified(pairs, known, rarity), "links")
+    links = materialize(verified(pairs, known), "links")
     label = components(links)
-    more = rest(rows.select("node", "band"), nodes, label, sets, rarity)
+    more = rest(rows.select("node", "band"), nodes, label, sets)
     if not more.isEmpty():
         label = components(links.union(more))
     out = texts.select("id", "h1", "h2"), label

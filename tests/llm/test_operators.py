@@ -811,6 +811,26 @@ def test_document_frequencies_are_exact(spark, sf, monkeypatch, heavy, range_):
     assert rarity.frequencies(hashes).tolist() == [c if c >= floor else floor - 1 for _, c in sorted(exact.items())]
 
 
+def test_rare_shingles_weigh_alike_in_corpora_of_any_size(spark, monkeypatch):
+    """Rare shingles weigh by their own document frequencies, too, where these don't fit the table that goes to the tasks."""
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(40)]
+    docs = [" ".join([*rng.sample(common, 3), *[f"w{rng.randrange(300)}" for _ in range(rng.randrange(0, 60))], *common[:8]]) for _ in range(120)] + ["", None, "one two"]
+    docs += [f"{docs[i]} more" for i in range(30)] + docs[:9]
+    df = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(docs)], "doc_id long, text string").repartition(3)
+    told = lambda: sorted(
+        [(r["id"] is None, r["id"], r["h1"], *[bytes(r[c]) for c in ("shingles", "levels")], r["bands"], bytes(r["sig"] or b"")) for r in near_dup.weighed_texts(near_dup.renamed(df, "doc_id", "text")).collect()], key=str
+    )
+    table_ = told()
+    for name, value in (("HEAVY", 64), ("RANGE", 300), ("PACK", 500), ("PACKED", 9)):
+        monkeypatch.setattr(near_dup, name, value)
+    assert told() == table_
+    exact = {text_hash(t or ""): sorted(w.values()) for t, w in zip(docs, plain_weights(docs), strict=True)}
+    for r in table_:
+        assert np.allclose(np.sort(near_dup.WEIGHT[np.frombuffer(r[4], np.uint8)]), exact[r[2]])
+    assert len(table_) == len(docs)
+
+
 def test_weights_of_repeated_shingles_are_not_clipped(monkeypatch):
     rarity = near_dup.Rarity(np.empty(0, np.uint64), np.empty(0, np.int64), 32, 1, 1000)
     h = np.arange(120, dtype=np.uint64) * near_dup.PRIMES[0]
