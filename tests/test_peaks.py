@@ -73,6 +73,24 @@ def test_a_million_rows_in_seconds():
     assert gains == sorted(gains, reverse=True)
 
 
+def test_short_series_are_picked_in_rounds():
+    """The picks of each series alone, in the time of a few calls."""
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 30, 61, 200, *rng.integers(40, 100, 300).tolist()]
+    begin, n = np.cumsum([0, *sizes[:-1]]), sum(sizes)
+    p = np.round(rng.random(n), 1) ** 3  # with ties
+    chunk = np.concatenate([np.arange(s) // 32 for s in sizes])
+    began = time.perf_counter()
+    at, phase, gain = peaks.pick_many(p, chunk, begin, 0.05, 20)
+    took = time.perf_counter() - began
+    began = time.perf_counter()
+    want = [(a + i, k, v) for a, s in zip(begin, sizes, strict=True) for i, k, v in peaks.pick_events(p[a : a + s], chunk[a : a + s], 0.05, 20)]
+    assert list(zip(at.tolist(), phase.tolist(), gain.tolist(), strict=True)) == want
+    assert len(want) > 4000 and took < (time.perf_counter() - began) / 4
+    empty = peaks.pick_many(np.zeros(3), np.zeros(3, int), np.array([0]), 0.05, 20)
+    assert [len(x) for x in empty] == [0, 0, 0]
+
+
 def test_tournament():
     rng = np.random.default_rng(2)
     for n in (1, 63, 64, 65, 5000):
