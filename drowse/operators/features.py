@@ -54,7 +54,7 @@ def changes(x: np.ndarray) -> np.ndarray:
 
 
 def block_features(x: dict[str, np.ndarray], sizes: Sizes) -> dict[str, np.ndarray]:
-    """All features that look at neighbouring rows, of one block with its halo. A missing value's change counts as 0."""
+    """All features that look at neighbouring rows, of one block with its halo, or of equally long ones, as rows. A missing value's change counts as 0."""
     zero = lambda v: np.where(np.isnan(v), 0.0, v)
     diff, raw = changes(x["anglez"]), zero(changes(x["anglez_raw"]))
     out = {"anglez_diff": zero(diff), "enmo_diff": zero(changes(x["enmo"])), "anglez_abs_diff": np.abs(zero(diff)), "anglez_diff_nonzero": (np.abs(raw) < 0.1).astype(float)}

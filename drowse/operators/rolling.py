@@ -4,6 +4,8 @@ A frame of w rows covers i - w // 2 to i + ceil(w / 2) - 1, cut at the ends of t
 end of one piece and the beginning of the next: running sums, maxima and second moments from both ends of each piece give every frame
 by one combination, without subtracting great sums. The median keeps an ordered skip list of the frame.
 
+Arrays are one block, or several equally long ones as rows of a matrix, each on its own, with the same results.
+
 Nulls, and NaN, are no values: a frame counts the others, and its statistic is null below `least` of them, std also below two.
 """
 
@@ -42,12 +44,12 @@ class Frames:
         self.begins = ~self.two & (low % w == 0)  # the frame is a beginning of a piece, or the whole
 
     def both(self, x: np.ndarray, neutral: float, run: np.ufunc) -> tuple[np.ndarray, np.ndarray]:
-        pieces = np.full(-(-self.n // self.w) * self.w, neutral)
-        pieces[: self.n] = x
-        pieces = pieces.reshape(-1, self.w)
-        ahead = run.accumulate(pieces, axis=1).ravel()
-        back = run.accumulate(pieces[:, ::-1], axis=1)[:, ::-1].ravel()
-        return np.where(self.begins, ahead[self.high], back[self.low]), np.where(self.two, ahead[self.high], neutral)
+        pieces = np.full((*x.shape[:-1], -(-self.n // self.w) * self.w), neutral)
+        pieces[..., : self.n] = x
+        parts = pieces.reshape(*x.shape[:-1], -1, self.w)
+        ahead = run.accumulate(parts, axis=-1).reshape(pieces.shape)[..., self.high]
+        back = run.accumulate(parts[..., ::-1], axis=-1)[..., ::-1].reshape(pieces.shape)[..., self.low]
+        return np.where(self.begins, ahead, back), np.where(self.two, ahead, neutral)
 
     def total(self, x: np.ndarray) -> np.ndarray:
         a, b = self.both(x, 0.0, np.add)
@@ -55,14 +57,16 @@ class Frames:
 
     def moments(self, x: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean and sum of squared differences from it, of the values among each frame's rows. Pieces are centred on their own means."""
-        piece = np.arange(self.n) // self.w
-        size = np.bincount(piece, real)
-        centre = np.bincount(piece, np.where(real, x, 0)) / np.maximum(size, 1)
-        d = np.where(real, x - centre[piece], 0)
+        piece, count = np.arange(self.n) // self.w, -(-self.n // self.w)
+        of = (piece + count * np.arange(x.size // max(1, self.n))[:, None]).ravel()
+        sums = lambda v: np.bincount(of, v.ravel(), x.size // max(1, self.n) * count).reshape(*x.shape[:-1], count)
+        size = sums(real)
+        centre = sums(np.where(real, x, 0)) / np.maximum(size, 1)
+        d = np.where(real, x - centre[..., piece], 0)
         parts = [self.both(v, 0.0, np.add) for v in (real.astype(float), d, d * d)]
         first, second = self.low // self.w, self.high // self.w
         (na, nb), (sa, sb), (qa, qb) = parts
-        ma, mb = centre[first] + sa / np.maximum(na, 1), centre[second] + sb / np.maximum(nb, 1)
+        ma, mb = centre[..., first] + sa / np.maximum(na, 1), centre[..., second] + sb / np.maximum(nb, 1)
         spread = (qa - sa * sa / np.maximum(na, 1)) + (qb - sb * sb / np.maximum(nb, 1))
         n = np.maximum(na + nb, 1)
         gap = np.where((na > 0) & (nb > 0), mb - ma, 0)
@@ -72,10 +76,10 @@ class Frames:
 
 def rolled(x: np.ndarray, stat: str, w: int, least: int | None = 1, fill: float | None = None, frames: Frames | None = None) -> np.ndarray:
     """One statistic of one array; NaN where there is none."""
-    frames = frames or Frames(len(x), w)
+    frames = frames or Frames(x.shape[-1], w)
     real = ~np.isnan(x)
     count = frames.total(real.astype(float))
-    need = np.full(len(x), float(w if least is None else least))
+    need = np.full(x.shape, float(w if least is None else least))
     if stat == "count":
         out = count
     elif stat == "sum":
@@ -93,7 +97,9 @@ def rolled(x: np.ndarray, stat: str, w: int, least: int | None = 1, fill: float
         out = np.where(high == low, 0.0, out)  # no rounding error in a frame of equal values
         need = np.maximum(need, 2)
     elif stat == "median":
-        out = pd.Series(x).rolling(w, center=True, min_periods=1).median().to_numpy()
+        apart = np.full((*x.shape[:-1], frames.n + w), np.nan)  # no frame reaches the next block
+        apart[..., : frames.n] = x
+        out = pd.Series(apart.ravel()).rolling(w, center=True, min_periods=1).median().to_numpy().reshape(apart.shape)[..., : frames.n]
     else:
         raise ValueError(f"no statistic {stat}")
     out = np.where(count >= np.maximum(need, 0 if stat == "count" else 1), out, np.nan)
@@ -105,7 +111,7 @@ def rolling_table(df: DataFrame, specs: Sequence[Rolling], keys: Sequence[str] =
     before, after = max(s.w // 2 for s in specs), max((s.w + 1) // 2 - 1 for s in specs)
 
     def made(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        n, frames = len(next(iter(x.values()))), {}
+        n, frames = next(iter(x.values())).shape[-1], {}
         return {s.name: rolled(x[s.x], s.stat, s.w, s.least, s.fill, frames.setdefault(s.w, Frames(n, s.w))) for s in specs}
 
     return blocks.map_blocks(df, before, after, made, list(dict.fromkeys(s.x for s in specs)), [s.name for s in specs], keys, place, rows)

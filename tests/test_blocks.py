@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from drowse.operators import blocks, rolling, windows
+from drowse.operators import blocks, features, rolling, windows
 from drowse.operators.rolling import Rolling
 
 
@@ -131,3 +131,26 @@ def test_bounds_are_not_joined_to_each_row(spark):
     df = spark.range(1000).select(F.col("id").alias("step"))
     plan = blocks.in_blocks(df, "step")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_equally_long_blocks_pass_in_one_call(spark):
+    """Features of many short series, stacked: bit for bit those of each alone, from few calls."""
+    rng = np.random.default_rng(8)
+    sizes = features.Sizes({1: 3, 5: 6, 60: 24}, (4, 6), (5, 7), 6, 8)
+    x = {c: np.where(rng.random((7, 45)) < 0.1, np.nan, rng.normal(size=(7, 45)).round(1)) for c in ("anglez", "anglez_raw", "enmo", "enmo_log")}
+    both = features.block_features(x, sizes)
+    for i in range(7):
+        for c, alone in features.block_features({k: v[i] for k, v in x.items()}, sizes).items():
+            assert np.array_equal(both[c][i], alone, equal_nan=True), c
+    rows = [(s, i, float(s * i % 11)) for s in range(200) for i in range(20 + s % 3)]
+    df = spark.createDataFrame(rows, "series_id long, step long, x double").coalesce(1)
+    calls = spark.sparkContext.accumulator(0)
+
+    def fn(v):
+        calls.add(1)
+        return {"y": np.cumsum(v["x"], axis=-1)}
+
+    got = {(r["series_id"], r["step"]): r["y"] for r in blocks.map_blocks(df, 0, 0, fn, ["x"], ["y"]).collect()}
+    want = pd.DataFrame(rows, columns=["s", "i", "x"])
+    assert got == dict(zip(zip(want["s"], want["i"], strict=True), want.groupby("s")["x"].cumsum(), strict=True))
+    assert calls.value <= 3 * 8
