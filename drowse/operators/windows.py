@@ -168,12 +168,15 @@ def smoothed_periodicity(df: DataFrame, p: str, name: str, w: int = 10, step: st
 
 
 def local_maxima(df: DataFrame, x: str, height: float, keys: Sequence[str] = KEY, step: str = "step") -> DataFrame:
-    """Rows above both neighbouring runs of other values, at the middle of a plateau; edges never."""
-    o = ordered(keys, step)
-    df = df.withColumn("_i", F.row_number().over(o))
-    df = df.withColumn("_r", F.sum(F.coalesce((F.col(x) != F.lag(x).over(o)).cast("int"), F.lit(1))).over(o.rowsBetween(FIRST, 0)))
+    """Rows above both neighbouring runs of other values, at the middle of a plateau; edges never. Rows that are too low, and those that neither rise
+    above both neighbours nor equal one, are left out before the runs are sorted."""
+    o, v = ordered(keys, step), F.col(x)
+    df = df.withColumns({"_i": F.row_number().over(o), "_before": F.lag(x).over(o), "_after": F.lead(x).over(o)})
+    df = df.withColumn("_r", F.sum(F.coalesce((v != F.col("_before")).cast("int"), F.lit(1))).over(o.rowsBetween(FIRST, 0)))
+    single = (F.col("_before") < v) & (F.col("_after") < v)
+    df = df.where((v >= height) & (single | (F.col("_before") == v) | (F.col("_after") == v)))
     runs = Window.partitionBy(*keys, "_r")
-    df = df.withColumns({"_a": F.min("_i").over(runs), "_z": F.max("_i").over(runs), "_before": F.lag(x).over(o), "_after": F.lead(x).over(o)})
-    df = df.withColumns({"_before": F.first("_before").over(runs.orderBy(step).rowsBetween(FIRST, LAST)), "_after": F.last("_after").over(runs.orderBy(step).rowsBetween(FIRST, LAST))})
-    peak = (F.col("_i") == F.floor((F.col("_a") + F.col("_z")) / 2)) & (F.col("_before") < F.col(x)) & (F.col("_after") < F.col(x))
-    return df.where(peak & (F.col(x) >= height)).drop("_i", "_r", "_a", "_z", "_before", "_after")
+    df = df.withColumns({"_a": F.min("_i").over(runs), "_z": F.max("_i").over(runs)})
+    df = df.withColumns({"_before": F.max(F.when(F.col("_i") == F.col("_a"), F.col("_before"))).over(runs), "_after": F.max(F.when(F.col("_i") == F.col("_z"), F.col("_after"))).over(runs)})
+    peak = (F.col("_i") == F.floor((F.col("_a") + F.col("_z")) / 2)) & (F.col("_before") < v) & (F.col("_after") < v)
+    return df.where(peak).drop("_i", "_r", "_a", "_z", "_before", "_after")

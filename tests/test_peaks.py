@@ -110,6 +110,30 @@ def test_prediction_too_great(spark):
         peaks.greedy_events(df, {"onset": "p"}).collect()
 
 
+def test_maxima_sort_their_runs_once(spark):
+    """Maxima of odd values are those of a plain walk, and the rows are sorted twice: along the series, and those that are left by their runs."""
+    rng = np.random.default_rng(9)
+    values = [None, float("nan"), 0.0, 1.0, 1.0, 2.0, 3.0]
+    rows = [(s, i, values[rng.integers(0, 7)]) for s in range(40) for i in range(int(rng.integers(1, 60)))]
+    df = spark.createDataFrame(rows, "series_id long, step long, x double").repartition(3)
+    found = windows.local_maxima(df, "x", 1.0)
+    less = lambda a, b: a is not None and b is not None and (b != b and a == a or a < b)
+    same = lambda a, b: a is not None and b is not None and (a == b or a != a and b != b)
+    want = []
+    for s in range(40):
+        x, a = [v for k, _, v in rows if k == s], 0
+        while a < len(x):
+            z = a
+            while z + 1 < len(x) and same(x[z], x[z + 1]):
+                z += 1
+            if a > 0 and z + 1 < len(x) and less(x[a - 1], x[a]) and less(x[z + 1], x[a]) and not less(x[a], 1.0):
+                want.append((s, (a + z) // 2))
+            a = z + 1
+    assert sorted((r["series_id"], r["step"]) for r in found.collect()) == want and len(want) > 100
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Sort [") == 2
+
+
 def test_suppression():
     rng = np.random.default_rng(5)
     for _ in range(100):
