@@ -2,19 +2,21 @@
 
 Kernel: two words are alike by the subsequences of ORDER characters they share (the word's ends count as characters), each
 weighted by DECAY for every character skipped, up to GAP skipped in all, and divided by the norm of a word of that length. An
-insult with an inserted or a missing character keeps most of its subsequences. A sentence's features are the sum of its words'.
+insult with an inserted or a missing character keeps most of its subsequences. Words are also alike by the beginnings they share, letters from
+the first on, and by being the same: a stem of common syllables has no subsequence of its own. A sentence's features are the sum of its words'.
 Spelling is folded first: case, accents and marks, digits that stand for letters, and single letters with spaces between; letters
 beyond a to z fall into a few classes by their code.
 
 Training, on a bounded sample of labelled documents, as multiple-instance learning: each sentence of a clean document is clean, and of a toxic
-document one to WORST sentences are witnesses, which the machine itself picks. It begins with the difference of the two classes' mean
-features; then the sentences of a toxic document with the highest words are its witnesses. Witnesses, each also with a character inserted in
+document one to WORST sentences are witnesses, which the machine itself picks. It begins with what the words' beginnings tell, by the
+documents of each class that have them, so that a language with few toxic documents has its own witnesses; then the sentences of a toxic document with the highest words are its witnesses. Witnesses, each also with a character inserted in
 its highest word, against sentences of clean documents, those with the highest words among them, train the next machine, until the
 witnesses stay the same or ROUNDS are over. Kernel values with LANDMARKS words (of witnesses and of clean sentences) make the Nystroem
 features of a linear support vector machine with squared hinge loss. As the kernel is a product of explicit sparse features, the machine
 folds into one table of weights, and scoring a text costs a few look-ups per character whatever the number of landmarks.
 
-A document scores by its WORST highest words, through a logistic curve fitted on the sample. A null or empty text, and one without
+A document scores by its WORST highest words, by what the beginnings of as many tell, and by its length, through a logistic curve fitted on the sample and
+moved to the labels' odds, as the sample takes as many of the rarer class. A null or empty text, and one without
 letters, scores as a text without any toxic word. A very long text is scored whole, in memory that follows its length. Without labels of
 both classes each score is 0. Equal texts score alike, and repeated rows give repeated rows; language, source, id and other columns are never
 inputs of a score. An empty table gives an empty result.
@@ -23,6 +25,7 @@ inputs of a score. An empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
+import math
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +45,8 @@ SIDE = 32  # word end, 26 letters, classes of other letters
 SPANS = [(a, b, d) for d in range(ORDER - 1, ORDER + GAP) for a, b in itertools.combinations(range(1, d), 2)]
 WORST = 3  # words that a document's score looks at
 CHUNK = 1 << 18
+#: A word's beginnings of SHORTEST to LONGEST letters, and the whole word, are features too, of weight BEGUN each; at so many toxic documents a share is half its own.
+SHORTEST, LONGEST, BEGUN, PRIOR, TELLING = 3, 16, 0.4, 3.0, 1.5
 
 
 def _fold_table() -> np.ndarray:
@@ -123,7 +128,27 @@ def word_scores(c: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.nd
     letters = np.add.reduceat((c > 0).astype(np.int32), starts) + 2
     norm = np.where(letters < len(NORMS), NORMS[np.minimum(letters, len(NORMS) - 1)], NORMS[-1] * np.sqrt(letters / len(NORMS)))
     sums = np.add.reduceat(each, starts)
-    return np.where(ends > starts, sums / np.maximum(norm, 0.5), 0).astype(np.float32)
+    out = np.where(ends > starts, sums / np.maximum(norm, 0.5), 0).astype(np.float32)
+    if len(weights) > SIDE**ORDER:
+        begun = weights[SIDE**ORDER :]
+        for word, slot in _beginnings(c, starts):
+            out[word] += np.float32(BEGUN) * begun[slot]
+    return out
+
+
+def _beginnings(c: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By length, the words that have a beginning of so many letters with more behind, or that have ended there, and the feature numbers of these."""
+    wide = np.concatenate([c, np.zeros(LONGEST + 2, np.uint8)])
+    word, h = np.arange(len(starts)), np.zeros(len(starts), np.uint64)
+    for n in range(1, LONGEST + 1):
+        h = (h ^ wide[starts[word] + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        ended = wide[starts[word] + n + 1] == 0
+        if n >= SHORTEST:
+            yield word, ((h + ended) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64)
+        word, h = word[~ended], h[~ended]
+        if not len(word):
+            break
 
 
 def features_of(word: bytes) -> np.ndarray:
@@ -135,9 +160,18 @@ def features_of(word: bytes) -> np.ndarray:
     return out / max(NORMS[min(len(word) + 2, len(NORMS) - 1)], 0.5)
 
 
+def kernel_of(word: bytes) -> np.ndarray:
+    """A word's two tables in one: its subsequences, then its beginnings (2 ** 20 hashed places)."""
+    begun = np.zeros(1 << 20, np.float32)
+    for _, slot in _beginnings(*_joined([word])):
+        begun[slot] += np.float32(BEGUN)
+    return np.concatenate([features_of(word), begun])
+
+
 @dataclass
 class Model:
-    weights: np.ndarray  # of the folded machine, by subsequence
+    weights: np.ndarray  # of the folded machine, by subsequence and beginning
+    told: np.ndarray  # what beginnings tell
     curve: np.ndarray  # of the logistic curve, by column of `_summary`, and its offset
 
 
@@ -185,16 +219,36 @@ def sentences_of(texts: list[str]) -> Sentences:
     return Sentences(list(number), of, new, text[new])
 
 
-def _mean_features(s: Sentences, share: np.ndarray) -> np.ndarray:
-    """Sum of the words' features, each over its norm and times its share, as a table."""
-    c, starts = _joined(s.words)
-    letters = np.diff(np.append(starts, len(c) - 1)) - 1 + 2
-    each = np.repeat(share / np.maximum(NORMS[np.minimum(letters, len(NORMS) - 1)], 0.5), np.diff(np.append(starts, len(c))))
-    out = np.zeros(SIDE**ORDER)
-    for f, w in _subsequences(c):
-        out += np.bincount(f, w * each, minlength=len(out))
-    out[0] = 0
-    return out.astype(np.float32)
+def _told_by_beginnings(words: list[bytes], pairs: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How much each word tells of toxic documents: the logit of their share, classes balanced, among documents that have its longest known
+    beginning. A beginning of n letters starts from what the one of n - 1 says, and tells nothing new where it stands in the same documents.
+    Also what each beginning adds to that, as a table, for words one of whose beginnings tells TELLING at least. pairs: distinct (word, document)."""
+    size = np.array([min(len(w), LONGEST) for w in words])
+    letters = np.zeros((len(words), LONGEST), np.uint8)
+    for i, w in enumerate(words):
+        letters[i, : size[i]] = np.frombuffer(w[:LONGEST], np.uint8)
+    docs, scale = len(y), (y == 1).sum() / max(1, (y == 0).sum())
+    node, value, counts = np.zeros(len(words), np.int64), np.full(len(words), 0.5), np.zeros((2, len(words)), np.int64)
+    told = np.zeros((LONGEST + 1, len(words)), np.float32)
+    for n in range(LONGEST):
+        mine = np.flatnonzero(size > n)
+        if not len(mine):
+            break
+        node[mine] = np.unique((node[mine] * SIDE + letters[mine, n]) * 2 + (size[mine] == n + 1), return_inverse=True)[1]
+        own = pairs[:, size[pairs[0]] > n]
+        met = np.unique(node[own[0]] * docs + own[1])
+        new = np.stack([np.bincount((met // docs)[y[met % docs] == v], minlength=node[mine].max() + 1) for v in (0, 1)])[:, node[mine]]
+        other = (new != counts[:, mine]).any(0)
+        value[mine] = np.where(other, (new[1] + PRIOR * value[mine]) / (new[1] + scale * new[0] + PRIOR), value[mine])
+        counts[:, mine] = new
+        told[n + 1 :] = np.log(value / (1 - value))
+    table_, telling = np.zeros(1 << 20, np.float32), np.flatnonzero(told[SHORTEST:].max(0) >= TELLING)
+    if len(telling):
+        told_ = told[SHORTEST - 1 :, telling]
+        told_[0] = 0
+        for i, (word, slot) in enumerate(_beginnings(*_joined([words[i] for i in telling]))):
+            table_[slot] = told_[i + 1, word] - told_[i, word]
+    return told[-1], table_
 
 
 def _trained(s: Sentences, rows: np.ndarray, y: np.ndarray, swapped: list[tuple[int, int, bytes]], landmarks: list[bytes]) -> np.ndarray:
@@ -210,7 +264,7 @@ def _trained(s: Sentences, rows: np.ndarray, y: np.ndarray, swapped: list[tuple[
     lc, ls = _joined(landmarks)
     k, inner = np.empty((len(y), len(landmarks))), np.empty((len(landmarks), len(landmarks)))
     for i, w in enumerate(landmarks):  # one table at a time
-        table_ = features_of(w)
+        table_ = kernel_of(w)
         each, inner[:, i] = word_scores(c, starts, table_), word_scores(lc, ls, table_)
         whole = np.add.reduceat(each[at], np.cumsum(size) - size)
         k[:, i] = np.concatenate([whole, whole[row] - each[old] + each[len(used) :]])
@@ -218,29 +272,29 @@ def _trained(s: Sentences, rows: np.ndarray, y: np.ndarray, swapped: list[tuple[
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
     beta = root @ _svm(k @ root, y)[:-1]
-    out = np.zeros(SIDE**ORDER, np.float32)
+    out = np.zeros(SIDE**ORDER + (1 << 20), np.float32)
     for b, w in zip(beta, landmarks, strict=True):
-        out += np.float32(b) * features_of(w)
+        out += np.float32(b) * kernel_of(w)
     return out
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
+def fit(texts: list[str], labels: list[int], odds: float | None = None) -> Model:
+    """odds: of label 1 where the texts were drawn from, by class; None: as in `labels`."""
     y = np.array(labels)
     s = sentences_of(texts)
     toxic = y[s.text] == 1 if len(s.starts) else np.empty(0, bool)
     if not toxic.any() or toxic.all():
-        return Model(np.zeros(SIDE**ORDER, np.float32), np.array([0.0] * WORST + [-40.0]))
+        return Model(np.zeros(SIDE**ORDER, np.float32), np.zeros(1 << 20, np.float32), np.array([0.0] * (2 * WORST + 1) + [-40.0]))
     c, starts = _joined(s.words)
     # means over documents that have a word, so that a copied or long document counts no more than once for it
     long = np.repeat(np.arange(len(s.starts)), np.diff(np.append(s.starts, len(s.of))))
     pairs = np.unique(np.stack([s.of, s.text[long]]), axis=1)
-    share = [np.bincount(pairs[0][y[pairs[1]] == v], minlength=len(s.words)) / max(1, (y == v).sum()) for v in (0, 1)]
-    weights = _mean_features(s, share[1] - share[0])
+    word, told = _told_by_beginnings(s.words, pairs, y)
     clean, bad = np.flatnonzero(~toxic), np.flatnonzero(toxic)
     clean_words = sorted({s.words[i] for i in s.of[~toxic[long]]}, key=hash_of)[: LANDMARKS // 2]
     order, witness = np.array(sorted(clean.tolist(), key=lambda i: hash_of(b" ".join(s.words[w] for w in s.of[s.starts[i] : s.starts[i] + 8])))), None
-    for _ in range(ROUNDS):
-        word = word_scores(c, starts, weights)
+    for i in range(ROUNDS):
+        word = word_scores(c, starts, weights) if i else word
         score = s.highest(word)
         best = bad[np.lexsort((-score[bad], s.text[bad]))]
         first = np.flatnonzero(np.r_[True, s.text[best][1:] != s.text[best][:-1]])
@@ -256,7 +310,9 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         negative = np.unique(np.concatenate([order[: NEGATIVES // 2], clean[np.argsort(-score[clean], kind="stable")[: NEGATIVES // 2]]]))
         rows = np.concatenate([witness, negative])
         weights = _trained(s, rows, np.where(toxic[rows], 1.0, -1.0), list(_respelled(s, witness, word)), landmarks)
-    return Model(weights, _logistic(_summary(texts, weights), y))
+    curve = _logistic(_summary(texts, weights, told), y)
+    curve[-1] += math.log(odds * (y == 0).sum() / (y == 1).sum()) if odds else 0
+    return Model(weights, told, curve)
 
 
 def _respelled(s: Sentences, witness: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -297,17 +353,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _summary(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
-    """The WORST highest word scores of each text, none below 0."""
+def _summary(texts: list[str | None], weights: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """The WORST highest word scores of each text, none below 0, as many of what beginnings tell, none below TELLING, and the logarithm of its words."""
     c, starts, text, _ = fold(texts)
-    scores = np.maximum(word_scores(c, starts, weights), 0)
-    order = np.lexsort((-scores, text))
-    scores, text = scores[order], text[order]
     n = np.bincount(text, minlength=len(texts))
-    place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    out = np.zeros((len(texts), WORST))
-    top = place < WORST
-    out[text[top], place[top]] = scores[top]
+    out = np.zeros((len(texts), 2 * WORST + 1))
+    first = np.zeros(len(starts), np.float32)
+    for word, slot in _beginnings(c, starts):
+        first[word] += told[slot]
+    for at, scores in ((0, word_scores(c, starts, weights)), (WORST, first * (first >= TELLING))):
+        order = np.lexsort((-scores, text))
+        place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        top = place < WORST
+        out[text[top], at + place[top]] = np.maximum(scores[order][top], 0)
+    out[:, -1] = np.log1p(n) / 4
     return out
 
 
@@ -317,7 +376,7 @@ def score_texts(texts: list[str | None], model: Model) -> np.ndarray:
     for i, t in enumerate(texts):
         size += len(t or "")
         if size >= CHUNK or i + 1 == len(texts):
-            out[a : i + 1] = _sigmoid(_summary(texts[a : i + 1], model.weights) @ model.curve[:-1] + model.curve[-1])
+            out[a : i + 1] = _sigmoid(_summary(texts[a : i + 1], model.weights, model.told) @ model.curve[:-1] + model.curve[-1])
             a, size = i + 1, 0
     return out
 
@@ -329,12 +388,13 @@ def held_out(key: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """From SAMPLE documents of each class at most, none of them held out."""
     own = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & ~F.coalesce(held_out("k"), F.lit(True)))
+    n = {r["y"]: r["count"] for r in own.where("y IN (0, 1)").groupBy("y").count().collect()}
     picked = [own.where(F.col("y") == v).distinct().orderBy(F.xxhash64(F.col("k").cast("string")), "k").limit(SAMPLE) for v in (0, 1)]
     picked = picked[0].union(picked[1])
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t").between(1, SAMPLE_CHARS))
     once = texts.join(F.broadcast(picked), "k").groupBy("k", "y").agg(F.min("t").alias("t"))  # an id in many rows counts once: at most 2 * SAMPLE rows
     sample = once.toPandas().sort_values(["k", "y"])
-    return fit(sample["t"].tolist(), sample["y"].tolist())
+    return fit(sample["t"].tolist(), sample["y"].tolist(), n.get(1, 0) / n.get(0, 1))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
