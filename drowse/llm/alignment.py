@@ -36,11 +36,11 @@ from .common import discard, materialize, slices, table
 
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a run, documents that a pass looks at together, and pairs whose counts are broadcast at most.
-RUN, TOP = 1 << 20, 1 << 20
+RUN, TOP = 1 << 18, 1 << 20
 #: Places of a document's number in a key, and of an A id in a pair.
 WIDE = 32
-#: How links are stored: a pair as its number in a dictionary of up to a million, compressed.
-STORED = {"compression": "zstd", "parquet.dictionary.page.size": str(8 << 20)}
+#: How links are stored: a pair as its number in a dictionary of up to a million, compressed, in row groups that a writer holds whole.
+STORED = {"compression": "zstd", "parquet.dictionary.page.size": str(8 << 20), "parquet.block.size": str(16 << 20)}
 
 
 @dataclass
@@ -187,7 +187,7 @@ def alignments(docs: DataFrame, text: str = "text", key: str = "doc_id", names:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = vocabularies(*names)
         row = TaskContext.get().partitionId() << WIDE
-        for batch in slices(batches, 2000):
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             for start, end in _runs(texts):
                 n, got = end - start, align_texts(texts[start:end], a, b)
