@@ -5,9 +5,10 @@ the budget of the shorter one: no edit below LEAST characters, one below 2 * LEA
 line has one segment more than its class of lengths has edits, all of one size, so two alike lines share a whole segment, shifted by no more
 than their edits allow. A class is the lengths of one budget, and from WIDE edits on a 16th more than its least length, so that a line's
 keys stay in proportion to its characters. From FEW edits on a substring is named by the least hash of its parts of half its length:
-equal substrings have equal names, and neighbours share one, so a line has few. Each line leaves the hashes of its segments (with the budget) and of its substrings at which a shorter or equal
+equal substrings have equal names, and neighbours share one, so a line has few. A hash tells which segment it is of, so lines that have a
+passage in common at different places do not meet. Each line leaves the hashes of its segments (with the budget) and of its substrings at which a shorter or equal
 line's segments can stand. Lines that share a hash are verified on their whole length by a banded bit-parallel edit distance, many pairs
-at once inside the group in words of 64 bits, and pairs of more than WIDE edits each in one long integer: pairs are never emitted, only a line that has an earlier alike.
+at once inside the group in words of 64 bits, and few pairs, or those of more than WIDE edits, each in one long integer: pairs are never emitted, only a line that has an earlier alike.
 
 Hot segments: which keys several lines have is found first, from two line hashes at most for each key and task, and only those keys leave
 their lines. A group of more than GROUP lines or CHARS characters is split by length, since alike lines differ by a SHAREth at most, and what is
@@ -45,10 +46,12 @@ from .common import content_key, discard, frames, materialize, renamed, slices,
 
 #: The budget: LEAST characters for one edit, one for each SHARE characters from 2 * LEAST on; edits that a 64-bit word's band holds.
 LEAST, SHARE, WIDE = 20, 32, 31
+BLOCKS = 16  # blocks of segments whose keys differ, about: with one for each segment, keys of very long lines would outgrow their characters
 FEW = 3  # edits from which a substring is named by the least hash of its parts of half its size
 GROUP, CHARS = 1024, 1 << 22  # lines and characters of a block
 RUN, FLUSH, RANGE = 1 << 18, 1 << 20, 1 << 24  # characters hashed at a time, keys sorted at a time, characters whose keys make a range
-PAIRS = 4096  # pairs verified at a time
+PAIRS, HELD = 4096, 1 << 18  # pairs verified at a time; those that may wait for it
+SINGLE = 256  # pairs below which each goes alone
 PASSES = 4  # parts of the keys whose lines are shuffled one after the other
 WIDTH = 28  # a bitmap of keys has 2 ** WIDTH bits, 32 MB
 STORED = {"compression": "zstd"}
@@ -72,16 +75,17 @@ def classes() -> list[tuple[int, int, int]]:
 
 
 @lru_cache(maxsize=64)
-def _places(k: int, size: int) -> np.ndarray:
-    """Where segments can stand in a line that is alike.
+def _places(k: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where segments can stand in a line that is alike, and the number of the segment (of its block of segments from 2 * BLOCKS edits on).
 
     Of two alike lines, some segment i of the shorter one is whole and has exactly i edits before it, so at most k - i after it: it
     stands in the longer one shifted by -min(i, k - i) to i."""
     i = np.arange(k + 1)
-    edges = np.zeros(k * size + k + 2, np.int64)
-    np.add.at(edges, np.maximum(0, i * size - np.minimum(i, k - i)), 1)
-    np.add.at(edges, i * size + i + 1, -1)
-    return np.flatnonzero(np.cumsum(edges))
+    block = i // max(1, k // BLOCKS)
+    low, high = i * size - np.minimum(i, k - i), i * size + i + 1
+    low[1:] = np.where(block[1:] == block[:-1], np.maximum(low[1:], high[:-1]), low[1:])  # each place of a block once
+    widths = high - low
+    return np.repeat(low - np.cumsum(widths) + widths, widths) + np.arange(widths.sum()), np.repeat(block, widths).astype(np.uint64)
 
 
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -117,9 +121,9 @@ def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         mine = np.flatnonzero((lengths >= least) & (lengths - k <= greatest))
         if not len(mine):
             continue
-        at = _places(k, size)
+        at, block = _places(k, size)
         ok = at[None, :] <= lengths[mine, None] - size
-        owner = np.repeat(mine, ok.sum(1))
+        owner, of = np.repeat(mine, ok.sum(1)), np.broadcast_to(block, ok.shape)[ok]
         if k < FEW:
             h = hashed((offsets[mine, None] + at[None, :])[ok], size)
         else:  # a substring's name is the least hash of its parts, which its neighbours mostly share
@@ -129,9 +133,9 @@ def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
             least_ = hashed(np.repeat(offsets[mine] - starts, parts) + np.arange(parts.sum()), part)
             least_ = _least_of(least_, size - part + 1)
             h = least_[(starts[:, None] + at[None, :])[ok]]
-            new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
-            h, owner = h[new], owner[new]
-        h = (h ^ h >> np.uint64(32) ^ np.uint64(k) * PRIME) * np.uint64(0x9E3779B97F4A7C15)
+            new = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]) | (owner[1:] != owner[:-1])]
+            h, of, owner = h[new], of[new], owner[new]
+        h = (h ^ h >> np.uint64(32) ^ (of << np.uint64(32) | np.uint64(k)) * PRIME) * np.uint64(0x9E3779B97F4A7C15)
         keys.append((h ^ h >> np.uint64(29)).view(np.int64))
         names.append(owner)
     return np.concatenate(keys), np.concatenate(names)
@@ -158,7 +162,9 @@ def within(a: list[str], b: list[str], edits: np.ndarray) -> np.ndarray:
     order = order[edits[order] <= WIDE]
     for part in (order[i : i + PAIRS] for i in range(0, len(order), PAIRS)):
         part = part[np.abs(n[part] - m[part]) <= edits[part]]
-        if len(part):
+        if len(part) < SINGLE:  # a column costs many pairs no more than few
+            out[part] = [_banded_long(*_trimmed(a[i], b[i]), k) for i, k in zip(part.tolist(), edits[part].tolist(), strict=True)]
+        else:
             cut = [_trimmed(a[i], b[i]) for i in part]
             out[part] = _banded([x for x, _ in cut], [y for _, y in cut], edits[part].astype(np.int64))
     return out
@@ -211,9 +217,8 @@ def _banded(a: list[str], b: list[str], edits: np.ndarray) -> np.ndarray:
 def _banded_long(a: str, b: str, k: int) -> bool:
     """As `_banded`, for one pair and a band of any width: its vectors are integers of 2k + 1 bits."""
     n, m, full = len(a) + k, len(b) + k, (1 << (2 * k + 1)) - 1
-    at: dict[str, int] = {}
-    for c in set(b):  # places of each character in k fillers, k equal characters and a
-        at[c] = sum(1 << (2 * k + m_.start()) for m_ in re.finditer(re.escape(c), a)) if a.count(c) < 64 else int("".join("1" if x == c else "0" for x in reversed(a)), 2) << 2 * k
+    codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), "<u4")
+    at = {c: int.from_bytes(np.packbits(codes == ord(c), bitorder="little").tobytes(), "little") << 2 * k for c in set(b)}  # places of each character in k fillers, k equal characters and a
     start = ((1 << k) - 1) << k
     up, down, distance = full >> k << k, 0, k
     for j in range(m):
@@ -238,24 +243,50 @@ def _counts(lines: list[str]) -> np.ndarray:
     return np.bincount(of * 32 + codes, minlength=32 * len(lines)).reshape(-1, 32).astype(np.int32)
 
 
+def _smaller_keys(key: np.ndarray, group: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each line: which keys below its group's it has, of those that several lines of the group have."""
+    line, all_ = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys)
+    below = all_ < key[line]
+    line, all_ = line[below], all_[below]
+    order = np.lexsort((all_, group[line]))
+    line, all_ = line[order], all_[order]
+    of = group[line]
+    new = np.r_[True, (all_[1:] != all_[:-1]) | (of[1:] != of[:-1])][: len(all_)]
+    several = ~(new & np.r_[new[1:], True][: len(new)])
+    line, of, new = line[several], of[several], new[several]
+    number = np.cumsum(new)
+    bit = number - number[np.searchsorted(of, of)]
+    out = np.zeros((len(keys), int(bit.max(initial=0)) // 64 + 1), np.uint64)
+    np.bitwise_or.at(out, (line, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
+
+
 def have_earlier(rows: pd.DataFrame, known: set[int]) -> np.ndarray:
     """Whether each line (h1, line, key, keys, part, cross, and group: a number) has an earlier alike in its group; in a pair of blocks, in the
-    other block. Rows are in order by group, then place. Lines in `known` have one already. A pair is looked at in the group of the first
+    other block. Rows are in order by group, then place. Lines in `known` have one already. A pair is looked at in the group of the least
     key that it shares."""
-    key, keys = rows["key"].tolist(), [frozenset(k.tolist()) for k in rows["keys"]]
     lines, group, part, cross = rows["line"].tolist(), rows["group"].to_numpy(), rows["part"].to_numpy(), rows["cross"].to_numpy()
+    before = _smaller_keys(rows["key"].to_numpy(), group, rows["keys"].tolist())
     sizes, counts = np.array([len(x) for x in lines]), _counts(lines)
     edits, out = np.array([budget(n) for n in sizes.tolist()]), np.array([h in known for h in rows["h1"].tolist()])
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def settle() -> None:
-        if found:
-            a, b = (np.concatenate(side) for side in zip(*found, strict=True))
-            found.clear()
-            open_ = ~out[b]
-            a, b = a[open_], b[open_]
-            hit = within([lines[i] for i in a], [lines[i] for i in b], np.minimum(edits[a], edits[b]))
-            out[b[hit]] = True
+        """Each line with the earlier one whose characters are most like its own, then with the others if it must."""
+        if not found:
+            return
+        a, b, apart = (np.concatenate(side) for side in zip(*found, strict=True))
+        found.clear()
+        order = np.lexsort((apart, b))
+        a, b = a[order], b[order]
+        turn = np.arange(len(b)) - np.searchsorted(b, b)
+        at = 0
+        while len(b):
+            now = turn < 2**at
+            hit = within([lines[i] for i in a[now]], [lines[i] for i in b[now]], np.minimum(edits[a[now]], edits[b[now]]))
+            out[b[now][hit]] = True
+            left = ~now & ~out[b]
+            a, b, turn, at = a[left], b[left], turn[left], at + 1
 
     later = np.flatnonzero(~out)
     for d in range(1, len(lines)):  # each line with the d-th before it
@@ -268,11 +299,13 @@ def have_earlier(rows: pd.DataFrame, known: set[int]) -> np.ndarray:
         most = np.minimum(edits[a], edits[b])
         near = np.abs(sizes[a] - sizes[b]) <= most
         a, b, most = a[near], b[near], most[near]
-        near = np.abs(counts[a] - counts[b]).sum(1) <= 2 * most
-        pairs = [(i, j) for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True) if min(keys[i] & keys[j]) == key[j]]
-        if pairs:
-            found.append(tuple(np.array(pairs).T))
-            if sum(len(x) for x, _ in found) >= PAIRS:
+        near = ~(before[a] & before[b]).any(1)
+        a, b, most = a[near], b[near], most[near]
+        apart = np.abs(counts[a] - counts[b]).sum(1)
+        near = apart <= 2 * most
+        if near.any():
+            found.append((a[near], b[near], apart[near] / most[near]))
+            if sum(len(x) for x, *_ in found) >= HELD:
                 settle()
     settle()
     return out
@@ -401,7 +434,9 @@ def shared_keys(found: DataFrame) -> DataFrame:
     largest = small.groupBy("h1", "h2").agg(F.max(F.struct("n", "key")).alias("top")).select("h1", "h2", "top.key")
     tops = small.select("key", "h1", "h2").join(largest.withColumnRenamed("key", "top"), ["h1", "h2"])
     inside = tops.groupBy("key").agg(F.min("top").alias("low"), F.max("top").alias("high")).where("low = high AND low <> key").select("key")
-    kept = materialize(out.join(inside, "key", "left_anti"), "shared-largest", **STORED)
+    # named so that of the keys which two lines share, the one of most lines is the first: there a line meets most of its pairs at once
+    name = F.shiftleft(F.lit(1023) - F.least(F.col("n"), F.lit(1023)), 53).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 53) - 1)))
+    kept = materialize(out.join(inside, "key", "left_anti").withColumn("key", name), "shared-largest", **STORED)
     discard(out)
     return kept
 

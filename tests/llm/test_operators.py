@@ -426,6 +426,29 @@ def test_alike_lines_share_a_key():
                 assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 
+def test_a_passage_at_another_place_is_no_shared_key():
+    rng = random.Random(11)
+    made = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, first, second = made(150), made(500), made(500)
+    keys, owner = line_dedup.line_keys([passage + first, second + passage])
+    assert not set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+    for n in (600, 5000, 100_000):  # and keys stay in proportion to the characters
+        assert len(line_dedup.line_keys([made(n)])[0]) < n / 3
+
+
+def test_a_line_is_verified_with_its_most_alike_first(monkeypatch):
+    """Copies of one line are a pair each, not all pairs."""
+    rng, verified, within = random.Random(12), [], line_dedup.within
+    monkeypatch.setattr(line_dedup, "within", lambda a, b, k: (verified.append(len(a)), within(a, b, k))[1])
+    base = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    lines = [base] + [edited_long(rng, base, 6) for _ in range(59)]
+    n = len(lines)
+    rows = pd.DataFrame({"h1": range(n), "line": lines, "key": 5, "keys": [np.array([5, 7])] * n, "part": 0, "cross": False, "group": 0})
+    assert line_dedup.have_earlier(rows, set()).tolist() == [False] + [True] * 59
+    assert sum(verified) < 6 * n
+    assert not line_dedup.have_earlier(rows.assign(keys=[np.array([3, 5])] * n), set()).any()  # they meet in the group of key 3
+
+
 def test_groups_of_neighbouring_keys_stay_apart():
     """64-bit keys that are equal as doubles."""
     rows = pd.DataFrame({"key": [2**62, 2**62, 2**62 + 1, 2**62 + 2, 2**62 + 2], "v": range(5)})
