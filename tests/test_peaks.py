@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drowse.operators import peaks, windows
+from drowse.plans import workloads
 
 
 def plain_pick(steps, p, chunk, height, limit):
@@ -161,3 +162,31 @@ def test_ramp_is_the_widest_frames(spark):
     direct = F.greatest(*[F.max("hit").over(windows.ordered().rowsBetween(1 - w, w - 1)) * (1 - i / 4) for i, w in enumerate(widths)])
     out = windows.ramp_target(df, F.col("hit") == 1, widths, "a").withColumn("b", direct)
     assert out.where("abs(a - b) > 1e-9").count() == 0
+
+
+def test_without_a_limit_all_are_picked():
+    """As the plain form goes on until no candidate reaches the height, alone and in rounds; at height 0 picks end when nothing is gained."""
+    rng = np.random.default_rng(6)
+    n, ends = 60, 0
+    p, chunk = np.floor(rng.random((4, n)) ** 2 * 8) / 8, np.repeat([0, 1], [35, 25])
+    many = peaks.pick_many(p.ravel(), np.tile(chunk, 4) + np.repeat(np.arange(4) * 2, n), np.arange(4) * n, 0.1)
+    for i in range(4):
+        want = plain_pick((np.arange(n) * 12).tolist(), p[i].tolist(), chunk.tolist(), 0.1, 10**6)
+        told = lambda at, k, v: (int(at) * 12 + peaks.PHASES[k][0], float(v))
+        assert [told(*x) for x in peaks.pick_events(p[i], chunk, 0.1)] == want
+        own = many[0] // n == i
+        assert [told(at - i * n, k, v) for at, k, v in zip(*(x[own] for x in many), strict=True)] == want
+        ends += len(want)
+        assert len(peaks.pick_events(p[i], chunk, 0.0)) == len(peaks.pick_many(p[i], chunk, np.array([0]), 0.0)[0]) >= len(want)
+    assert ends > 4 * 20
+
+
+def test_scores_are_of_all_events(spark, sf, monkeypatch):
+    """A series has more than 500 events that reach the height, the former default, and those of w3_score more than its former 20."""
+    s = spark.range(700 * 70).select(F.lit(1).alias("series_id"), F.col("id").alias("step"), F.lit(0).alias("chunk_id"), F.expr("date_add(DATE'2024-01-01', CAST(id / 70 AS INT))").alias("day"), F.expr("CAST(id % 70 = 35 AS DOUBLE)").alias("pred_onset"), F.lit(0.0).alias("pred_wakeup"))
+    seen = []
+    monkeypatch.setattr(workloads.metric, "ap_table", lambda truth, found, tolerances: seen.append(found) or found.groupBy("series_id", "event").agg(F.count(F.lit(1)).alias("ap")))
+    workloads.scored(s, s.select("series_id", "step"), {})
+    found = seen[0].where("event = 'onset'").collect()
+    assert len({r["step"] // 70 for r in found}) == 700
+    assert max(r["ap"] for r in workloads.w3_score(spark, sf).collect()) > 20
