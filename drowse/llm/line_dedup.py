@@ -10,8 +10,11 @@ passage in common at different places do not meet. Each line leaves the hashes o
 line's segments can stand. Lines that share a hash are verified on their whole length by a banded bit-parallel edit distance, many pairs
 at once inside the group in words of 64 bits, and few pairs, or those of more than WIDE edits, each in one long integer: pairs are never emitted, only a line that has an earlier alike.
 
-Hot segments: which keys several lines have is found first, from two line hashes at most for each key and task, and only those keys leave
-their lines. A group of more than GROUP lines or CHARS characters is split by length, since alike lines differ by a SHAREth at most, and what is
+Which keys several lines have, and which lines have such a key, is found first, from pairs of hashes, and only those keys leave their lines.
+Lines of a key are then parted by their lengths and by how often characters of 16 classes occur, which a few edits change little: a line
+that no pair links to another goes no further, and its text is not moved.
+
+Hot segments: a group of more than GROUP lines or CHARS characters is split by length, since alike lines differ by a SHAREth at most, and what is
 still larger is worked as pairs of blocks. Groups are dealt in PASSES parts of the keys, so that only one part's lines are on disk at a time.
 
 A line goes if an earlier one is equal or alike; earlier is by document id (null first), then by text hash, then by place. So the first
@@ -42,7 +45,7 @@ from pyspark.sql import functions as F
 
 from drowse.sources.shared import tidy
 
-from .common import content_key, discard, frames, materialize, renamed, slices, table, whole_groups
+from .common import bitmap, content_key, discard, frames, marked, materialize, renamed, slices, table, whole_groups
 
 #: The budget: LEAST characters for one edit, one for each SHARE characters from 2 * LEAST on; edits that a 64-bit word's band holds.
 LEAST, SHARE, WIDE = 20, 32, 31
@@ -53,7 +56,8 @@ RUN, FLUSH, RANGE = 1 << 18, 1 << 20, 1 << 24  # characters hashed at a time, ke
 PAIRS, HELD = 4096, 1 << 18  # pairs verified at a time; those that may wait for it
 SINGLE = 256  # pairs below which each goes alone
 PASSES = 4  # parts of the keys whose lines are shuffled one after the other
-WIDTH = 28  # a bitmap of keys has 2 ** WIDTH bits, 32 MB
+WIDTH = 28  # a bitmap of keys or lines has 2 ** WIDTH bits, 32 MB
+NAMED = 64  # pieces that a bitmap of lines is made in
 STORED = {"compression": "zstd"}
 PRIME = np.uint64(0xC2B2AE3D27D4EB4F)
 DOC = ["id", "t1", "t2"]
@@ -98,6 +102,8 @@ def _grow(n: int) -> None:
 
 def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of segments and of substrings that may be those of an alike line, and the number of the line of each."""
+    by_length = np.argsort(np.array([len(x) for x in lines], np.int64), kind="stable")
+    lines = [lines[i] for i in by_length.tolist()]  # so that the lines of a class are one run of characters
     lengths = np.array([len(x) for x in lines], np.int64)
     offsets = np.cumsum(lengths) - lengths
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) * PRIME
@@ -106,11 +112,8 @@ def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         _grow(len(codes) + 1)
     up, down = _POWERS
     sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * up[: len(codes)], out=sums[1:])
-
-    def hashed(where: np.ndarray, size: int) -> np.ndarray:  # prefix sums of a polynomial, moved to one power
-        h = (sums[where + size] - sums[where]) * down[where]
-        return (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    codes *= up[: len(codes)]
+    np.cumsum(codes, out=sums[1:])
 
     keys, names = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     longest = int(lengths.max(initial=0))
@@ -118,26 +121,28 @@ def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if least > longest:
             break
         size = least // (k + 1)
-        mine = np.flatnonzero((lengths >= least) & (lengths - k <= greatest))
-        if not len(mine):
+        a, z = np.searchsorted(lengths, [least, greatest + k + 1]).tolist()
+        if a == z:
             continue
         at, block = _places(k, size)
-        ok = at[None, :] <= lengths[mine, None] - size
-        owner, of = np.repeat(mine, ok.sum(1)), np.broadcast_to(block, ok.shape)[ok]
-        if k < FEW:
-            h = hashed((offsets[mine, None] + at[None, :])[ok], size)
-        else:  # a substring's name is the least hash of its parts, which its neighbours mostly share
-            part = (size + 1) // 2
-            parts = lengths[mine] - part + 1
-            starts = np.cumsum(parts) - parts
-            least_ = hashed(np.repeat(offsets[mine] - starts, parts) + np.arange(parts.sum()), part)
-            least_ = _least_of(least_, size - part + 1)
-            h = least_[(starts[:, None] + at[None, :])[ok]]
-            new = np.r_[True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]) | (owner[1:] != owner[:-1])]
-            h, of, owner = h[new], of[new], owner[new]
+        part = size if k < FEW else (size + 1) // 2
+        first, end = int(offsets[a]), int(offsets[z - 1] + lengths[z - 1]) - part + 1
+        h = sums[first + part : end + part] - sums[first:end]  # prefix sums of a polynomial, moved to one power
+        h *= down[first:end]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        if k >= FEW:  # a substring's name is the least hash of its parts, which its neighbours mostly share
+            h = _least_of(h, size - part + 1)
+        h = h.take((offsets[a:z, None] - first) + at, mode="clip")
+        new = at <= lengths[a:z, None] - size
+        if k >= FEW:
+            new[:, 1:] &= (h[:, 1:] != h[:, :-1]) | (block[1:] != block[:-1]) | ~new[:, :-1]
+        found = np.flatnonzero(new)
+        owner = found // len(at)
+        h, of = h.ravel()[found], block[found - owner * len(at)]
         h = (h ^ h >> np.uint64(32) ^ (of << np.uint64(32) | np.uint64(k)) * PRIME) * np.uint64(0x9E3779B97F4A7C15)
         keys.append((h ^ h >> np.uint64(29)).view(np.int64))
-        names.append(owner)
+        names.append(by_length[a:z][owner])
     return np.concatenate(keys), np.concatenate(names)
 
 
@@ -324,8 +329,8 @@ def line_hashes(docs: DataFrame) -> DataFrame:
 SECOND = xxhash.xxh64_intdigest("second", 42)  # the seed of a content key's second hash
 
 
-def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], np.ndarray]]:
-    """Keys and the number of the line of each, and the lines and their h1; a line once a task."""
+def keys_of(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], np.ndarray]]:
+    """Keys and the number of the line of each, and the lines and their h1; a line once a task. wanted: a bitmap by the first bits of h1."""
     seen: set[int] = set()
     for b in slices(batches):
         lines, names = [], []
@@ -335,7 +340,11 @@ def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
                     seen.add(h)
                     lines.append(line)
                     names.append(h)
-        hashes, ends, at = np.array(names, np.uint64), np.cumsum([0, *map(len, lines)]), 0
+        hashes = np.array(names, np.uint64)
+        if wanted is not None:
+            own = np.flatnonzero(_has(wanted, hashes))
+            lines, hashes = [lines[i] for i in own.tolist()], hashes[own]
+        ends, at = np.cumsum([0, *map(len, lines)]), 0
         while at < len(lines):  # runs of RUN characters, or of one line
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + RUN, side="right")) - 1)
             keys, owner = line_keys(lines[at:to])
@@ -343,9 +352,32 @@ def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             at = to
 
 
-def keys_twice(docs: DataFrame) -> np.ndarray:
-    """A bitmap of 2 ** WIDTH bits, by the first bits of a key: whether several lines have a key there. Each task leaves two line hashes at most for
-    a key, sorted and split into ranges that follow the corpus' size; each range is merged and leaves its piece of the bitmap."""
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which 64-bit hashes have their bit in a bitmap of 2 ** WIDTH bits by their first bits."""
+    slot = (hashes >> np.uint64(64 - WIDTH)).astype(np.int64)
+    return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _packed(pairs: np.ndarray) -> bytes:
+    """Sorted pairs of a key and a line's name, 32 bits each: steps of the keys by their bytes, the highest of which are mostly 0, and the names."""
+    keys = (pairs >> np.uint64(32)).astype(np.uint32)
+    return np.diff(keys, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes() + pairs.astype(np.uint32).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // 8
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n).reshape(4, n).T).view(np.uint32).ravel()
+    return np.cumsum(steps, dtype=np.uint64) << np.uint64(32) | np.frombuffer(data, np.uint32, n, 4 * n)
+
+
+def _distinct(sorted_: np.ndarray) -> np.ndarray:
+    return sorted_[np.r_[True, sorted_[1:] != sorted_[:-1]][: len(sorted_)]]
+
+
+def keys_twice(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two bitmaps of 2 ** WIDTH bits: by the first bits of a key, whether several lines have a key there, and by the first bits of a line's h1,
+    whether a line there has such a key. Each task leaves pairs of a key and a line, sorted and split into ranges that follow the corpus' size;
+    each range is merged and leaves its piece of the first bitmap and its bits of the pieces of the second."""
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     width = min(WIDTH - 3, max(0, math.ceil(math.log2(max(1, size / RANGE)))))
     bits = 32 + width
@@ -353,7 +385,8 @@ def keys_twice(docs: DataFrame) -> np.ndarray:
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for keys, owner, _, names in keys_of(batches):
-            held.append((keys.view(np.uint64) >> np.uint64(64 - bits), (names >> np.uint64(32)).astype(np.uint32)[owner]))
+            keys = keys.view(np.uint64) >> np.uint64(64 - bits)
+            held.append(((keys >> np.uint64(32)).astype(np.uint16 if width <= 16 else np.uint32), keys << np.uint64(32) | (names >> np.uint64(32))[owner]))
             if sum(len(k) for k, _ in held) >= FLUSH:
                 yield ranges(held)
                 held = []
@@ -361,55 +394,63 @@ def keys_twice(docs: DataFrame) -> np.ndarray:
             yield ranges(held)
 
     def ranges(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, low, high = _combined(*(np.concatenate(side) for side in zip(*held, strict=True)))
-        of = (keys >> np.uint64(32)).astype(np.int64)
-        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])[: len(of)]
-        rows = []
-        for a, z in zip(starts, [*starts[1:], len(of)], strict=True):
-            more = np.flatnonzero(low[a:z] != high[a:z]).astype(np.uint32)
-            rows.append((int(of[a]), keys[a:z].astype(np.uint32).tobytes(), low[a:z].tobytes(), more.tobytes(), high[a:z][more].tobytes()))
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [pa.int64(), *[pa.binary()] * 4], strict=True)], ["range", "keys", "low", "more", "high"])
+        of, pairs = (np.concatenate(side) for side in zip(*held, strict=True))
+        order = np.argsort(of, kind="stable")
+        of, pairs = of[order], pairs[order]
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])[: len(of)].tolist()
+        rows = [(int(of[a]), _packed(_distinct(np.sort(pairs[a:z])))) for a, z in zip(starts, [*starts[1:], len(of)], strict=True)]
+        columns = zip(*rows, strict=True) if rows else [[]] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [pa.int64(), pa.binary()], strict=True)], ["range", "pairs"])
 
     def merge(of: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        read = lambda c: [np.frombuffer(x, np.uint32) for x in p[c]]
-        low = np.concatenate(read("low"))
-        high, at = low.copy(), 0
-        for keys, more, most in zip(read("keys"), read("more"), read("high"), strict=True):
-            high[at + more.astype(np.int64)] = most
-            at += len(keys)
-        keys, low, high = _combined(np.concatenate(read("keys")), low, high)
+        pairs = np.concatenate([_unpacked(x) for x in p["pairs"]])
+        pairs.sort()
+        pairs = _distinct(pairs)
+        keys = (pairs >> np.uint64(32)).astype(np.uint32)
+        again = keys[1:] == keys[:-1]
+        pairs = pairs[np.r_[again, False] | np.r_[False, again]]
         piece = np.zeros(1 << (WIDTH - width), np.uint8)
-        piece[(keys[low != high] >> np.uint32(bits - WIDTH)).astype(np.int64)] = 1
-        return pd.DataFrame({"range": [of[0]], "bits": [zlib.compress(np.packbits(piece).tobytes(), 1)]})
-
-    out = np.zeros((1 << width, 1 << (WIDTH - width - 3)), np.uint8)
+        piece[(pairs >> np.uint64(32 + bits - WIDTH)).astype(np.int64)] = 1
+        slots = _distinct(np.sort(pairs.astype(np.uint32) >> np.uint32(32 - WIDTH)))
+        cuts = np.searchsorted(slots, np.arange(NAMED + 1) << (WIDTH - NAMED.bit_length() + 1)).tolist()
+        rows = [(0, of[0], zlib.compress(np.packbits(piece).tobytes(), 1))]
+        rows += [(1, i, slots[a:z].tobytes()) for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < z]
+        return pd.DataFrame(rows, columns=["kind", "part", "data"])
+
+    def joined(of: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        if of[0] == 0:
+            return p
+        piece = np.zeros((1 << WIDTH) // NAMED, np.uint8)
+        for x in p["data"]:
+            piece[np.frombuffer(x, np.uint32) % len(piece)] = 1
+        return pd.DataFrame({"kind": [1], "part": [of[1]], "data": [zlib.compress(np.packbits(piece).tobytes(), 1)]})
+
+    out = np.zeros((1 << width, 1 << (WIDTH - width - 3)), np.uint8), np.zeros((NAMED, (1 << (WIDTH - 3)) // NAMED), np.uint8)
+    schema = "kind int, part long, data binary"
     with tidy(docs.sparkSession):
-        pieces = docs.select("text").mapInArrow(sort, "range long, keys binary, low binary, more binary, high binary").groupBy("range").applyInPandas(merge, "range long, bits binary")
-        rows = pieces.collect()  # 2 ** WIDTH bits in all
+        pieces = docs.select("text").mapInArrow(sort, "range long, pairs binary").groupBy("range").applyInPandas(merge, schema)
+        rows = pieces.groupBy("kind", "part").applyInPandas(joined, schema).collect()  # twice 2 ** WIDTH bits in all
     for r in rows:
-        out[r["range"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    return out.ravel()
+        out[r["kind"]][r["part"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
+    return out[0].ravel(), out[1].ravel()
 
 
-def _combined(keys: np.ndarray, low: np.ndarray, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, with the least `low` and the greatest `high` of each."""
-    order = np.argsort(keys, kind="stable")
-    keys, low, high = keys[order], low[order], (low if high is None else high)[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[: len(keys)]
-    if not len(keys):
-        return keys, low, high
-    return keys[starts], np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+def sketches(lines: list[str]) -> np.ndarray:
+    """How often characters of 16 classes occur, modulo 256, as the bytes of two numbers: k edits change them by 2k at most in all, one less for each that
+    changes the length."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4") & np.uint32(15)
+    of = np.repeat(np.arange(len(lines)) * 16, [len(x) for x in lines])
+    return np.bincount(of + codes, minlength=16 * len(lines)).astype(np.uint8).view(np.int64).reshape(-1, 2)
 
 
 def line_keys_twice(docs: DataFrame) -> DataFrame:
-    """key, h1, h2, size (of the line) and line of keys that several lines may have; line with the first key of each line of a task only, else null."""
+    """key, h1, h2, size and the sketch s1, s2 (of the line) and line of keys that several lines may have; line with the first key of each line of a task only, else null."""
     bits = docs.sparkSession.sparkContext.broadcast(keys_twice(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, owner, lines, names in keys_of(batches):
-            slot = (keys.view(np.uint64) >> np.uint64(64 - WIDTH)).astype(np.int64)
-            kept = (bits.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+        twice, wanted = bits.value
+        for keys, owner, lines, names in keys_of(batches, wanted):
+            kept = _has(twice, keys.view(np.uint64))
             keys, owner = keys[kept], owner[kept]
             order = np.argsort(owner, kind="stable")
             keys, owner = keys[order], owner[order]
@@ -418,18 +459,130 @@ def line_keys_twice(docs: DataFrame) -> DataFrame:
             h2 = np.array([second[i] for i in owner.tolist()], np.uint64).view(np.int64)
             text = pa.array([lines[i] if f else None for i, f in zip(owner.tolist(), first.tolist(), strict=True)], pa.string())
             sizes = np.array([len(x) for x in lines], np.int32)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names[owner].view(np.int64)), pa.array(h2), pa.array(sizes), text], ["key", "h1", "h2", "size", "line"])
+            sketch = sketches(lines)[owner]
+            columns = [pa.array(x) for x in (keys, names[owner].view(np.int64), h2, sizes, sketch[:, 0], sketch[:, 1])]
+            yield pa.RecordBatch.from_arrays([*columns, text], ["key", "h1", "h2", "size", "s1", "s2", "line"])
+
+    return docs.select("text").mapInArrow(run, "key long, h1 long, h2 long, size int, s1 long, s2 long, line string")
+
+
+def may_be_alike(group: np.ndarray, sizes: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Rows, in order by group, that are linked: by pairs of a group whose lengths and sketches are near enough for the edits allowed. Gives the first row that
+    each is linked to, itself if to none before it."""
+    first, counts = np.arange(len(group)), sketch.view(np.uint8)
+    edits = np.where(sizes < LEAST, 0, np.where(sizes < 2 * LEAST, 1, np.maximum(2, sizes // SHARE)))
+    behind = np.searchsorted(group, group, side="right") - np.arange(len(group)) - 1
+    left, d = np.flatnonzero(behind), 1
+    while len(left):  # each with the d-th after it
+        a = left[first[left] != first[left + d]]
+        b = a + d
+        apart, most = np.abs(sizes[a] - sizes[b]), np.minimum(edits[a], edits[b])
+        near = apart <= most
+        a, b, apart, most = a[near], b[near], apart[near], most[near]
+        change = counts[a] - counts[b]
+        near = np.minimum(change, -change).sum(1, dtype=np.int64) <= 2 * most - apart
+        a, b = a[near], b[near]
+        while len(a):
+            x, y = first[a], first[b]
+            np.minimum.at(first, np.maximum(x, y), np.minimum(x, y))
+            while (first != (up := first[first])).any():
+                first = up
+            apart = first[a] != first[b]
+            a, b = a[apart], b[apart]
+        d += 1
+        left = left[behind[left] >= d]
+    return first
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ x >> np.uint64(32)).view(np.int64)
+
+
+def lines_met(found: DataFrame) -> DataFrame:
+    """key, h1, h2, size, and n, chars and a hash of the lines that meet there: lines of a key are parted into those that pairs which may be alike link, each
+    part with a key of its own, and those alone are left out. Lines of a hot key are all left, with n = 0 and perhaps more than once."""
+    group, most = GROUP, CHARS
+    names = ["key", "h1", "h2", "size", "n", "chars", "set"]
+
+    def told(key: np.ndarray, h1: np.ndarray, h2: np.ndarray, size: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+        more = more or (np.zeros(len(key), np.int32), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, h1, h2, size, *more)], names)
+
+    def once(rows: list[np.ndarray]) -> list[np.ndarray]:
+        order = np.lexsort((rows[2], rows[1], rows[0]))
+        rows = [x[order] for x in rows]
+        new = np.ones(len(order), bool)
+        new[1:] = reduce(np.logical_or, [x[1:] != x[:-1] for x in rows[:3]])
+        return [x[new] for x in rows]
+
+    def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        return np.cumsum(new) - 1, np.flatnonzero(new)
+
+    def whole(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = once(rows)
+        of, starts = numbered(rows[0])
+        hot = ((np.bincount(of) > group) | (np.add.reduceat(rows[3].astype(np.int64), starts) > most))[of]
+        if hot.any():
+            yield told(*[x[hot] for x in rows[:4]])
+        rows = [x[~hot] for x in rows]
+        first = may_be_alike(numbered(rows[0])[0], rows[3].astype(np.int64), np.stack(rows[4:], axis=1))
+        linked = np.bincount(first, minlength=len(first))[first] > 1
+        order = np.argsort(first[linked], kind="stable")
+        key, h1, h2, size = (x[linked][order] for x in rows[:4])
+        of, starts = numbered(first[linked][order])
+        if not len(starts):
+            return
+        part = _mixed(h1[starts].view(np.uint64) ^ key[starts].view(np.uint64) * PRIME)
+        lines = np.bitwise_xor.reduceat(_mixed(h1.view(np.uint64) ^ h2.view(np.uint64) * PRIME), starts)
+        chars = np.add.reduceat(size.astype(np.int64), starts)
+        yield told(part[of], h1, h2, size, np.bincount(of).astype(np.int32)[of], chars[of], lines[of])
 
-    return docs.select("text").mapInArrow(run, "key long, h1 long, h2 long, size int, line string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        hot = None  # a key whose lines go on as they come
+        for b in batches:
+            rows = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if not len(rows[0]):
+                continue
+            if hot is not None:
+                own = int(np.searchsorted(rows[0], hot, side="right"))
+                if own:
+                    yield told(*[x[:own] for x in rows[:4]])
+                if own == len(rows[0]):
+                    continue
+                rows, hot = [x[own:] for x in rows], None
+            if held is not None:
+                rows = [np.concatenate(side) for side in zip(held, rows, strict=True)]
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if last:
+                yield from whole([x[:last] for x in rows])
+            held = [x[last:] for x in rows]
+            if len(held[0]) > 8 * group:
+                held = once(held)
+                if len(held[0]) > group or int(held[3].sum(dtype=np.int64)) > most:
+                    hot = held[0][0]
+                    yield told(*held[:4])
+                    held = None
+        if held is not None:
+            yield from whole(held)
+
+    dealt = found.select("key", "h1", "h2", "size", "s1", "s2").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "key long, h1 long, h2 long, size int, n int, chars long, set long")
 
 
 def shared_keys(found: DataFrame) -> DataFrame:
-    """key, h1, h2, and n and chars of the n lines that share a segment; of keys that the same lines share, one. A key whose lines all have the same
-    other key as their largest one is left out: its pairs meet there. found: of `line_keys_twice`."""
-    some = materialize(found.select("key", "h1", "h2", "size").distinct(), "shared-segments", **STORED)
-    sets = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"), F.bit_xor("h1").alias("x"), F.bit_xor(F.xxhash64("h1", F.lit(1))).alias("y")).where("n > 1")
-    out = materialize(some.drop("size").join(sets.groupBy("n", "chars", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "chars"), "key"), "shared-once", **STORED)
-    discard(some)
+    """key, h1, h2, and n and chars of the n lines that meet at a key because they may be alike; of keys at which the same lines meet, one. A key whose
+    lines all have the same other key as their largest one is left out: its pairs meet there. found: of `line_keys_twice`."""
+    met = materialize(lines_met(found), "shared-segments", **STORED)
+    # each line of a set sees the same keys of it
+    once = met.where("n > 0").groupBy("h1", "h2", "n", "chars", "set").agg(F.min("key").alias("key")).select("key", "h1", "h2", F.col("n").cast("long").alias("n"), "chars")
+    some = met.where("n = 0").select("key", "h1", "h2", "size").distinct()
+    sets = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"), F.bit_xor("h1").alias("x"), F.bit_xor(F.xxhash64("h1", F.lit(1))).alias("y"))
+    hot = some.drop("size").join(sets.groupBy("n", "chars", "x", "y").agg(F.min("key").alias("key")).select("key", "n", "chars"), "key")
+    out = materialize(once.unionByName(hot), "shared-once", **STORED)
+    discard(met)
     small = out.where(cold(F.col("n"), F.col("chars")))
     largest = small.groupBy("h1", "h2").agg(F.max(F.struct("n", "key")).alias("top")).select("h1", "h2", "top.key")
     tops = small.select("key", "h1", "h2").join(largest.withColumnRenamed("key", "top"), ["h1", "h2"])
@@ -478,10 +631,16 @@ def judge(docs: DataFrame) -> DataFrame:
     found = materialize(line_keys_twice(docs), "segments", **STORED)
     shared = shared_keys(found)
     none = F.lit("0").cast(dict(docs.dtypes)["id"])
-    texts = found.where("line IS NOT NULL").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(shared, "h1"))
+
+    @F.pandas_udf("boolean")
+    def met(h: pd.Series) -> pd.Series:
+        return pd.Series(marked(bits.value, h.to_numpy(np.int64)))
+
+    texts = found.where("line IS NOT NULL").where(met("h1")).groupBy("h1", "h2").agg(F.first("line").alias("line"))
     large = ~cold(F.col("n"), F.col("chars"))
     keys = shared.groupBy("h1", "h2").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(large, F.col("key"))).alias("hot"))
-    texts = texts.join(keys, ["h1", "h2"]).join(firsts, ["h1", "h2"])
+    texts = texts.join(keys, ["h1", "h2"]).join(firsts.where(met("h1")), ["h1", "h2"])
     texts = texts.select("h1", "h2", "line", "keys", "hot", "first.has_id", F.coalesce("first.id", none).alias("id"), "first.t1", "first.t2", "first.pos")
     texts = materialize(texts, "shared-texts", **STORED)
     hot = materialize(shared.where(large), "hot-segments", **STORED)
