@@ -248,6 +248,23 @@ def _counts(lines: list[str]) -> np.ndarray:
     return np.bincount(of * 32 + codes, minlength=32 * len(lines)).reshape(-1, 32).astype(np.int32)
 
 
+def _too_far(a: np.ndarray, b: np.ndarray, lines: list[str], most: np.ndarray) -> np.ndarray:
+    """Which pairs differ by more than `most` edits, told by the counts of what is before and behind a place of both: edits before it change the counts
+    of as many characters from the beginning by two each at most, those behind it the counts of as many from the end."""
+    out = np.zeros(len(a), bool)
+    for x in np.unique(short := np.minimum([len(lines[i]) for i in a.tolist()], [len(lines[i]) for i in b.tolist()]) // 64):
+        own = np.flatnonzero(short == x)
+        used, at = np.unique(np.concatenate([a[own], b[own]]), return_inverse=True)
+        size, texts = max(1, int(x) * 16), [lines[i] for i in used.tolist()]  # a quarter of the shorter line, about
+        left = [_counts([t[i * size : (i + 1) * size] for t in texts]) for i in range(3)]
+        right = [_counts([t[len(t) - (i + 1) * size : len(t) - i * size] for t in texts]) for i in range(3)]
+        left, right = np.cumsum(left, axis=0), np.cumsum(right, axis=0)
+        i, j = at[: len(own)], at[len(own) :]
+        for n in range(3):
+            out[own] |= np.abs(left[n][i] - left[n][j]).sum(1) + np.abs(right[2 - n][i] - right[2 - n][j]).sum(1) > 2 * most[own]
+    return out
+
+
 def _smaller_keys(key: np.ndarray, group: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
     """A row of bits for each line: which keys below its group's it has, of those that several lines of the group have."""
     line, all_ = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys)
@@ -282,6 +299,8 @@ def have_earlier(rows: pd.DataFrame, known: set[int]) -> np.ndarray:
             return
         a, b, apart = (np.concatenate(side) for side in zip(*found, strict=True))
         found.clear()
+        near = ~_too_far(a, b, lines, np.minimum(edits[a], edits[b]))
+        a, b, apart = a[near], b[near], apart[near]
         order = np.lexsort((apart, b))
         a, b = a[order], b[order]
         turn = np.arange(len(b)) - np.searchsorted(b, b)

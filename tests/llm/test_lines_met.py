@@ -69,3 +69,20 @@ def test_a_hot_key_in_many_batches(spark, monkeypatch):
         spark.conf.set(batch, before)
     most = max(found.groupBy("key").agg(F.countDistinct("h1").alias("n")).collect(), key=lambda r: r["n"])
     assert most["n"] > 100 and sum(k == most["key"] and n == 0 for k, _, n in whole) == most["n"]
+
+
+def test_pairs_told_apart_without_a_distance():
+    """None that is near enough, whatever its length, and most of those with the same characters in another order."""
+    rng = random.Random(5)
+    for n in (20, 63, 64, 200, 500, 3000):
+        lines = []
+        for _ in range(12):
+            base = made(rng, n)
+            lines += [base, edited(rng, base, rng.randrange(1, 3 + n // 32)), base[n // 2 :] + base[: n // 2]]
+        lines = [x for x in lines if len(x) >= line_dedup.LEAST]
+        a, b = np.triu_indices(len(lines), 1)
+        most = np.array([line_dedup.budget(min(len(lines[i]), len(lines[j]))) for i, j in zip(a, b, strict=True)])
+        near = line_dedup.within([lines[i] for i in a], [lines[i] for i in b], most)
+        assert not (line_dedup._too_far(a, b, lines, most) & near).any()
+    lines = ["abcdefgh" * 20 + "stuvwxyz" * 20, "stuvwxyz" * 20 + "abcdefgh" * 20]
+    assert line_dedup._too_far(np.array([0]), np.array([1]), lines, np.array([10])).all()
